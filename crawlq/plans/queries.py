@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.operators import joins
+from crawlq.operators import joins, queue_reads
 from crawlq.plans.registry import register
 from crawlq.sources.fixtures import load_adapter, with_ctes
 
@@ -55,3 +55,115 @@ def q_completed_profiles(spark, sf_dir):
     """All completed URL rows joined to their profiles."""
     return joins.completed_profiles(_t(spark, sf_dir, "url_queue"),
                                     _t(spark, sf_dir, "profile"))
+
+
+# --------------------------------------------------------------- queue reads
+
+_NF = "ASC NULLS FIRST"
+READ_OWNER = "ext_1"
+SEED_OWNER = "ext_2"
+URL_DEPTH, URL_SEED = 1, "3"
+
+
+@register("queue_pending_unowned", with_ctes(
+    "SELECT id, keyword, status, COALESCE(start, 0) AS start, extension_id FROM keyword_queue "
+    "WHERE status = 'pending' AND (extension_id IS NULL OR extension_id = '') "
+    f"ORDER BY created_at {_NF}, id {_NF} LIMIT 100", "keyword_queue"))
+def q_queue_pending_unowned(spark, sf_dir):
+    """Oldest 100 pending keywords without an owner."""
+    return queue_reads.queue_pending_unowned(_t(spark, sf_dir, "keyword_queue"))
+
+
+@register("queue_pending_or_owned", with_ctes(
+    "SELECT id, keyword, status, COALESCE(start, 0) AS start, extension_id FROM keyword_queue "
+    f"WHERE (status = 'processing' AND extension_id = '{READ_OWNER}') "
+    "OR (status = 'pending' AND (extension_id IS NULL OR extension_id = '')) "
+    "ORDER BY CASE WHEN status = 'processing' THEN 1 ELSE 2 END, "
+    f"created_at {_NF}, id {_NF} LIMIT 100", "keyword_queue"))
+def q_queue_pending_or_owned(spark, sf_dir):
+    """100 keywords for one owner: its processing rows first, then unowned pending."""
+    return queue_reads.queue_pending_or_owned(_t(spark, sf_dir, "keyword_queue"), READ_OWNER)
+
+
+@register("seed_pending", with_ctes(
+    "SELECT id, url, max_profiles, status, extension_id FROM seed_queue "
+    f"WHERE (status = 'pending' OR status IS NULL) OR (status = 'processing' AND extension_id = '{SEED_OWNER}') "
+    f"ORDER BY CASE WHEN status = 'processing' AND extension_id = '{SEED_OWNER}' THEN 0 ELSE 1 END, "
+    f"created_at {_NF}, id {_NF} LIMIT 10", "seed_queue"))
+def q_seed_pending(spark, sf_dir):
+    """10 seeds for one owner: its processing seeds first, then pending/NULL by age."""
+    return queue_reads.seed_pending(_t(spark, sf_dir, "seed_queue"), SEED_OWNER)
+
+
+@register("seed_page", with_ctes(
+    "SELECT id, url, max_profiles, status, extension_id, created_at, updated_at FROM seed_queue "
+    f"ORDER BY created_at DESC NULLS LAST, id {_NF} LIMIT 100 OFFSET 20", "seed_queue"))
+def q_seed_page(spark, sf_dir):
+    """Second page (offset 20, 100 rows) of all seeds, newest first."""
+    return queue_reads.seed_page(_t(spark, sf_dir, "seed_queue"), None, 100, 20)
+
+
+@register("seed_page_failed", with_ctes(
+    "SELECT id, url, max_profiles, status, extension_id, created_at, updated_at FROM seed_queue "
+    f"WHERE status = 'failed' ORDER BY created_at DESC NULLS LAST, id {_NF} LIMIT 100",
+    "seed_queue"))
+def q_seed_page_failed(spark, sf_dir):
+    """First page of failed seeds, newest first."""
+    return queue_reads.seed_page(_t(spark, sf_dir, "seed_queue"), "failed")
+
+
+_URL_COLS = "id, account_id, url, parent_account_id, crawl_depth, source_type, seed_url_id"
+
+
+@register("url_pending", with_ctes(
+    f"SELECT {_URL_COLS} FROM url_queue "
+    f"WHERE (status = 'pending' OR status IS NULL) AND crawl_depth = {URL_DEPTH} AND seed_url_id = '{URL_SEED}' "
+    f"ORDER BY crawl_depth {_NF}, created_at {_NF}, id {_NF} LIMIT 200", "url_queue"))
+def q_url_pending(spark, sf_dir):
+    """Pending URLs of depth 1 under seed 3 (filters bind to all rows)."""
+    return queue_reads.url_pending(_t(spark, sf_dir, "url_queue"), URL_DEPTH, URL_SEED)
+
+
+@register("url_pending_as_written", with_ctes(
+    f"SELECT {_URL_COLS} FROM url_queue "
+    f"WHERE status = 'pending' OR status IS NULL AND crawl_depth = {URL_DEPTH} AND seed_url_id = '{URL_SEED}' "
+    f"ORDER BY crawl_depth {_NF}, created_at {_NF}, id {_NF} LIMIT 200", "url_queue"))
+def q_url_pending_as_written(spark, sf_dir):
+    """The pending-URL read with the original AND/OR precedence."""
+    return queue_reads.url_pending_as_written(_t(spark, sf_dir, "url_queue"), URL_DEPTH, URL_SEED)
+
+
+@register("url_pending_all", with_ctes(
+    f"SELECT {_URL_COLS} FROM url_queue WHERE status = 'pending' OR status IS NULL "
+    f"ORDER BY crawl_depth {_NF}, created_at {_NF}, id {_NF} LIMIT 200", "url_queue"))
+def q_url_pending_all(spark, sf_dir):
+    """Pending URLs with no depth / seed filter."""
+    return queue_reads.url_pending(_t(spark, sf_dir, "url_queue"))
+
+
+@register("url_resumable", with_ctes(
+    f"SELECT {_URL_COLS}, status FROM url_queue "
+    "WHERE (status = 'pending' OR status = 'processing' OR status = 'failed' OR status = 'skipped' OR status IS NULL) "
+    "AND crawl_depth = 2 "
+    f"ORDER BY crawl_depth {_NF}, CASE WHEN status = 'processing' THEN 0 WHEN status = 'failed' THEN 1 "
+    "WHEN status = 'skipped' THEN 2 WHEN status = 'pending' OR status IS NULL THEN 3 ELSE 4 END, "
+    f"created_at {_NF}, id {_NF} LIMIT 200", "url_queue"))
+def q_url_resumable(spark, sf_dir):
+    """Depth-2 URLs to resume, processing first, then failed, skipped, pending."""
+    return queue_reads.url_resumable(_t(spark, sf_dir, "url_queue"), depth=2)
+
+
+@register("urls_by_keyword", with_ctes(
+    "SELECT id, url, status, seed_url_id AS keyword_id FROM url_queue WHERE seed_url_id = '3'",
+    "url_queue"))
+def q_urls_by_keyword(spark, sf_dir):
+    """All URLs of one foreign key (seed_url_id stands in for keyword_id)."""
+    return queue_reads.urls_by_keyword(_t(spark, sf_dir, "url_queue"), "3", key_col="seed_url_id")
+
+
+@register("profile_page", with_ctes(
+    "SELECT id, username, title, location FROM profile "
+    f"ORDER BY updated_at DESC NULLS LAST, id {_NF} LIMIT 100 OFFSET 10", "profile"))
+def q_profile_page(spark, sf_dir):
+    """Profiles 11-110 by most recent update."""
+    return queue_reads.profile_page(_t(spark, sf_dir, "profile"), 100, 10)
