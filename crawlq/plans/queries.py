@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.operators import joins, queue_reads
+from crawlq.operators import joins, queue_reads, stats
 from crawlq.plans.registry import register
 from crawlq.sources.fixtures import load_adapter, with_ctes
 
@@ -167,3 +167,70 @@ def q_urls_by_keyword(spark, sf_dir):
 def q_profile_page(spark, sf_dir):
     """Profiles 11-110 by most recent update."""
     return queue_reads.profile_page(_t(spark, sf_dir, "profile"), 100, 10)
+
+
+# --------------------------------------------------------------------- stats
+
+_SL = "COALESCE(NULLIF(status, ''), 'pending')"
+_OL = "COALESCE(NULLIF(extension_id, ''), 'unassigned')"
+_DL = "COALESCE(NULLIF(crawl_depth, 0), 1)"
+
+
+@register("stats_by_owner", with_ctes(
+    "SELECT status, extension_id, count(*) AS n FROM seed_queue GROUP BY status, extension_id",
+    "seed_queue"))
+def q_stats_by_owner(spark, sf_dir):
+    """Seed rows per (status, owner)."""
+    return stats.stats_by_owner(_t(spark, sf_dir, "seed_queue"))
+
+
+@register("stats_by_depth", with_ctes(
+    "SELECT status, crawl_depth, count(*) AS n FROM url_queue GROUP BY status, crawl_depth",
+    "url_queue"))
+def q_stats_by_depth(spark, sf_dir):
+    """URL rows per (status, depth)."""
+    return stats.stats_by_depth(_t(spark, sf_dir, "url_queue"))
+
+
+@register("stats_profile_by_depth", with_ctes(
+    "SELECT u.status, u.crawl_depth, count(*) AS n FROM url_queue u "
+    "JOIN profile p ON u.account_id = p.account_id GROUP BY u.status, u.crawl_depth",
+    "url_queue", "profile"))
+def q_stats_profile_by_depth(spark, sf_dir):
+    """Profiles per (status, depth) of their URL rows."""
+    return stats.stats_profile_by_depth(_t(spark, sf_dir, "profile"), _t(spark, sf_dir, "url_queue"))
+
+
+@register("stats_owner_rollup", with_ctes(
+    f"SELECT {_SL} AS status, {_OL} AS extension_id, count(*) AS n FROM seed_queue "
+    f"GROUP BY {_SL}, {_OL}", "seed_queue"))
+def q_stats_owner_rollup(spark, sf_dir):
+    """Seed rows per (status label, owner label)."""
+    return stats.stats_owner_rollup(_t(spark, sf_dir, "seed_queue"))
+
+
+@register("stats_depth_rollup", with_ctes(
+    f"SELECT {_DL} AS crawl_depth, {_SL} AS status, count(*) AS n FROM url_queue "
+    f"GROUP BY {_DL}, {_SL}", "url_queue"))
+def q_stats_depth_rollup(spark, sf_dir):
+    """URL rows per (depth label, status label)."""
+    return stats.stats_depth_rollup(_t(spark, sf_dir, "url_queue"))
+
+
+@register("stats_report", with_ctes(
+    "SELECT 'seed_urls' AS section, status AS dim1, extension_id AS dim2, n FROM so "
+    "UNION ALL SELECT 'profile_urls', CAST(crawl_depth AS STRING), status, n FROM ud "
+    "UNION ALL SELECT 'profiles', CAST(crawl_depth AS STRING), status, n FROM pd "
+    "UNION ALL SELECT 'seed_urls_v1', status, extension_id, n FROM so "
+    "UNION ALL SELECT 'profile_urls_v1', CAST(crawl_depth AS STRING), status, n FROM ud",
+    "seed_queue", "url_queue", "profile",
+    ctes=f"""
+so AS (SELECT {_SL} AS status, {_OL} AS extension_id, count(*) AS n FROM seed_queue GROUP BY 1, 2),
+ud AS (SELECT {_DL} AS crawl_depth, {_SL} AS status, count(*) AS n FROM url_queue GROUP BY 1, 2),
+pd AS (SELECT COALESCE(NULLIF(u.crawl_depth, 0), 1) AS crawl_depth,
+              COALESCE(NULLIF(u.status, ''), 'pending') AS status, count(*) AS n
+       FROM url_queue u JOIN profile p ON u.account_id = p.account_id GROUP BY 1, 2)"""))
+def q_stats_report(spark, sf_dir):
+    """All five roll-ups in long form (v1 tables are the same adapters)."""
+    seeds, urls = _t(spark, sf_dir, "seed_queue"), _t(spark, sf_dir, "url_queue")
+    return stats.stats_report(seeds, urls, _t(spark, sf_dir, "profile"), seeds, urls)
