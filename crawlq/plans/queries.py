@@ -7,10 +7,11 @@ operator is a top-k read (queue reads with their default read limits).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crawlq.operators import joins, queue_reads, stats
+from crawlq.operators import joins, merge, queue_reads, stats
 from crawlq.plans.registry import register
-from crawlq.sources.fixtures import load_adapter, with_ctes
+from crawlq.sources.fixtures import FIXED_NOW_TEXT, load_adapter, with_ctes
 
 # Seed whose lineage the flagship query traces.
 LINEAGE_SEED = "7"
@@ -234,3 +235,180 @@ def q_stats_report(spark, sf_dir):
     """All five roll-ups in long form (v1 tables are the same adapters)."""
     seeds, urls = _t(spark, sf_dir, "seed_queue"), _t(spark, sf_dir, "url_queue")
     return stats.stats_report(seeds, urls, _t(spark, sf_dir, "profile"), seeds, urls)
+
+
+# -------------------------------------------------------------------- merges
+
+NOW_SQL = f"TIMESTAMP '{FIXED_NOW_TEXT}'"
+
+
+def _now():
+    """The fixed batch stamp as a Spark column (timestamp without zone)."""
+    return F.expr(f"TIMESTAMP_NTZ '{FIXED_NOW_TEXT}'")
+
+
+_URLQ = ("id", "account_id", "seed_url_id", "parent_account_id", "crawl_depth", "url",
+         "source_type", "status", "processed_at", "created_at", "updated_at")
+_KWQ = ("id", "keyword", "extension_id", "start", "status", "processed_at", "created_at",
+        "updated_at")
+_PROF = ("id", "account_id", "username", "title", "location", "profile_image", "created_at",
+         "updated_at")
+
+
+def _cols(prefix, names, override=None):
+    override = override or {}
+    return ", ".join(override.get(c, f"{prefix}.{c}") + (f" AS {c}" if c in override else "")
+                     for c in names)
+
+
+def _null_cols(names, given):
+    return ", ".join(given.get(c, "NULL") + f" AS {c}" for c in names)
+
+
+@register("patch_status", with_ctes(
+    f"SELECT {_cols('u', _URLQ, {'status': 'CASE WHEN p.id IS NOT NULL THEN p.status ELSE u.status END', 'processed_at': 'CASE WHEN p.id IS NOT NULL THEN COALESCE(p.processed_at, u.processed_at) ELSE u.processed_at END', 'updated_at': 'CASE WHEN p.id IS NOT NULL THEN p.updated_at ELSE u.updated_at END'})}, "
+    "CASE WHEN p.id IS NOT NULL THEN 'update' ELSE 'keep' END AS _action "
+    "FROM url_queue u LEFT JOIN p ON u.id = p.id "
+    f"UNION ALL SELECT {_null_cols(_URLQ, {'id': 'p.id', 'status': 'p.status', 'processed_at': 'p.processed_at', 'updated_at': 'p.updated_at'})}, 'reject' "
+    "FROM p WHERE NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.id = p.id)",
+    "url_queue", "status_patch",
+    ctes=f"""p AS (SELECT id, status, CASE WHEN status = 'processing' THEN {NOW_SQL} END AS processed_at,
+              {NOW_SQL} AS updated_at FROM status_patch)"""))
+def q_patch_status(spark, sf_dir):
+    """Status patches by id over url_queue; unknown ids rejected, processed_at
+    stamped only for rows moving to processing."""
+    return merge.patch_status(_t(spark, sf_dir, "url_queue"), _t(spark, sf_dir, "status_patch"),
+                              _now())
+
+
+@register("affected_rows", with_ctes(
+    "SELECT a AS _action, count(*) AS n FROM ("
+    "SELECT CASE WHEN p.id IS NOT NULL THEN 'update' ELSE 'keep' END AS a "
+    "FROM url_queue u LEFT JOIN status_patch p ON u.id = p.id "
+    "UNION ALL SELECT 'reject' FROM status_patch p "
+    "WHERE NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.id = p.id)) GROUP BY a",
+    "url_queue", "status_patch"))
+def q_affected_rows(spark, sf_dir):
+    """Rows per merge action of the status patch."""
+    return merge.affected_rows(merge.patch_status(
+        _t(spark, sf_dir, "url_queue"), _t(spark, sf_dir, "status_patch"), _now()))
+
+
+@register("upsert", with_ctes(
+    f"SELECT {_cols('t', _PROF, {'username': 'CASE WHEN s.account_id IS NOT NULL THEN s.username ELSE t.username END', 'location': 'CASE WHEN s.account_id IS NOT NULL THEN s.location ELSE t.location END'})}, "
+    "CASE WHEN s.account_id IS NOT NULL THEN 'update' ELSE 'keep' END AS _action "
+    "FROM profile t LEFT JOIN s ON t.account_id = s.account_id "
+    f"UNION ALL SELECT {_null_cols(_PROF, {'account_id': 's.account_id', 'username': 's.username', 'location': 's.location'})}, 'insert' "
+    "FROM s WHERE NOT EXISTS (SELECT 1 FROM profile t WHERE t.account_id = s.account_id)",
+    "profile", "profile_patch",
+    ctes="s AS (SELECT account_id, username, location FROM profile_patch WHERE account_id IS NOT NULL)"))
+def q_upsert(spark, sf_dir):
+    """Upsert by account_id: explicit NULLs overwrite, absent columns are kept,
+    unknown columns dropped, NULL keys dropped, new keys inserted."""
+    return merge.upsert(_t(spark, sf_dir, "profile"), _t(spark, sf_dir, "profile_patch"),
+                        "account_id")
+
+
+_BATCH_GIVEN = {c: f"b.{c}" for c in ("id", "account_id", "url", "source_type", "status",
+                                      "created_at", "updated_at")}
+
+
+@register("insert_if_absent", with_ctes(
+    f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
+    f"UNION ALL SELECT {_null_cols(_URLQ, _BATCH_GIVEN)}, 'insert' FROM url_batch b "
+    "WHERE b.account_id IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)",
+    "url_queue", "url_batch"))
+def q_insert_if_absent(spark, sf_dir):
+    """Insert batch rows whose account is new; repeats inside the batch all go in."""
+    return merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), _t(spark, sf_dir, "url_batch"),
+                                  "account_id")
+
+
+@register("insert_if_absent_dedupe", with_ctes(
+    f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
+    f"UNION ALL SELECT {_null_cols(_URLQ, _BATCH_GIVEN)}, 'insert' FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS rn FROM url_batch) b "
+    "WHERE b.rn = 1 AND b.account_id IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)",
+    "url_queue", "url_batch"))
+def q_insert_if_absent_dedupe(spark, sf_dir):
+    """Insert-if-absent keeping only the first batch row per new account."""
+    return merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), _t(spark, sf_dir, "url_batch"),
+                                  "account_id", dedupe=True, order="seq")
+
+
+@register("insert_key_only", with_ctes(
+    f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
+    f"UNION ALL SELECT {_null_cols(_URLQ, {'account_id': 'b.account_id'})}, 'insert' FROM "
+    "(SELECT DISTINCT account_id FROM url_batch) b WHERE b.account_id IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)",
+    "url_queue", "url_batch"))
+def q_insert_key_only(spark, sf_dir):
+    """Key-only source: new accounts inserted with only the key set."""
+    batch = _t(spark, sf_dir, "url_batch").select("account_id")
+    return merge.upsert(_t(spark, sf_dir, "url_queue"), batch, "account_id")
+
+
+def _kw_patch_sql(sets: dict) -> str:
+    """Oracle for a keyword-queue patch: valid rows update known ids; unknown
+    ids are rejected with their patch values; invalid rows rejected as given."""
+    body = _cols("k", _KWQ, {c: f"CASE WHEN p.id IS NOT NULL THEN p.{c} ELSE k.{c} END"
+                             for c in sets})
+    unknown = {"id": "p.id", **{c: f"p.{c}" for c in sets}}
+    return (
+        f"SELECT {body}, CASE WHEN p.id IS NOT NULL THEN 'update' ELSE 'keep' END AS _action "
+        "FROM keyword_queue k LEFT JOIN p ON k.id = p.id "
+        f"UNION ALL SELECT {_null_cols(_KWQ, unknown)}, 'reject' FROM p "
+        "WHERE NOT EXISTS (SELECT 1 FROM keyword_queue k WHERE k.id = p.id) "
+        f"UNION ALL SELECT {_null_cols(_KWQ, {'id': 'o.id', 'extension_id': 'o.extension_id'})}, "
+        f"'reject' FROM owner_patch o WHERE NOT ({_CLAIM_VALID})")
+
+
+def _kw_patch_cte(sets: dict) -> str:
+    vals = ", ".join(f"{v} AS {c}" for c, v in sets.items())
+    return f"p AS (SELECT id, {vals} FROM owner_patch WHERE {_CLAIM_VALID})"
+
+
+_CLAIM_VALID = ("id IS NOT NULL AND id <> '' AND extension_id IS NOT NULL "
+                "AND extension_id <> ''")
+_OWNER_SETS = {"extension_id": "extension_id", "updated_at": NOW_SQL}
+_PROCESSING_SETS = {"status": "'processing'", "extension_id": "extension_id",
+                    "processed_at": NOW_SQL, "updated_at": NOW_SQL}
+
+
+@register("claim_owner", with_ctes(
+    _kw_patch_sql(_OWNER_SETS), "keyword_queue", "owner_patch", ctes=_kw_patch_cte(_OWNER_SETS)))
+def q_claim_owner(spark, sf_dir):
+    """Owner claims by id: missing owner or unknown id rejected."""
+    return merge.claim_owner(_t(spark, sf_dir, "keyword_queue"),
+                             _t(spark, sf_dir, "owner_patch"), _now())
+
+
+@register("claim_processing", with_ctes(
+    _kw_patch_sql(_PROCESSING_SETS), "keyword_queue", "owner_patch",
+    ctes=_kw_patch_cte(_PROCESSING_SETS)))
+def q_claim_processing(spark, sf_dir):
+    """Claims that also move the keyword to processing and stamp processed_at."""
+    return merge.claim_processing(_t(spark, sf_dir, "keyword_queue"),
+                                  _t(spark, sf_dir, "owner_patch"), _now())
+
+
+_CURSOR_VALID = "id IS NOT NULL AND id <> '' AND current_start IS NOT NULL"
+
+
+@register("advance_cursor", with_ctes(
+    f"SELECT {_cols('k', _KWQ, {'start': 'CASE WHEN p.id IS NOT NULL THEN p.start ELSE k.start END', 'updated_at': 'CASE WHEN p.id IS NOT NULL THEN p.updated_at ELSE k.updated_at END'})}, "
+    "CASE WHEN p.id IS NOT NULL THEN 'update' ELSE 'keep' END AS _action "
+    "FROM keyword_queue k LEFT JOIN p ON k.id = p.id "
+    f"UNION ALL SELECT {_null_cols(_KWQ, {'id': 'p.id', 'start': 'p.start', 'updated_at': 'p.updated_at'})}, 'reject' "
+    "FROM p WHERE NOT EXISTS (SELECT 1 FROM keyword_queue k WHERE k.id = p.id) "
+    f"UNION ALL SELECT {_null_cols(_KWQ, {'id': 'o.id', 'start': 'o.current_start'})}, 'reject' "
+    f"FROM owner_patch o WHERE NOT ({_CURSOR_VALID})",
+    "keyword_queue", "owner_patch",
+    ctes=f"p AS (SELECT id, CAST(current_start AS BIGINT) AS start, {NOW_SQL} AS updated_at "
+         f"FROM owner_patch WHERE {_CURSOR_VALID})"))
+def q_advance_cursor(spark, sf_dir):
+    """Paging-cursor moves by id: NULL cursor or unknown id rejected, 0 allowed."""
+    return merge.advance_cursor(_t(spark, sf_dir, "keyword_queue"),
+                                _t(spark, sf_dir, "owner_patch"), _now(), cursor="current_start")

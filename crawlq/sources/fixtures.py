@@ -92,6 +92,26 @@ SELECT CASE WHEN c_custkey%31=0 THEN 'undefined' WHEN c_custkey%37=0 THEN '' ELS
 SELECT CAST(conv_id AS STRING) AS account_id, turn, CASE WHEN turn%5=4 THEN NULL ELSE text END AS content,
  CASE WHEN turn%4=0 THEN '2024-01-01T10:00:00' WHEN turn%4=1 THEN '2 hrs' WHEN turn%4=2 THEN NULL
       ELSE '2024-02-01T00:00:00' END AS time FROM {conversations}""",
+    # profile_patch: upsert source over profile; every account appears once,
+    # a quarter under a new key, some keys NULL, location sometimes NULL.
+    "profile_patch": """
+SELECT CASE WHEN c_custkey%10=5 THEN NULL WHEN c_custkey%4=0 THEN 'n' || CAST(c_custkey AS STRING)
+            ELSE CAST(c_custkey AS STRING) END AS account_id,
+ upper(c_name) AS username, CASE WHEN c_custkey%3=0 THEN NULL ELSE c_mktsegment END AS location,
+ 'x' AS not_a_profile_column FROM {customer}""",
+    # url_batch: insert source over url_queue; account_id repeats inside the
+    # batch and part of the accounts already exist.
+    "url_batch": """
+SELECT CAST(l_orderkey*10+l_linenumber AS STRING) AS id, CAST(l_suppkey AS STRING) AS account_id,
+ 'https://host.example/' || CAST(l_suppkey AS STRING) AS url, 'follower' AS source_type, 'pending' AS status,
+ l_orderkey*10+l_linenumber AS seq, l_shipdate AS created_at, l_shipdate AS updated_at FROM {lineitem}""",
+    # owner_patch: claims and cursor moves over keyword_queue; ids unique,
+    # those above the part count are unknown; some owners / cursors NULL.
+    "owner_patch": """
+SELECT CAST(event_id AS STRING) AS id,
+ CASE WHEN user_id%10=0 THEN NULL ELSE 'ext_' || CAST(user_id%7 AS STRING) END AS extension_id,
+ CASE WHEN user_id%9=0 THEN NULL ELSE user_id*10 END AS current_start
+ FROM {events} WHERE event_type='signup'""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
