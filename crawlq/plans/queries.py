@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlq.operators import joins, merge, queue_reads, stats
+from crawlq.functions import columns
+from crawlq.operators import frontier, ingest, joins, merge, queue_reads, stats
+from crawlq.plans import normalize
 from crawlq.plans.registry import register
-from crawlq.sources.fixtures import FIXED_NOW_TEXT, load_adapter, with_ctes
+from crawlq.sources.fixtures import (
+    ARRAY_BUCKET, FIXED_NOW_TEXT, HOST_PREFIX, KEYWORD_SUFFIX, SEED_SUFFIX, load_adapter,
+    post_arrays, social_profiles, with_ctes,
+)
 
 # Seed whose lineage the flagship query traces.
 LINEAGE_SEED = "7"
@@ -412,3 +417,384 @@ def q_advance_cursor(spark, sf_dir):
     """Paging-cursor moves by id: NULL cursor or unknown id rejected, 0 allowed."""
     return merge.advance_cursor(_t(spark, sf_dir, "keyword_queue"),
                                 _t(spark, sf_dir, "owner_patch"), _now(), cursor="current_start")
+
+
+# ------------------------------------------------------------ keyword ingest
+
+_KW_TRIM = "trim(keyword)"
+_KW_CTES = f"""
+kw AS (SELECT DISTINCT batch_id, {_KW_TRIM} AS original,
+              {_KW_TRIM} || '{KEYWORD_SUFFIX}' AS keyword
+       FROM keyword_batch WHERE {_KW_TRIM} <> ''),
+flag AS (SELECT kw.*, EXISTS (SELECT 1 FROM keyword_queue q WHERE q.keyword = kw.keyword) AS ex
+         FROM kw),
+cnt AS (SELECT batch_id, sum(CASE WHEN ex THEN 1 ELSE 0 END) AS n_existing,
+               sum(CASE WHEN ex THEN 0 ELSE 1 END) AS n_new FROM flag GROUP BY batch_id)"""
+
+
+def _kw_batch(spark, sf_dir):
+    return _t(spark, sf_dir, "keyword_batch")
+
+
+@register("distinct_keywords", with_ctes(
+    "SELECT batch_id, original, keyword FROM kw", "keyword_batch", "keyword_queue",
+    ctes=_KW_CTES))
+def q_distinct_keywords(spark, sf_dir):
+    """Stripped, non-blank, distinct keywords per request with the suffix."""
+    return ingest.distinct_keywords(_kw_batch(spark, sf_dir), suffix=KEYWORD_SUFFIX,
+                                    batch_col="batch_id")
+
+
+@register("keyword_conflicts", with_ctes(
+    "SELECT batch_id, CAST(n_existing AS BIGINT) AS n_existing, CAST(n_new AS BIGINT) AS n_new, "
+    "CASE WHEN n_existing = 0 THEN 'all_new' WHEN n_new = 0 THEN 'all_exist' "
+    "ELSE 'some_exist' END AS verdict FROM cnt", "keyword_batch", "keyword_queue", ctes=_KW_CTES))
+def q_keyword_conflicts(spark, sf_dir):
+    """Per request: existing vs new keywords and the verdict."""
+    return ingest.keyword_conflicts(_kw_batch(spark, sf_dir), _t(spark, sf_dir, "keyword_queue"),
+                                    suffix=KEYWORD_SUFFIX, batch_col="batch_id")
+
+
+@register("create_keywords", with_ctes(
+    f"SELECT f.keyword, 'pending' AS status, CAST(0 AS BIGINT) AS start, {NOW_SQL} AS created_at, "
+    f"{NOW_SQL} AS updated_at, 'insert' AS _action FROM flag f JOIN cnt c ON f.batch_id = c.batch_id "
+    "WHERE c.n_existing = 0 "
+    "UNION ALL SELECT f.keyword, NULL, NULL, NULL, NULL, 'reject' FROM flag f "
+    "JOIN cnt c ON f.batch_id = c.batch_id WHERE c.n_existing > 0",
+    "keyword_batch", "keyword_queue", ctes=_KW_CTES))
+def q_create_keywords(spark, sf_dir):
+    """Keyword requests: whole request rejected on any known keyword, others
+    inserted with defaults (rows other than kept queue rows; ids omitted)."""
+    out = ingest.create_keywords(_kw_batch(spark, sf_dir), _t(spark, sf_dir, "keyword_queue"),
+                                 suffix=KEYWORD_SUFFIX, batch_col="batch_id", now=_now())
+    return out.filter(F.col("_action") != "keep").select(
+        "keyword", "status", "start", "created_at", "updated_at", "_action")
+
+
+_SEED_OK = f"url LIKE '{HOST_PREFIX}%' AND url LIKE '%{SEED_SUFFIX}'"
+
+
+@register("create_seeds", with_ctes(
+    f"SELECT b.url, 'pending' AS status, CAST(100 AS BIGINT) AS max_profiles, {NOW_SQL} AS created_at, "
+    f"{NOW_SQL} AS updated_at, 'insert' AS _action FROM seed_batch b "
+    "WHERE b.batch_id NOT IN (SELECT batch_id FROM bad) "
+    "AND NOT EXISTS (SELECT 1 FROM seed_queue q WHERE q.url = b.url) "
+    "UNION ALL SELECT url, NULL, NULL, NULL, NULL, 'reject' FROM seed_batch "
+    "WHERE batch_id IN (SELECT batch_id FROM bad)",
+    "seed_batch", "seed_queue",
+    ctes=f"bad AS (SELECT DISTINCT batch_id FROM seed_batch WHERE NOT COALESCE({_SEED_OK}, false))"))
+def q_create_seeds(spark, sf_dir):
+    """Seed requests: whole request rejected on one malformed URL; new URLs
+    inserted with defaults, repeats inside a request all inserted."""
+    out = ingest.create_seeds(_t(spark, sf_dir, "seed_batch"), _t(spark, sf_dir, "seed_queue"),
+                              prefix=HOST_PREFIX, suffix=SEED_SUFFIX, batch_col="batch_id",
+                              now=_now())
+    return out.filter(F.col("_action") != "keep").select(
+        "url", "status", "max_profiles", "created_at", "updated_at", "_action")
+
+
+@register("enqueue_urls", with_ctes(
+    f"SELECT id, url, account_id, 'pending' AS status, {NOW_SQL} AS created_at, "
+    f"{NOW_SQL} AS updated_at FROM pu WHERE account_id IS NOT NULL "
+    "AND NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.account_id = pu.account_id)",
+    "page_url", "url_queue",
+    ctes="""pu AS (SELECT id, url, CASE WHEN url IS NOT NULL AND url <> '' THEN
+  split_part(split_part(string_split(regexp_replace(url, '/+$', ''), '/')[
+    list_position(string_split(regexp_replace(url, '/+$', ''), '/'), 'en') + 1], '?', 1), '#', 1)
+  END AS account_id FROM page_url)"""))
+def q_enqueue_urls(spark, sf_dir):
+    """First-platform URL batch: account derived from the URL (marker 'en'),
+    inserted when the account is not queued."""
+    out = ingest.enqueue_urls(_t(spark, sf_dir, "page_url"), _t(spark, sf_dir, "url_queue"),
+                              platform="pro", marker="en", now=_now())
+    return merge.inserted_rows(out).select("id", "url", "account_id", "status",
+                                           "created_at", "updated_at")
+
+
+# -------------------------------------------------------------------- frontier
+
+def _edges(spark, sf_dir):
+    e = _t(spark, sf_dir, "friend_edge")
+    return e.select(F.col("account_id").alias("parent_account_id"),
+                    F.col("friend_id").alias("account_id"),
+                    F.col("crawl_depth").alias("parent_depth"),
+                    F.struct("edge_seq").alias("_seq"))
+
+
+_FRONTIER_SELECT = (
+    "SELECT e.friend_id AS account_id, 'https://host.example/' || e.friend_id AS url, "
+    "e.account_id AS parent_account_id, e.crawl_depth + 1 AS crawl_depth, "
+    "'friend' AS source_type, 'pending' AS status")
+_FRONTIER_WHERE = (
+    "e.crawl_depth + 1 <= 3 AND e.friend_id IS NOT NULL "
+    "AND NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.account_id = e.friend_id)")
+_FRONTIER_OUT = ("account_id", "url", "parent_account_id", "crawl_depth", "source_type", "status")
+
+
+@register("expand_frontier", with_ctes(
+    f"{_FRONTIER_SELECT} FROM friend_edge e WHERE {_FRONTIER_WHERE}", "friend_edge", "url_queue"))
+def q_expand_frontier(spark, sf_dir):
+    """New depth+1 URL rows for friends not yet queued (repeats kept)."""
+    out = frontier.expand_frontier(_edges(spark, sf_dir), _t(spark, sf_dir, "url_queue"),
+                                   url_base=HOST_PREFIX, edges=True, now=_now())
+    return merge.inserted_rows(out).select(*_FRONTIER_OUT)
+
+
+@register("expand_frontier_dedupe", with_ctes(
+    f"{_FRONTIER_SELECT} FROM (SELECT *, row_number() OVER (PARTITION BY friend_id ORDER BY edge_seq) AS rn "
+    f"FROM friend_edge WHERE crawl_depth + 1 <= 3) e WHERE e.rn = 1 AND {_FRONTIER_WHERE}",
+    "friend_edge", "url_queue"))
+def q_expand_frontier_dedupe(spark, sf_dir):
+    """Frontier keeping only the first edge per new friend account."""
+    out = frontier.expand_frontier(_edges(spark, sf_dir), _t(spark, sf_dir, "url_queue"),
+                                   url_base=HOST_PREFIX, edges=True, dedupe=True, now=_now())
+    return merge.inserted_rows(out).select(*_FRONTIER_OUT)
+
+
+_SP_DEPTH = "COALESCE(CAST(crawl_depth AS BIGINT), 1)"
+
+
+@register("friend_edges", with_ctes(
+    f"SELECT account_id AS parent_account_id, f1 AS account_id, {_SP_DEPTH} AS parent_depth "
+    "FROM social_profile UNION ALL "
+    f"SELECT account_id, f2, {_SP_DEPTH} FROM social_profile", "social_profile"))
+def q_friend_edges(spark, sf_dir):
+    """Friend lists exploded into (profile, friend) edges; NULL items kept."""
+    return frontier.friend_edges(social_profiles(spark, sf_dir)).select(
+        "parent_account_id", "account_id", "parent_depth")
+
+
+# ---------------------------------------------------------- social profiles
+
+_SOCIAL_CTES = """
+c AS (SELECT *, CASE WHEN account_id IN ('None','null','undefined','') THEN NULL ELSE account_id END AS acc,
+             CASE WHEN username IN ('None','null','undefined','') THEN NULL ELSE username END AS usr
+      FROM social_profile),
+v AS (SELECT *, CASE WHEN account_id IS NULL OR account_id = '' THEN 'account_id is required'
+                     WHEN acc IS NULL OR acc = '' THEN 'account_id is required'
+                     WHEN usr IS NULL OR usr = '' THEN 'username is required' END AS reason FROM c)"""
+
+
+@register("normalize_profile_social", with_ctes(
+    "SELECT acc AS account_id, COALESCE(usr, '') AS username, COALESCE(gender, '') AS gender, "
+    f"{_SP_DEPTH} AS crawl_depth, concat_ws(',', f1, f2) AS friends, reason AS _reject_reason FROM v",
+    "social_profile", ctes=_SOCIAL_CTES))
+def q_normalize_profile_social(spark, sf_dir):
+    """Clean + normalise incoming social profiles; invalid rows get a reason."""
+    norm = normalize.normalize_profile_social(
+        normalize.clean_profile_social(social_profiles(spark, sf_dir)), _now())
+    return norm.select("account_id", "username", "gender", "crawl_depth",
+                       F.array_join("friend_lists", ",").alias("friends"), "_reject_reason")
+
+
+@register("ingest_profile_social", with_ctes(
+    f"SELECT acc AS account_id, usr AS username, {NOW_SQL} AS created_at, 'insert' AS _action FROM v "
+    "WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM profile p WHERE p.account_id = v.acc) "
+    "UNION ALL SELECT acc, NULL, NULL, 'reject' FROM v WHERE reason IS NOT NULL",
+    "social_profile", "profile", ctes=_SOCIAL_CTES))
+def q_ingest_profile_social(spark, sf_dir):
+    """Social profiles inserted if absent; rejected rows reported."""
+    prof, _ = ingest.ingest_profile_social(
+        social_profiles(spark, sf_dir), _t(spark, sf_dir, "profile"),
+        _t(spark, sf_dir, "url_queue"), url_base=HOST_PREFIX, now=_now())
+    return prof.filter(F.col("_action") != "keep").select(
+        "account_id", "username", "created_at", "_action")
+
+
+@register("ingest_profile_social_urls", with_ctes(
+    "SELECT e.f AS account_id, 'https://host.example/' || e.f AS url, e.account_id AS parent_account_id, "
+    "e.d + 1 AS crawl_depth, 'friend' AS source_type, 'pending' AS status FROM "
+    f"(SELECT account_id, f1 AS f, {_SP_DEPTH} AS d FROM v WHERE reason IS NULL "
+    f" UNION ALL SELECT account_id, f2, {_SP_DEPTH} FROM v WHERE reason IS NULL) e "
+    "WHERE e.d + 1 <= 3 AND e.f IS NOT NULL "
+    "AND NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.account_id = e.f)",
+    "social_profile", "url_queue", ctes=_SOCIAL_CTES))
+def q_ingest_profile_social_urls(spark, sf_dir):
+    """Friend URLs created by a social-profile ingest (accepted rows only)."""
+    _, urls = ingest.ingest_profile_social(
+        social_profiles(spark, sf_dir), _t(spark, sf_dir, "profile"),
+        _t(spark, sf_dir, "url_queue"), url_base=HOST_PREFIX, now=_now())
+    return merge.inserted_rows(urls).select(*_FRONTIER_OUT)
+
+
+_POST_TIME = ("CASE WHEN time IS NOT NULL AND TRY_CAST(time AS TIMESTAMP) IS NULL "
+              "THEN '2025-01-01T00:00:00+00:00' ELSE time END")
+_POST_KEY = "account_id || '-' || CAST(CAST(floor(turn / 8) AS BIGINT) AS STRING)"
+
+
+@register("ingest_profile_pro", with_ctes(
+    f"SELECT {_POST_KEY} AS account_id, content, {_POST_TIME} AS time, 'insert' AS _action "
+    "FROM post WHERE turn % 7 <> 6", "post"))
+def q_ingest_profile_pro(spark, sf_dir):
+    """Professional profiles upserted by account; post times checked (one row
+    per post of the inserted profiles)."""
+    target = _t(spark, sf_dir, "profile").withColumn(
+        "posts", F.lit(None).cast("array<struct<content:string,time:string>>"))
+    out = ingest.ingest_profile_pro(post_arrays(spark, sf_dir), target, now=_now())
+    ins = out.filter(F.col("_action") == "insert")
+    return ins.select("account_id", "_action", F.explode("posts").alias("p")).select(
+        "account_id", "p.content", "p.time", "_action")
+
+
+@register("post_time_iso", with_ctes(
+    f"SELECT {_POST_KEY} AS account_id, turn, {_POST_TIME} AS time FROM post WHERE turn % 7 <> 6",
+    "post"))
+def q_post_time_iso(spark, sf_dir):
+    """Post times: ISO text kept, other text replaced by the batch time."""
+    arr = post_arrays(spark, sf_dir).select(
+        "account_id", columns.post_time_iso("posts", _now()).alias("posts"))
+    return arr.select("account_id", F.posexplode("posts").alias("i", "p")).filter(
+        F.col("p").isNotNull()).select(
+        "account_id", F.col("p.time").alias("time"),
+        # the turn: bucket * 8 + position in the sorted bucket
+        (F.element_at(F.split("account_id", "-"), -1).cast("long") * ARRAY_BUCKET
+         + F.col("i")).alias("turn"),
+    )
+
+
+@register("normalize_struct_array", with_ctes(
+    f"SELECT {_POST_KEY} AS account_id, COALESCE(content, '') AS content, "
+    "COALESCE(time, '') AS time FROM post WHERE turn % 7 <> 6", "post"))
+def q_normalize_struct_array(spark, sf_dir):
+    """Post arrays: NULL items dropped, missing values as ''."""
+    arr = post_arrays(spark, sf_dir).select(
+        "account_id", columns.normalize_struct_array("posts", ("content", "time")).alias("p"))
+    return arr.select("account_id", F.explode("p").alias("p")).select(
+        "account_id", "p.content", "p.time")
+
+
+@register("compact_string_array", with_ctes(
+    "SELECT account_id, f1 AS friend FROM social_profile WHERE f1 IS NOT NULL "
+    "UNION ALL SELECT account_id, f2 FROM social_profile WHERE f2 IS NOT NULL", "social_profile"))
+def q_compact_string_array(spark, sf_dir):
+    """Friend lists with NULL items removed (one row per kept item)."""
+    sp = social_profiles(spark, sf_dir)
+    return sp.select("account_id",
+                     F.explode(columns.compact_string_array("friend_lists")).alias("friend"))
+
+
+# ---------------------------------------------------------- scalar functions
+
+_LIT_NULLS = "('None', 'null', 'undefined', '')"
+
+
+@register("nullify_literals", with_ctes(
+    "SELECT account_id, username, "
+    f"CASE WHEN account_id IN {_LIT_NULLS} THEN NULL ELSE account_id END AS account_id_clean, "
+    f"CASE WHEN username IN {_LIT_NULLS} THEN NULL ELSE username END AS username_clean "
+    "FROM profile_raw", "profile_raw"))
+def q_nullify_literals(spark, sf_dir):
+    """Literal 'None'/'null'/'undefined'/'' values become NULL."""
+    df = _t(spark, sf_dir, "profile_raw")
+    return df.select("account_id", "username",
+                     columns.nullify_literals("account_id").alias("account_id_clean"),
+                     columns.nullify_literals("username").alias("username_clean"))
+
+
+@register("text_or_empty", with_ctes(
+    "SELECT account_id, COALESCE(gender, '') AS gender FROM profile_raw", "profile_raw"))
+def q_text_or_empty(spark, sf_dir):
+    """NULL text fields become ''."""
+    df = _t(spark, sf_dir, "profile_raw")
+    return df.select("account_id", columns.text_or_empty("gender").alias("gender"))
+
+
+@register("depth_default", with_ctes(
+    "SELECT account_id, COALESCE(CAST(crawl_depth AS BIGINT), 1) AS crawl_depth FROM profile_raw",
+    "profile_raw"))
+def q_depth_default(spark, sf_dir):
+    """Text crawl depth as an integer, NULL read as 1."""
+    df = _t(spark, sf_dir, "profile_raw")
+    return df.select("account_id", columns.depth_default("crawl_depth").alias("crawl_depth"))
+
+
+@register("flatten_about", with_ctes(
+    "SELECT account_id, turn, CASE WHEN about IS NULL THEN '' "
+    "WHEN ltrim(about) LIKE '[%' AND json_valid(about) "
+    "THEN array_to_string(from_json(about, '[\"VARCHAR\"]'), ' ') "
+    "WHEN ltrim(about) LIKE '{%' AND regexp_matches(about, '^\\s*\\{\\s*\\}\\s*$') THEN '' "
+    "ELSE about END AS about FROM about_raw", "about_raw"))
+def q_flatten_about(spark, sf_dir):
+    """Free-form about values (JSON arrays, objects, text, NULL) as text."""
+    df = _t(spark, sf_dir, "about_raw")
+    return df.select("account_id", "turn", columns.flatten_about("about").alias("about"))
+
+
+_ACC = ("CASE WHEN url IS NOT NULL AND url <> '' THEN split_part(split_part("
+        "string_split(regexp_replace(url, '/+$', ''), '/')["
+        "list_position(string_split(regexp_replace(url, '/+$', ''), '/'), 'en') + 1], '?', 1), '#', 1) END")
+
+
+@register("account_from_url", with_ctes(
+    f"SELECT id, url, {_ACC} AS account_id FROM page_url", "page_url"))
+def q_account_from_url(spark, sf_dir):
+    """Account token after the 'en' path segment of every page URL."""
+    df = _t(spark, sf_dir, "page_url")
+    return df.select("id", "url", columns.account_from_url("url", "en").alias("account_id"))
+
+
+@register("seed_url_valid", with_ctes(
+    "SELECT id, url, COALESCE(url LIKE 'https://%' AND url LIKE '%/', false) AS valid FROM page_url",
+    "page_url"))
+def q_seed_url_valid(spark, sf_dir):
+    """Prefix/suffix URL check over every page URL ('https://' ... '/')."""
+    df = _t(spark, sf_dir, "page_url")
+    ok = F.coalesce(queue_reads.seed_url_valid("url", "https://", "/"), F.lit(False))
+    return df.select("id", "url", ok.alias("valid"))
+
+
+@register("required_fields_ok", with_ctes(
+    "SELECT id, (id IS NOT NULL AND created_at IS NOT NULL AND updated_at IS NOT NULL "
+    "AND url IS NOT NULL AND status IS NOT NULL) AS ok FROM url_queue", "url_queue"))
+def q_required_fields_ok(spark, sf_dir):
+    """Required URL columns (id, stamps, url, status) present per row."""
+    df = _t(spark, sf_dir, "url_queue")
+    return df.select("id", columns.required_fields_ok("urls", df.columns).alias("ok"))
+
+
+@register("split_valid", with_ctes(
+    "SELECT id, 'missing required fields' AS _reject_reason FROM url_queue "
+    "WHERE NOT (id IS NOT NULL AND created_at IS NOT NULL AND updated_at IS NOT NULL "
+    "AND url IS NOT NULL AND status IS NOT NULL)", "url_queue"))
+def q_split_valid(spark, sf_dir):
+    """URL rows rejected by the required-field rule, with the reason."""
+    df = _t(spark, sf_dir, "url_queue")
+    marked = normalize.split_valid(df, {"missing required fields":
+                                        columns.required_fields_ok("urls", df.columns)})
+    return normalize.rejected_rows(marked).select("id", "_reject_reason")
+
+
+@register("json_ready", None)
+def q_json_ready(spark, sf_dir):
+    """Profile rows as JSON text with ISO timestamps (text differs by engine,
+    so only the row count is compared)."""
+    return columns.json_ready(_t(spark, sf_dir, "profile"))
+
+
+# -------------------------------------------------------------------- joins
+
+@register("parent_in", with_ctes(
+    "SELECT id, account_id, parent_account_id FROM url_queue u WHERE u.parent_account_id IS NOT NULL "
+    "AND u.parent_account_id IN (SELECT account_id FROM profile)", "url_queue", "profile"))
+def q_parent_in(spark, sf_dir):
+    """URL rows whose parent account has a profile (semi join)."""
+    urls = _t(spark, sf_dir, "url_queue").select("id", "account_id", "parent_account_id")
+    return joins.parent_in(urls, _t(spark, sf_dir, "profile"))
+
+
+@register("not_exists", with_ctes(
+    "SELECT id, account_id FROM profile p WHERE NOT EXISTS "
+    "(SELECT 1 FROM url_queue u WHERE u.account_id = p.account_id)", "url_queue", "profile"))
+def q_not_exists(spark, sf_dir):
+    """Profiles with no URL row (anti join)."""
+    prof = _t(spark, sf_dir, "profile").select("id", "account_id")
+    return joins.not_exists(prof, _t(spark, sf_dir, "url_queue"), "account_id")
+
+
+@register("key_exists", with_ctes(
+    "SELECT b.account_id, b.url, EXISTS (SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id) "
+    "AS exists FROM (SELECT DISTINCT account_id, url FROM url_batch) b", "url_batch", "url_queue"))
+def q_key_exists(spark, sf_dir):
+    """Each distinct batch account flagged by whether it is already queued."""
+    batch = _t(spark, sf_dir, "url_batch").select("account_id", "url").distinct()
+    return joins.key_exists(batch, _t(spark, sf_dir, "url_queue"), "account_id")

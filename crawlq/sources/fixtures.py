@@ -112,9 +112,45 @@ SELECT CAST(event_id AS STRING) AS id,
  CASE WHEN user_id%10=0 THEN NULL ELSE 'ext_' || CAST(user_id%7 AS STRING) END AS extension_id,
  CASE WHEN user_id%9=0 THEN NULL ELSE user_id*10 END AS current_start
  FROM {events} WHERE event_type='signup'""",
+    # keyword_batch: one keyword request per order (batch_id); a seventh of
+    # the lines name a keyword already queued, some are blank.
+    "keyword_batch": """
+SELECT l_orderkey AS batch_id,
+ CASE WHEN l_partkey%7=0 THEN p_name || ' ' || p_brand WHEN l_linenumber=3 THEN '   '
+      ELSE '  ' || p_name || ' ' END AS keyword
+ FROM {lineitem} JOIN {part} ON p_partkey=l_partkey""",
+    # seed_batch: one seed request per nation; a few URLs are malformed, half
+    # are queued already, the rest repeat per market segment.
+    "seed_batch": """
+SELECT c_nationkey AS batch_id,
+ CASE WHEN c_custkey%97=0 THEN 'http://bad.example/' || c_name
+      WHEN c_custkey%2=0 THEN 'https://host.example/' || c_name || '/followers'
+      ELSE 'https://host.example/' || c_mktsegment || '/followers' END AS url
+ FROM {customer}""",
+    # social_profile: incoming social profiles (flat); Spark puts f1, f2 in
+    # friend_lists.  Literal-null keys and names, text depth, NULL friends.
+    "social_profile": """
+SELECT CASE WHEN c_custkey%31=0 THEN 'undefined' WHEN c_custkey%37=0 THEN ''
+            WHEN c_custkey%2=0 THEN 's' || CAST(c_custkey AS STRING) ELSE CAST(c_custkey AS STRING) END AS account_id,
+ CASE WHEN c_custkey%29=0 THEN 'null' WHEN c_custkey%41=0 THEN NULL ELSE c_name END AS username,
+ CASE WHEN c_custkey%3=0 THEN NULL ELSE c_mktsegment END AS gender,
+ CASE WHEN c_custkey%7=0 THEN NULL ELSE CAST(1+c_custkey%3 AS STRING) END AS crawl_depth,
+ CAST((c_custkey*7)%(SELECT count(*)*2 FROM {customer}) AS STRING) AS f1,
+ CASE WHEN c_custkey%5=0 THEN NULL ELSE CAST((c_custkey*11)%(SELECT count(*)*2 FROM {customer}) AS STRING) END AS f2,
+ c_custkey AS seq
+ FROM {customer}""",
+    # about_raw: free-form "about" values of every JSON kind.
+    "about_raw": """
+SELECT CAST(conv_id AS STRING) AS account_id, turn,
+ CASE turn%6 WHEN 0 THEN NULL WHEN 1 THEN '["' || role || '", ' || CAST(turn AS STRING) || ']'
+      WHEN 2 THEN '{{"role": "' || role || '"}}' WHEN 3 THEN '[]' WHEN 4 THEN '{{}}'
+      ELSE role || ' ' || CAST(conv_id AS STRING) END AS about
+ FROM {conversations}""",
 }
 
-_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+# Adapter text is a format string: {table} names a base table, {{ and }}
+# are literal braces.
+_PLACEHOLDER = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
 def adapter_tables(name: str) -> list[str]:
@@ -134,7 +170,8 @@ def load_adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def adapter_sql(name: str) -> str:
     """The adapter text with plain table names (DuckDB's registered views)."""
-    return _PLACEHOLDER.sub(lambda m: m.group(1), ADAPTERS[name])
+    text = _PLACEHOLDER.sub(lambda m: m.group(1), ADAPTERS[name])
+    return text.replace("{{", "{").replace("}}", "}")
 
 
 def with_ctes(body: str, *names: str, ctes: str = "") -> str:
@@ -143,3 +180,39 @@ def with_ctes(body: str, *names: str, ctes: str = "") -> str:
     if ctes:
         parts.append(ctes.strip())
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+# Group size bound for the array-shaped stand-ins below: rows are grouped by
+# (account, ordinal DIV ARRAY_BUCKET), so no collected array exceeds it.
+ARRAY_BUCKET = 8
+
+
+def social_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming social profiles: the ``social_profile`` adapter with its two
+    friend columns as ``friend_lists`` (a NULL friend stays a NULL item)."""
+    from pyspark.sql import functions as F
+
+    sp = load_adapter(spark, sf_dir, "social_profile")
+    return sp.select("account_id", "username", "gender", "crawl_depth",
+                     F.array("f1", "f2").alias("friend_lists"), "seq")
+
+
+def post_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with ``posts`` arrays built from the ``post`` adapter.
+
+    Posts are grouped by (account, turn DIV ARRAY_BUCKET) and sorted by turn;
+    every seventh turn is a NULL item.  ``account_id`` is
+    ``<account>-<bucket>``.
+    """
+    from pyspark.sql import functions as F
+
+    p = load_adapter(spark, sf_dir, "post")
+    bucket = F.floor(F.col("turn") / ARRAY_BUCKET)
+    item = F.struct("turn", (F.col("turn") % 7 == 6).alias("gap"),
+                    F.struct("content", "time").alias("post"))
+    grouped = (p.groupBy("account_id", bucket.alias("bucket"))
+               .agg(F.array_sort(F.collect_list(item)).alias("items")))
+    posts = F.transform("items", lambda x: F.when(~x["gap"], x["post"]))
+    return grouped.select(
+        F.concat_ws("-", "account_id", F.col("bucket").cast("string")).alias("account_id"),
+        posts.alias("posts"))
