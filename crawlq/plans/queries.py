@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlq.functions import columns
+from crawlq.functions import columns, reports
 from crawlq.operators import frontier, ingest, joins, merge, queue_reads, stats
 from crawlq.plans import normalize
-from crawlq.plans.registry import register
+from crawlq.streaming import stream
+from crawlq.plans.registry import QUERIES, register
 from crawlq.sources.fixtures import (
-    ARRAY_BUCKET, FIXED_NOW_TEXT, HOST_PREFIX, KEYWORD_SUFFIX, SEED_SUFFIX, load_adapter,
+    ADAPTERS, ARRAY_BUCKET, FIXED_NOW_TEXT, HOST_PREFIX, KEYWORD_SUFFIX, SEED_SUFFIX, base_table, load_adapter,
     post_arrays, social_profiles, with_ctes,
 )
 
@@ -798,3 +799,106 @@ def q_key_exists(spark, sf_dir):
     """Each distinct batch account flagged by whether it is already queued."""
     batch = _t(spark, sf_dir, "url_batch").select("account_id", "url").distinct()
     return joins.key_exists(batch, _t(spark, sf_dir, "url_queue"), "account_id")
+
+
+# ------------------------------------------------------------- error reports
+
+def _title_sql(expr: str) -> str:
+    """DuckDB title-casing of space-separated words (Spark's ``initcap``)."""
+    return (f"array_to_string(list_transform(string_split(lower({expr}), ' '), "
+            "lambda w: upper(w[1]) || w[2:]), ' ')")
+
+
+_DETAIL_CTES = """
+base AS (SELECT id, 'error_type' AS key, error_type AS value, 1 AS pos FROM error_report
+         WHERE error_type IS NOT NULL AND error_type <> ''
+         UNION ALL SELECT id, 'url', url, 2 FROM error_report WHERE url IS NOT NULL AND url <> ''),
+ctx AS (SELECT id, k AS key, json_extract_string(additional_context, '$."' || k || '"') AS value,
+               100 + idx AS pos
+        FROM (SELECT id, additional_context, unnest(json_keys(additional_context)) AS k,
+                     generate_subscripts(json_keys(additional_context), 1) AS idx FROM error_report) x),
+details AS (SELECT b.id, b.key, COALESCE(c.value, b.value) AS value, b.pos FROM base b
+            LEFT JOIN ctx c ON b.id = c.id AND b.key = c.key
+            UNION ALL SELECT c.id, c.key, c.value, c.pos FROM ctx c
+            WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = c.id AND b.key = c.key))"""
+
+
+def _error_reports(spark, sf_dir):
+    return _t(spark, sf_dir, "error_report")
+
+
+def _details_col():
+    return reports.error_details("error_type", "url", F.lit(None).cast("string"),
+                                 reports.context_map("additional_context"))
+
+
+@register("error_subject", with_ctes(
+    "SELECT id, title || ' Error' || CASE WHEN platform IS NOT NULL AND platform <> '' "
+    f"THEN ' - ' || {_title_sql('platform')} ELSE '' END || "
+    "CASE WHEN extension_id IS NOT NULL AND extension_id <> '' THEN ' (' || extension_id || ')' "
+    "ELSE '' END AS subject FROM error_report", "error_report"))
+def q_error_subject(spark, sf_dir):
+    """Mail subject of every error report."""
+    df = _error_reports(spark, sf_dir)
+    return df.select("id", reports.error_subject("title", "platform", "extension_id")
+                     .alias("subject"))
+
+
+@register("error_details", with_ctes(
+    "SELECT id, key, value FROM details", "error_report", ctes=_DETAIL_CTES))
+def q_error_details(spark, sf_dir):
+    """Detail entries of every report (error type, url, then the context;
+    context keys override in place)."""
+    df = _error_reports(spark, sf_dir)
+    return df.select("id", F.explode(_details_col()).alias("key", "value"))
+
+
+@register("error_text", with_ctes(
+    "SELECT r.id, r.title || ' Error Report\n' || repeat('=', length(r.title) + 13) || "
+    "'\n\nError Message:\n' || r.error_message || '\n\nDetails:\n--------\nTimestamp: ' || "
+    "strftime(r.reported_at, '%Y-%m-%d %H:%M:%S') || '\n' || "
+    "CASE WHEN r.platform IS NOT NULL AND r.platform <> '' THEN 'Platform: ' || "
+    f"{_title_sql('r.platform')} || '\n' ELSE '' END || "
+    "CASE WHEN r.extension_id IS NOT NULL AND r.extension_id <> '' THEN 'Extension ID: ' || "
+    "r.extension_id || '\n' ELSE '' END || "
+    "CASE WHEN l.lines IS NOT NULL THEN '\nAdditional Information:\n' || repeat('-', 25) || '\n' "
+    "|| l.lines ELSE '' END || "
+    "'\n--\nThis error report was automatically generated by the Extension Error.\n"
+    "Please investigate and resolve the issue as soon as possible.' AS text "
+    "FROM error_report r LEFT JOIN lines l ON r.id = l.id",
+    "error_report",
+    ctes=_DETAIL_CTES + """,
+lines AS (SELECT id, string_agg(""" + _title_sql("replace(key, '_', ' ')") +
+    """ || ': ' || COALESCE(value, 'None') || '\n', '' ORDER BY pos) AS lines
+          FROM details GROUP BY id)"""))
+def q_error_text(spark, sf_dir):
+    """Plain-text body of every error report, stamped with its report time."""
+    df = _error_reports(spark, sf_dir)
+    return df.select("id", reports.error_text("title", "error_message", "extension_id",
+                                              "platform", _details_col(),
+                                              F.col("reported_at")).alias("text"))
+
+
+# ----------------------------------------------------------------- streaming
+
+def _event_stream(spark, sf_dir):
+    events = base_table(spark, sf_dir, "events")
+    return stream.file_stream(spark, sf_dir, events.schema, glob="events.parquet")
+
+
+@register("stream_append", with_ctes("SELECT * FROM error_report", "error_report"))
+def q_stream_append(spark, sf_dir):
+    """Error reports shaped from an event file stream, landed by a streaming
+    query (available-now trigger, checkpointed) and read back."""
+    reports_stream = spark.sql(ADAPTERS["error_report"], events=_event_stream(spark, sf_dir))
+    return stream.stream_append(spark, reports_stream)
+
+
+@register("stream_upsert", QUERIES["patch_status"].oracle)
+def q_stream_upsert(spark, sf_dir):
+    """Status patches arriving as a stream, landed, reduced to the latest
+    arrival per id and merged into url_queue."""
+    patches = spark.sql(ADAPTERS["status_patch"], events=_event_stream(spark, sf_dir))
+    return stream.stream_upsert(
+        spark, _t(spark, sf_dir, "url_queue"), patches,
+        lambda target, p: merge.patch_status(target, p, _now()), key="id")
