@@ -62,9 +62,13 @@ def account_from_url(url: Column | str, marker: str = ACCOUNT_URL_MARKER) -> Col
     return F.when(u.isNotNull() & (u != ""), tok)
 
 
+# Characters Python's ``str.strip()`` removes, derived from ``str.isspace``.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip_text(col: Column | str) -> Column:
     """Python-style ``str.strip()``: leading/trailing Unicode whitespace removed."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(WHITESPACE))
 
 
 def normalize_keyword(col: Column | str, suffix: str) -> Column:

@@ -58,10 +58,11 @@ def distinct_keywords(batch: DataFrame, col: str = "keyword", suffix: str = KEYW
     original text (``original``) and the stored form (``keyword`` = text +
     suffix)."""
     keys = [batch_col] if batch_col else []
-    orig = C.strip_text(col)
-    out = batch.select(*keys, orig.alias("original"),
-                       C.normalize_keyword(col, suffix).alias("keyword"))
-    return out.filter(F.col("keyword").isNotNull()).dropDuplicates([*keys, "original"])
+    # distinct() over key columns only: a hash aggregate with map-side
+    # combine; the stored form is derived after it.
+    orig = batch.select(*keys, C.strip_text(col).alias("original"))
+    uniq = orig.filter(F.col("original") != "").distinct()
+    return uniq.withColumn("keyword", F.concat(F.col("original"), F.lit(suffix)))
 
 
 def keyword_conflicts(batch: DataFrame, queue: DataFrame, col: str = "keyword",
@@ -101,8 +102,13 @@ def create_keywords(batch: DataFrame, queue: DataFrame, col: str = "keyword",
     counts = flagged.groupBy(b).agg(F.count_if(F.col("exists")).alias("_bad"))
     single = batch_col is None
     fresh = _keep_batches(flagged, counts, b, single).select("keyword")
-    rows = N.normalize_keyword_rows(fresh, now, id_expr)
-    merged = merge.insert_if_absent(queue, rows, "keyword", broadcast_max_rows=broadcast_max_rows)
+    rows = merge.cast_like(N.normalize_keyword_rows(fresh, now, id_expr), queue.schema)
+    # Kept batches hold no queued keyword (that is what kept them), so the
+    # insert-if-absent anti join would pass every row: append them directly.
+    merged = (queue.withColumn(ACTION_COL, F.lit(merge.KEEP))
+              .unionByName(rows.select(*[c for c in rows.columns if c in queue.columns])
+                           .withColumn(ACTION_COL, F.lit(merge.INSERT)),
+                           allowMissingColumns=True))
     rejected = (_drop_batches(flagged, counts, b, single)
                 .select("keyword", F.lit(merge.REJECT).alias(ACTION_COL)))
     return merged.unionByName(rejected, allowMissingColumns=True)

@@ -23,7 +23,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, MapType, StructType
+from pyspark.sql.types import (
+    ArrayType, BinaryType, DataType, DecimalType, MapType, StringType, StructType,
+)
 
 from crawlq.constants import ACTION_COL, BROADCAST_MAX_ROWS, PROCESSING, REASON_COL
 
@@ -116,16 +118,28 @@ def unique_or_raise(df: DataFrame, key: str) -> DataFrame:
     return agg.select(key, checked.alias("_row")).select(key, "_row.*")
 
 
+def _width(c: str, t: DataType) -> Column:
+    """Bytes a value takes, roughly: text and binary by length, nested values
+    by their JSON text, fixed-width types by their size."""
+    if isinstance(t, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+    if isinstance(t, (StructType, ArrayType, MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.col(c))), F.lit(0))
+    return F.lit(16 if isinstance(t, DecimalType) else 8)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
              max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """Bounded size check: at most ``max_rows`` rows and ``max_bytes`` of JSON.
+    """Bounded size check: at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     Runs one job over at most ``max_rows + 1`` rows; returns two scalars.
     """
+    if max_rows <= 0:
+        return False
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
     probe = df.limit(max_rows + 1).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))),
-                   F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(width), F.lit(0)).alias("bytes"),
     ).first()
     return probe["rows"] <= max_rows and probe["bytes"] <= max_bytes
 

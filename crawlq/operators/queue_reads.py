@@ -24,9 +24,16 @@ from crawlq.constants import (
     RESUME_PRIORITY_NULL, RESUME_PRIORITY_OTHER, SKIPPED,
 )
 
-_status = F.col("status")
-_owner = F.col("extension_id")
-_created = F.col("created_at")
+def _status() -> Column:
+    return F.col("status")
+
+
+def _owner() -> Column:
+    return F.col("extension_id")
+
+
+def _created() -> Column:
+    return F.col("created_at")
 
 
 def check_bounds(limit: int, offset: int = 0, bounds: tuple[int, int] = (100, 1000)) -> None:
@@ -50,7 +57,7 @@ def top_k(df: DataFrame, keys: Iterable[Column], limit: int, offset: int = 0) ->
 
 
 def _unowned() -> Column:
-    return _owner.isNull() | (_owner == "")
+    return _owner().isNull() | (_owner() == "")
 
 
 def _lit(v) -> Column:
@@ -70,8 +77,8 @@ def queue_pending_unowned(df: DataFrame, limit: int = LIMIT_KEYWORDS[0]) -> Data
     Keyword queues do not read NULL status as pending.
     """
     check_bounds(limit, 0, LIMIT_KEYWORDS)
-    rows = df.filter((_status == PENDING) & _unowned())
-    return _keyword_out(top_k(rows, [_created.asc_nulls_first()], limit))
+    rows = df.filter((_status() == PENDING) & _unowned())
+    return _keyword_out(top_k(rows, [_created().asc_nulls_first()], limit))
 
 
 def queue_pending_or_owned(df: DataFrame, owner: str | Column,
@@ -83,10 +90,10 @@ def queue_pending_or_owned(df: DataFrame, owner: str | Column,
     """
     check_bounds(limit, 0, LIMIT_KEYWORDS)
     me = _lit(owner)
-    rows = df.filter(((_status == PROCESSING) & (_owner == me))
-                     | ((_status == PENDING) & _unowned()))
-    rank = F.when(_status == PROCESSING, 1).otherwise(2)
-    return _keyword_out(top_k(rows, [rank, _created.asc_nulls_first()], limit))
+    rows = df.filter(((_status() == PROCESSING) & (_owner() == me))
+                     | ((_status() == PENDING) & _unowned()))
+    rank = F.when(_status() == PROCESSING, 1).otherwise(2)
+    return _keyword_out(top_k(rows, [rank, _created().asc_nulls_first()], limit))
 
 
 def seed_pending(df: DataFrame, owner: str | Column,
@@ -95,10 +102,10 @@ def seed_pending(df: DataFrame, owner: str | Column,
     processing by this owner; the owner's own rows first, then oldest."""
     check_bounds(limit, 0, LIMIT_SEEDS_PENDING)
     me = _lit(owner)
-    mine = (_status == PROCESSING) & (_owner == me)
-    rows = df.filter((_status == PENDING) | _status.isNull() | mine)
+    mine = (_status() == PROCESSING) & (_owner() == me)
+    rows = df.filter((_status() == PENDING) | _status().isNull() | mine)
     rank = F.when(mine, 0).otherwise(1)
-    return top_k(rows, [rank, _created.asc_nulls_first()], limit).select(
+    return top_k(rows, [rank, _created().asc_nulls_first()], limit).select(
         "id", "url", "max_profiles", "status", "extension_id")
 
 
@@ -106,8 +113,8 @@ def seed_page(df: DataFrame, status: str | None = None, limit: int = LIMIT_SEEDS
               offset: int = 0) -> DataFrame:
     """One page of seeds, newest first, optionally of one status."""
     check_bounds(limit, offset, LIMIT_SEEDS_PAGE)
-    rows = df.filter(_status == status) if status else df
-    return top_k(rows, [_created.desc_nulls_last()], limit, offset).select(
+    rows = df.filter(_status() == status) if status else df
+    return top_k(rows, [_created().desc_nulls_last()], limit, offset).select(
         "id", "url", "max_profiles", "status", "extension_id", "created_at", "updated_at")
 
 
@@ -125,7 +132,7 @@ def _url_filters(depth, seed) -> Column:
 
 
 def _url_read(rows: DataFrame, limit: int) -> DataFrame:
-    keys = [F.col("crawl_depth").asc_nulls_first(), _created.asc_nulls_first()]
+    keys = [F.col("crawl_depth").asc_nulls_first(), _created().asc_nulls_first()]
     return top_k(rows, keys, limit).select(*_URL_OUT)
 
 
@@ -134,7 +141,7 @@ def url_pending(df: DataFrame, depth: int | None = None, seed: str | None = None
     """Pending (or NULL status) URLs, optional depth / seed filters, by
     depth then age.  The filters bind to every row (intended grouping)."""
     check_bounds(limit, 0, LIMIT_URLS)
-    rows = df.filter(((_status == PENDING) | _status.isNull()) & _url_filters(depth, seed))
+    rows = df.filter(((_status() == PENDING) | _status().isNull()) & _url_filters(depth, seed))
     return _url_read(rows, limit)
 
 
@@ -145,12 +152,13 @@ def url_pending_as_written(df: DataFrame, depth: int | None = None,
     ``status = 'pending' OR (status IS NULL AND depth AND seed)``, so the
     depth and seed filters only restrict the NULL-status rows."""
     check_bounds(limit, 0, LIMIT_URLS)
-    rows = df.filter((_status == PENDING) | (_status.isNull() & _url_filters(depth, seed)))
+    rows = df.filter((_status() == PENDING) | (_status().isNull() & _url_filters(depth, seed)))
     return _url_read(rows, limit)
 
 
-def resume_rank(status: Column = _status) -> Column:
+def resume_rank(status: Column | None = None) -> Column:
     """Processing 0, failed 1, skipped 2, pending or NULL 3, other 4."""
+    status = _status() if status is None else status
     rank = F.when(status.isNull(), F.lit(RESUME_PRIORITY_NULL))
     for value, prio in RESUME_PRIORITY:
         rank = rank.when(status == value, F.lit(prio))
@@ -162,9 +170,9 @@ def url_resumable(df: DataFrame, depth: int | None = None, seed: str | None = No
     """URLs to resume (pending, processing, failed, skipped or NULL), by
     depth, then resume priority, then age."""
     check_bounds(limit, 0, LIMIT_URLS)
-    resumable = _status.isin(PENDING, PROCESSING, FAILED, SKIPPED) | _status.isNull()
+    resumable = _status().isin(PENDING, PROCESSING, FAILED, SKIPPED) | _status().isNull()
     rows = df.filter(resumable & _url_filters(depth, seed))
-    keys = [F.col("crawl_depth").asc_nulls_first(), resume_rank(), _created.asc_nulls_first()]
+    keys = [F.col("crawl_depth").asc_nulls_first(), resume_rank(), _created().asc_nulls_first()]
     return top_k(rows, keys, limit).select(*_URL_OUT, "status")
 
 
@@ -172,7 +180,7 @@ def urls_by_keyword(df: DataFrame, keyword_id: str | Column,
                     key_col: str = "keyword_id") -> DataFrame:
     """All URLs found for one keyword, oldest first (no limit)."""
     return (df.filter(F.col(key_col) == _lit(keyword_id))
-            .orderBy(_created.asc_nulls_first(), F.col("id").asc_nulls_first())
+            .orderBy(_created().asc_nulls_first(), F.col("id").asc_nulls_first())
             .select("id", "url", "status", F.col(key_col).alias("keyword_id")))
 
 
