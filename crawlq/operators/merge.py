@@ -197,7 +197,8 @@ def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool) -> Dat
 def upsert(target: DataFrame, source: DataFrame, key: str, *,
            keep_on_null: Sequence[str] = (), on_missing: str = "insert",
            on_duplicate: str = "error", order: str | Column | None = None,
-           broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+           broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+           source_small: bool | None = None) -> DataFrame:
     """M1: update matched rows, insert the others.
 
     * NULL source keys are dropped (count them with :func:`null_key_count`).
@@ -211,14 +212,18 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
     * Duplicate source keys: ``error`` (default), ``latest``/``first`` by
       ``order``, or ``allow``.
     * A source with only the key column inserts new keys only (M2).
+    * ``source_small`` skips the size probe when the caller knows the answer
+      (the probe recomputes the source once, which matters when the source
+      is itself an expensive derived DataFrame).
     """
     carry = [order] if isinstance(order, str) else []
     src = _dedupe(_prepare_source(source, target, key, carry=carry), key, on_duplicate, order)
     src = src.drop(*[c for c in carry if c not in target.columns])
     updates = [c for c in src.columns if c != key]
     if not updates:
-        return insert_key_only(target, src, key, broadcast_max_rows=broadcast_max_rows)
-    small = is_small(src, broadcast_max_rows)
+        return insert_key_only(target, src, key, broadcast_max_rows=broadcast_max_rows,
+                               source_small=source_small)
+    small = is_small(src, broadcast_max_rows) if source_small is None else source_small
     s = src.select(key, *[F.col(c).alias(_S + c) for c in updates], F.lit(True).alias(_S_HIT))
     t = target.withColumn(_T_HIT, F.lit(True))
     if small:
@@ -250,10 +255,11 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
 
 
 def insert_key_only(target: DataFrame, source: DataFrame, key: str, *,
-                    broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                    source_small: bool | None = None) -> DataFrame:
     """M2: the source has only the key: insert unmatched keys, update nothing."""
     src = drop_null_keys(source.select(key), key).dropDuplicates([key])
-    small = is_small(src, broadcast_max_rows)
+    small = is_small(src, broadcast_max_rows) if source_small is None else source_small
     fresh = anti_target(src, target, key, small)
     return (target.withColumn(ACTION_COL, F.lit(KEEP))
             .unionByName(fresh.withColumn(ACTION_COL, F.lit(INSERT)), allowMissingColumns=True))
@@ -262,7 +268,8 @@ def insert_key_only(target: DataFrame, source: DataFrame, key: str, *,
 def insert_if_absent(target: DataFrame, source: DataFrame, key: str, *,
                      dedupe: bool = False, keep_null_keys: bool = False,
                      order: str | Column | None = None,
-                     broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                     broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                     source_small: bool | None = None) -> DataFrame:
     """M3-M5: insert source rows whose key is not in the target; skip the rest.
 
     * NULL keys are dropped, or with ``keep_null_keys`` always inserted (NULL
@@ -280,7 +287,7 @@ def insert_if_absent(target: DataFrame, source: DataFrame, key: str, *,
         nulls = src.filter(F.col(key).isNull())
         src = keyed.unionByName(nulls) if keep_null_keys else keyed
     src = src.drop(*[c for c in carry if c not in target.columns])
-    small = is_small(src, broadcast_max_rows)
+    small = is_small(src, broadcast_max_rows) if source_small is None else source_small
     fresh = anti_target(src, target, key, small)
     return (target.withColumn(ACTION_COL, F.lit(KEEP))
             .unionByName(fresh.withColumn(ACTION_COL, F.lit(INSERT)), allowMissingColumns=True))

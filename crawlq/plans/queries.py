@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    LongType, StringType, StructField, StructType, TimestampNTZType,
+)
 
 from crawlq.functions import columns, reports
 from crawlq.operators import frontier, ingest, joins, merge, queue_reads, stats
 from crawlq.plans import normalize
+from crawlq.sources import tables
+from crawlq.sources.schemas import table_schema
 from crawlq.streaming import stream
 from crawlq.plans.registry import QUERIES, register
 from crawlq.sources.fixtures import (
@@ -902,3 +907,128 @@ def q_stream_upsert(spark, sf_dir):
     return stream.stream_upsert(
         spark, _t(spark, sf_dir, "url_queue"), patches,
         lambda target, p: merge.patch_status(target, p, _now()), key="id")
+
+
+# ----------------------------------------------------------- sources / sinks
+
+@register("scan", "SELECT o_orderkey, o_orderstatus FROM orders")
+def q_scan(spark, sf_dir):
+    """Declared-schema scan of a parquet table with a column list."""
+    schema = StructType([StructField("o_orderkey", LongType()),
+                         StructField("o_orderstatus", StringType()),
+                         StructField("o_orderdate", TimestampNTZType())])
+    return tables.scan(spark, f"{sf_dir}/orders.parquet", schema, ["o_orderkey", "o_orderstatus"])
+
+
+@register("load_flat", with_ctes(
+    "SELECT id, account_id, url, source_type, status, created_at, updated_at FROM url_batch",
+    "url_batch"))
+def q_load_flat(spark, sf_dir):
+    """Flat batch load keeping the URL-table columns (batch-only ones dropped)."""
+    cols = [f.name for f in table_schema("social", "urls").fields]
+    return tables.load_flat(_t(spark, sf_dir, "url_batch"), cols)
+
+
+@register("load_nested", with_ctes(
+    "SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS account_id, "
+    "CAST(NULL AS STRING) AS url, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS status, "
+    "1 + o_orderkey % 3 AS crawl_depth FROM orders", "url_json"))
+def q_load_nested(spark, sf_dir):
+    """JSON rows parsed under the declared URL schema: unknown fields ignored,
+    missing ones NULL."""
+    out = tables.load_nested(_t(spark, sf_dir, "url_json"), table_schema("social", "urls"))
+    return out.select("id", "account_id", "url", "status", "crawl_depth")
+
+
+@register("allowed_patch", with_ctes(
+    "SELECT id, extension_id FROM owner_patch", "owner_patch"))
+def q_allowed_patch(spark, sf_dir):
+    """Update payload reduced to the key and the allowed columns."""
+    return queue_reads.allowed_patch(_t(spark, sf_dir, "owner_patch"), ("extension_id", "status"))
+
+
+@register("merge_match", with_ctes(
+    "SELECT u.id FROM url_queue u WHERE u.id IN (SELECT id FROM status_patch)",
+    "url_queue", "status_patch"))
+def q_merge_match(spark, sf_dir):
+    """Target keys matched by a merge source (NULL never matches)."""
+    patch = _t(spark, sf_dir, "status_patch")
+    return merge.matched_keys(_t(spark, sf_dir, "url_queue").select("id"), patch, "id",
+                              small=merge.is_small(patch))
+
+
+@register("drop_null_keys", with_ctes(
+    "SELECT count(*) FILTER (WHERE account_id IS NULL) AS n FROM profile_patch", "profile_patch"))
+def q_drop_null_keys(spark, sf_dir):
+    """Number of merge-source rows dropped for a NULL key."""
+    return merge.null_key_count(_t(spark, sf_dir, "profile_patch"), "account_id")
+
+
+@register("insert_if_absent_sequential", with_ctes(
+    f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
+    f"UNION ALL SELECT {_null_cols(_URLQ, _BATCH_GIVEN)}, 'insert' FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS rn FROM b2) b "
+    "WHERE (b.rn = 1 OR b.account_id IS NULL) AND NOT EXISTS "
+    "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)",
+    "url_queue", "url_batch",
+    ctes="b2 AS (SELECT id, CASE WHEN seq % 13 = 0 THEN NULL ELSE account_id END AS account_id, url, "
+         "source_type, status, seq, created_at, updated_at FROM url_batch)"))
+def q_insert_if_absent_sequential(spark, sf_dir):
+    """Row-by-row insert rule: first row per new key wins, NULL keys always go in."""
+    b = _t(spark, sf_dir, "url_batch").withColumn(
+        "account_id", F.when(F.col("seq") % 13 == 0, F.lit(None)).otherwise(F.col("account_id")))
+    return merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), b, "account_id",
+                                  dedupe=True, keep_null_keys=True, order="seq")
+
+
+@register("insert_if_absent_bulk", with_ctes(
+    f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
+    f"UNION ALL SELECT {_null_cols(_URLQ, _BATCH_GIVEN)}, 'insert' FROM b2 b "
+    "WHERE NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)",
+    "url_queue", "url_batch",
+    ctes="b2 AS (SELECT id, CASE WHEN seq % 13 = 0 THEN NULL ELSE account_id END AS account_id, url, "
+         "source_type, status, seq, created_at, updated_at FROM url_batch)"))
+def q_insert_if_absent_bulk(spark, sf_dir):
+    """One-statement insert rule: NULL keys and in-batch repeats all go in."""
+    b = _t(spark, sf_dir, "url_batch").withColumn(
+        "account_id", F.when(F.col("seq") % 13 == 0, F.lit(None)).otherwise(F.col("account_id")))
+    return merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), b, "account_id",
+                                  keep_null_keys=True)
+
+
+_ISO = ("strftime(created_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microseconds', created_at) "
+        "% 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(date_part('microseconds', created_at) % 1000000 "
+        "AS VARCHAR), 6, '0') END || '+00:00'")
+
+
+@register("iso_format", with_ctes(f"SELECT id, {_ISO} AS created_at FROM url_queue", "url_queue"))
+def q_iso_format(spark, sf_dir):
+    """Creation stamps as ISO-8601 text."""
+    df = _t(spark, sf_dir, "url_queue")
+    return df.select("id", columns.iso_format("created_at").alias("created_at"))
+
+
+@register("transform_and_validate", with_ctes(
+    "SELECT id, account_id, url, CASE WHEN status IS NULL THEN 'missing required fields' END "
+    "AS _reject_reason FROM b2", "url_batch",
+    ctes="b2 AS (SELECT id, account_id, url, CASE WHEN seq % 17 = 0 THEN NULL ELSE status END AS status "
+         "FROM url_batch)"))
+def q_transform_and_validate(spark, sf_dir):
+    """URL rows through the table's normaliser, then the required-field check."""
+    b = _t(spark, sf_dir, "url_batch").select(
+        "id", "account_id", "url",
+        F.when(F.col("seq") % 17 == 0, F.lit(None)).otherwise(F.col("status")).alias("status"))
+    out = normalize.transform_and_validate(b, "social", "urls", _now())
+    return out.select("id", "account_id", "url", "_reject_reason")
+
+
+@register("ingest_profile_pro_batch", QUERIES["ingest_profile_pro"].oracle)
+def q_ingest_profile_pro_batch(spark, sf_dir):
+    """Professional profiles appended as a batch (no key check); one row per
+    post of the appended profiles."""
+    target = _t(spark, sf_dir, "profile").withColumn(
+        "posts", F.lit(None).cast("array<struct<content:string,time:string>>"))
+    out = ingest.ingest_profile_pro(post_arrays(spark, sf_dir), target, mode="batch", now=_now())
+    ins = out.filter(F.col("_action") == "insert")
+    return ins.select("account_id", "_action", F.explode("posts").alias("p")).select(
+        "account_id", "p.content", "p.time", "_action")

@@ -146,6 +146,13 @@ SELECT CAST(conv_id AS STRING) AS account_id, turn,
       WHEN 2 THEN '{{"role": "' || role || '"}}' WHEN 3 THEN '[]' WHEN 4 THEN '{{}}'
       ELSE role || ' ' || CAST(conv_id AS STRING) END AS about
  FROM {conversations}""",
+    # url_json: URL rows as JSON text with an unknown field, one field
+    # missing and NULL values, for the declared-schema load.
+    "url_json": """
+SELECT '{{"id": "' || CAST(o_orderkey AS STRING) || '", "account_id": "' || CAST(o_custkey AS STRING)
+ || '", "status": ' || CASE WHEN o_orderkey%11=0 THEN 'null' ELSE '"' || o_orderstatus || '"' END
+ || ', "crawl_depth": ' || CAST(1+o_orderkey%3 AS STRING) || ', "junk": [1, 2]}}' AS value
+ FROM {orders}""",
 }
 
 # Adapter text is a format string: {table} names a base table, {{ and }}
