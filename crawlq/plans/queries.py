@@ -17,6 +17,7 @@ from crawlq.operators import frontier, ingest, joins, merge, queue_reads, stats
 from crawlq.plans import normalize
 from crawlq.sources import tables
 from crawlq.sources.schemas import table_schema
+from crawlq.session import ensure_checkpoint_dir
 from crawlq.streaming import stream
 from crawlq.plans.registry import QUERIES, register
 from crawlq.sources.fixtures import (
@@ -887,6 +888,9 @@ def q_error_text(spark, sf_dir):
 # ----------------------------------------------------------------- streaming
 
 def _event_stream(spark, sf_dir):
+    # Registered queries run in test harnesses: fall back to a scratch
+    # checkpoint folder only when the session names none.
+    ensure_checkpoint_dir(spark)
     events = base_table(spark, sf_dir, "events")
     return stream.file_stream(spark, sf_dir, events.schema, glob="events.parquet")
 
