@@ -69,7 +69,7 @@ def expand_frontier(profiles: DataFrame, url_queue: DataFrame, *,
                     dedupe: bool = False, order: str | None = None,
                     now: Column | None = None, id_expr: Column | None = None,
                     edges: bool = False,
-                    broadcast_max_rows: int = merge.BROADCAST_MAX_ROWS) -> DataFrame:
+                    broadcast_max_rows: int | None = None) -> DataFrame:
     """G1: new URL rows for the friends of ``profiles``.
 
     Per friend: account_id = friend id, url = ``url_base`` + id, parent =

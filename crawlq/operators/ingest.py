@@ -88,7 +88,7 @@ def keyword_conflicts(batch: DataFrame, queue: DataFrame, col: str = "keyword",
 def create_keywords(batch: DataFrame, queue: DataFrame, col: str = "keyword",
                     suffix: str = KEYWORD_SITE_SUFFIX, batch_col: str | None = None,
                     now: Column | None = None, id_expr: Column | None = None,
-                    broadcast_max_rows: int = merge.BROADCAST_MAX_ROWS) -> DataFrame:
+                    broadcast_max_rows: int | None = None) -> DataFrame:
     """Strip, drop blanks, de-duplicate, add the suffix, reject every
     batch holding a keyword that already exists, fill defaults (id, pending,
     start 0, stamps) and insert the rest if absent (key ``keyword``).
@@ -120,7 +120,7 @@ def create_seeds(batch: DataFrame, queue: DataFrame, col: str = "url",
                  prefix: str = SEED_URL_PREFIX, suffix: str = SEED_URL_SUFFIX,
                  check: bool = True, v1: bool = False, batch_col: str | None = None,
                  now: Column | None = None, id_expr: Column | None = None,
-                 broadcast_max_rows: int = merge.BROADCAST_MAX_ROWS) -> DataFrame:
+                 broadcast_max_rows: int | None = None) -> DataFrame:
     """Seed URLs; with ``check`` every URL of a batch must start with
     ``prefix`` and end with ``suffix`` or the whole batch is rejected (v1
     routes skip the check).  Defaults: id, pending, max_profiles 100 (not
@@ -149,7 +149,7 @@ def create_seeds(batch: DataFrame, queue: DataFrame, col: str = "url",
 
 def enqueue_urls(batch: DataFrame, queue: DataFrame, platform: str = "social",
                  marker: str = "in", now: Column | None = None, id_expr: Column | None = None,
-                 broadcast_max_rows: int = merge.BROADCAST_MAX_ROWS) -> DataFrame:
+                 broadcast_max_rows: int | None = None) -> DataFrame:
     """URL rows get defaults (first platform: account_id derived from the
     URL when the column is absent), then are inserted if the account is not
     queued yet; repeats in the batch all go in."""
@@ -161,7 +161,7 @@ def enqueue_urls(batch: DataFrame, queue: DataFrame, platform: str = "social",
 
 def ingest_profile_pro(batch: DataFrame, profiles: DataFrame, mode: str = "single",
                        now: Column | None = None, id_expr: Column | None = None,
-                       broadcast_max_rows: int = merge.BROADCAST_MAX_ROWS) -> DataFrame:
+                       broadcast_max_rows: int | None = None) -> DataFrame:
     """First-platform profiles.  ``single``: normalise (P1) and upsert by
     account_id.  ``batch``: normalise and append (duplicates allowed)."""
     rows = N.normalize_profile_pro(batch, now, id_expr)
@@ -191,7 +191,7 @@ def ingest_profile_social(batch: DataFrame, profiles: DataFrame, url_queue: Data
                           mode: str = "single", max_depth: int = MAX_CRAWL_DEPTH,
                           url_base: str = FRIEND_URL_BASE, now: Column | None = None,
                           id_expr: Column | None = None,
-                          broadcast_max_rows: int = merge.BROADCAST_MAX_ROWS
+                          broadcast_max_rows: int | None = None
                           ) -> tuple[DataFrame, DataFrame]:
     """Second-platform profiles and their friends' URLs.
 

@@ -33,6 +33,8 @@ KEEP, UPDATE, INSERT, REJECT = "keep", "update", "insert", "reject"
 
 # Serialized size under which a source counts as small, besides the row bound.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+CONF_MAX_ROWS = "crawlq.merge.broadcastMaxRows"
+CONF_MAX_BYTES = "crawlq.merge.broadcastMaxBytes"
 
 _S = "_s_"  # prefix of source columns inside a merge
 _T_HIT, _S_HIT = "_t_hit", "_s_hit"
@@ -128,12 +130,29 @@ def _width(c: str, t: DataType) -> Column:
     return F.lit(16 if isinstance(t, DecimalType) else 8)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-             max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+def broadcast_limits(spark) -> tuple[int, int]:
+    """Row and byte bounds for broadcasting a merge source.
+
+    Read from the session (``crawlq.merge.broadcastMaxRows`` /
+    ``crawlq.merge.broadcastMaxBytes``) so a deployment can size them to its
+    executors; the library defaults apply when unset.  0 rows disables
+    broadcasting.
+    """
+    rows = int(spark.conf.get(CONF_MAX_ROWS, str(BROADCAST_MAX_ROWS)))
+    nbytes = int(spark.conf.get(CONF_MAX_BYTES, str(BROADCAST_MAX_BYTES)))
+    return rows, nbytes
+
+
+def is_small(df: DataFrame, max_rows: int | None = None,
+             max_bytes: int | None = None) -> bool:
     """Bounded size check: at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     Runs one job over at most ``max_rows + 1`` rows; returns two scalars.
+    Unset bounds come from :func:`broadcast_limits`.
     """
+    conf_rows, conf_bytes = broadcast_limits(df.sparkSession)
+    max_rows = conf_rows if max_rows is None else max_rows
+    max_bytes = conf_bytes if max_bytes is None else max_bytes
     if max_rows <= 0:
         return False
     width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
@@ -178,7 +197,8 @@ def matched_keys(target: DataFrame, source_keys: DataFrame, key: str, small: boo
     return target.select(key).join(probe, key, "left_semi")
 
 
-def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool) -> DataFrame:
+def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool,
+                unique: bool = False) -> DataFrame:
     """C4 for merges: source rows whose key is absent from the target.
 
     NULL keys never match and are kept.  A small source is checked against
@@ -187,7 +207,8 @@ def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool) -> Dat
     target's key column.
     """
     if small:
-        hits = matched_keys(target, src.select(key).dropDuplicates([key]), key, True)
+        keys = src.select(key) if unique else src.select(key).dropDuplicates([key])
+        hits = matched_keys(target, keys, key, True)
         return src.join(F.broadcast(hits.dropDuplicates([key])), key, "left_anti")
     return src.join(target.select(key), key, "left_anti")
 
@@ -197,7 +218,7 @@ def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool) -> Dat
 def upsert(target: DataFrame, source: DataFrame, key: str, *,
            keep_on_null: Sequence[str] = (), on_missing: str = "insert",
            on_duplicate: str = "error", order: str | Column | None = None,
-           broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+           broadcast_max_rows: int | None = None,
            source_small: bool | None = None) -> DataFrame:
     """M1: update matched rows, insert the others.
 
@@ -228,7 +249,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
     t = target.withColumn(_T_HIT, F.lit(True))
     if small:
         kept = t.join(F.broadcast(s), key, "left")
-        fresh = anti_target(s, target, key, True)
+        fresh = anti_target(s, target, key, True, unique=on_duplicate != "allow")
         fresh = fresh.select(
             key, *[F.lit(None).cast(target.schema[c].dataType).alias(c)
                    for c in target.columns if c != key],
@@ -255,7 +276,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
 
 
 def insert_key_only(target: DataFrame, source: DataFrame, key: str, *,
-                    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                    broadcast_max_rows: int | None = None,
                     source_small: bool | None = None) -> DataFrame:
     """M2: the source has only the key: insert unmatched keys, update nothing."""
     src = drop_null_keys(source.select(key), key).dropDuplicates([key])
@@ -268,7 +289,7 @@ def insert_key_only(target: DataFrame, source: DataFrame, key: str, *,
 def insert_if_absent(target: DataFrame, source: DataFrame, key: str, *,
                      dedupe: bool = False, keep_null_keys: bool = False,
                      order: str | Column | None = None,
-                     broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                     broadcast_max_rows: int | None = None,
                      source_small: bool | None = None) -> DataFrame:
     """M3-M5: insert source rows whose key is not in the target; skip the rest.
 
@@ -330,7 +351,7 @@ def _stamp(now: Column | None) -> Column:
 
 def patch_status(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                  key: str = "id", extra: Sequence[str] = (), on_missing: str = "reject",
-                 broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                 broadcast_max_rows: int | None = None) -> DataFrame:
     """M7: set ``status`` (and allowed ``extra`` columns) by id.
 
     Rows moving to ``processing`` also get ``processed_at = now``; rows moving
@@ -351,7 +372,7 @@ def patch_status(target: DataFrame, patch: DataFrame, now: Column | None = None,
 
 def claim_owner(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                 key: str = "id", on_missing: str = "reject",
-                broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                broadcast_max_rows: int | None = None) -> DataFrame:
     """M8: set ``extension_id`` and ``updated_at``; id and owner are required."""
     good, bad = split_required(patch.select(key, "extension_id"), [key, "extension_id"])
     p = good.select(key, "extension_id", _stamp(now).alias("updated_at"))
@@ -361,7 +382,7 @@ def claim_owner(target: DataFrame, patch: DataFrame, now: Column | None = None,
 
 def claim_processing(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                      key: str = "id", on_missing: str = "reject",
-                     broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                     broadcast_max_rows: int | None = None) -> DataFrame:
     """M9: status ``processing``, owner, ``processed_at`` and ``updated_at`` at once."""
     good, bad = split_required(patch.select(key, "extension_id"), [key, "extension_id"])
     ts = _stamp(now)
@@ -373,7 +394,7 @@ def claim_processing(target: DataFrame, patch: DataFrame, now: Column | None = N
 
 def advance_cursor(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                    key: str = "id", cursor: str = "start", on_missing: str = "reject",
-                   broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   broadcast_max_rows: int | None = None) -> DataFrame:
     """Set the integer paging cursor (0 allowed, NULL rejected) and ``updated_at``."""
     pt = patch.select(key, F.col(cursor).alias("start"))
     ok = F.col(key).isNotNull() & (F.col(key) != "") & F.col("start").isNotNull()
