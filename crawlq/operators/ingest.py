@@ -4,8 +4,11 @@ An ingest call of the original service takes one request payload.  Here a
 call takes a DataFrame that may hold many requests at once, told apart by a
 ``batch`` column; decisions the service makes per request ("any conflict
 rejects the whole request") are made per batch with an aggregate and a
-join, never by collecting rows.  Without a ``batch`` column the whole
-DataFrame is one request; its verdict is a scalar subquery.
+join, never by collecting rows.  The per-request verdicts (one row per
+request) are broadcast when their size is proven small and materialised
+otherwise, so a request holding a third of all rows is split by AQE rather
+than landing in one task.  Without a ``batch`` column the whole DataFrame
+is one request; its verdict is a scalar subquery.
 
 All batches of one call are checked against the same queue snapshot, as
 concurrent requests would be.
@@ -40,14 +43,14 @@ def _keep_batches(rows: DataFrame, bad_counts: DataFrame, batch: str, single: bo
         # One request: its verdict is one scalar, evaluated once as a subquery.
         return rows.filter(bad_counts.select(F.max("_bad")).scalar() == 0)
     good = bad_counts.filter(F.col("_bad") == 0).select(batch)
-    return rows.join(good, batch, "left_semi")
+    return rows.join(merge.join_side(good), batch, "left_semi")
 
 
 def _drop_batches(rows: DataFrame, bad_counts: DataFrame, batch: str, single: bool) -> DataFrame:
     if single:
         return rows.filter(bad_counts.select(F.max("_bad")).scalar() > 0)
     bad = bad_counts.filter(F.col("_bad") > 0).select(batch)
-    return rows.join(bad, batch, "left_semi")
+    return rows.join(merge.join_side(bad), batch, "left_semi")
 
 
 # ------------------------------------------------------------------ keywords

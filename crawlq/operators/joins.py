@@ -1,10 +1,10 @@
 """Join operators over the URL queue and the profile table.
 
-All joins are equi-joins on one key.  None of them forces a broadcast: the
-sides are data-sized, so the choice is left to the optimizer and AQE, which
-broadcasts a side only when its measured size is under the threshold and
-otherwise shuffles both sides on the key (skewed keys are split by AQE's
-skew-join handling).
+All joins are equi-joins on one key.  The read joins force no broadcast:
+both sides are plain shuffles, so the optimizer and AQE choose (a side is
+broadcast only when its measured size is under the threshold; otherwise both
+sides shuffle on the key and AQE splits skewed partitions).  The batch probe
+(:func:`key_exists`) broadcasts only a size-checked side.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlq.constants import COMPLETED
+from crawlq.operators import merge
 
 _LINEAGE_COLS = ("account_id", "parent_account_id", "crawl_depth", "seed_url_id")
 
@@ -37,15 +38,21 @@ def not_exists(df: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 
 def key_exists(batch: DataFrame, target: DataFrame, key: str,
-               flag: str = "exists") -> DataFrame:
+               flag: str = "exists", small: bool | None = None) -> DataFrame:
     """The whole batch with a boolean ``flag`` telling whether its key exists.
 
-    One join for the batch instead of one probe per key.  The target side is
-    reduced to its distinct keys first (a partial aggregate, safe for hot
-    keys), so the left join cannot fan out.
+    One join for the batch instead of one probe per key.  Only the target
+    keys that occur in the batch are looked up (:func:`merge.matched_keys`:
+    a broadcast semi join over the target's key column when the batch's key
+    set is small, pre-aggregated key sets otherwise); that found-key set is
+    at most one row per batch key, so the final left join cannot fan out,
+    and it is broadcast when small or materialised otherwise.
     """
-    found = target.select(key).dropDuplicates([key]).withColumn(flag, F.lit(True))
-    return (batch.join(found, key, "left")
+    bkeys = batch.select(key).dropDuplicates([key])
+    small = merge.is_small(bkeys) if small is None else small
+    found = merge.matched_keys(target, bkeys, key, small).withColumn(flag, F.lit(True))
+    side = merge.join_side(found, True if small else None)
+    return (batch.join(side, key, "left")
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 
 

@@ -10,11 +10,13 @@ Plan shape.  The source side is size-checked first with a bounded job
 (``limit(max_rows + 1)``, rows and serialized bytes).  A small source is
 broadcast: the target is read once for the left join and once (key column
 only) for the semi join that finds which source keys exist, and is never
-shuffled.  A larger source takes one full-outer shuffle join on the key; hot
-keys there are split by AQE's skew handling.  Source de-duplication uses
-aggregates with partial aggregation (``max_by`` / ``count``), never a
-window, so a key holding a third of the rows does not land whole in one
-task before it is reduced.
+shuffled.  A larger source is materialised once into the checkpoint folder
+and left-joined by the target (target streamed, so a hot target key is
+split by AQE rather than buffered); new keys come from an anti join whose
+key sets are pre-aggregated.  Source de-duplication uses aggregates with
+partial aggregation (``max_by`` / ``count``), never a window, so a key
+holding a third of the rows does not land whole in one task before it is
+reduced.
 """
 
 from __future__ import annotations
@@ -187,30 +189,50 @@ def _dedupe(src: DataFrame, key: str, on_duplicate: str, order: str | Column | N
     raise ValueError(f"unknown on_duplicate={on_duplicate!r}")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into ``spark.checkpoint.dir`` (a reliable checkpoint).
+
+    Later joins read it as a plain input, so their shuffle is an ordinary
+    exchange that AQE may split when a key is hot, and a lost executor
+    costs a re-read rather than a recomputation of the whole lineage.
+    """
+    return df.checkpoint(eager=True)
+
+
+def join_side(df: DataFrame, small: bool | None = None) -> DataFrame:
+    """The build side of a join: broadcast when its size is proven small
+    (:func:`is_small`), otherwise materialised (:func:`materialize`)."""
+    small = is_small(df) if small is None else small
+    return F.broadcast(df) if small else materialize(df)
+
+
 def matched_keys(target: DataFrame, source_keys: DataFrame, key: str, small: bool) -> DataFrame:
-    """Target keys that occur in ``source_keys`` (NULL never matches).
+    """Distinct target keys that occur in ``source_keys`` (NULL never matches).
 
-    With a small source the source keys are broadcast into a semi join over
-    the target's key column, so the target is not shuffled.
+    Small source: the source keys are broadcast into a semi join over the
+    target's key column, so the target is not shuffled.  Otherwise both key
+    sets are reduced with a partial aggregate first, so a key repeated a
+    third of the time costs one row per partition, then semi-joined.
     """
-    probe = F.broadcast(source_keys.select(key)) if small else source_keys.select(key)
-    return target.select(key).join(probe, key, "left_semi")
+    if small:
+        probe = F.broadcast(source_keys.select(key))
+        return target.select(key).join(probe, key, "left_semi").dropDuplicates([key])
+    return (target.select(key).dropDuplicates([key])
+            .join(source_keys.select(key).dropDuplicates([key]), key, "left_semi"))
 
 
 def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool,
                 unique: bool = False) -> DataFrame:
     """C4 for merges: source rows whose key is absent from the target.
 
-    NULL keys never match and are kept.  A small source is checked against
-    the target keys it matched (found by a broadcast semi join), so neither
-    side of the anti join is large; otherwise a shuffle anti join against the
-    target's key column.
+    NULL keys never match and are kept.  The keys to drop are found as
+    :func:`matched_keys` (at most one row per source key), then removed from
+    the source with an anti join whose build side is broadcast when small or
+    materialised otherwise: hot keys on either side never meet unreduced.
     """
-    if small:
-        keys = src.select(key) if unique else src.select(key).dropDuplicates([key])
-        hits = matched_keys(target, keys, key, True)
-        return src.join(F.broadcast(hits.dropDuplicates([key])), key, "left_anti")
-    return src.join(target.select(key), key, "left_anti")
+    keys = src.select(key) if unique else src.select(key).dropDuplicates([key])
+    hits = matched_keys(target, keys, key, small)
+    return src.join(join_side(hits, True if small else None), key, "left_anti")
 
 
 # ------------------------------------------------------------------- merges
@@ -247,16 +269,19 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
     small = is_small(src, broadcast_max_rows) if source_small is None else source_small
     s = src.select(key, *[F.col(c).alias(_S + c) for c in updates], F.lit(True).alias(_S_HIT))
     t = target.withColumn(_T_HIT, F.lit(True))
-    if small:
-        kept = t.join(F.broadcast(s), key, "left")
-        fresh = anti_target(s, target, key, True, unique=on_duplicate != "allow")
-        fresh = fresh.select(
-            key, *[F.lit(None).cast(target.schema[c].dataType).alias(c)
-                   for c in target.columns if c != key],
-            *[c for c in fresh.columns if c != key], F.lit(None).cast("boolean").alias(_T_HIT))
-        joined = kept.unionByName(fresh)
-    else:
-        joined = t.join(s, key, "full_outer")
+    # Small source: broadcast, the target is never shuffled.  Otherwise a
+    # left join with the target streamed and the (de-duplicated,
+    # materialised) source built: a hot target key is split by AQE and never
+    # buffered, which a full outer join could not do.  Inserts come from an
+    # anti join on pre-aggregated keys.
+    s = F.broadcast(s) if small else materialize(s)
+    kept = t.join(s, key, "left")
+    fresh = anti_target(s, target, key, small, unique=on_duplicate != "allow")
+    fresh = fresh.select(
+        key, *[F.lit(None).cast(target.schema[c].dataType).alias(c)
+               for c in target.columns if c != key],
+        *[c for c in fresh.columns if c != key], F.lit(None).cast("boolean").alias(_T_HIT))
+    joined = kept.unionByName(fresh)
 
     s_hit = F.col(_S_HIT).isNotNull()
     t_hit = F.col(_T_HIT).isNotNull()

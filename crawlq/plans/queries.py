@@ -1036,3 +1036,44 @@ def q_ingest_profile_pro_batch(spark, sf_dir):
     ins = out.filter(F.col("_action") == "insert")
     return ins.select("account_id", "_action", F.explode("posts").alias("p")).select(
         "account_id", "p.content", "p.time", "_action")
+
+
+# -------------------------------------- the same merges on the large-source path
+# Broadcasting switched off: the source is materialised into the checkpoint
+# folder and joined by shuffles (the plan a cluster-sized source gets).
+
+@register("patch_status_large_source", QUERIES["patch_status"].oracle)
+def q_patch_status_large_source(spark, sf_dir):
+    """Status patches merged on the shuffle path (no broadcast)."""
+    return merge.patch_status(_t(spark, sf_dir, "url_queue"), _t(spark, sf_dir, "status_patch"),
+                              _now(), broadcast_max_rows=0)
+
+
+@register("upsert_large_source", QUERIES["upsert"].oracle)
+def q_upsert_large_source(spark, sf_dir):
+    """Upsert by account_id on the shuffle path (no broadcast)."""
+    return merge.upsert(_t(spark, sf_dir, "profile"), _t(spark, sf_dir, "profile_patch"),
+                        "account_id", source_small=False)
+
+
+@register("insert_if_absent_large_source", QUERIES["insert_if_absent"].oracle)
+def q_insert_if_absent_large_source(spark, sf_dir):
+    """Insert-if-absent on the shuffle path (no broadcast)."""
+    return merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), _t(spark, sf_dir, "url_batch"),
+                                  "account_id", source_small=False)
+
+
+@register("expand_frontier_large_source", QUERIES["expand_frontier"].oracle)
+def q_expand_frontier_large_source(spark, sf_dir):
+    """Frontier expansion on the shuffle path (no broadcast)."""
+    out = frontier.expand_frontier(_edges(spark, sf_dir), _t(spark, sf_dir, "url_queue"),
+                                   url_base=HOST_PREFIX, edges=True, now=_now(),
+                                   broadcast_max_rows=0)
+    return merge.inserted_rows(out).select(*_FRONTIER_OUT)
+
+
+@register("key_exists_large_source", QUERIES["key_exists"].oracle)
+def q_key_exists_large_source(spark, sf_dir):
+    """Batch key probe on the shuffle path (no broadcast)."""
+    batch = _t(spark, sf_dir, "url_batch").select("account_id", "url").distinct()
+    return joins.key_exists(batch, _t(spark, sf_dir, "url_queue"), "account_id", small=False)

@@ -100,9 +100,10 @@ SELECT CASE WHEN c_custkey%10=5 THEN NULL WHEN c_custkey%4=0 THEN 'n' || CAST(c_
  upper(c_name) AS username, CASE WHEN c_custkey%3=0 THEN NULL ELSE c_mktsegment END AS location,
  'x' AS not_a_profile_column FROM {customer}""",
     # url_batch: insert source over url_queue; account_id repeats inside the
-    # batch and part of the accounts already exist.
+    # batch, odd lines name queued accounts, even lines new ones.
     "url_batch": """
-SELECT CAST(l_orderkey*10+l_linenumber AS STRING) AS id, CAST(l_suppkey AS STRING) AS account_id,
+SELECT CAST(l_orderkey*10+l_linenumber AS STRING) AS id,
+ CASE WHEN l_linenumber%2=0 THEN 'n' ELSE '' END || CAST(l_suppkey AS STRING) AS account_id,
  'https://host.example/' || CAST(l_suppkey AS STRING) AS url, 'follower' AS source_type, 'pending' AS status,
  l_orderkey*10+l_linenumber AS seq, l_shipdate AS created_at, l_shipdate AS updated_at FROM {lineitem}""",
     # owner_patch: claims and cursor moves over keyword_queue; ids unique,
