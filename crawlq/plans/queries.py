@@ -321,6 +321,10 @@ def q_upsert(spark, sf_dir):
                         "account_id")
 
 
+# Ties on seq are broken by the remaining row values in column order, as
+# the library's first-per-key pick does.
+_SEQ_ORDER = "seq, id, url, source_type, status, created_at, updated_at"
+
 _BATCH_GIVEN = {c: f"b.{c}" for c in ("id", "account_id", "url", "source_type", "status",
                                       "created_at", "updated_at")}
 
@@ -340,7 +344,7 @@ def q_insert_if_absent(spark, sf_dir):
 @register("insert_if_absent_dedupe", with_ctes(
     f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
     f"UNION ALL SELECT {_null_cols(_URLQ, _BATCH_GIVEN)}, 'insert' FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS rn FROM url_batch) b "
+    f"(SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY {_SEQ_ORDER}) AS rn FROM url_batch) b "
     "WHERE b.rn = 1 AND b.account_id IS NOT NULL AND NOT EXISTS "
     "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)",
     "url_queue", "url_batch"))
@@ -971,7 +975,7 @@ def q_drop_null_keys(spark, sf_dir):
 @register("insert_if_absent_sequential", with_ctes(
     f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
     f"UNION ALL SELECT {_null_cols(_URLQ, _BATCH_GIVEN)}, 'insert' FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS rn FROM b2) b "
+    f"(SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY {_SEQ_ORDER}) AS rn FROM b2) b "
     "WHERE (b.rn = 1 OR b.account_id IS NULL) AND NOT EXISTS "
     "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)",
     "url_queue", "url_batch",
