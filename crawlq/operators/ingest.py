@@ -37,20 +37,22 @@ def _batch_col(df: DataFrame, batch: str | None) -> tuple[DataFrame, str]:
     return df, batch
 
 
-def _keep_batches(rows: DataFrame, bad_counts: DataFrame, batch: str, single: bool) -> DataFrame:
-    """Rows of batches whose bad-row count is zero (``bad_counts``: batch, _bad)."""
-    if single:
-        # One request: its verdict is one scalar, evaluated once as a subquery.
-        return rows.filter(bad_counts.select(F.max("_bad")).scalar() == 0)
-    good = bad_counts.filter(F.col("_bad") == 0).select(batch)
-    return rows.join(merge.join_side(good), batch, "left_semi")
-
-
-def _drop_batches(rows: DataFrame, bad_counts: DataFrame, batch: str, single: bool) -> DataFrame:
+def _judge(rows: DataFrame, bad_counts: DataFrame, batch: str,
+           single: bool) -> tuple[DataFrame, DataFrame]:
+    """Split ``rows`` into (rows of clean requests, rows of rejected requests).
+
+    ``bad_counts`` has one row per request (``batch``, ``_bad``).  For one
+    request the verdict is a scalar subquery.  For many, the verdicts are
+    joined once (broadcast when their size is proven small, materialised
+    otherwise, so a request holding a third of the rows is split by AQE)
+    and the result is filtered both ways.
+    """
     if single:
-        return rows.filter(bad_counts.select(F.max("_bad")).scalar() > 0)
-    bad = bad_counts.filter(F.col("_bad") > 0).select(batch)
-    return rows.join(merge.join_side(bad), batch, "left_semi")
+        bad = bad_counts.select(F.max("_bad")).scalar()
+        return rows.filter(bad == 0), rows.filter(bad > 0)
+    judged = rows.join(merge.join_side(bad_counts), batch, "inner")
+    return (judged.filter(F.col("_bad") == 0).drop("_bad"),
+            judged.filter(F.col("_bad") > 0).drop("_bad"))
 
 
 # ------------------------------------------------------------------ keywords
@@ -99,21 +101,22 @@ def create_keywords(batch: DataFrame, queue: DataFrame, col: str = "keyword",
     Returns the keyword queue with ``_action``; keywords of rejected batches
     appear as ``reject`` rows.
     """
-    kw = distinct_keywords(batch, col, suffix, batch_col)
-    kw, b = _batch_col(kw, batch_col)
+    # The request rows feed the key probe, the verdicts and both outcomes:
+    # compute them once into the checkpoint folder.
+    kw, b = _batch_col(distinct_keywords(batch, col, suffix, batch_col), batch_col)
+    kw = merge.materialize(kw)
     flagged = joins.key_exists(kw, queue.select("keyword"), "keyword")
     counts = flagged.groupBy(b).agg(F.count_if(F.col("exists")).alias("_bad"))
-    single = batch_col is None
-    fresh = _keep_batches(flagged, counts, b, single).select("keyword")
-    rows = merge.cast_like(N.normalize_keyword_rows(fresh, now, id_expr), queue.schema)
+    good, bad = _judge(flagged, counts, b, batch_col is None)
+    rows = merge.cast_like(N.normalize_keyword_rows(good.select("keyword"), now, id_expr),
+                           queue.schema)
     # Kept batches hold no queued keyword (that is what kept them), so the
     # insert-if-absent anti join would pass every row: append them directly.
     merged = (queue.withColumn(ACTION_COL, F.lit(merge.KEEP))
               .unionByName(rows.select(*[c for c in rows.columns if c in queue.columns])
                            .withColumn(ACTION_COL, F.lit(merge.INSERT)),
                            allowMissingColumns=True))
-    rejected = (_drop_batches(flagged, counts, b, single)
-                .select("keyword", F.lit(merge.REJECT).alias(ACTION_COL)))
+    rejected = bad.select("keyword", F.lit(merge.REJECT).alias(ACTION_COL))
     return merged.unionByName(rejected, allowMissingColumns=True)
 
 
@@ -132,13 +135,11 @@ def create_seeds(batch: DataFrame, queue: DataFrame, col: str = "url",
     ``reject``)."""
     rows, b = _batch_col(batch.select(*([batch_col] if batch_col else []),
                                       F.col(col).alias("url")), batch_col)
-    single = batch_col is None
     if check:
         valid = F.coalesce(seed_url_valid("url", prefix, suffix), F.lit(False))
         counts = rows.groupBy(b).agg(F.count_if(~valid).alias("_bad"))
-        good = _keep_batches(rows, counts, b, single)
-        rejected = _drop_batches(rows, counts, b, single).select(
-            "url", F.lit(merge.REJECT).alias(ACTION_COL))
+        good, bad = _judge(rows, counts, b, batch_col is None)
+        rejected = bad.select("url", F.lit(merge.REJECT).alias(ACTION_COL))
     else:
         good, rejected = rows, None
     seeds = N.normalize_seed_rows(good.select("url"), now, id_expr, v1=v1)
