@@ -227,12 +227,16 @@ def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool,
 
     NULL keys never match and are kept.  The keys to drop are found as
     :func:`matched_keys` (at most one row per source key), then removed from
-    the source with an anti join whose build side is broadcast when small or
-    materialised otherwise: hot keys on either side never meet unreduced.
+    the source with an anti join whose build side is broadcast (small
+    source) or materialised: hot keys on either side never meet unreduced,
+    and both sides of the final anti join are plain shuffles AQE can split.
     """
     keys = src.select(key) if unique else src.select(key).dropDuplicates([key])
     hits = matched_keys(target, keys, key, small)
-    return src.join(join_side(hits, True if small else None), key, "left_anti")
+    # Small source: the hits are at most its distinct keys, so broadcast.
+    # Otherwise materialise them without a probe, which would aggregate the
+    # target's key column a second time.
+    return src.join(join_side(hits, small), key, "left_anti")
 
 
 # ------------------------------------------------------------------- merges
