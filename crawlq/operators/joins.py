@@ -45,13 +45,13 @@ def key_exists(batch: DataFrame, target: DataFrame, key: str,
     keys that occur in the batch are looked up (:func:`merge.matched_keys`:
     a broadcast semi join over the target's key column when the batch's key
     set is small, pre-aggregated key sets otherwise); that found-key set is
-    at most one row per batch key, so the final left join cannot fan out,
-    and it is broadcast when small or materialised otherwise.
+    at most one row per batch key, so the final left join cannot fan out;
+    it is broadcast with a small batch and materialised otherwise.
     """
     bkeys = batch.select(key).dropDuplicates([key])
     small = merge.is_small(bkeys) if small is None else small
     found = merge.matched_keys(target, bkeys, key, small).withColumn(flag, F.lit(True))
-    side = merge.join_side(found, True if small else None)
+    side = merge.join_side(found, small)
     return (batch.join(side, key, "left")
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 
