@@ -358,6 +358,21 @@ def affected_rows(merged: DataFrame) -> DataFrame:
     return merged.groupBy(ACTION_COL).agg(F.count(F.lit(1)).alias("n"))
 
 
+def insert_counts(merged: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """D9 for insert-if-absent: one row with ``inserted`` (rows the merge
+    inserted), ``skipped`` (source rows with a key that were not inserted:
+    batch minus inserted) and ``null_keys`` (source rows dropped for a NULL
+    key).  Each figure is an aggregate; the source counts enter as scalar
+    subqueries."""
+    batch = source.agg(F.count_if(F.col(key).isNotNull()).alias("b"),
+                       F.count_if(F.col(key).isNull()).alias("z"))
+    inserted = F.count_if(F.col(ACTION_COL) == INSERT)
+    return merged.agg(inserted.alias("inserted")).select(
+        "inserted",
+        (batch.select("b").scalar() - F.col("inserted")).alias("skipped"),
+        batch.select("z").scalar().alias("null_keys"))
+
+
 # ------------------------------------------------------------------ patches
 
 def split_required(patch: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -1081,3 +1081,16 @@ def q_key_exists_large_source(spark, sf_dir):
     """Batch key probe on the shuffle path (no broadcast)."""
     batch = _t(spark, sf_dir, "url_batch").select("account_id", "url").distinct()
     return joins.key_exists(batch, _t(spark, sf_dir, "url_queue"), "account_id", small=False)
+
+
+@register("insert_counts", with_ctes(
+    "SELECT CAST(count(*) AS BIGINT) AS inserted, "
+    "CAST((SELECT count(account_id) FROM url_batch) - count(*) AS BIGINT) AS skipped, "
+    "CAST((SELECT count(*) FROM url_batch WHERE account_id IS NULL) AS BIGINT) AS null_keys "
+    "FROM url_batch b WHERE b.account_id IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)", "url_queue", "url_batch"))
+def q_insert_counts(spark, sf_dir):
+    """Inserted / skipped / NULL-key counts of the URL batch insert."""
+    batch = _t(spark, sf_dir, "url_batch")
+    merged = merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), batch, "account_id")
+    return merge.insert_counts(merged, batch, "account_id")
