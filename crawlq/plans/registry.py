@@ -8,11 +8,14 @@ whole tables.  ``oracle`` is the equivalent SQL over the same tables, or
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crawlq.session import ensure_checkpoint_dir
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,7 +36,16 @@ def register(name: str, oracle: str | None):
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = Query(name, fn, oracle, (fn.__doc__ or "").strip())
+
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Registered queries run in test harnesses: some materialise
+            # inputs, so make sure a checkpoint folder exists (the session's
+            # own setting wins; a scratch folder only when it is unset).
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = Query(name, build, oracle, (fn.__doc__ or "").strip())
         return fn
 
     return deco
