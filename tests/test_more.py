@@ -164,3 +164,39 @@ def test_loads(spark):
     flat = spark.createDataFrame([("1", 7, "x")], "id string, parent_account_id int, junk string")
     out = tables.load_flat(flat, [f.name for f in schema.fields])
     assert out.columns == ["id", "parent_account_id"] and out.first()["parent_account_id"] == "7"
+
+
+def test_empty_batch_is_a_no_op(spark):
+    target = spark.createDataFrame([("a", "x")], "id string, status string")
+    empty = spark.createDataFrame([], "id string, status string")
+    for out in (merge.upsert(target, empty, "id"), merge.insert_if_absent(target, empty, "id")):
+        assert rows(out) == [("a", "x", "keep")]
+
+
+NESTED_PROFILE = json.dumps({
+    "account_id": "acc1", "username": "u", "title": "eng",
+    "experiences": [{
+        "company": {"name": "Co", "employees": {"start": 10, "end": 50}},
+        "date": {"start": {"year": 2020, "month": 1}, "end": None},
+        "profile_positions": [{"title": "dev", "date": {"start": {"year": 2021}}}],
+    }],
+    "skills": ["spark", None],
+    "posts": [{"content": "hi", "time": "2 hrs", "num_reactions": 3}],
+    "unknown_field": {"ignored": True},
+})
+
+
+def test_nested_profile_load_and_ingest(spark):
+    schema = table_schema("pro", "profiles")
+    raw = spark.createDataFrame([(NESTED_PROFILE,)], "value string")
+    batch = tables.load_nested(raw, schema).drop("id", "created_at", "updated_at")
+    r = batch.first()
+    pos = r["experiences"][0]["profile_positions"][0]
+    assert pos["title"] == "dev" and pos["date"]["start"]["year"] == 2021
+    assert r["experiences"][0]["company"]["employees"]["end"] == 50
+    empty = spark.createDataFrame([], schema)
+    out = ingest.ingest_profile_pro(batch, empty, now=now(), id_expr=F.lit("pid"))
+    got = out.first()
+    assert got["_action"] == "insert" and got["id"] == "pid"
+    assert got["posts"][0]["time"] == "2025-01-01T00:00:00+00:00"
+    assert got["posts"][0]["num_reactions"] == 3
