@@ -24,7 +24,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = local_session(cpus, shuffle_partitions=max(8, cpus * 2), app="crawlq-bench")
+    # One shuffle partition per core suits these small tables (AQE coalesces
+    # further); a cluster sizes it to its data instead.
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = local_session(cpus, shuffle_partitions=parts, app="crawlq-bench")
 
     queries = all_queries()
     names = only or sorted(queries)
