@@ -415,10 +415,16 @@ def patch_status(target: DataFrame, patch: DataFrame, now: Column | None = None,
 
 
 def claim_owner(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
-                key: str = "id", on_missing: str = "reject",
+                key: str = "id", on_missing: str = "reject", require_owner: bool = True,
                 broadcast_max_rows: int | None = None) -> DataFrame:
-    """M8: set ``extension_id`` and ``updated_at``; id and owner are required."""
-    good, bad = split_required(patch.select(key, "extension_id"), [key, "extension_id"])
+    """M8: set ``extension_id`` and ``updated_at``.
+
+    The id is required.  Keyword claims also require a non-empty owner;
+    seed claims (``require_owner=False``) accept any owner value, an empty
+    or NULL one included (which releases the seed).
+    """
+    required = [key, "extension_id"] if require_owner else [key]
+    good, bad = split_required(patch.select(key, "extension_id"), required)
     p = good.select(key, "extension_id", _stamp(now).alias("updated_at"))
     merged = upsert(target, p, key, on_missing=on_missing, broadcast_max_rows=broadcast_max_rows)
     return _with_rejects(merged, bad, "id and extension_id are required")

@@ -200,3 +200,11 @@ def test_nested_profile_load_and_ingest(spark):
     assert got["_action"] == "insert" and got["id"] == "pid"
     assert got["posts"][0]["time"] == "2025-01-01T00:00:00+00:00"
     assert got["posts"][0]["num_reactions"] == 3
+
+
+def test_seed_claim_accepts_empty_owner(spark):
+    seeds = spark.createDataFrame([("s1", "old", T0)], "id string, extension_id string, updated_at timestamp_ntz")
+    p = spark.createDataFrame([("s1", None)], "id string, extension_id string")
+    out = merge.claim_owner(seeds, p, now(), require_owner=False)
+    r = out.first()
+    assert r["_action"] == "update" and r["extension_id"] is None
