@@ -208,3 +208,13 @@ def test_seed_claim_accepts_empty_owner(spark):
     out = merge.claim_owner(seeds, p, now(), require_owner=False)
     r = out.first()
     assert r["_action"] == "update" and r["extension_id"] is None
+
+
+def test_patch_status_with_extra_owner_column(spark):
+    seeds = spark.createDataFrame([("s1", "pending", "a", None, T0)],
+                                  "id string, status string, extension_id string, "
+                                  "processed_at timestamp_ntz, updated_at timestamp_ntz")
+    p = spark.createDataFrame([("s1", "processing", "b")], "id string, status string, extension_id string")
+    r = merge.patch_status(seeds, p, now(), extra=("extension_id",)).first()
+    assert (r["status"], r["extension_id"], r["_action"]) == ("processing", "b", "update")
+    assert r["processed_at"] == dt.datetime(2025, 1, 1)
