@@ -207,15 +207,26 @@ def post_time_iso(posts: Column | str, now: Column, null_time: str = "keep") ->
     return F.transform(_c(posts), fix)
 
 
+def drop_null_items(col: Column, dtype: DataType) -> Column:
+    """NULL items removed from every array inside ``col``, at any depth
+    (arrays of structs, structs holding arrays, ...); NULL values stay NULL."""
+    if isinstance(dtype, ArrayType):
+        kept = F.filter(col, lambda x: x.isNotNull())
+        if isinstance(dtype.elementType, (ArrayType, StructType)):
+            return F.transform(kept, lambda x: drop_null_items(x, dtype.elementType))
+        return kept
+    if isinstance(dtype, StructType) and any(
+            isinstance(f.dataType, (ArrayType, StructType)) for f in dtype.fields):
+        fields = [drop_null_items(col.getField(f.name), f.dataType).alias(f.name)
+                  for f in dtype.fields]
+        return F.when(col.isNull(), F.lit(None)).otherwise(F.struct(*fields))
+    return col
+
+
 def json_ready(df: DataFrame, ts_format: str = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") -> DataFrame:
     """Each row as JSON text (``json``): timestamps as ISO text, NULL
-    fields kept, NULL items dropped from top-level arrays."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, ArrayType):
-            c = F.filter(c, lambda x: x.isNotNull())
-        cols.append(c.alias(f.name))
+    fields kept, NULL items dropped from arrays at any depth."""
+    cols = [drop_null_items(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     opts = {"timestampFormat": ts_format, "timestampNTZFormat": ts_format.replace("XXX", ""),
             "ignoreNullFields": "false"}
     return df.select(F.to_json(F.struct(*cols), opts).alias("json"))

@@ -218,3 +218,12 @@ def test_patch_status_with_extra_owner_column(spark):
     r = merge.patch_status(seeds, p, now(), extra=("extension_id",)).first()
     assert (r["status"], r["extension_id"], r["_action"]) == ("processing", "b", "update")
     assert r["processed_at"] == dt.datetime(2025, 1, 1)
+
+
+def test_json_ready_drops_nested_null_items(spark):
+    ddl = "id string, exp array<struct<title:string,pos:array<string>>>, meta struct<tags:array<int>>"
+    df = spark.createDataFrame([("a", [("t", ["x", None]), None], ({"tags": [1, None]}))], ddl)
+    doc = json.loads(C.json_ready(df).first()["json"])
+    assert doc["exp"] == [{"title": "t", "pos": ["x"]}] and doc["meta"] == {"tags": [1]}
+    nulls = spark.createDataFrame([("b", None, None)], ddl)
+    assert json.loads(C.json_ready(nulls).first()["json"]) == {"id": "b", "exp": None, "meta": None}
