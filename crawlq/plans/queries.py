@@ -775,10 +775,25 @@ def q_split_valid(spark, sf_dir):
     return normalize.rejected_rows(marked).select("id", "_reject_reason")
 
 
-@register("json_ready", None)
+def _json_field(name: str, kind: str) -> str:
+    """DuckDB text of one JSON field as Spark's ``to_json`` writes it."""
+    if kind == "ts":
+        val = f"'\"' || strftime({name}, '%Y-%m-%dT%H:%M:%S.%f') || '\"'"
+    else:
+        val = f"to_json({name})::VARCHAR"
+    return f"'\"{name}\":' || COALESCE({val}, 'null')"
+
+
+_PROFILE_JSON = [("id", "s"), ("account_id", "s"), ("username", "s"), ("title", "s"),
+                 ("location", "s"), ("profile_image", "s"), ("created_at", "ts"),
+                 ("updated_at", "ts")]
+
+
+@register("json_ready", with_ctes(
+    "SELECT '{' || " + " || ',' || ".join(_json_field(n, k) for n, k in _PROFILE_JSON)
+    + " || '}' AS json FROM profile", "profile"))
 def q_json_ready(spark, sf_dir):
-    """Profile rows as JSON text with ISO timestamps (text differs by engine,
-    so only the row count is compared)."""
+    """Profile rows as JSON text with ISO timestamps and explicit nulls."""
     return columns.json_ready(_t(spark, sf_dir, "profile"))
 
 
