@@ -105,3 +105,22 @@ def test_hot_request_is_split_in_keyword_ingest(skew_session):
     inserted = sum(r["_action"] == "insert" for r in rows)
     in_req_5 = sum(1 for i in range(N) if i % 3 and i % 97 + 1 == 6)
     assert rejected == in_req_5 and inserted == N - in_req_5
+
+
+def test_small_source_never_shuffles_the_target(spark):
+    from conftest import SF_SMALL
+    from crawlq.sources.fixtures import load_adapter
+
+    target = load_adapter(spark, SF_SMALL, "url_queue")
+    patch = spark.createDataFrame([("1", "failed"), ("999999", "failed")], "id string, status string")
+    out = merge.patch_status(target, patch, F.current_timestamp())
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    plan = buf.getvalue()
+    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+    assert "SortMergeJoin" not in plan
+    # the only shuffles are on the patch side and the adapter's one-row subquery
+    orders_under_exchange = [l for l in plan.splitlines()
+                             if "Exchange hashpartitioning(id" in l]
+    assert all("o_orderkey" not in l for l in orders_under_exchange)
