@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from crawlq.constants import (
-    DEFAULT_MAX_PROFILES, DEFAULT_START, PENDING, REASON_COL, SOCIAL_TEXT_FIELDS,
+    DEFAULT_MAX_PROFILES, DEFAULT_START, PENDING, REASON_COL, SOCIAL_ARRAY_FIELDS,
+    SOCIAL_TEXT_FIELDS,
 )
 from crawlq.functions import columns as C
 
@@ -125,7 +126,7 @@ def clean_profile_social(df: DataFrame) -> DataFrame:
     out = split_valid(df, {"account_id is required": _truthy("account_id")})
     fixes = {c: C.nullify_literals(c) for c in ("parent_account_id", "account_id", "username")
              if c in out.columns}
-    for c in ("experiences", "educations", "posts", "friend_lists", "languages", "websites"):
+    for c in SOCIAL_ARRAY_FIELDS:
         if c in out.columns and isinstance(out.schema[c].dataType, ArrayType):
             fixes[c] = C.array_or_empty(c)
     return out.withColumns(fixes) if fixes else out
