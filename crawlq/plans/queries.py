@@ -12,6 +12,7 @@ from pyspark.sql.types import (
     LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
+from crawlq.constants import ALLOWED_SEED_PATCH
 from crawlq.functions import columns, reports
 from crawlq.operators import frontier, ingest, joins, merge, queue_reads, stats
 from crawlq.plans import normalize
@@ -966,8 +967,9 @@ def q_load_nested(spark, sf_dir):
 @register("allowed_patch", with_ctes(
     "SELECT id, extension_id FROM owner_patch", "owner_patch"))
 def q_allowed_patch(spark, sf_dir):
-    """Update payload reduced to the key and the allowed columns."""
-    return queue_reads.allowed_patch(_t(spark, sf_dir, "owner_patch"), ("extension_id", "status"))
+    """Seed update payload reduced to the key and the allowed columns
+    (status, extension_id)."""
+    return queue_reads.allowed_patch(_t(spark, sf_dir, "owner_patch"), ALLOWED_SEED_PATCH)
 
 
 @register("merge_match", with_ctes(

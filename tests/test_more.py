@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from crawlq.constants import ALLOWED_KEYWORD_PATCH, ALLOWED_STATUS_PATCH
 from crawlq.functions import columns as C
 from crawlq.operators import frontier, ingest, joins, merge, queue_reads, stats
 from crawlq.plans import normalize as N
@@ -47,9 +48,10 @@ def test_urls_by_keyword_and_profile_page(spark):
 
 def test_allowed_patch(spark):
     p = spark.createDataFrame([("1", "done", 5, "x")], "id string, status string, start int, junk string")
-    assert queue_reads.allowed_patch(p, ("status", "start")).columns == ["id", "status", "start"]
+    assert queue_reads.allowed_patch(p, ALLOWED_KEYWORD_PATCH).columns == ["id", "status", "start"]
+    assert queue_reads.allowed_patch(p, ALLOWED_STATUS_PATCH).columns == ["id", "status"]
     with pytest.raises(ValueError):
-        queue_reads.allowed_patch(p.select("id", "junk"), ("status",))
+        queue_reads.allowed_patch(p.select("id", "junk"), ALLOWED_STATUS_PATCH)
 
 
 def test_semi_anti_and_key_probe(spark):
