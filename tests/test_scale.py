@@ -124,3 +124,22 @@ def test_small_source_never_shuffles_the_target(spark):
     orders_under_exchange = [l for l in plan.splitlines()
                              if "Exchange hashpartitioning(id" in l]
     assert all("o_orderkey" not in l for l in orders_under_exchange)
+
+
+def test_hot_account_is_split_in_completed_profiles(skew_session):
+    from crawlq.operators import joins
+
+    spark = skew_session
+    urls = spark.range(N).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 500).cast("string"))
+        .alias("account_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("parent_account_id"),
+        (F.col("id") % 3 + 1).alias("crawl_depth"), F.lit(None).cast("string").alias("seed_url_id"),
+        F.lit("completed").alias("status"))
+    profiles = spark.range(500).select(
+        F.col("id").cast("string").alias("account_id"), F.lit("u").alias("username"),
+        F.lit("i").alias("profile_image"), F.current_timestamp().alias("created_at")).union(
+        spark.range(1).select(F.lit("hot"), F.lit("h"), F.lit("i"), F.current_timestamp()))
+    rows, plan = executed_plan(joins.completed_profiles(urls, profiles, order=False))
+    assert "SortMergeJoin(skew=true)" in plan
+    assert len(rows) == N
