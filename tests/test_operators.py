@@ -247,3 +247,26 @@ def test_stream_append_and_upsert(spark):
     got = {r["id"]: (r["status"], r["_action"]) for r in out.collect()}
     assert got == {"1": ("completed", "update"), "2": ("pending", "keep"),
                    "9": ("processing", "reject")}
+
+
+def test_stream_upsert_latest_arrival_wins(spark):
+    import time
+
+    root = tempfile.mkdtemp(prefix="crawlq-stream2-")
+    src = os.path.join(root, "in")
+    first = spark.createDataFrame([("1", "processing"), ("2", "failed")], "id string, status string")
+    first.coalesce(1).write.parquet(os.path.join(src, "a"))
+    time.sleep(1.1)  # the file source orders files by modification time
+    second = spark.createDataFrame([("1", "completed")], "id string, status string")
+    second.coalesce(1).write.parquet(os.path.join(src, "b"))
+    schema = first.schema
+    patches = (spark.readStream.schema(schema).option("maxFilesPerTrigger", "1")
+               .option("recursiveFileLookup", "true").parquet(src))
+    target = spark.createDataFrame([url_row(1, "a"), url_row(2, "b")], URLS_DDL)
+    out = stream.stream_upsert(spark, target, patches,
+                               lambda t, p: merge.patch_status(t, p, now()), key="id",
+                               path=os.path.join(root, "landed"), checkpoint=os.path.join(root, "ck"))
+    got = {r["id"]: r["status"] for r in out.collect()}
+    assert got == {"1": "completed", "2": "failed"}
+    arrivals = spark.read.parquet(os.path.join(root, "landed")).select(stream.ARRIVAL_COL).distinct()
+    assert arrivals.count() == 2  # two micro-batches
