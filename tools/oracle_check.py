@@ -1,6 +1,8 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB; compare.
 
 Usage: python tools/oracle_check.py [sf_dir] [name ...]
+(set ORACLE_TZ / ORACLE_ANSI to run the Spark side under another session time zone
+or ANSI mode)
 
 Compares row count, column names and the multiset of row values (order
 insensitive), as the driver's correctness gate does.  Exit status 1 on any
@@ -86,6 +88,11 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     spark = local_session(8)
+    if os.environ.get("ORACLE_TZ"):
+        # Results must not depend on the session time zone.
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
+    if os.environ.get("ORACLE_ANSI"):
+        spark.conf.set("spark.sql.ansi.enabled", os.environ["ORACLE_ANSI"])
     con = duckdb.connect()
     for t in BASE_TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
