@@ -4,12 +4,13 @@ A profile's ``friend_lists`` array becomes one edge row per friend with
 ``explode``; edges whose next depth stays within ``max_depth`` become new
 URL rows, inserted only for accounts the URL queue does not hold yet.
 
-Scale: ``explode`` is a narrow operation (no shuffle).  The only shuffle is
-the anti join against the queue's account_id column; a popular friend that
-appears in a third of all lists is a hot key there, which AQE's skew-join
-handling splits.  With ``dedupe=True`` the candidates are first reduced to
-one row per account by a partial aggregate, which also collapses hot keys
-before that shuffle.
+Scale: ``explode`` is a narrow operation (no shuffle).  The queued accounts
+among the candidates are found from pre-aggregated key sets (a broadcast
+semi join when the candidates are few), then removed by an anti join whose
+two sides are plain shuffles, so a popular friend that appears in a third of
+all lists is split by AQE's skew-join handling.  With ``dedupe=True`` the
+candidates are first reduced to one row per account by a partial aggregate,
+which also collapses hot keys.
 """
 
 from __future__ import annotations
