@@ -468,7 +468,7 @@ def q_keyword_conflicts(spark, sf_dir):
 
 
 @register("create_keywords", with_ctes(
-    f"SELECT f.keyword, 'pending' AS status, CAST(0 AS BIGINT) AS start, {NOW_SQL} AS created_at, "
+    f"SELECT f.keyword, 'pending' AS status, CAST(0 AS INTEGER) AS start, {NOW_SQL} AS created_at, "
     f"{NOW_SQL} AS updated_at, 'insert' AS _action FROM flag f JOIN cnt c ON f.batch_id = c.batch_id "
     "WHERE c.n_existing = 0 "
     "UNION ALL SELECT f.keyword, NULL, NULL, NULL, NULL, 'reject' FROM flag f "

@@ -4,8 +4,8 @@ Usage: python tools/oracle_check.py [sf_dir] [name ...]
 (set ORACLE_TZ / ORACLE_ANSI to run the Spark side under another session time zone
 or ANSI mode)
 
-Compares row count, column names and the multiset of row values (order
-insensitive), as the driver's correctness gate does.  Exit status 1 on any
+Compares row count, column names, column types and the multiset of row
+values (order insensitive), as the driver's correctness gate does.  Exit status 1 on any
 mismatch.
 """
 
@@ -56,6 +56,11 @@ def _norm(v):
     return v
 
 
+# Spark type name -> DuckDB type name, for the schema comparison.
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+          "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 def _rows(pdf: pd.DataFrame) -> list:
     cols = sorted(pdf.columns)
     rows = [tuple(_norm(r[c]) for c in cols) for _, r in pdf.iterrows()]
@@ -74,6 +79,12 @@ def check(spark, con, q, sf_dir):
     if sorted(spdf.columns) != sorted(opdf.columns):
         res.update(ok=False, why=f"columns {sorted(spdf.columns)} vs {sorted(opdf.columns)}")
         return res
+    spark_types = {c: _TYPES.get(t, t) for c, t in sdf.dtypes}
+    rel = con.sql(q.oracle)
+    oracle_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    if spark_types != oracle_types:
+        res.update(ok=False, why=f"types {spark_types} vs {oracle_types}")
+        return res
     a, b = _rows(spdf), _rows(opdf)
     if a != b:
         diff_a = [r for r in a if r not in set(b)][:3]
