@@ -229,3 +229,12 @@ def test_json_ready_drops_nested_null_items(spark):
     assert doc["exp"] == [{"title": "t", "pos": ["x"]}] and doc["meta"] == {"tags": [1]}
     nulls = spark.createDataFrame([("b", None, None)], ddl)
     assert json.loads(C.json_ready(nulls).first()["json"]) == {"id": "b", "exp": None, "meta": None}
+
+
+def test_nested_rollup_map_form(spark):
+    df = spark.createDataFrame([("pending", None), (None, ""), ("done", "x"), ("done", "x")],
+                               "status string, extension_id string")
+    rep = stats.nested_rollup(stats.stats_owner_rollup(df), "status", "extension_id").first()["report"]
+    assert rep == {"done": {"x": 2}, "pending": {"unassigned": 2}}
+    with pytest.raises(ValueError):
+        stats.nested_rollup(stats.stats_owner_rollup(df), "status", "extension_id", max_rows=1)
