@@ -71,26 +71,38 @@ def stream_append(spark: SparkSession, stream: DataFrame, path: str | None = Non
     return spark.read.parquet(path).drop(ARRIVAL_COL)
 
 
+def merge_landed(spark: SparkSession, target: DataFrame, landed_path: str,
+                 apply: Callable[[DataFrame, DataFrame], DataFrame], key: str,
+                 order: str | None = None, since=None) -> DataFrame:
+    """Merge landed patches into ``target``: latest arrival per key wins.
+
+    ``since`` (a timestamp) restricts the merge to rows that arrived after
+    it, so a continuously running :func:`land` can be merged periodically,
+    each run picking up only the new micro-batches.  Patches are reduced to
+    the latest arrival per key (ties broken by ``order`` when given) with a
+    partial aggregate, then passed to ``apply`` (e.g.
+    :func:`crawlq.operators.merge.patch_status`), whose result is returned.
+    """
+    from crawlq.operators.merge import latest_per_key
+
+    landed = spark.read.parquet(landed_path)
+    if since is not None:
+        landed = landed.filter(F.col(ARRIVAL_COL) > F.lit(since))
+    ordering = F.struct(ARRIVAL_COL, order) if order else F.struct(ARRIVAL_COL)
+    latest = latest_per_key(landed.withColumn("_ord", ordering), key, "_ord")
+    return apply(target, latest.drop("_ord", ARRIVAL_COL))
+
+
 def stream_upsert(spark: SparkSession, target: DataFrame, stream: DataFrame,
                   apply: Callable[[DataFrame, DataFrame], DataFrame], key: str,
                   order: str | None = None, path: str | None = None,
                   checkpoint: str | None = None, timeout_s: float | None = None) -> DataFrame:
-    """Land a stream of patches, then merge them into ``target``.
-
-    Patches are reduced to the latest arrival per key (ties broken by
-    ``order`` when given) with a partial aggregate, then passed to ``apply``
-    (e.g. :func:`crawlq.operators.merge.patch_status`), whose result is
-    returned.
-    """
+    """Land a stream of patches (available-now), then merge them into
+    ``target`` with :func:`merge_landed`."""
     path = path or scratch_path(spark, "patches")
     checkpoint = checkpoint or scratch_path(spark, "patches-ckpt")
     q = land(stream, path, checkpoint)
     q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise q.exception()
-    landed = spark.read.parquet(path)
-    ordering = F.struct(ARRIVAL_COL, order) if order else F.struct(ARRIVAL_COL)
-    from crawlq.operators.merge import latest_per_key
-
-    latest = latest_per_key(landed.withColumn("_ord", ordering), key, "_ord")
-    return apply(target, latest.drop("_ord", ARRIVAL_COL))
+    return merge_landed(spark, target, path, apply, key, order)

@@ -270,3 +270,28 @@ def test_stream_upsert_latest_arrival_wins(spark):
     assert got == {"1": "completed", "2": "failed"}
     arrivals = spark.read.parquet(os.path.join(root, "landed")).select(stream.ARRIVAL_COL).distinct()
     assert arrivals.count() == 2  # two micro-batches
+
+
+def test_merge_landed_since_picks_only_new_arrivals(spark):
+    import time
+
+    root = tempfile.mkdtemp(prefix="crawlq-stream3-")
+    src, landed, ck = (os.path.join(root, d) for d in ("in", "landed", "ck"))
+    schema = "id string, status string"
+    spark.createDataFrame([("1", "processing")], schema).coalesce(1).write.parquet(os.path.join(src, "a"))
+
+    def patches():
+        return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+
+    stream.land(patches(), landed, ck).awaitTermination()
+    first_arrival = spark.read.parquet(landed).agg(F.max(stream.ARRIVAL_COL)).first()[0]
+    time.sleep(1.1)
+    spark.createDataFrame([("2", "failed")], schema).coalesce(1).write.parquet(os.path.join(src, "b"))
+    stream.land(patches(), landed, ck).awaitTermination()  # same checkpoint: only the new file
+    target = spark.createDataFrame([url_row(1, "a"), url_row(2, "b")], URLS_DDL)
+    apply = lambda t, p: merge.patch_status(t, p, now())
+    new_only = stream.merge_landed(spark, target, landed, apply, "id", since=first_arrival)
+    got = {r["id"]: (r["status"], r["_action"]) for r in new_only.collect()}
+    assert got == {"1": ("pending", "keep"), "2": ("failed", "update")}
+    everything = stream.merge_landed(spark, target, landed, apply, "id")
+    assert {r["id"]: r["status"] for r in everything.collect()} == {"1": "processing", "2": "failed"}
