@@ -35,21 +35,30 @@ def main() -> None:
     queries["stats_by_depth"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in names:
         t0 = time.perf_counter()
-        df = queries[name].build(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        try:
+            df = queries[name].build(spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # keep timing the others; report the failure
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"{name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.perf_counter() - t0, 3)
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({
+    out = {
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
         "sf": m.group(1) if m else sf_dir,
-    }), flush=True)
+    }
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out), flush=True)
     spark.stop()
 
 
