@@ -143,3 +143,22 @@ def test_hot_account_is_split_in_completed_profiles(skew_session):
     rows, plan = executed_plan(joins.completed_profiles(urls, profiles, order=False))
     assert "SortMergeJoin(skew=true)" in plan
     assert len(rows) == N
+
+
+def _plan(df):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def test_scans_read_only_needed_columns(spark):
+    from conftest import SF_SMALL
+    from crawlq.plans.registry import all_queries
+
+    qs = all_queries()
+    scan_plan = _plan(qs["scan"].build(spark, SF_SMALL))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in scan_plan
+    read_plan = _plan(qs["url_pending"].build(spark, SF_SMALL))
+    schemas = [l for l in read_plan.splitlines() if "orders.parquet" in l and "ReadSchema" in l]
+    assert schemas and all("o_totalprice" not in l and "o_orderpriority" not in l for l in schemas)
