@@ -145,10 +145,10 @@ def test_hot_account_is_split_in_completed_profiles(skew_session):
     assert len(rows) == N
 
 
-def _plan(df):
+def _plan(df, mode="simple"):
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        df.explain()
+        df.explain(mode=mode)
     return buf.getvalue()
 
 
@@ -162,3 +162,23 @@ def test_scans_read_only_needed_columns(spark):
     read_plan = _plan(qs["url_pending"].build(spark, SF_SMALL))
     schemas = [l for l in read_plan.splitlines() if "orders.parquet" in l and "ReadSchema" in l]
     assert schemas and all("o_totalprice" not in l and "o_orderpriority" not in l for l in schemas)
+
+
+def test_read_filters_reach_the_parquet_scan(spark):
+    import os
+    import tempfile
+
+    from crawlq.operators import queue_reads
+    from crawlq.sources import tables
+    from crawlq.sources.schemas import table_schema
+
+    root = tempfile.mkdtemp(prefix="crawlq-pushdown-")
+    schema = table_schema("social", "urls")
+    tables.ensure_tables(spark, root)
+    path = tables.table_path(root, "social", "urls")
+    df = tables.scan(spark, path, schema)
+    plan = _plan(queue_reads.url_pending(df, depth=1, seed="s"), "formatted")
+    pushed = [l for l in plan.splitlines() if "PushedFilters" in l]
+    assert pushed and "EqualTo(crawl_depth,1)" in pushed[0] and "EqualTo(seed_url_id,s)" in pushed[0]
+    assert "TakeOrderedAndProject" in plan
+    assert os.path.isdir(path)
