@@ -3,7 +3,9 @@
 Each query is executed in full with the ``noop`` sink (every row computed,
 nothing collected to the driver).  Prints one JSON line on stdout:
 {"metric": "total_query_seconds", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
-Set BENCH_QUERIES to a comma-separated subset to time only those.
+Set BENCH_QUERIES to a comma-separated subset to time only those, and
+BENCH_SHUFFLE_PARTITIONS to override the shuffle partition count.  A query
+that fails is left out of the total and listed under "failed".
 """
 
 from __future__ import annotations
