@@ -59,3 +59,17 @@ def test_insert_if_absent_counts_and_idempotence(spark, target, source, bmax):
     assert counts.get("keep", 0) == len(target)
     again = merge.insert_if_absent(merge.table_rows(out), src, "id", broadcast_max_rows=bmax)
     assert as_set(again) == as_set(out)
+
+
+WS_TEXT = st.lists(st.text(alphabet=st.sampled_from(list(" \t\n\x0b\x0c\r\x85\xa0 　ab_é")),
+                           max_size=8), min_size=1, max_size=40)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=WS_TEXT)
+def test_strip_text_matches_python_strip(spark, texts):
+    from crawlq.functions.columns import strip_text
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", strip_text("t").alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [t.strip() for t in texts]
