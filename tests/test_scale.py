@@ -182,3 +182,21 @@ def test_read_filters_reach_the_parquet_scan(spark):
     assert pushed and "EqualTo(crawl_depth,1)" in pushed[0] and "EqualTo(seed_url_id,s)" in pushed[0]
     assert "TakeOrderedAndProject" in plan
     assert os.path.isdir(path)
+
+
+def test_hot_parent_is_split_in_lineage_semi_join(skew_session):
+    from crawlq.operators import joins
+
+    spark = skew_session
+    # a third of the completed rows are children of one direct account
+    completed = spark.range(N).select(
+        (F.col("id") + 1000).cast("string").alias("account_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("root")).otherwise(F.sha2(F.col("id").cast("string"), 256))
+        .alias("parent_account_id"),
+        F.sha2(F.col("id").cast("string"), 224).alias("payload"))
+    parents = spark.range(50).select(
+        F.when(F.col("id") == 0, F.lit("root")).otherwise(F.col("id").cast("string"))
+        .alias("account_id"))
+    rows, plan = executed_plan(joins.parent_in(completed, parents))
+    assert "SortMergeJoin(skew=true)" in plan and "LeftSemi" in plan
+    assert len(rows) == sum(1 for i in range(N) if i % 3 == 0)
