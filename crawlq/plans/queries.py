@@ -999,7 +999,8 @@ def q_drop_null_keys(spark, sf_dir):
     ctes="b2 AS (SELECT id, CASE WHEN seq % 13 = 0 THEN NULL ELSE account_id END AS account_id, url, "
          "source_type, status, seq, created_at, updated_at FROM url_batch)"))
 def q_insert_if_absent_sequential(spark, sf_dir):
-    """Row-by-row insert rule: first row per new key wins, NULL keys always go in."""
+    """The small-batch path's rule (first row per new key wins, NULL keys
+    always go in), applied to the whole batch in one job."""
     b = _t(spark, sf_dir, "url_batch").withColumn(
         "account_id", F.when(F.col("seq") % 13 == 0, F.lit(None)).otherwise(F.col("account_id")))
     return merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), b, "account_id",
@@ -1014,7 +1015,7 @@ def q_insert_if_absent_sequential(spark, sf_dir):
     ctes="b2 AS (SELECT id, CASE WHEN seq % 13 = 0 THEN NULL ELSE account_id END AS account_id, url, "
          "source_type, status, seq, created_at, updated_at FROM url_batch)"))
 def q_insert_if_absent_bulk(spark, sf_dir):
-    """One-statement insert rule: NULL keys and in-batch repeats all go in."""
+    """The bulk path's rule: NULL keys and in-batch repeats all go in."""
     b = _t(spark, sf_dir, "url_batch").withColumn(
         "account_id", F.when(F.col("seq") % 13 == 0, F.lit(None)).otherwise(F.col("account_id")))
     return merge.insert_if_absent(_t(spark, sf_dir, "url_queue"), b, "account_id",
