@@ -31,21 +31,29 @@ END_ID = 0
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_BYTES = 128 * 1024
 CACHE_PIECES = 600_000      # cached pieces per Python worker; a full cache starts anew
+JOINT = 64                  # pieces encoded as one text
 OUT_DOCS = 256              # documents per Arrow batch sent back
 
 # A space that is not followed by a non-space character.
 _INNER_SPACE = re.compile(r" (?!\S)")
 _CUT = re.compile(r"(?= \S)")
+_OPENS = re.compile(r" \S")
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of this Python worker and its cache of pieces."""
+    """The tokenizer of this Python worker, its cache of pieces and the bytes that each id stands for."""
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        n_bytes = np.zeros(tok.get_vocab_size(), np.int64)
+        for text, i in tok.get_vocab(with_added_tokens=False).items():
+            n_bytes[i] = len(text)            # one character of a byte-level token for each byte
+        for i, t in tok.get_added_tokens_decoder().items():
+            n_bytes[i] = len(t.content.encode())
+        _TOKENIZERS[path] = (tok, {}, n_bytes)
     return _TOKENIZERS[path]
 
 
@@ -65,10 +73,9 @@ def pieces(text: str) -> list[str]:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, end id included.
 
-    Every distinct piece goes through the tokenizers library once per worker;
-    the misses of a call are encoded together as one pre-split input.
+    Every distinct piece goes through the tokenizers library once per worker.
     """
-    tok, cache = _tokenizer(path)
+    tok, cache, n_bytes = _tokenizer(path)
     end = np.array([END_ID], "<u4").tobytes()
     cut = [pieces(t) for t in texts]
     out: list[bytes | None] = []
@@ -81,24 +88,39 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         else:
             out.append(b"".join(got) + end)
     if missing:
-        new = list(missing)
-        if len(cache) + len(new) > CACHE_PIECES:
+        if len(cache) + len(missing) > CACHE_PIECES:
             cache.clear()
             out = [None] * len(cut)
-            new = list(dict.fromkeys(x for p in cut for x in p))
-        e = tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        word = np.array(e.word_ids, np.int64)
-        ends = np.searchsorted(word, np.arange(len(new) + 1))
-        raw = ids.tobytes()
-        for k, x in enumerate(new):
-            cache[x] = raw[4 * ends[k]:4 * ends[k + 1]]
+            missing = dict.fromkeys(x for p in cut for x in p)
+        cache.update(_encode_pieces(list(missing), tok, n_bytes))
         for i, p in enumerate(cut):
             if out[i] is None:
                 out[i] = b"".join(map(cache.__getitem__, p)) + end
     return out
 
 
+def _encode_pieces(new: list[str], tok, n_bytes: np.ndarray) -> Iterator[tuple[str, bytes]]:
+    """(piece, ids).  Pieces that open with a space and a non-space are encoded
+    together, as no pre-token reaches from one into the next; the bytes that
+    the ids stand for tell where each piece ends."""
+    joint = [x for x in new if _OPENS.match(x)]
+    alone = [x for x in new if not _OPENS.match(x)]
+    groups = [joint[i:i + JOINT] for i in range(0, len(joint), JOINT)]
+    for group, e in zip(groups, tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        upto = np.cumsum(n_bytes[ids])
+        ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in group])
+        at = np.searchsorted(upto, ends)
+        if at[-1] >= len(upto) or (upto[at] != ends).any():    # ids that don't add up to their texts
+            alone += group
+            continue
+        raw = ids.tobytes()
+        for x, a, z in zip(group, np.concatenate([[0], at[:-1] + 1]).tolist(), (at + 1).tolist()):
+            yield x, raw[4 * a:4 * z]
+    for x, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False)):
+        yield x, np.array(e.ids, "<u4").tobytes()
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, *,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the token table to ``out``.
