@@ -180,3 +180,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = base.select("doc_id", "n_shingles", "sig").join(owner, F.col("sig") == F.col("s"), "left")
     component = F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one row of each component, columns unchanged.
+
+    The row with the component's smallest id stays (of rows that repeat that
+    id, the one with the least text digest; of rows equal in both, one).  Every
+    row without shingles stays.  The decisions are made on ids and 128-bit
+    digests; the documents themselves are read once more and filtered.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.md5("text").alias("text_md5"))
+    found = stored(near_duplicates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), digest=True), "dup-found")
+    kept = stored(found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("sig")).alias("null_sig"))
+                  .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("m"))
+                  .select(F.col("m.doc_id").alias("keep_id"), F.col("m.text_md5").alias("keep_md5")).distinct(), "dup-kept")
+    with_words = rows.where(words_of("text"))
+    return with_words

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.llm import mix, near_dup, quality, tokens
+from crawlq.llm import decontaminate, mix, near_dup, quality, tokens, warc
 from crawlq.llm.common import scratch_path, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in ZIP packages, then range-read."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by fast similarity sketches."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best window of each document and benchmark item of similarity 0.75 or more."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by a linear-chain CRF over its lines."""
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -44,7 +54,37 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(tokens.read_tokens(spark, out))
 
 
+# ---- stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame --------
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model, keep=True).where(f"score >= {quality.THRESHOLD}").select("doc.*")
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return near_dup.one_of_each(docs)
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix.mix_documents(docs, keep=True)
+
+
+def stage_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-id files of the mix, read back as their digest."""
+    out = scratch_path(spark, "pipeline-token-ids")
+    tokens.write_tokens(docs, out, tokenizer_path())
+    return tokens.token_digest(tokens.read_tokens(spark, out))
+
+
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op3_minhash_near_dedup, op5_quality_crf, op7_pareto_mix, op8_token_ids)}
+    op1_warc_zip, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf, op7_pareto_mix, op8_token_ids)}
 
-ORACLES: dict[str, str] = {"op7_pareto_mix": mix.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc_zip": warc.ORACLE, "op7_pareto_mix": mix.ORACLE}

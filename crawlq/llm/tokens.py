@@ -15,9 +15,11 @@ a reader of some documents only the pages that hold them.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,8 @@ OUT_DOCS = 256              # documents per Arrow batch sent back
 # A space that is not followed by a non-space character.
 _INNER_SPACE = re.compile(r" (?!\S)")
 _CUT = re.compile(r"(?= \S)")
-_OPENS = re.compile(r" \S")
+# A comma or full stop before a space that does not follow a letter.
+_OTHER_STOP = re.compile(r"(?<![A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])[.,] ")
 
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -45,6 +48,8 @@ _TOKENIZERS: dict[str, tuple] = {}
 def _tokenizer(path: str):
     """The tokenizer of this Python worker, its cache of pieces and the bytes that each id stands for."""
     if path not in _TOKENIZERS:
+        # One thread for each task: Spark already runs a task on every core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -62,12 +67,15 @@ def pieces(text: str) -> list[str]:
 
     Byte-level BPE pre-tokens never reach over such a cut: the space opens the
     next pre-token, and the white space before it is a pre-token of its own.
-    So the ids of a text are those of its pieces, one after the other.
+    A comma or full stop between a letter and a space is a pre-token of its
+    own too, so it is cut off the word.  So the ids of a text are those of its
+    pieces, one after the other.
     """
     if _INNER_SPACE.search(text):
         return _CUT.split(text)
-    head, *rest = text.split(" ")
-    return [head, *(" " + x for x in rest)]
+    if "\0" in text or _OTHER_STOP.search(text):
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
+    return text.replace(", ", "\0, ").replace(". ", "\0. ").replace(" ", "\0 ").split("\0")
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -78,38 +86,27 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     tok, cache, n_bytes = _tokenizer(path)
     end = np.array([END_ID], "<u4").tobytes()
     cut = [pieces(t) for t in texts]
-    out: list[bytes | None] = []
-    missing: dict[str, None] = {}
-    for p in cut:
-        got = list(map(cache.get, p))
-        if None in got:
-            missing.update(dict.fromkeys(x for x, y in zip(p, got) if y is None))
-            out.append(None)
-        else:
-            out.append(b"".join(got) + end)
-    if missing:
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
-            out = [None] * len(cut)
-            missing = dict.fromkeys(x for p in cut for x in p)
-        cache.update(_encode_pieces(list(missing), tok, n_bytes))
-        for i, p in enumerate(cut):
-            if out[i] is None:
-                out[i] = b"".join(map(cache.__getitem__, p)) + end
-    return out
+    words = set(chain.from_iterable(cut))
+    new = [x for x in words if x not in cache]
+    if len(cache) + len(new) > CACHE_PIECES:
+        cache.clear()
+        new = list(words)
+    cache.update(_encode_pieces(new, tok, n_bytes))
+    return [b"".join(map(cache.__getitem__, p)) + end for p in cut]
 
 
 def _encode_pieces(new: list[str], tok, n_bytes: np.ndarray) -> Iterator[tuple[str, bytes]]:
     """(piece, ids).  Pieces that open with a space and a non-space are encoded
     together, as no pre-token reaches from one into the next; the bytes that
     the ids stand for tell where each piece ends."""
-    joint = [x for x in new if _OPENS.match(x)]
-    alone = [x for x in new if not _OPENS.match(x)]
+    joint, alone = [], []
+    for x in new:
+        (joint if x[:1] == " " and not x[1:2].isspace() and len(x) > 1 else alone).append(x)
     groups = [joint[i:i + JOINT] for i in range(0, len(joint), JOINT)]
     for group, e in zip(groups, tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
         ids = np.array(e.ids, "<u4")
         upto = np.cumsum(n_bytes[ids])
-        ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in group])
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in group])
         at = np.searchsorted(upto, ends)
         if at[-1] >= len(upto) or (upto[at] != ends).any():    # ids that don't add up to their texts
             alone += group
