@@ -68,7 +68,7 @@ def band_hashes(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sig (128-bit digest of the set, null if empty), bands."""
+    """doc_id, h (text hash), n_shingles, sig (128-bit digest of the set, null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,11 +81,11 @@ def _base(docs: DataFrame) -> DataFrame:
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     bands.append(band_hashes(sketch(s, BANDS * ROWS)).view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "sig", "bands"])
+                    [b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "h", "n_shingles", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("text")).mapInArrow(
+        run, "doc_id long, h long, n_shingles long, sig binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,6 +142,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows that share an id are judged each by its own text.  Other columns are
     ignored, so their names cannot clash.
     """
+    return _groups(docs).select("doc_id", "n_shingles", "component_id",
+                                F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """doc_id, h (text hash), n_shingles, component_id, group (digest naming the component; null without shingles)."""
     base = stored(_base(docs), "dup-base")
     classes = stored(base.where("sig is not null").groupBy("sig", "n_shingles", "bands").agg(F.min("doc_id").alias("doc")), "dup-classes")
     rows = classes.select("sig", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
@@ -174,26 +180,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ids = nodes.join(classes.select("sig", "doc"), F.col("sig") == F.col("node"))
     roots = stored(ids.groupBy("root").agg(F.min("doc").alias("component")).select(F.col("root").alias("r"), "component"), "dup-roots")
-    linked = stored(nodes.join(roots, F.col("root") == F.col("r")).select("node", "component"), "dup-linked")
+    linked = stored(nodes.join(roots, F.col("root") == F.col("r")).select("node", "root", "component"), "dup-linked")
     owner = stored(classes.select("sig", "doc").join(linked, F.col("sig") == F.col("node"), "left")
-                   .select(F.col("sig").alias("s"), F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component")), "dup-owner")
-    out = base.select("doc_id", "n_shingles", "sig").join(owner, F.col("sig") == F.col("s"), "left")
+                   .select(F.col("sig").alias("s"), F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("doc")).alias("component"),
+                           F.coalesce("root", "sig").alias("group")), "dup-owner")
+    out = base.select("doc_id", "h", "n_shingles", "sig").join(owner, F.col("sig") == F.col("s"), "left")
     component = F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), "group")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one row of each component, columns unchanged.
 
-    The row with the component's smallest id stays (of rows that repeat that
-    id, the one with the least text digest; of rows equal in both, one).  Every
-    row without shingles stays.  The decisions are made on ids and 128-bit
-    digests; the documents themselves are read once more and filtered.
+    The row with the component's smallest id stays; of rows that share it, the
+    one with the least text hash; of rows equal in both, one.  Every row
+    without shingles stays.  Decisions are made on ids and digests; the
+    documents are then filtered against the keys to drop, the smaller side.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.md5("text").alias("text_md5"))
-    found = stored(near_duplicates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), digest=True), "dup-found")
-    kept = stored(found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("sig")).alias("null_sig"))
-                  .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("m"))
-                  .select(F.col("m.doc_id").alias("keep_id"), F.col("m.text_md5").alias("keep_md5")).distinct(), "dup-kept")
-    with_words = rows.where(words_of("text"))
-    return with_words
+    found = stored(_groups(docs).where("n_shingles > 0").select("doc_id", "h", "group"), "dup-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("w")
+    winners = stored(found.groupBy("group").agg(first).select(F.col("group").alias("g"), "w"), "dup-winners")
+    wins = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("h") == F.col("w.h"))
+    rows_of = found.join(winners, F.col("group") == F.col("g")).select("doc_id", "h", wins.alias("wins"))
+    keys = stored(rows_of.groupBy("doc_id", "h", "wins").agg(F.count("*").alias("c")), "dup-keys")
+    drop = keys.where("not wins").select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
+    twice = keys.where("wins and c > 1").select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
+    kept = rows.join(maybe_broadcast(drop), same, "left_anti")
+    if twice.limit(1).count():
+        repeated = kept.join(maybe_broadcast(twice), same, "left_semi").groupBy("id", "h").agg(F.first("doc").alias("doc"))
+        kept = kept.join(maybe_broadcast(twice), same, "left_anti").select("doc").unionByName(repeated.select("doc"))
+    return kept.select("doc.*")
