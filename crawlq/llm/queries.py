@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.llm import decontaminate, mix, near_dup, quality, tokens, warc
+from crawlq.llm import decontaminate, mix, near_dup, quality, tokens, topk, warc
 from crawlq.llm.common import scratch_path, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th id's vector against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by fast similarity sketches."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -85,6 +91,6 @@ def stage_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_warc_zip, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf, op7_pareto_mix, op8_token_ids)}
+    op1_warc_zip, op2_ball_tree_top_k, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf, op7_pareto_mix, op8_token_ids)}
 
-ORACLES: dict[str, str] = {"op1_warc_zip": warc.ORACLE, "op7_pareto_mix": mix.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc_zip": warc.ORACLE, "op2_ball_tree_top_k": topk.ORACLE, "op7_pareto_mix": mix.ORACLE}
