@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.llm import decontaminate, mix, near_dup, quality, tokens, topk, warc
+from crawlq.llm import decontaminate, mix, near_dup, quality, tokens, topk, toxicity, url_lists, warc
 from crawlq.llm.common import scratch_path, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the dated list entries active on its day of fetching."""
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.judge(url_lists.captures_of(pages), url_lists.entries_of(pages))
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by Pareto order sampling."""
     return mix.mix_documents(table(spark, sf_dir, "documents"))
@@ -60,6 +66,11 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(tokens.read_tokens(spark, out))
 
 
+def op9_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a bidirectional GRU over all its windows."""
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # ---- stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame --------
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,6 +102,7 @@ def stage_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_warc_zip, op2_ball_tree_top_k, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf, op7_pareto_mix, op8_token_ids)}
+    op1_warc_zip, op2_ball_tree_top_k, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf,
+    op6_dated_url_lists, op7_pareto_mix, op8_token_ids, op9_toxicity_gru)}
 
-ORACLES: dict[str, str] = {"op1_warc_zip": warc.ORACLE, "op2_ball_tree_top_k": topk.ORACLE, "op7_pareto_mix": mix.ORACLE}
+ORACLES: dict[str, str] = {"op6_dated_url_lists": url_lists.ORACLE, "op1_warc_zip": warc.ORACLE, "op2_ball_tree_top_k": topk.ORACLE, "op7_pareto_mix": mix.ORACLE}
