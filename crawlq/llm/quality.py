@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlq.llm.sample import crc_mod, labelled_sample
+from crawlq.llm.sample import crc_mod, labelled_sample, prior_shift
 
 PER_CLASS = 2000        # documents of each label in the training sample, at most
 BINS = 8
@@ -216,7 +216,6 @@ def fit(sample: list[tuple[str, int]], rounds: int = 3, steps: int = 60, l2: flo
             y[(np.repeat(doc_y, counts) == 0) & (good <= np.repeat(worst, counts))] = 0.0
     m.bias = float(params[1][0])
     x = _logit(_doc_mean(good, weight, counts))
-    # Classes count alike to Newton's steps, then the offset restores the sample's share.
     ab = np.array([1.0, 0.0])
     X = np.stack([x, np.ones_like(x)], 1)
     for _ in range(30):
@@ -237,7 +236,10 @@ def score_texts(m: Crf, texts: list[str | None]) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Crf:
     """The model of the whole corpus: fitted on a bounded sample outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, "quality", mod=MOD, held_out=HELD_OUT, per_class=per_class))
+    sample, share = labelled_sample(docs, labels, "quality", mod=MOD, held_out=HELD_OUT, per_class=per_class)
+    model = fit(sample)
+    model.scale = model.scale + np.array([0.0, prior_shift(sample, share)])
+    return model
 
 
 def score_quality(docs: DataFrame, model: Crf, keep: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlq.llm.sample import crc_mod, labelled_sample
+from crawlq.llm.sample import crc_mod, labelled_sample, prior_shift
 
 WINDOW, STEP = 24, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 14
@@ -371,7 +371,10 @@ class Scorer:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net:
     """The network of the whole corpus: trained on a bounded sample outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, "toxic", mod=MOD, held_out=HELD_OUT, per_class=per_class))
+    sample, share = labelled_sample(docs, labels, "toxic", mod=MOD, held_out=HELD_OUT, per_class=per_class)
+    net = fit(sample)
+    net.scale = net.scale + np.array([0.0, 0.0, 0.0, prior_shift(sample, share)])
+    return net
 
 
 def score_toxicity(docs: DataFrame, net: Net) -> DataFrame:
