@@ -32,9 +32,9 @@ from crawlq.llm.common import maybe_broadcast
 END_ID = 0
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_BYTES = 128 * 1024
-CACHE_PIECES = 600_000      # cached pieces per Python worker; a full cache starts anew
+CACHE_PIECES = 800_000      # cached pieces per Python worker; a full cache starts anew
 JOINT = 64                  # pieces encoded as one text
-OUT_DOCS = 256              # documents per Arrow batch sent back
+OUT_DOCS = 512              # documents per Arrow batch sent back
 
 # A space that is not followed by a non-space character.
 _INNER_SPACE = re.compile(r" (?!\S)")
