@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.llm import decontaminate, mix, near_dup, quality, tokens, topk, toxicity, url_lists, warc
+from crawlq.llm import decontaminate, mix, near_dup, quality, suffix_dedup, tokens, topk, toxicity, url_lists, warc
 from crawlq.llm.common import scratch_path, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op9_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 400-byte strings cover which also start elsewhere."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 # ---- stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame --------
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -103,6 +108,6 @@ def stage_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_warc_zip, op2_ball_tree_top_k, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf,
-    op6_dated_url_lists, op7_pareto_mix, op8_token_ids, op9_toxicity_gru)}
+    op6_dated_url_lists, op7_pareto_mix, op8_token_ids, op9_toxicity_gru, op10_suffix_array_dedup)}
 
 ORACLES: dict[str, str] = {"op6_dated_url_lists": url_lists.ORACLE, "op1_warc_zip": warc.ORACLE, "op2_ball_tree_top_k": topk.ORACLE, "op7_pareto_mix": mix.ORACLE}
