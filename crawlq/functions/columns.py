@@ -187,8 +187,17 @@ def iso_format(ts: Column | str, utc_suffix: bool = True) -> Column:
 
 
 def is_iso_time(text: Column | str) -> Column:
-    """Whether the text parses as an ISO date/time (``try_to_timestamp``)."""
-    return F.try_to_timestamp(_c(text)).isNotNull()
+    """Whether the text is an ISO date, or date and time, that exists.
+
+    Accepted: ``YYYY-MM-DD``, optionally followed by ``T`` or one space and
+    ``HH[:MM[:SS[.f]]]`` with up to six decimals and ``Z`` or ``+HH:MM``.
+    Basic and week-date forms are not.
+    """
+    t = _c(text)
+    shape = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:\d{2})?)?$")
+    # Hours alone get minutes, which the timestamp parser needs.
+    whole = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=$|Z|[+-])", "$1:00")
+    return shape & F.try_to_timestamp(whole).isNotNull()
 
 
 def post_time_iso(posts: Column | str, now: Column, null_time: str = "keep") -> Column:

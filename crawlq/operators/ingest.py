@@ -90,6 +90,11 @@ def keyword_conflicts(batch: DataFrame, queue: DataFrame, col: str = "keyword",
     return out.withColumn("verdict", verdict)
 
 
+def _with_ids(rows: DataFrame, id_expr: Column | None) -> DataFrame:
+    """Rows with new random ids are stored once, so every later read sees the same ids."""
+    return rows if id_expr is not None else merge.materialize(rows)
+
+
 def create_keywords(batch: DataFrame, queue: DataFrame, col: str = "keyword",
                     suffix: str = KEYWORD_SITE_SUFFIX, batch_col: str | None = None,
                     now: Column | None = None, id_expr: Column | None = None) -> DataFrame:
@@ -107,8 +112,10 @@ def create_keywords(batch: DataFrame, queue: DataFrame, col: str = "keyword",
     flagged = joins.key_exists(kw, queue.select("keyword"), "keyword")
     counts = flagged.groupBy(b).agg(F.count_if(F.col("exists")).alias("_bad"))
     good, bad = _judge(flagged, counts, b, batch_col is None)
-    rows = merge.cast_like(N.normalize_keyword_rows(good.select("keyword"), now, id_expr),
+    # One row per keyword over all requests: a later request finds it written.
+    rows = merge.cast_like(N.normalize_keyword_rows(good.select("keyword").distinct(), now, id_expr),
                            queue.schema)
+    rows = _with_ids(rows, id_expr)
     # Kept batches hold no queued keyword (that is what kept them), so the
     # insert-if-absent anti join would pass every row: append them directly.
     merged = (queue.withColumn(ACTION_COL, F.lit(merge.KEEP))
@@ -129,8 +136,8 @@ def create_seeds(batch: DataFrame, queue: DataFrame, col: str = "url",
     """Seed URLs; with ``check`` every URL of a batch must start with
     ``prefix`` and end with ``suffix`` or the whole batch is rejected (v1
     routes skip the check).  Defaults: id, pending, max_profiles 100 (not
-    v1), stamps.  Inserted if the URL is absent; repeats in a batch all go
-    in.  Returns the seed queue with ``_action`` (rejected URLs as
+    v1), stamps.  Inserted if the URL is absent; a URL of several batches
+    goes in with the first of them, repeats in a batch all go in.  Returns the seed queue with ``_action`` (rejected URLs as
     ``reject``)."""
     rows, b = _batch_col(batch.select(*([batch_col] if batch_col else []),
                                       F.col(col).alias("url")), batch_col)
@@ -141,7 +148,11 @@ def create_seeds(batch: DataFrame, queue: DataFrame, col: str = "url",
         rejected = bad.select("url", F.lit(merge.REJECT).alias(ACTION_COL))
     else:
         good, rejected = rows, None
-    seeds = N.normalize_seed_rows(good.select("url"), now, id_expr, v1=v1)
+    if batch_col is not None:
+        # A url goes to the first request that has it; its repeats there all go in.
+        first = good.groupBy(F.col("url").alias("_u")).agg(F.min(b).alias("_first"))
+        good = good.join(first, (F.col("url") == F.col("_u")) & (F.col(b) == F.col("_first")))
+    seeds = _with_ids(N.normalize_seed_rows(good.select("url"), now, id_expr, v1=v1), id_expr)
     merged = merge.insert_if_absent(queue, seeds, "url", broadcast_max_rows=broadcast_max_rows)
     if rejected is not None:
         merged = merged.unionByName(rejected, allowMissingColumns=True)
@@ -157,6 +168,7 @@ def enqueue_urls(batch: DataFrame, queue: DataFrame, platform: str = "social",
     URL when the column is absent), then are inserted if the account is not
     queued yet; repeats in the batch all go in."""
     rows = N.url_defaults(batch, now, id_expr, derive_account=platform == "pro", marker=marker)
+    rows = _with_ids(rows, id_expr)
     return merge.insert_if_absent(queue, rows, "account_id", broadcast_max_rows=broadcast_max_rows)
 
 
@@ -167,7 +179,7 @@ def ingest_profile_pro(batch: DataFrame, profiles: DataFrame, mode: str = "singl
                        broadcast_max_rows: int | None = None) -> DataFrame:
     """First-platform profiles.  ``single``: normalise (P1) and upsert by
     account_id.  ``batch``: normalise and append (duplicates allowed)."""
-    rows = N.normalize_profile_pro(batch, now, id_expr)
+    rows = _with_ids(N.normalize_profile_pro(batch, now, id_expr), id_expr)
     if mode == "single":
         return merge.upsert(profiles, rows, "account_id", broadcast_max_rows=broadcast_max_rows)
     if mode == "batch":
@@ -207,7 +219,7 @@ def ingest_profile_social(batch: DataFrame, profiles: DataFrame, url_queue: Data
     Returns (profile table with ``_action``, URL queue with ``_action``).
     """
     incoming = N.clean_profile_social(batch) if mode == "single" else batch
-    norm = N.normalize_profile_social(incoming, now, id_expr)
+    norm = _with_ids(N.normalize_profile_social(incoming, now, id_expr), id_expr)
     ok = N.valid_rows(norm)
     if mode == "single":
         prof = merge.insert_if_absent(profiles, ok, "account_id",

@@ -398,20 +398,21 @@ def patch_status(target: DataFrame, patch: DataFrame, now: Column | None = None,
                  broadcast_max_rows: int | None = None) -> DataFrame:
     """M7: set ``status`` (and allowed ``extra`` columns) by id.
 
+    A patch without a ``status`` column changes the ``extra`` columns only.
     Rows moving to ``processing`` also get ``processed_at = now``; rows moving
     elsewhere keep their ``processed_at``.  ``updated_at = now`` always.
     Unknown ids are rejected (``on_missing="insert"`` inserts them).
     """
     good, bad = split_required(patch, [key])
     ts = _stamp(now)
-    p = good.select(
-        key, "status", *extra,
-        F.when(F.col("status") == PROCESSING, ts).alias("processed_at"),
-        ts.alias("updated_at"),
-    )
-    merged = upsert(target, p, key, keep_on_null=["processed_at"], on_missing=on_missing,
+    has_status = "status" in patch.columns
+    given = [*(["status"] if has_status else []), *extra]
+    started = [F.when(F.col("status") == PROCESSING, ts).alias("processed_at")] if has_status else []
+    p = good.select(key, *given, *started, ts.alias("updated_at"))
+    merged = upsert(target, p, key, keep_on_null=["processed_at"] if has_status else [],
+                    on_missing=on_missing,
                     broadcast_max_rows=broadcast_max_rows)
-    return _with_rejects(merged, bad.select(key, "status", *extra), "missing id")
+    return _with_rejects(merged, bad.select(key, *given), "missing id")
 
 
 def claim_owner(target: DataFrame, patch: DataFrame, now: Column | None = None, *,

@@ -96,6 +96,11 @@ def queue_pending_or_owned(df: DataFrame, owner: str | Column,
     return _keyword_out(top_k(rows, [rank, _created().asc_nulls_first()], limit))
 
 
+def _seed_cols(df: DataFrame, *names: str) -> list[str]:
+    """The output columns of seed reads; the v1 table has no ``max_profiles``."""
+    return [n for n in names if n != "max_profiles" or n in df.columns]
+
+
 def seed_pending(df: DataFrame, owner: str | Column,
                  limit: int = LIMIT_SEEDS_PENDING[0]) -> DataFrame:
     """Seeds to work on: pending or NULL status (any owner), or in
@@ -106,7 +111,7 @@ def seed_pending(df: DataFrame, owner: str | Column,
     rows = df.filter((_status() == PENDING) | _status().isNull() | mine)
     rank = F.when(mine, 0).otherwise(1)
     return top_k(rows, [rank, _created().asc_nulls_first()], limit).select(
-        "id", "url", "max_profiles", "status", "extension_id")
+        *_seed_cols(df, "id", "url", "max_profiles", "status", "extension_id"))
 
 
 def seed_page(df: DataFrame, status: str | None = None, limit: int = LIMIT_SEEDS_PAGE[0],
@@ -115,7 +120,7 @@ def seed_page(df: DataFrame, status: str | None = None, limit: int = LIMIT_SEEDS
     check_bounds(limit, offset, LIMIT_SEEDS_PAGE)
     rows = df.filter(_status() == status) if status else df
     return top_k(rows, [_created().desc_nulls_last()], limit, offset).select(
-        "id", "url", "max_profiles", "status", "extension_id", "created_at", "updated_at")
+        *_seed_cols(df, "id", "url", "max_profiles", "status", "extension_id", "created_at", "updated_at"))
 
 
 _URL_OUT = ("id", "account_id", "url", "parent_account_id", "crawl_depth",

@@ -117,23 +117,14 @@ def _relabel_depth(counts: DataFrame) -> DataFrame:
             .agg(F.sum("n").alias("n")))
 
 
-def nested_rollup(long_form: DataFrame, outer: str, inner: str, value: str = "n",
-                  max_rows: int | None = None) -> DataFrame:
-    """D4/D5 map form: one row, ``report`` = map outer -> (map inner -> value).
-
-    The nested form gathers the whole roll-up into one value, so it is built
-    only when the long form is proven small (:func:`merge.is_small`, at most
-    ``max_rows`` rows and the configured bytes); otherwise ``ValueError``
-    (use the long form).  NULL keys are labelled first by the roll-ups, so
-    map keys are never NULL.
+def nested_rollup(long_form: DataFrame, outer: str, inner: str, value: str = "n") -> DataFrame:
+    """D4/D5 map form: one row per ``outer`` label with ``counts``, the map
+    inner -> value.
+
+    NULL keys are labelled first by the roll-ups, so map keys are never NULL.
+    A row holds the inner labels of one outer label and nothing is gathered
+    beyond that.
     """
-    from crawlq.operators import merge
-
-    if not merge.is_small(long_form, max_rows):
-        raise ValueError("roll-up too large to nest; use the long form")
-    keyed = long_form.select(F.col(outer).cast("string").alias("_o"),
-                             F.col(inner).cast("string").alias("_i"), F.col(value).alias("_v"))
-    inner_maps = keyed.groupBy("_o").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_i", "_v")))).alias("_m"))
-    return inner_maps.agg(
-        F.map_from_entries(F.collect_list(F.struct("_o", "_m"))).alias("report"))
+    entry = F.struct(F.col(inner).cast("string"), F.col(value))
+    return long_form.groupBy(F.col(outer).cast("string").alias(outer)).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("counts"))

@@ -59,8 +59,9 @@ def _now(now: Column | None) -> Column:
 
 
 def _row_id(df: DataFrame, now: Column) -> Column:
-    """Default id: a stable hash of the whole incoming row and the batch stamp."""
-    return C.stable_id(F.to_json(F.struct(*[F.col(c) for c in df.columns])), now)
+    """Default id: a new UUID per row, so equal rows get different ids.  Writers
+    store the rows once (:func:`crawlq.operators.merge.materialize`) before use."""
+    return F.expr("uuid()")
 
 
 def _stamps(df: DataFrame, now: Column | None, id_expr: Column | None,

@@ -22,7 +22,7 @@ from crawlq.session import ensure_checkpoint_dir
 from crawlq.streaming import stream
 from crawlq.plans.registry import QUERIES, register
 from crawlq.sources.fixtures import (
-    ADAPTERS, ARRAY_BUCKET, FIXED_NOW_TEXT, HOST_PREFIX, KEYWORD_SUFFIX, SEED_SUFFIX, base_table, load_adapter,
+    ADAPTERS, FIXED_NOW_TEXT, HOST_PREFIX, KEYWORD_SUFFIX, SEED_SUFFIX, base_table, load_adapter,
     post_arrays, social_profiles, with_ctes,
 )
 
@@ -468,7 +468,7 @@ def q_keyword_conflicts(spark, sf_dir):
 
 
 @register("create_keywords", with_ctes(
-    f"SELECT f.keyword, 'pending' AS status, CAST(0 AS INTEGER) AS start, {NOW_SQL} AS created_at, "
+    f"SELECT DISTINCT f.keyword, 'pending' AS status, CAST(0 AS INTEGER) AS start, {NOW_SQL} AS created_at, "
     f"{NOW_SQL} AS updated_at, 'insert' AS _action FROM flag f JOIN cnt c ON f.batch_id = c.batch_id "
     "WHERE c.n_existing = 0 "
     "UNION ALL SELECT f.keyword, NULL, NULL, NULL, NULL, 'reject' FROM flag f "
@@ -491,6 +491,7 @@ _SEED_OK = f"url LIKE '{HOST_PREFIX}%' AND url LIKE '%{SEED_SUFFIX}'"
     f"{NOW_SQL} AS updated_at, 'insert' AS _action FROM seed_batch b "
     "WHERE b.batch_id NOT IN (SELECT batch_id FROM bad) "
     "AND NOT EXISTS (SELECT 1 FROM seed_queue q WHERE q.url = b.url) "
+    "AND b.batch_id = (SELECT min(x.batch_id) FROM seed_batch x WHERE x.url = b.url AND x.batch_id NOT IN (SELECT batch_id FROM bad)) "
     "UNION ALL SELECT url, NULL, NULL, NULL, NULL, 'reject' FROM seed_batch "
     "WHERE batch_id IN (SELECT batch_id FROM bad)",
     "seed_batch", "seed_queue",
@@ -631,19 +632,20 @@ def q_ingest_profile_social_urls(spark, sf_dir):
 
 _POST_TIME = ("CASE WHEN time IS NOT NULL AND TRY_CAST(time AS TIMESTAMP) IS NULL "
               "THEN '2025-01-01T00:00:00+00:00' ELSE time END")
-_POST_KEY = "account_id || '-' || CAST(CAST(floor(turn / 8) AS BIGINT) AS STRING)"
+_POST_KEY = "account_id"
+_POST_ACTION = "CASE WHEN account_id IN (SELECT account_id FROM profile) THEN 'update' ELSE 'insert' END"
 
 
 @register("ingest_profile_pro", with_ctes(
-    f"SELECT {_POST_KEY} AS account_id, content, {_POST_TIME} AS time, 'insert' AS _action "
-    "FROM post WHERE turn % 7 <> 6", "post"))
+    f"SELECT {_POST_KEY} AS account_id, content, {_POST_TIME} AS time, {_POST_ACTION} AS _action "
+    "FROM post WHERE turn % 7 <> 6", "post", "profile"))
 def q_ingest_profile_pro(spark, sf_dir):
     """Professional profiles upserted by account; post times checked (one row
-    per post of the inserted profiles)."""
+    per post of the updated and inserted profiles)."""
     target = _t(spark, sf_dir, "profile").withColumn(
         "posts", F.lit(None).cast("array<struct<content:string,time:string>>"))
     out = ingest.ingest_profile_pro(post_arrays(spark, sf_dir), target, now=_now())
-    ins = out.filter(F.col("_action") == "insert")
+    ins = out.filter(F.col("_action") != "keep")
     return ins.select("account_id", "_action", F.explode("posts").alias("p")).select(
         "account_id", "p.content", "p.time", "_action")
 
@@ -658,9 +660,8 @@ def q_post_time_iso(spark, sf_dir):
     return arr.select("account_id", F.posexplode("posts").alias("i", "p")).filter(
         F.col("p").isNotNull()).select(
         "account_id", F.col("p.time").alias("time"),
-        # the turn: bucket * 8 + position in the sorted bucket
-        (F.element_at(F.split("account_id", "-"), -1).cast("long") * ARRAY_BUCKET
-         + F.col("i")).alias("turn"),
+        # the turn: its position in the sorted conversation
+        F.col("i").cast("long").alias("turn"),
     )
 
 
@@ -1048,7 +1049,7 @@ def q_transform_and_validate(spark, sf_dir):
     return out.select("id", "account_id", "url", "_reject_reason")
 
 
-@register("ingest_profile_pro_batch", QUERIES["ingest_profile_pro"].oracle)
+@register("ingest_profile_pro_batch", QUERIES["ingest_profile_pro"].oracle.replace(_POST_ACTION, "'insert'"))
 def q_ingest_profile_pro_batch(spark, sf_dir):
     """Professional profiles appended as a batch (no key check); one row per
     post of the appended profiles."""

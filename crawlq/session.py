@@ -57,12 +57,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's ``spark.checkpoint.dir``; set one only when unset.
 
-    Only a local test session ever reaches the fallback, which is a fresh
-    folder under the system temp directory.
+    Only a local master (tests) gets the fallback, a fresh folder under the
+    system temp directory; on a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="crawlq-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -78,12 +78,12 @@ SELECT CAST(event_id AS STRING) AS id, event_type || ' service' AS title, 'value
  CASE WHEN user_id%3=0 THEN NULL ELSE 'ext_' || CAST(user_id AS STRING) END AS extension_id,
  CASE WHEN user_id%4=0 THEN NULL WHEN user_id%4=1 THEN 'alpha' ELSE 'beta site' END AS platform,
  CASE WHEN user_id%5=0 THEN '' ELSE 'connection' END AS error_type, CAST(NULL AS STRING) AS url,
- props AS additional_context, ts AS reported_at FROM {events} WHERE event_type='error'""",
+ props AS additional_context, ts AS reported_at FROM {events}""",
     # status_patch: about half the ids are unknown to url_queue; ids unique.
     "status_patch": """
 SELECT CAST(event_id*3 AS STRING) AS id,
  CASE WHEN event_id%3=0 THEN 'processing' WHEN event_id%3=1 THEN 'completed' ELSE 'failed' END AS status
- FROM {events} WHERE event_type='click'""",
+ FROM {events}""",
     "profile_raw": """
 SELECT CASE WHEN c_custkey%31=0 THEN 'undefined' WHEN c_custkey%37=0 THEN '' ELSE CAST(c_custkey AS STRING) END AS account_id,
  CASE WHEN c_custkey%29=0 THEN 'null' ELSE c_name END AS username, CASE WHEN c_custkey%3=0 THEN NULL ELSE c_mktsegment END AS gender,
@@ -112,7 +112,7 @@ SELECT CAST(l_orderkey*10+l_linenumber AS STRING) AS id,
 SELECT CAST(event_id AS STRING) AS id,
  CASE WHEN user_id%10=0 THEN NULL ELSE 'ext_' || CAST(user_id%7 AS STRING) END AS extension_id,
  CASE WHEN user_id%9=0 THEN NULL ELSE user_id*10 END AS current_start
- FROM {events} WHERE event_type='signup'""",
+ FROM {events}""",
     # keyword_batch: one keyword request per order (batch_id); a seventh of
     # the lines name a keyword already queued, some are blank.
     "keyword_batch": """
@@ -190,11 +190,6 @@ def with_ctes(body: str, *names: str, ctes: str = "") -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
-# Group size bound for the array-shaped stand-ins below: rows are grouped by
-# (account, ordinal DIV ARRAY_BUCKET), so no collected array exceeds it.
-ARRAY_BUCKET = 8
-
-
 def social_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming social profiles: the ``social_profile`` adapter with its two
     friend columns as ``friend_lists`` (a NULL friend stays a NULL item)."""
@@ -208,19 +203,14 @@ def social_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with ``posts`` arrays built from the ``post`` adapter.
 
-    Posts are grouped by (account, turn DIV ARRAY_BUCKET) and sorted by turn;
-    every seventh turn is a NULL item.  ``account_id`` is
-    ``<account>-<bucket>``.
+    All posts of a conversation are one array, sorted by turn; every seventh
+    turn is a NULL item.  The array is a cell of the profile row it stands for.
     """
     from pyspark.sql import functions as F
 
     p = load_adapter(spark, sf_dir, "post")
-    bucket = F.floor(F.col("turn") / ARRAY_BUCKET)
     item = F.struct("turn", (F.col("turn") % 7 == 6).alias("gap"),
                     F.struct("content", "time").alias("post"))
-    grouped = (p.groupBy("account_id", bucket.alias("bucket"))
-               .agg(F.array_sort(F.collect_list(item)).alias("items")))
+    grouped = p.groupBy("account_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     posts = F.transform("items", lambda x: F.when(~x["gap"], x["post"]))
-    return grouped.select(
-        F.concat_ws("-", "account_id", F.col("bucket").cast("string")).alias("account_id"),
-        posts.alias("posts"))
+    return grouped.select("account_id", posts.alias("posts"))

@@ -55,6 +55,15 @@ def land(stream: DataFrame, path: str, checkpoint: str, available_now: bool = Tr
     return writer.start()
 
 
+def _finish(query, timeout_s: float | None) -> None:
+    """Wait for an available-now stream; stop it and raise if it isn't done in time."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream had not landed all its input after {timeout_s} s")
+
+
 def stream_append(spark: SparkSession, stream: DataFrame, path: str | None = None,
                   checkpoint: str | None = None, timeout_s: float | None = None) -> DataFrame:
     """Land the stream (available-now) and return the landed table.
@@ -65,7 +74,7 @@ def stream_append(spark: SparkSession, stream: DataFrame, path: str | None = Non
     path = path or scratch_path(spark, "landed")
     checkpoint = checkpoint or scratch_path(spark, "landed-ckpt")
     q = land(stream, path, checkpoint)
-    q.awaitTermination(timeout_s)
+    _finish(q, timeout_s)
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(path).drop(ARRIVAL_COL)
@@ -102,7 +111,7 @@ def stream_upsert(spark: SparkSession, target: DataFrame, stream: DataFrame,
     path = path or scratch_path(spark, "patches")
     checkpoint = checkpoint or scratch_path(spark, "patches-ckpt")
     q = land(stream, path, checkpoint)
-    q.awaitTermination(timeout_s)
+    _finish(q, timeout_s)
     if q.exception() is not None:
         raise q.exception()
     return merge_landed(spark, target, path, apply, key, order)

@@ -234,7 +234,31 @@ def test_json_ready_drops_nested_null_items(spark):
 def test_nested_rollup_map_form(spark):
     df = spark.createDataFrame([("pending", None), (None, ""), ("done", "x"), ("done", "x")],
                                "status string, extension_id string")
-    rep = stats.nested_rollup(stats.stats_owner_rollup(df), "status", "extension_id").first()["report"]
-    assert rep == {"done": {"x": 2}, "pending": {"unassigned": 2}}
-    with pytest.raises(ValueError):
-        stats.nested_rollup(stats.stats_owner_rollup(df), "status", "extension_id", max_rows=1)
+    rows = stats.nested_rollup(stats.stats_owner_rollup(df), "status", "extension_id").collect()
+    assert {r["status"]: r["counts"] for r in rows} == {"done": {"x": 2}, "pending": {"unassigned": 2}}
+
+
+def test_iso_time_forms(spark):
+    texts = ["2024-01-01", "2024-01-01T10", "2024-01-01T10:00:00", "2024-01-01 10:00:00.5+01:00", "2024", "2024-1-5", "12:30", " 2024-01-01 ", "2 hrs", "2024-13-01"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["ok"] for r in df.select("t", C.is_iso_time("t").alias("ok")).collect()}
+    assert [got[t] for t in texts] == [True] * 4 + [False] * 6
+
+
+def test_keyword_requests_share_one_row_and_ids_differ(spark):
+    from crawlq.operators import ingest, merge
+
+    batch = spark.createDataFrame([(1, "new one"), (2, "new one"), (2, "new two")], "b long, keyword string")
+    queue = spark.createDataFrame([("id0", "old" + ingest.KEYWORD_SITE_SUFFIX, "pending")], "id string, keyword string, status string")
+    out = merge.inserted_rows(ingest.create_keywords(batch, queue, batch_col="b")).collect()
+    assert len(out) == 2 and len({r["keyword"] for r in out}) == 2 and len({r["id"] for r in out}) == 2
+
+
+def test_patch_without_status_and_v1_seed_reads(spark):
+    from crawlq.operators import merge, queue_reads
+
+    t = spark.createDataFrame([("a", "pending", 5, None, None)], "id string, status string, start long, processed_at timestamp, updated_at timestamp")
+    out = merge.patch_status(t, spark.createDataFrame([("a", 9)], "id string, start long"), extra=["start"]).first()
+    assert (out["status"], out["start"], out["processed_at"]) == ("pending", 9, None)
+    seeds = spark.createDataFrame([("s", "u", "pending", None, None, None)], "id string, url string, status string, extension_id string, created_at timestamp, updated_at timestamp")
+    assert queue_reads.seed_pending(seeds, "me").count() == 1 and queue_reads.seed_page(seeds).count() == 1
