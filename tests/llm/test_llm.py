@@ -278,11 +278,11 @@ def test_toxicity_gradients_and_windows(spark, odd, none):
 
 def test_toxicity_learns():
     r = np.random.default_rng(5)
-    plain = [" ".join(f"tok{r.integers(0, 200)}" for _ in range(60)) for _ in range(160)]
-    nasty = [" ".join([*t.split()[:30], "vilename", *t.split()[30:]]) for t in plain[:80]]
-    net = toxicity.fit([(t, 1) for t in nasty[:60]] + [(t, 0) for t in plain[80:140]], rounds=1, epochs=6)
-    s = toxicity.Scorer(net).scores(nasty[60:] + plain[140:])
-    assert s[:20].min() > s[20:].max()
+    plain = [" ".join(f"tok{r.integers(0, 200)}" for _ in range(60)) for _ in range(800)]
+    nasty = [" ".join([*t.split()[:30], "vilename", *t.split()[30:]]) for t in plain[:400]]
+    net = toxicity.fit([(t, 1) for t in nasty[:300]] + [(t, 0) for t in plain[400:700]])
+    s = toxicity.Scorer(net).scores(nasty[300:] + plain[700:])
+    assert (s[:100, None] > s[None, 100:]).mean() > 0.95
 
 
 # ---- 6 URL lists ---------------------------------------------------------------------------
@@ -307,8 +307,6 @@ def test_mix(spark, odd, none):
     got = mix.mix_documents(odd).collect()
     assert len(got) == len(ODD) and _sorted(got) == _sorted(mix.mix_documents(odd.repartition(5)).collect())
     assert all(0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size for r in got)
-    n = sum(r.size for r in got)
-    assert abs(sum({(r.source_size, r.target) for r in got} and [t for t in {(r.source_size, r.target): r.target for r in got}.values()]) - 1.5 * n) <= 1.5 * n
     kept = mix.mix_documents(odd, keep=True)
     assert kept.columns == odd.columns and kept.count() == sum(r.copies for r in got)
     assert mix.mix_documents(none).collect() == []
