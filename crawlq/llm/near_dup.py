@@ -17,6 +17,12 @@ start.  Within a band's bucket each member is first compared with the bucket's
 least member; then, only where a bucket still holds several components, its
 pairs across components are compared.  Pairs within a component add nothing,
 so a group of thousands of near copies costs about one comparison a member.
+
+Pairs across components are found by a common shingle, not by the bucket alone
+(``_across``), as a passage in thousands of unlike documents would fill its
+buckets with pairs.  With the shingles of each set in one common order, rarest
+first, two sets of similarity 0.75 share one among the first
+n - ceil(0.75 n) + 1 of each, whatever the order.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlq.llm.common import maybe_broadcast, stored
@@ -135,6 +141,46 @@ def _fits(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that can be near duplicates.
+
+    ``rest`` has the members (band, sig, n, root) of the buckets with several
+    components.  Shingles found in one component only come first in the order,
+    the others by how many sets have them.  Those of one component can't match
+    another's, so only the others become rows: where a set has ``s`` of them,
+    n - s places of its prefix are taken already.  As a pair has at most the
+    lesser s in common, 175 * least(s) >= 75 * (n + n2) must hold.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                b = batch.slice(k, 256)
+                items = [np.frombuffer(x.as_py(), np.int64) for x in b.column("items")]
+                at = pa.array(np.repeat(np.arange(len(items)), [len(x) for x in items]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), *(b.column(c).take(at) for c in ("sig", "n", "root"))],
+                                                 names=["item", "sig", "n", "root"])
+
+    members = stored(rest.groupBy("sig", "n", "root").agg(F.collect_list("band").alias("in_bands")), "dup-open")
+    own = sets.select(F.col("sig").alias("s_"), "items")
+    rows = members.join(own, F.col("sig") == F.col("s_")).select("sig", "n", "root", "items")
+    rows = stored(rows.mapInArrow(run, "item long, sig binary, n long, root binary"), "dup-items")
+    common = stored(rows.groupBy("item").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+                    .select(F.col("item").alias("i_"), "c"), "dup-common")
+    of_set = Window.partitionBy("sig")
+    ranked = (rows.join(common, F.col("item") == F.col("i_")).select("item", "c", "sig", "n", "root")
+              .withColumn("s", F.count("*").over(of_set)).withColumn("at", F.row_number().over(of_set.orderBy("c", "item"))))
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("s"))
+    heads = stored(ranked.where((100 * F.col("s") >= PERCENT * F.col("n")) & (F.col("at") <= prefix))
+                   .join(members.select(F.col("sig").alias("m_"), "in_bands"), F.col("sig") == F.col("m_"))
+                   .select("item", "sig", "n", "root", "s", "in_bands"), "dup-heads")
+    other = heads.select(F.col("item").alias("item2"), F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"),
+                         F.col("s").alias("s2"), F.col("in_bands").alias("in_bands2"))
+    enough = (100 + PERCENT) * F.least("s", "s2") >= PERCENT * (F.col("n") + F.col("n2"))
+    return (heads.join(other, (F.col("item") == F.col("item2")) & (F.col("root") < F.col("root2")) & _fits("n", "n2") & enough
+                       & F.arrays_overlap("in_bands", "in_bands2"))
+            .select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -171,9 +217,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     split = stored(labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
                    .select(F.col("band").alias("bucket")), "dup-split")
     rest = stored(labelled.join(split, F.col("band") == F.col("bucket")).select("band", "sig", "n", "root"), "dup-rest")
-    other = rest.select(F.col("band").alias("band2"), F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    across = (rest.join(other, (F.col("band") == F.col("band2")) & (F.col("root") < F.col("root2")) & _fits("n", "n2"))
-              .select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct())
+    across = _across(rest, sets)
     tried = first.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
     across = across.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
     more = stored(_confirm(stored(across, "dup-across"), sets), "dup-links")
