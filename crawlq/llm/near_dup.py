@@ -22,7 +22,8 @@ Pairs across components are found by a common shingle, not by the bucket alone
 (``_across``), as a passage in thousands of unlike documents would fill its
 buckets with pairs.  With the shingles of each set in one common order, rarest
 first, two sets of similarity 0.75 share one among the first
-n - ceil(0.75 n) + 1 of each, whatever the order.
+n - ceil(0.75 n) + 1 of each, whatever the order.  Bitmaps then rule out pairs
+whose sets differ in too many shingles: both tests are exact.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from crawlq.llm.shingles import mix64, shingle_set
 
 BANDS, ROWS = 72, 7
 PERCENT = 75
+WORDS = 16                  # 64-bit words of a set's bitmap
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -75,6 +77,16 @@ def band_hashes(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """A bit for each hash value class: whether an odd number of items falls into it.
+
+    Bitmaps of two sets differ in at most as many bits as the sets in items.
+    """
+    out = np.zeros(WORDS, np.uint64)
+    np.bitwise_xor.at(out, ((items >> _S32) * np.uint64(WORDS)) >> _S32, np.uint64(1) << (items & np.uint64(63)))
+    return out
+
+
 def _base(docs: DataFrame) -> DataFrame:
     """doc_id, h (text hash), n_shingles, sig (128-bit digest of the set, null if empty), bands."""
 
@@ -97,22 +109,25 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, items) of the classes in ``wanted`` (sig, doc): their sets, from whole texts again."""
+    """(sig, items, bits) of the classes in ``wanted`` (sig, doc): their sets, from whole texts again, and bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, items = [], []
+            sig, items, bits = [], [], []
             for text, want in zip(batch.column("text"), batch.column("sig")):
-                s = shingle_set(text.as_py()).tobytes()
-                if xxhash.xxh3_128_digest(s) == want.as_py():    # not another row of the same id
+                s = shingle_set(text.as_py())
+                raw = s.tobytes()
+                if xxhash.xxh3_128_digest(raw) == want.as_py():    # not another row of the same id
                     sig.append(want.as_py())
-                    items.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(items, pa.binary())], names=["sig", "items"])
+                    items.append(raw)
+                    bits.append(bitmap(s).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(items, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                                             names=["sig", "items", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = rows.join(maybe_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("doc")))
-    return (found.select("text", "sig").mapInArrow(run, "sig binary, items binary")
-            .groupBy("sig").agg(F.max("items").alias("items")))
+    return (found.select("text", "sig").mapInArrow(run, "sig binary, items binary, bits array<long>")
+            .groupBy("sig").agg(F.max("items").alias("items"), F.max("bits").alias("bits")))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -141,6 +156,25 @@ def _fits(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, that are not among ``tried`` in either order."""
+    new = _ordered(pairs).select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct()
+    return new.join(_ordered(tried), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+
+
+def _split(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(band, sig, n, root) of the buckets that hold several components."""
+    labelled = stored(rows.select("band", "sig", "n").join(nodes, F.col("sig") == F.col("node"), "left")
+                      .select("band", "sig", "n", F.coalesce("root", "sig").alias("root")), "dup-labelled")
+    split = stored(labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+                   .select(F.col("band").alias("bucket")), "dup-split")
+    return stored(labelled.join(split, F.col("band") == F.col("bucket")).select("band", "sig", "n", "root"), "dup-rest")
+
+
 def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in one bucket that can be near duplicates.
 
@@ -149,7 +183,8 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     the others by how many sets have them.  Those of one component can't match
     another's, so only the others become rows: where a set has ``s`` of them,
     n - s places of its prefix are taken already.  As a pair has at most the
-    lesser s in common, 175 * least(s) >= 75 * (n + n2) must hold.
+    lesser s in common, 175 * least(s) >= 75 * (n + n2) must hold, and as it
+    differs in at most (n + n2) / 7 shingles, so do its bitmaps.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +195,8 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), *(b.column(c).take(at) for c in ("sig", "n", "root"))],
                                                  names=["item", "sig", "n", "root"])
 
-    members = stored(rest.groupBy("sig", "n", "root").agg(F.collect_list("band").alias("in_bands")), "dup-open")
+    bands = rest.groupBy(F.col("sig").alias("m"), "n", "root").agg(F.collect_list("band").alias("in_bands"))
+    members = stored(bands.join(sets.select("sig", "bits"), F.col("m") == F.col("sig")).select("sig", "n", "root", "in_bands", "bits"), "dup-open")
     own = sets.select(F.col("sig").alias("s_"), "items")
     rows = members.join(own, F.col("sig") == F.col("s_")).select("sig", "n", "root", "items")
     rows = stored(rows.mapInArrow(run, "item long, sig binary, n long, root binary"), "dup-items")
@@ -171,12 +207,14 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
               .withColumn("s", F.count("*").over(of_set)).withColumn("at", F.row_number().over(of_set.orderBy("c", "item"))))
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("s"))
     heads = stored(ranked.where((100 * F.col("s") >= PERCENT * F.col("n")) & (F.col("at") <= prefix))
-                   .join(members.select(F.col("sig").alias("m_"), "in_bands"), F.col("sig") == F.col("m_"))
-                   .select("item", "sig", "n", "root", "s", "in_bands"), "dup-heads")
+                   .join(members.select(F.col("sig").alias("m_"), "in_bands", "bits"), F.col("sig") == F.col("m_"))
+                   .select("item", "sig", "n", "root", "s", "in_bands", *(F.col("bits")[k].alias(f"w{k}") for k in range(WORDS))), "dup-heads")
     other = heads.select(F.col("item").alias("item2"), F.col("sig").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"),
-                         F.col("s").alias("s2"), F.col("in_bands").alias("in_bands2"))
+                         F.col("s").alias("s2"), F.col("in_bands").alias("in_bands2"), *(F.col(f"w{k}").alias(f"v{k}") for k in range(WORDS)))
+    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(WORDS)), F.lit(0))
+    close = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("n2"))
     enough = (100 + PERCENT) * F.least("s", "s2") >= PERCENT * (F.col("n") + F.col("n2"))
-    return (heads.join(other, (F.col("item") == F.col("item2")) & (F.col("root") < F.col("root2")) & _fits("n", "n2") & enough
+    return (heads.join(other, (F.col("item") == F.col("item2")) & (F.col("root") < F.col("root2")) & _fits("n", "n2") & enough & close
                        & F.arrays_overlap("in_bands", "in_bands2"))
             .select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct())
 
@@ -212,15 +250,8 @@ def _groups(docs: DataFrame) -> DataFrame:
     nodes = stored(components(links), "dup-nodes")
 
     # Buckets that still hold several components: compare across them.
-    labelled = stored(members.join(nodes, F.col("sig") == F.col("node"), "left")
-                      .select("band", "sig", "n", F.coalesce("root", "sig").alias("root")), "dup-labelled")
-    split = stored(labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-                   .select(F.col("band").alias("bucket")), "dup-split")
-    rest = stored(labelled.join(split, F.col("band") == F.col("bucket")).select("band", "sig", "n", "root"), "dup-rest")
-    across = _across(rest, sets)
-    tried = first.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-    across = across.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    more = stored(_confirm(stored(across, "dup-across"), sets), "dup-links")
+    across = _across(_split(members, nodes), sets)
+    more = stored(_confirm(stored(_untried(across, first), "dup-across"), sets), "dup-links")
     if more.limit(1).count():
         nodes = stored(components(links.unionByName(more)), "dup-nodes")
 

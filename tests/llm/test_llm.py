@@ -184,6 +184,30 @@ def test_near_duplicates_equal_brute_force(spark):
     assert _sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _sorted(_components([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_near_duplicates_of_unlike_copies_and_a_common_passage(spark):
+    r = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(120):                     # edited in different places: some pairs are near, others just miss
+        words = list(base)
+        for k in r.choice(80, int(r.integers(1, 4)), replace=False):
+            words[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, PASSAGE + " " + " ".join(f"own{i}x{k}" for k in range(int(r.integers(5, 60))))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_dup.near_duplicates(docs).collect()
+    assert _sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _sorted(_components(rows))
+
+
+def test_bitmaps_never_differ_in_more_than_the_sets():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 2 ** 63, 3000).astype(np.uint64)
+    for n in (1, 10, 500, 2000):
+        a, b = set(x[:n].tolist()), set(x[n // 3:n + n // 4].tolist())
+        bits = np.bitwise_xor(near_dup.bitmap(x[:n]), near_dup.bitmap(x[n // 3:n + n // 4]))
+        assert sum(bin(int(w)).count("1") for w in bits) <= len(a ^ b)
+
+
 def test_one_of_each(spark, odd):
     left = near_dup.one_of_each(odd)
     assert left.columns == odd.columns
