@@ -178,11 +178,18 @@ def flatten_about(col: Column | str) -> Column:
 
 def iso_format(ts: Column | str, utc_suffix: bool = True) -> Column:
     """ISO-8601 text of a timestamp (microseconds only when non-zero),
-    with ``+00:00`` for UTC instants; NULL stays NULL."""
+    with ``+00:00`` for UTC instants; NULL stays NULL.
+
+    A zoned timestamp is written as its UTC wall time whatever the session's
+    zone is; a timestamp without a zone is taken as UTC wall time already.
+    """
     t = _c(ts)
-    base = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(t, "SSSSSS")
-    text = F.when(micros == "000000", base).otherwise(F.concat(base, F.lit("."), micros))
+    utc = F.timestamp_add("MICROSECOND", F.unix_micros(t.cast("timestamp")),
+                          F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    wall = F.when(F.typeof(t) == "timestamp", utc).otherwise(t.cast("timestamp_ntz")).cast("string")
+    base = F.translate(F.substring(wall, 1, 19), " ", "T")
+    micros = F.substring(wall, 21, 6)
+    text = F.when(micros == "", base).otherwise(F.concat(base, F.lit("."), F.rpad(micros, 6, "0")))
     return F.concat(text, F.lit("+00:00")) if utc_suffix else text
 
 

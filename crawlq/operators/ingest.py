@@ -90,6 +90,16 @@ def keyword_conflicts(batch: DataFrame, queue: DataFrame, col: str = "keyword",
     return out.withColumn("verdict", verdict)
 
 
+def keyword_conflict_list(batch: DataFrame, queue: DataFrame, col: str = "keyword",
+                          suffix: str = KEYWORD_SITE_SUFFIX,
+                          batch_col: str | None = None) -> DataFrame:
+    """The keywords behind :func:`keyword_conflicts`: one row per request
+    and distinct keyword, with ``exists``."""
+    kw = distinct_keywords(batch, col, suffix, batch_col)
+    return joins.key_exists(kw, queue.select("keyword"), "keyword").select(
+        *([batch_col] if batch_col else []), "original", "keyword", "exists")
+
+
 def _with_ids(rows: DataFrame, id_expr: Column | None) -> DataFrame:
     """Rows with new random ids are stored once, so every later read sees the same ids."""
     return rows if id_expr is not None else merge.materialize(rows)
@@ -205,12 +215,14 @@ def append_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
 def ingest_profile_social(batch: DataFrame, profiles: DataFrame, url_queue: DataFrame,
                           mode: str = "single", max_depth: int = MAX_CRAWL_DEPTH,
                           url_base: str = FRIEND_URL_BASE, now: Column | None = None,
-                          id_expr: Column | None = None,
+                          id_expr: Column | None = None, order: str | None = None,
                           broadcast_max_rows: int | None = None
                           ) -> tuple[DataFrame, DataFrame]:
     """Second-platform profiles and their friends' URLs.
 
     ``single``: clean (P2), normalise (P3), insert if the account is absent.
+    Every row is a request of its own, so the first of an account goes in (by
+    the column ``order``, or by its values) and later ones find it written.
     ``batch``: normalise (P3) and append.  Rejected rows (no account_id or
     username) are marked ``reject`` in the profile result and expand nothing.
     Then the friend lists of the accepted rows are expanded into new URL
@@ -222,7 +234,8 @@ def ingest_profile_social(batch: DataFrame, profiles: DataFrame, url_queue: Data
     norm = _with_ids(N.normalize_profile_social(incoming, now, id_expr), id_expr)
     ok = N.valid_rows(norm)
     if mode == "single":
-        prof = merge.insert_if_absent(profiles, ok, "account_id",
+        prof = merge.insert_if_absent(profiles, ok, "account_id", dedupe=True,
+                                      order=F.lit(0) if order is None else order,
                                       broadcast_max_rows=broadcast_max_rows)
     elif mode == "batch":
         prof = append_rows(profiles, ok)

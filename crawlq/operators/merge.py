@@ -41,6 +41,9 @@ CONF_MAX_BYTES = "crawlq.merge.broadcastMaxBytes"
 _S = "_s_"  # prefix of source columns inside a merge
 _T_HIT, _S_HIT = "_t_hit", "_s_hit"
 
+# Landed patches carry their order of arrival in this column.
+ORDER_COL = "_order"
+
 
 # ------------------------------------------------------------------ helpers
 
@@ -89,17 +92,21 @@ def latest_per_key(df: DataFrame, key: str, order: str | Column,
                    latest: bool = True) -> DataFrame:
     """One row per key: the one with the greatest (``latest``) or smallest ``order``.
 
-    ``max_by``/``min_by`` are partial aggregates, so hot keys are reduced on
-    the map side.  Ties on ``order`` are broken by the row's own values (when
-    its columns are orderable), which keeps the pick deterministic across task
-    retries.
+    A partial aggregate, so hot keys are reduced on the map side.  Ties on
+    ``order`` are broken by the row's own values (when its columns are
+    orderable), which keeps the pick deterministic across task retries.  Where
+    all columns are orderable the row is carried once, behind its order.
     """
     order_c = F.col(order) if isinstance(order, str) else order
     others = [c for c in df.columns if c != key]
     if not others:
         return df.dropDuplicates([key])
-    row = F.struct(*[F.col(c) for c in others])
     tie = [F.col(c) for c in others if _orderable(df.schema[c].dataType)]
+    if len(tie) == len(others):
+        ranked = F.struct(order_c.alias("_order"), F.struct(*tie).alias("_row"))
+        pick = F.max(ranked) if latest else F.min(ranked)
+        return df.groupBy(key).agg(pick.getField("_row").alias("_row")).select(key, "_row.*")
+    row = F.struct(*[F.col(c) for c in others])
     ord_key = F.struct(order_c, *tie) if tie else order_c
     pick = F.max_by(row, ord_key) if latest else F.min_by(row, ord_key)
     return df.groupBy(key).agg(pick.alias("_row")).select(key, "_row.*")
@@ -393,8 +400,19 @@ def _stamp(now: Column | None) -> Column:
     return F.current_timestamp() if now is None else now
 
 
+def _patch_order(patch: DataFrame, order: str | None) -> str | None:
+    """The column that orders the patches of one key: landed streams bring one."""
+    return ORDER_COL if order is None and ORDER_COL in patch.columns else order
+
+
+def _last_patch(good: DataFrame, key: str, order: str | None) -> DataFrame:
+    """The last patch of each key by ``order``; without one the rows as they are."""
+    return good if order is None else latest_per_key(good, key, order).drop(order)
+
+
 def patch_status(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                  key: str = "id", extra: Sequence[str] = (), on_missing: str = "reject",
+                 order: str | None = None,
                  broadcast_max_rows: int | None = None) -> DataFrame:
     """M7: set ``status`` (and allowed ``extra`` columns) by id.
 
@@ -402,13 +420,28 @@ def patch_status(target: DataFrame, patch: DataFrame, now: Column | None = None,
     Rows moving to ``processing`` also get ``processed_at = now``; rows moving
     elsewhere keep their ``processed_at``.  ``updated_at = now`` always.
     Unknown ids are rejected (``on_missing="insert"`` inserts them).
+
+    Several patches of one id count as applied one by one in the order of the
+    column ``order``: the last one's values stay, and ``processed_at`` is
+    stamped if any of them moved the row to ``processing``.  Patches equal in
+    ``order`` count as ordered by their values.  ``order`` is ``_order`` by
+    default where the patches have that column; without an order, repeats
+    fail the job.
     """
+    order = _patch_order(patch, order)
     good, bad = split_required(patch, [key])
     ts = _stamp(now)
     has_status = "status" in patch.columns
     given = [*(["status"] if has_status else []), *extra]
-    started = [F.when(F.col("status") == PROCESSING, ts).alias("processed_at")] if has_status else []
-    p = good.select(key, *given, *started, ts.alias("updated_at"))
+    if order is None:
+        p = good.select(key, *given, *([(F.col("status") == PROCESSING).alias("_started")] if has_status else []))
+    else:
+        started = [F.max(F.col("status") == PROCESSING).alias("_started")] if has_status else []
+        last = F.max_by(F.struct(*given), F.struct(order, *[
+            F.col(c) for c in given if _orderable(good.schema[c].dataType)])).alias("_last")
+        p = good.groupBy(key).agg(last, *started).select(key, "_last.*", *(["_started"] if has_status else []))
+    stamp = [F.when(F.col("_started"), ts).alias("processed_at")] if has_status else []
+    p = p.select(key, *given, *stamp, ts.alias("updated_at"))
     merged = upsert(target, p, key, keep_on_null=["processed_at"] if has_status else [],
                     on_missing=on_missing,
                     broadcast_max_rows=broadcast_max_rows)
@@ -417,27 +450,38 @@ def patch_status(target: DataFrame, patch: DataFrame, now: Column | None = None,
 
 def claim_owner(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                 key: str = "id", on_missing: str = "reject", require_owner: bool = True,
+                order: str | None = None,
                 broadcast_max_rows: int | None = None) -> DataFrame:
     """M8: set ``extension_id`` and ``updated_at``.
 
     The id is required.  Keyword claims also require a non-empty owner;
     seed claims (``require_owner=False``) accept any owner value, an empty
-    or NULL one included (which releases the seed).
+    or NULL one included (which releases the seed).  Of several claims of one
+    id the last by ``order`` stays (see :func:`patch_status`).
     """
+    order = _patch_order(patch, order)
     required = [key, "extension_id"] if require_owner else [key]
-    good, bad = split_required(patch.select(key, "extension_id"), required)
-    p = good.select(key, "extension_id", _stamp(now).alias("updated_at"))
+    good, bad = split_required(patch.select(key, "extension_id", *([order] if order else [])), required)
+    bad = bad.select(key, "extension_id")
+    p = _last_patch(good, key, order).select(key, "extension_id", _stamp(now).alias("updated_at"))
     merged = upsert(target, p, key, on_missing=on_missing, broadcast_max_rows=broadcast_max_rows)
     return _with_rejects(merged, bad, "id and extension_id are required")
 
 
 def claim_processing(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                      key: str = "id", on_missing: str = "reject",
+                     order: str | None = None,
                      broadcast_max_rows: int | None = None) -> DataFrame:
-    """M9: status ``processing``, owner, ``processed_at`` and ``updated_at`` at once."""
-    good, bad = split_required(patch.select(key, "extension_id"), [key, "extension_id"])
+    """M9: status ``processing``, owner, ``processed_at`` and ``updated_at`` at once.
+
+    Of several claims of one id the last by ``order`` stays.
+    """
+    order = _patch_order(patch, order)
+    good, bad = split_required(patch.select(key, "extension_id", *([order] if order else [])),
+                               [key, "extension_id"])
+    bad = bad.select(key, "extension_id")
     ts = _stamp(now)
-    p = good.select(key, F.lit(PROCESSING).alias("status"), "extension_id",
+    p = _last_patch(good, key, order).select(key, F.lit(PROCESSING).alias("status"), "extension_id",
                     ts.alias("processed_at"), ts.alias("updated_at"))
     merged = upsert(target, p, key, on_missing=on_missing, broadcast_max_rows=broadcast_max_rows)
     return _with_rejects(merged, bad, "id and extension_id are required")
@@ -445,12 +489,17 @@ def claim_processing(target: DataFrame, patch: DataFrame, now: Column | None = N
 
 def advance_cursor(target: DataFrame, patch: DataFrame, now: Column | None = None, *,
                    key: str = "id", cursor: str = "start", on_missing: str = "reject",
+                   order: str | None = None,
                    broadcast_max_rows: int | None = None) -> DataFrame:
-    """Set the integer paging cursor (0 allowed, NULL rejected) and ``updated_at``."""
-    pt = patch.select(key, F.col(cursor).alias("start"))
+    """Set the integer paging cursor (0 allowed, NULL rejected) and ``updated_at``.
+
+    Of several moves of one id the last valid one by ``order`` stays.
+    """
+    order = _patch_order(patch, order)
+    pt = patch.select(key, F.col(cursor).alias("start"), *([order] if order else []))
     ok = F.col(key).isNotNull() & (F.col(key) != "") & F.col("start").isNotNull()
-    good, bad = pt.filter(ok), pt.filter(~ok)
-    p = good.select(key, F.col("start").cast("long").alias("start"),
+    good, bad = pt.filter(ok), pt.filter(~ok).select(key, "start")
+    p = _last_patch(good, key, order).select(key, F.col("start").cast("long").alias("start"),
                     _stamp(now).alias("updated_at"))
     merged = upsert(target, p, key, on_missing=on_missing, broadcast_max_rows=broadcast_max_rows)
     return _with_rejects(merged, bad, "id and current_start are required")

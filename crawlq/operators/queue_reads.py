@@ -56,6 +56,19 @@ def top_k(df: DataFrame, keys: Iterable[Column], limit: int, offset: int = 0) ->
     return ordered.limit(limit)
 
 
+def _after(stamp: str, after: tuple | None) -> Column:
+    """Keyset paging: rows behind (``stamp`` value, id) in the order newest
+    first, NULL stamps last, then by id.  No task holds the pages before."""
+    if after is None:
+        return F.lit(True)
+    value, last_id = after
+    at, later = F.col(stamp), F.col("id") > _lit(last_id)
+    if value is None:
+        return at.isNull() & later
+    v = _lit(value)
+    return at.isNull() | (at < v) | ((at == v) & later)
+
+
 def _unowned() -> Column:
     return _owner().isNull() | (_owner() == "")
 
@@ -115,10 +128,14 @@ def seed_pending(df: DataFrame, owner: str | Column,
 
 
 def seed_page(df: DataFrame, status: str | None = None, limit: int = LIMIT_SEEDS_PAGE[0],
-              offset: int = 0) -> DataFrame:
-    """One page of seeds, newest first, optionally of one status."""
+              offset: int = 0, after: tuple | None = None) -> DataFrame:
+    """One page of seeds, newest first, optionally of one status.
+
+    ``after`` = (``created_at``, ``id``) of the last row seen starts the page
+    behind it, which suits deep pages better than ``offset``.
+    """
     check_bounds(limit, offset, LIMIT_SEEDS_PAGE)
-    rows = df.filter(_status() == status) if status else df
+    rows = (df.filter(_status() == status) if status else df).filter(_after("created_at", after))
     return top_k(rows, [_created().desc_nulls_last()], limit, offset).select(
         *_seed_cols(df, "id", "url", "max_profiles", "status", "extension_id", "created_at", "updated_at"))
 
@@ -189,14 +206,19 @@ def urls_by_keyword(df: DataFrame, keyword_id: str | Column,
             .select("id", "url", "status", F.col(key_col).alias("keyword_id")))
 
 
-def profile_page(df: DataFrame, limit: int = LIMIT_PROFILES[0], offset: int = 0) -> DataFrame:
+def profile_page(df: DataFrame, limit: int = LIMIT_PROFILES[0], offset: int = 0,
+                 after: tuple | None = None) -> DataFrame:
     """One page of profiles, most recently updated first.
 
+    ``after`` = (``updated_at``, ``id``) of the last row seen starts the page
+    behind it.
+
     The original read also filters on a ``platform`` column that its table
     does not have; that predicate is dropped.
     """
     check_bounds(limit, offset, LIMIT_PROFILES)
-    return top_k(df, [F.col("updated_at").desc_nulls_last()], limit, offset).select(
+    rows = df.filter(_after("updated_at", after))
+    return top_k(rows, [F.col("updated_at").desc_nulls_last()], limit, offset).select(
         "id", "username", "title", "location")
 
 

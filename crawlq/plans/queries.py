@@ -117,6 +117,17 @@ def q_seed_page(spark, sf_dir):
     return queue_reads.seed_page(_t(spark, sf_dir, "seed_queue"), None, 100, 20)
 
 
+@register("seed_page_after", with_ctes(
+    "SELECT id, url, max_profiles, status, extension_id, created_at, updated_at FROM seed_queue "
+    "WHERE created_at IS NULL OR created_at < TIMESTAMP '1995-01-01' "
+    "OR (created_at = TIMESTAMP '1995-01-01' AND id > '5') "
+    f"ORDER BY created_at DESC NULLS LAST, id {_NF} LIMIT 100", "seed_queue"))
+def q_seed_page_after(spark, sf_dir):
+    """The page of 100 seeds behind a given (created_at, id), newest first."""
+    return queue_reads.seed_page(_t(spark, sf_dir, "seed_queue"), None, 100,
+                                 after=(F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00")), "5"))
+
+
 @register("seed_page_failed", with_ctes(
     "SELECT id, url, max_profiles, status, extension_id, created_at, updated_at FROM seed_queue "
     f"WHERE status = 'failed' ORDER BY created_at DESC NULLS LAST, id {_NF} LIMIT 100",
@@ -278,13 +289,16 @@ def _null_cols(names, given):
     return ", ".join(given.get(c, "NULL") + f" AS {c}" for c in names)
 
 
-@register("patch_status", with_ctes(
+_PATCHED = (
     f"SELECT {_cols('u', _URLQ, {'status': 'CASE WHEN p.id IS NOT NULL THEN p.status ELSE u.status END', 'processed_at': 'CASE WHEN p.id IS NOT NULL THEN COALESCE(p.processed_at, u.processed_at) ELSE u.processed_at END', 'updated_at': 'CASE WHEN p.id IS NOT NULL THEN p.updated_at ELSE u.updated_at END'})}, "
     "CASE WHEN p.id IS NOT NULL THEN 'update' ELSE 'keep' END AS _action "
     "FROM url_queue u LEFT JOIN p ON u.id = p.id "
     f"UNION ALL SELECT {_null_cols(_URLQ, {'id': 'p.id', 'status': 'p.status', 'processed_at': 'p.processed_at', 'updated_at': 'p.updated_at'})}, 'reject' "
-    "FROM p WHERE NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.id = p.id)",
-    "url_queue", "status_patch",
+    "FROM p WHERE NOT EXISTS (SELECT 1 FROM url_queue u WHERE u.id = p.id)")
+
+
+@register("patch_status", with_ctes(
+    _PATCHED, "url_queue", "status_patch",
     ctes=f"""p AS (SELECT id, status, CASE WHEN status = 'processing' THEN {NOW_SQL} END AS processed_at,
               {NOW_SQL} AS updated_at FROM status_patch)"""))
 def q_patch_status(spark, sf_dir):
@@ -294,6 +308,18 @@ def q_patch_status(spark, sf_dir):
                               _now())
 
 
+@register("patch_status_repeated", with_ctes(
+    _PATCHED, "url_queue", "user_patch",
+    ctes=f"""p AS (SELECT id, arg_max(status, seq) AS status,
+              CASE WHEN bool_or(status = 'processing') THEN {NOW_SQL} END AS processed_at,
+              {NOW_SQL} AS updated_at FROM user_patch GROUP BY id)"""))
+def q_patch_status_repeated(spark, sf_dir):
+    """Many status patches per id, folded in their order: last status, and the
+    stamp of any move to processing."""
+    return merge.patch_status(_t(spark, sf_dir, "url_queue"), _t(spark, sf_dir, "user_patch"),
+                              _now(), order="seq")
+
+
 @register("affected_rows", with_ctes(
     "SELECT a AS _action, count(*) AS n FROM ("
     "SELECT CASE WHEN p.id IS NOT NULL THEN 'update' ELSE 'keep' END AS a "
@@ -467,6 +493,15 @@ def q_keyword_conflicts(spark, sf_dir):
                                     suffix=KEYWORD_SUFFIX, batch_col="batch_id")
 
 
+@register("keyword_conflict_list", with_ctes(
+    "SELECT batch_id, original, keyword, ex AS exists FROM flag", "keyword_batch", "keyword_queue",
+    ctes=_KW_CTES))
+def q_keyword_conflict_list(spark, sf_dir):
+    """Per request: its distinct keywords, each existing or new."""
+    return ingest.keyword_conflict_list(_kw_batch(spark, sf_dir), _t(spark, sf_dir, "keyword_queue"),
+                                        suffix=KEYWORD_SUFFIX, batch_col="batch_id")
+
+
 @register("create_keywords", with_ctes(
     f"SELECT DISTINCT f.keyword, 'pending' AS status, CAST(0 AS INTEGER) AS start, {NOW_SQL} AS created_at, "
     f"{NOW_SQL} AS updated_at, 'insert' AS _action FROM flag f JOIN cnt c ON f.batch_id = c.batch_id "
@@ -926,14 +961,23 @@ def q_stream_append(spark, sf_dir):
 
 @register("stream_upsert", QUERIES["patch_status"].oracle)
 def q_stream_upsert(spark, sf_dir):
-    """Status patches arriving as a stream, landed, reduced to the latest
-    arrival per id and merged into url_queue."""
+    """Status patches arriving as a stream, landed, folded in their
+    order of arrival and merged into url_queue."""
     patches = spark.sql(ADAPTERS["status_patch"], events=_event_stream(spark, sf_dir))
     return stream.stream_upsert(
         spark, _t(spark, sf_dir, "url_queue"), patches,
         lambda target, p: merge.patch_status(target, p, _now()), key="id")
 
 
+@register("stream_upsert_repeated", QUERIES["patch_status_repeated"].oracle)
+def q_stream_upsert_repeated(spark, sf_dir):
+    """Many streamed status patches per id, landed and folded in their order."""
+    patches = spark.sql(ADAPTERS["user_patch"], events=_event_stream(spark, sf_dir))
+    return stream.stream_upsert(
+        spark, _t(spark, sf_dir, "url_queue"), patches,
+        lambda target, p: merge.patch_status(target, p, _now()), key="id", order="seq")
+
+
 # ----------------------------------------------------------- sources / sinks
 
 @register("scan", "SELECT o_orderkey, o_orderstatus FROM orders")

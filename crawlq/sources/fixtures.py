@@ -83,6 +83,12 @@ SELECT CAST(event_id AS STRING) AS id, event_type || ' service' AS title, 'value
     "status_patch": """
 SELECT CAST(event_id*3 AS STRING) AS id,
  CASE WHEN event_id%3=0 THEN 'processing' WHEN event_id%3=1 THEN 'completed' ELSE 'failed' END AS status
+ FROM {events}""",
+    # user_patch: many patches per id, to be applied in the order of seq.
+    "user_patch": """
+SELECT CAST(user_id AS STRING) AS id, event_id AS seq,
+ CASE WHEN event_type='click' THEN 'processing' WHEN event_type='purchase' THEN 'completed'
+      WHEN event_type='error' THEN 'failed' ELSE 'pending' END AS status
  FROM {events}""",
     "profile_raw": """
 SELECT CASE WHEN c_custkey%31=0 THEN 'undefined' WHEN c_custkey%37=0 THEN '' ELSE CAST(c_custkey AS STRING) END AS account_id,

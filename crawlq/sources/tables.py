@@ -124,22 +124,17 @@ def append_rows(rows: DataFrame, path: str, schema: StructType,
     return rejected_rows(marked)
 
 
-def _guard_inputs(df: DataFrame, path: str) -> None:
-    target = path.rstrip("/") + "/"
-    for f in df.inputFiles():
-        plain = f.split("://", 1)[-1]
-        if plain.startswith(target.split("://", 1)[-1]):
-            raise ValueError(f"refusing to write {path!r}: the plan reads from it ({f})")
-
-
 def write_merged(merged: DataFrame, path: str, mode: str = "errorifexists",
                  partition_by: Sequence[str] = ()) -> dict[str, int]:
     """A9 + D9: write a merge result as a new table and return the number of
     rows per action, counted during the write itself.
 
-    ``reject`` rows and the action column are not written.
+    ``reject`` rows and the action column are not written.  The result goes to
+    a new path: a path that exists may be one that the plan reads, so other
+    modes are refused.
     """
-    _guard_inputs(merged, path)
+    if mode not in ("errorifexists", "error"):
+        raise ValueError(f"a merge result goes to a new path; mode {mode!r} may overwrite what the plan reads")
     obs = Observation("merge_actions")
     counted = merged.observe(obs, *[
         F.count_if(F.col(ACTION_COL) == a).alias(a)

@@ -6,8 +6,9 @@ writer by arrival wins).  Here an incoming stream is first *landed*: a
 exactly-once files per micro-batch and survives executor or driver loss
 (a restarted query resumes from its checkpoint).  Every landed row carries
 the micro-batch stamp it arrived with.  Merging is then a batch job over
-the landed rows: for each key the latest arrival wins, which is what
-applying the micro-batches one by one in arrival order would produce.
+the landed rows, whose patches carry their order of arrival: the patch
+operators fold them into what applying them one by one in that order gives
+(last values, and a stamp that any of them set).
 
 Paths live under the session's ``spark.checkpoint.dir`` (shared storage on a
 cluster) unless given.  ``foreachBatch`` is not used: in PySpark it needs a
@@ -83,23 +84,25 @@ def stream_append(spark: SparkSession, stream: DataFrame, path: str | None = Non
 def merge_landed(spark: SparkSession, target: DataFrame, landed_path: str,
                  apply: Callable[[DataFrame, DataFrame], DataFrame], key: str,
                  order: str | None = None, since=None) -> DataFrame:
-    """Merge landed patches into ``target``: latest arrival per key wins.
+    """Merge landed patches into ``target`` in their order of arrival.
 
     ``since`` (a timestamp) restricts the merge to rows that arrived after
     it, so a continuously running :func:`land` can be merged periodically,
-    each run picking up only the new micro-batches.  Patches are reduced to
-    the latest arrival per key (ties broken by ``order`` when given) with a
-    partial aggregate, then passed to ``apply`` (e.g.
-    :func:`crawlq.operators.merge.patch_status`), whose result is returned.
+    each run picking up only the new micro-batches.  ``apply`` (e.g.
+    :func:`crawlq.operators.merge.patch_status`) gets all the patches with
+    the column ``_order`` (arrival, then ``order`` when given) and folds those
+    of one ``key`` with partial aggregates; its result is returned.  Give
+    ``order`` where a micro-batch may hold several patches of one key: without
+    it, they count as ordered by their values.  Rows with a NULL ``key`` reach
+    ``apply`` too.
     """
-    from crawlq.operators.merge import latest_per_key
+    from crawlq.operators.merge import ORDER_COL
 
     landed = spark.read.parquet(landed_path)
     if since is not None:
         landed = landed.filter(F.col(ARRIVAL_COL) > F.lit(since))
     ordering = F.struct(ARRIVAL_COL, order) if order else F.struct(ARRIVAL_COL)
-    latest = latest_per_key(landed.withColumn("_ord", ordering), key, "_ord")
-    return apply(target, latest.drop("_ord", ARRIVAL_COL))
+    return apply(target, landed.withColumn(ORDER_COL, ordering).drop(ARRIVAL_COL))
 
 
 def stream_upsert(spark: SparkSession, target: DataFrame, stream: DataFrame,

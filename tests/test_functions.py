@@ -96,6 +96,19 @@ def test_post_time_iso(spark):
                                         "2025-01-01T00:00:00+00:00", None]
 
 
+def test_iso_format_of_a_zoned_stamp_is_utc_in_any_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = spark.sql("SELECT TIMESTAMP'2025-01-01 00:00:00Z' a, TIMESTAMP'2024-03-10 02:30:00.5Z' b, "
+                        "TIMESTAMP_NTZ'2024-03-10 02:30:00' c, CAST(NULL AS TIMESTAMP) d").select(
+            *[C.iso_format(x).alias(x) for x in "abcd"]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert tuple(got) == ("2025-01-01T00:00:00+00:00", "2024-03-10T02:30:00.500000+00:00",
+                          "2024-03-10T02:30:00+00:00", None)
+
+
 def test_iso_format_micros(spark):
     ts = dt.datetime(2025, 1, 2, 3, 4, 5, 678)
     assert one(spark, C.iso_format("t"), "t timestamp_ntz", ts) == "2025-01-02T03:04:05.000678+00:00"

@@ -266,8 +266,8 @@ def test_stream_upsert_latest_arrival_wins(spark):
     out = stream.stream_upsert(spark, target, patches,
                                lambda t, p: merge.patch_status(t, p, now()), key="id",
                                path=os.path.join(root, "landed"), checkpoint=os.path.join(root, "ck"))
-    got = {r["id"]: r["status"] for r in out.collect()}
-    assert got == {"1": "completed", "2": "failed"}
+    got = {r["id"]: (r["status"], r["processed_at"]) for r in out.collect()}
+    assert got == {"1": ("completed", dt.datetime(2025, 1, 1)), "2": ("failed", None)}  # the stamp of the first patch stays
     arrivals = spark.read.parquet(os.path.join(root, "landed")).select(stream.ARRIVAL_COL).distinct()
     assert arrivals.count() == 2  # two micro-batches
 
@@ -295,3 +295,57 @@ def test_merge_landed_since_picks_only_new_arrivals(spark):
     assert got == {"1": ("pending", "keep"), "2": ("failed", "update")}
     everything = stream.merge_landed(spark, target, landed, apply, "id")
     assert {r["id"]: r["status"] for r in everything.collect()} == {"1": "processing", "2": "failed"}
+
+
+def test_patches_of_one_id_fold_in_order(spark):
+    target = spark.createDataFrame([url_row(1, "a"), url_row(2, "b")], URLS_DDL)
+    patch = spark.createDataFrame(
+        [("1", "completed", 2), ("1", "processing", 1), ("2", "failed", 1), ("2", "pending", 5)],
+        "id string, status string, seq int")
+    out = merge.patch_status(target, patch, now(), order="seq")
+    got = {r["id"]: (r["status"], r["processed_at"], r["_action"]) for r in out.collect()}
+    assert got == {"1": ("completed", dt.datetime(2025, 1, 1), "update"), "2": ("pending", None, "update")}
+    one_by_one = target
+    for s in (1, 2, 5):
+        one_by_one = merge.table_rows(merge.patch_status(one_by_one, patch.filter(f"seq = {s}"), now()))
+    assert {r["id"]: (r["status"], r["processed_at"]) for r in one_by_one.collect()} == \
+        {k: v[:2] for k, v in got.items()}
+
+
+def test_claims_of_one_id_last_wins(spark):
+    target = spark.createDataFrame([("1", "k", None, "pending", 0)],
+                                   "id string, keyword string, extension_id string, status string, start bigint")
+    patch = spark.createDataFrame([("1", "x", 1, 7), ("1", "y", 2, 9), ("1", "", 3, None)],
+                                  "id string, extension_id string, seq int, start int")
+    owner = merge.claim_owner(target, patch, now(), order="seq")
+    assert sorted((r["extension_id"], r["_action"]) for r in owner.collect()) == [("", "reject"), ("y", "update")]
+    cursor = merge.advance_cursor(target, patch, now(), order="seq")
+    assert sorted((str(r["start"]), r["_action"]) for r in cursor.collect()) == [("9", "update"), ("None", "reject")]
+
+
+def test_keyset_page_equals_offset_page(spark):
+    days = [dt.datetime(2024, 1, d) for d in (3, 3, 2, 1)] + [None, None]
+    df = spark.createDataFrame([(str(i), d) for i, d in enumerate(days)], "id string, created_at timestamp_ntz")
+    df = df.selectExpr("id", "'u' AS url", "'pending' AS status", "'' AS extension_id", "created_at",
+                       "created_at AS updated_at")
+    whole = [(r["id"], r["created_at"]) for r in queue_reads.seed_page(df, limit=10).collect()]
+    for k, (i, at) in enumerate(whole):
+        page = queue_reads.seed_page(df, limit=10, after=(at, i)).collect()
+        assert [r["id"] for r in page] == [x for x, _ in whole[k + 1:]]
+
+
+def test_keyword_conflict_list(spark):
+    batch = spark.createDataFrame([(1, " a "), (1, "b"), (2, "b"), (2, "")], "b int, keyword string")
+    queue = spark.createDataFrame([("a s",)], "keyword string")
+    got = rows(ingest.keyword_conflict_list(batch, queue, suffix=" s", batch_col="b"), "b", "original", "exists")
+    assert got == [(1, "a", True), (1, "b", False), (2, "b", False)]
+
+
+def test_profile_social_single_writes_an_account_once(spark):
+    batch = spark.createDataFrame([("a", "ann", 2), ("a", "amy", 1), ("b", "bob", 3)],
+                                  "account_id string, username string, seq int")
+    profiles = spark.createDataFrame([], "id string, account_id string, username string, "
+                                         "created_at timestamp_ntz, updated_at timestamp_ntz")
+    urls = spark.createDataFrame([], "id string, account_id string")
+    prof, _ = ingest.ingest_profile_social(batch, profiles, urls, now=now(), order="seq")
+    assert rows(prof, "account_id", "username", "_action") == [("a", "amy", "insert"), ("b", "bob", "insert")]
