@@ -119,13 +119,13 @@ def q_seed_page(spark, sf_dir):
 
 @register("seed_page_after", with_ctes(
     "SELECT id, url, max_profiles, status, extension_id, created_at, updated_at FROM seed_queue "
-    "WHERE created_at IS NULL OR created_at < TIMESTAMP '1995-01-01' "
-    "OR (created_at = TIMESTAMP '1995-01-01' AND id > '5') "
+    "WHERE created_at IS NULL OR created_at < TIMESTAMP '1995-06-17' "
+    "OR (created_at = TIMESTAMP '1995-06-17' AND id > '5') "
     f"ORDER BY created_at DESC NULLS LAST, id {_NF} LIMIT 100", "seed_queue"))
 def q_seed_page_after(spark, sf_dir):
     """The page of 100 seeds behind a given (created_at, id), newest first."""
     return queue_reads.seed_page(_t(spark, sf_dir, "seed_queue"), None, 100,
-                                 after=(F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00")), "5"))
+                                 after=(F.to_timestamp_ntz(F.lit("1995-06-17 00:00:00")), "5"))
 
 
 @register("seed_page_failed", with_ctes(
