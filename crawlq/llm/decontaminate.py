@@ -94,15 +94,8 @@ def benchmark_index(items: DataFrame) -> DataFrame:
             .where(F.size("bag") > 0).distinct())
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, start, words: the best window of each document and item.
-
-    One row for each pair with a window of similarity 0.75 or more; ``start``
-    is the window's first word (from 0), the earliest among equals.  Null ids
-    come back as null; rows that share an id are searched each by its own text
-    and reported together.  Null and empty texts, and texts or items under
-    five words, match nothing.  Other columns are ignored.
-    """
+def _close(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, row (text hash), item_id, similarity, start, words of the windows of similarity 0.75 or more."""
     index = stored(benchmark_index(items).withColumn("fp", _simhash("bag")), "bench-items")
     places = index.select("item_id", "w", F.posexplode("bag").alias("o", "h"))
     places = stored(places.select("h", "w", "o").distinct(), "bench-places")
@@ -141,18 +134,31 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                           for j in range(BLOCKS - 1))
     near = near.where(~F.expr(earlier)).withColumn("both", _overlap("bag", "ibag"))
     union = F.size("bag") + F.size("ibag") - F.col("both")
-    close = near.where(100 * F.col("both") >= PERCENT * union).select(
-        "doc_id", "item_id", (F.col("both") / union).alias("similarity"), F.col("start").cast("long").alias("start"), F.col("w").cast("long").alias("words"))
+    return near.where(100 * F.col("both") >= PERCENT * union).select(
+        "doc_id", "row", "item_id", (F.col("both") / union).alias("similarity"), F.col("start").cast("long").alias("start"), F.col("w").cast("long").alias("words"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity, start, words: the best window of each document and item.
+
+    One row for each pair with a window of similarity 0.75 or more; ``start``
+    is the window's first word (from 0), the earliest among equals.  Null ids
+    come back as null; rows that share an id are searched each by its own text
+    and reported together.  Null and empty texts, and texts or items under
+    five words, match nothing.  Other columns are ignored.
+    """
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "words"))
-    return (close.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    return (_close(docs, items).groupBy("doc_id", "item_id").agg(best.alias("b"))
             .select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start"), "b.words"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id has no window near a benchmark item, columns unchanged.
+    """The rows of ``docs`` that have no window near a benchmark item, columns unchanged.
 
-    A null id is an id like others: it goes if a row with a null id matches.
+    Each row is judged by its own text: a clean row stays where another row of
+    its id (a null id is an id like others) goes.
     """
-    dirty = stored(contaminated(docs, items).select(F.col("doc_id").alias("dirty")).distinct(), "bench-dirty")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(maybe_broadcast(dirty), F.col("id").eqNullSafe(F.col("dirty")), "left_anti").select("doc.*")
+    dirty = stored(_close(docs, items).select(F.col("doc_id").alias("dirty"), F.col("row").alias("dirty_row")).distinct(), "bench-dirty")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("dirty")) & (F.col("row") == F.col("dirty_row"))
+    return rows.join(maybe_broadcast(dirty), same, "left_anti").select("doc.*")

@@ -249,6 +249,13 @@ def test_contaminated(spark, odd, none):
     assert clean.columns == odd.columns and clean.count() == len(ODD) - 2
 
 
+def test_clean_documents_judges_each_row_of_an_id(spark):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    rows = [_row(None, "x " + PASSAGE), _row(None, LONG), _row(None, None), _row(30, PASSAGE), _row(30, "a clean text under the same id"), _row(30, PASSAGE), _row(31, "")]
+    clean = decontaminate.clean_documents(spark.createDataFrame(rows, SCHEMA).repartition(3), items)
+    assert _sorted((r.doc_id, r.text) for r in clean.collect()) == _sorted([(r[0], r[1]) for r in (rows[1], rows[2], rows[4], rows[6])])
+
+
 # ---- 5 and 9 classifiers ----------------------------------------------------------------
 
 def test_quality_learns_and_handles_odd_texts(spark, odd, none):
