@@ -37,6 +37,8 @@ RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 # All changes of at most two of a block's eight bits.
 _FLIPS = [sum(1 << b for b in bits) for n in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), n)]
 _LANES = 0x0001000100010001
+PACKED = 32_767                 # shingles that four 16-bit counters of a signed long can count
+BROADCAST_SHINGLES = 4_000_000  # in all bags of a table that may be broadcast
 
 
 def _words(text: Column) -> Column:
@@ -55,8 +57,8 @@ def _simhash(shingles: str) -> Column:
     """SimHash of an array of shingle hashes: bit b is set where most occurrences set it.
 
     Sixteen longs of four 16-bit counters each: counter ``lane`` of long j
-    counts bit j + 16 * lane.  A bag holds fewer than 65,536 shingles (a
-    benchmark item is no longer than that).
+    counts bit j + 16 * lane.  They hold up to 32,767 shingles; a longer bag is
+    counted in 64 longs.
     """
     names = [f"c{j}" for j in range(16)]
     zero = ", ".join(f"'{c}', 0L" for c in names)
@@ -64,7 +66,12 @@ def _simhash(shingles: str) -> Column:
     bits = " | ".join(
         f"if((shiftrightunsigned(a.c{j}, {16 * lane}) & 65535L) * 2 > size({shingles}), {_bit(j + 16 * lane)}, 0L)"
         for j in range(16) for lane in range(4))
-    return F.expr(f"aggregate({shingles}, named_struct({zero}), (a, s) -> named_struct({add}), a -> {bits})")
+    packed = f"aggregate({shingles}, named_struct({zero}), (a, s) -> named_struct({add}), a -> {bits})"
+    zero = ", ".join(f"'c{b}', 0L" for b in range(64))
+    add = ", ".join(f"'c{b}', a.c{b} + (shiftrightunsigned(s, {b}) & 1L)" for b in range(64))
+    bits = " | ".join(f"if(a.c{b} * 2 > size({shingles}), {_bit(b)}, 0L)" for b in range(64))
+    wide = f"aggregate({shingles}, named_struct({zero}), (a, s) -> named_struct({add}), a -> {bits})"
+    return F.expr(f"if(size({shingles}) <= {PACKED}, {packed}, {wide})")
 
 
 def _bit(b: int) -> str:
@@ -96,7 +103,8 @@ def benchmark_index(items: DataFrame) -> DataFrame:
 
 def _close(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, row (text hash), item_id, similarity, start, words of the windows of similarity 0.75 or more."""
-    index = stored(benchmark_index(items).withColumn("fp", _simhash("bag")), "bench-items")
+    index = benchmark_index(items).withColumn("fp", _simhash("bag")).withColumn("ih", F.xxhash64("bag"))
+    index = stored(index, "bench-items")
     places = index.select("item_id", "w", F.posexplode("bag").alias("o", "h"))
     places = stored(places.select("h", "w", "o").distinct(), "bench-places")
 
@@ -121,9 +129,10 @@ def _close(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     # Multi-index lookup among the items of the window's size.
     keys = F.array(*[F.struct(F.lit(k).alias("k"), _block("fp", k).alias("v")) for k in range(BLOCKS)])
-    table = index.select("item_id", F.col("w").alias("iw"), F.col("bag").alias("ibag"), F.col("fp").alias("ifp"), F.explode(keys).alias("e"))
+    # An item is looked up by numbers alone; its bag is joined back for candidates only.
+    table = index.select("item_id", F.col("w").alias("iw"), "ih", F.col("fp").alias("ifp"), F.explode(keys).alias("e"))
     flips = F.explode(F.array(*[F.lit(x).cast("long") for x in _FLIPS]))
-    table = table.withColumn("flip", flips).select("item_id", "iw", "ibag", "ifp", F.col("e.k").alias("ik"),
+    table = table.withColumn("flip", flips).select("item_id", "iw", "ih", "ifp", F.col("e.k").alias("ik"),
                                                    F.expr("e.v ^ flip").alias("iv"))
     table = stored(table, "bench-blocks")
     probe = windows.select("*", F.explode(keys).alias("e")).select("doc_id", "row", "start", "w", "bag", "fp", "e.k", "e.v")
@@ -132,7 +141,11 @@ def _close(docs: DataFrame, items: DataFrame) -> DataFrame:
     # A pair found by several blocks counts once: by its first block within two bits.
     earlier = " or ".join(f"(k > {j} and bit_count((shiftrightunsigned(fp, {BLOCK_BITS * j}) ^ shiftrightunsigned(ifp, {BLOCK_BITS * j})) & 255L) <= {BLOCK_RADIUS})"
                           for j in range(BLOCKS - 1))
-    near = near.where(~F.expr(earlier)).withColumn("both", _overlap("bag", "ibag"))
+    near = near.where(~F.expr(earlier)).select("doc_id", "row", "start", "w", "bag", "item_id", "ih")
+    bags = index.select(F.col("item_id").alias("b_id"), F.col("ih").alias("b_h"), F.col("bag").alias("ibag"))
+    small = (bags.agg(F.sum(F.size("ibag").cast("long")).alias("n")).first()["n"] or 0) <= BROADCAST_SHINGLES
+    near = near.join(maybe_broadcast(bags) if small else bags, F.col("item_id").eqNullSafe(F.col("b_id")) & (F.col("ih") == F.col("b_h")))
+    near = near.withColumn("both", _overlap("bag", "ibag"))
     union = F.size("bag") + F.size("ibag") - F.col("both")
     return near.where(100 * F.col("both") >= PERCENT * union).select(
         "doc_id", "row", "item_id", (F.col("both") / union).alias("similarity"), F.col("start").cast("long").alias("start"), F.col("w").cast("long").alias("words"))

@@ -19,7 +19,7 @@ import pytest
 pytest.importorskip("crawlq.llm")
 
 from crawlq.llm import components, decontaminate, mix, near_dup, quality, queries, suffix_dedup, tokens, topk, toxicity, url_lists, warc  # noqa: E402
-from crawlq.llm.common import scratch_path  # noqa: E402
+from crawlq.llm.common import scratch_path, stored  # noqa: E402
 from crawlq.llm.shingles import shingle_set  # noqa: E402
 from crawlq.llm.suffix_sort import suffix_array  # noqa: E402
 
@@ -256,6 +256,33 @@ def test_clean_documents_judges_each_row_of_an_id(spark):
     assert _sorted((r.doc_id, r.text) for r in clean.collect()) == _sorted([(r[0], r[1]) for r in (rows[1], rows[2], rows[4], rows[6])])
 
 
+def test_simhash_of_long_bags(spark):
+    r = np.random.default_rng(6)
+    for n in (3, 32_767, 32_768, 70_000):
+        x = np.where(r.random(n) < 0.8, -1, r.integers(-2 ** 62, 2 ** 62, n))
+        got = spark.createDataFrame([(x.tolist(),)], "bag array<long>").select(decontaminate._simhash("bag").alias("fp")).first().fp
+        ones = [int(((x >> b) & 1).sum()) for b in range(64)]
+        assert got & (2 ** 64 - 1) == sum(1 << b for b in range(64) if 2 * ones[b] > n), n
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_item_bags_stay_out_of_the_lookup_table(spark, monkeypatch, most):
+    columns = {}
+
+    def keep(df, name):
+        columns[name] = dict(df.dtypes)
+        return stored(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", keep)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", most, raising=False)
+    other = PASSAGE.replace("p", "q")
+    items = spark.createDataFrame([(1, PASSAGE), (1, other), (None, PASSAGE), (2, " ".join(reversed(PASSAGE.split())))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b " + PASSAGE), (2, other), (3, None)], "doc_id long, text string")
+    got = _sorted((r.doc_id, r.item_id, r.similarity, r.start) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == _sorted([(1, 1, 1.0, 2), (1, None, 1.0, 2), (2, 1, 1.0, 0)])
+    assert not [t for t in columns["bench-blocks"].values() if "array" in t]
+
+
 # ---- 5 and 9 classifiers ----------------------------------------------------------------
 
 def test_quality_learns_and_handles_odd_texts(spark, odd, none):
