@@ -109,7 +109,10 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, items, bits) of the classes in ``wanted`` (sig, doc): their sets, from whole texts again, and bitmaps."""
+    """(sig, items, bits) of the classes in ``wanted`` (sig, first): their sets, from whole texts again, and bitmaps.
+
+    A class meets the rows of its first id and text only, not all rows of that id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,15 +120,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, want in zip(batch.column("text"), batch.column("sig")):
                 s = shingle_set(text.as_py())
                 raw = s.tobytes()
-                if xxhash.xxh3_128_digest(raw) == want.as_py():    # not another row of the same id
+                if xxhash.xxh3_128_digest(raw) == want.as_py():    # not another text of the same id and hash
                     sig.append(want.as_py())
                     items.append(raw)
                     bits.append(bitmap(s).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(items, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
                                              names=["sig", "items", "bits"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    found = rows.join(maybe_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("doc")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
+    wanted = wanted.select("sig", F.col("first.doc_id").alias("doc"), F.col("first.h").alias("doc_h"))
+    found = rows.join(maybe_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("doc_h")))
     return (found.select("text", "sig").mapInArrow(run, "sig binary, items binary, bits array<long>")
             .groupBy("sig").agg(F.max("items").alias("items"), F.max("bits").alias("bits")))
 
@@ -235,7 +239,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame) -> DataFrame:
     """doc_id, h (text hash), n_shingles, component_id, group (digest naming the component; null without shingles)."""
     base = stored(_base(docs), "dup-base")
-    classes = stored(base.where("sig is not null").groupBy("sig", "n_shingles", "bands").agg(F.min("doc_id").alias("doc")), "dup-classes")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    classes = stored(base.where("sig is not null").groupBy("sig", "n_shingles", "bands").agg(first_row)
+                     .withColumn("doc", F.col("first.doc_id")), "dup-classes")
     rows = classes.select("sig", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = stored(rows.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("sig", "n")).alias("lead")).where("c > 1")
                      .select(F.col("band").alias("bucket"), F.col("lead.sig").alias("lead"), F.col("lead.n").alias("lead_n")), "dup-buckets")
@@ -244,7 +250,7 @@ def _groups(docs: DataFrame) -> DataFrame:
                    .select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct(), "dup-pairs")
     # Every class of a bucket may take part in a comparison.
     used = members.select(F.col("sig").alias("s")).distinct()
-    wanted = stored(classes.select("sig", "doc").join(used, F.col("sig") == F.col("s")).select("sig", "doc"), "dup-wanted")
+    wanted = stored(classes.select("sig", "first").join(used, F.col("sig") == F.col("s")).select("sig", "first"), "dup-wanted")
     sets = stored(_sets(docs, wanted), "dup-sets")
     links = stored(_confirm(first, sets), "dup-links")
     nodes = stored(components(links), "dup-nodes")

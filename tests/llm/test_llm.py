@@ -199,6 +199,22 @@ def test_near_duplicates_of_unlike_copies_and_a_common_passage(spark):
     assert _sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _sorted(_components(rows))
 
 
+def test_rows_of_one_id_do_not_meet_each_others_classes(spark, monkeypatch, tmp_path):
+    log = tmp_path / "sets"
+
+    def counted(text):
+        with open(log, "a") as f:
+            f.write(".")
+        return shingle_set(text)
+
+    monkeypatch.setattr(near_dup, "shingle_set", counted)
+    rows = [(i, " ".join(f"t{k}x{j}" for j in range(60)) + end) for i in (None, 5) for k in range(15) for end in ("", f" end{i}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dup.near_duplicates(docs).collect()
+    assert _sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _sorted(_components(rows))
+    assert len(log.read_text()) <= 2 * len(rows)      # once for the sketch, at most once for the full set
+
+
 def test_bitmaps_never_differ_in_more_than_the_sets():
     r = np.random.default_rng(4)
     x = r.integers(0, 2 ** 63, 3000).astype(np.uint64)
