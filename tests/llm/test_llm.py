@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+from collections import Counter
 import zipfile
 import zlib
 
@@ -475,3 +476,65 @@ def test_pipeline_stages(spark, odd):
         assert stage(spark, odd, SF).columns == odd.columns, name
     rows = cp.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and rows.count() > 0
+
+
+def _best_windows(rows, items):
+    """(doc_id, item_id) -> (similarity, -start, words) of the best window, by trying every window; and the dirty rows."""
+    def bag(words):
+        return Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+    bags = [(i, len((t or "").lower().split()), bag((t or "").lower().split())) for i, t in items]
+    best, dirty = {}, set()
+    for k, (i, t) in enumerate(rows):
+        words = (t or "").lower().split()
+        whole = set(bag(words))
+        for item, w, b in bags:
+            if not b or not whole & set(b):       # similarity 0 everywhere
+                continue
+            for start in range(max(1, len(words) - w + 1)):
+                x = bag(words[start:start + w])
+                both, union = sum((x & b).values()), sum((x | b).values())
+                if 100 * both >= 75 * union:
+                    dirty.add(k)
+                    best[i, item] = max(best.get((i, item), (0, 0, 0)), (both / union, -start, w))
+    return best, dirty
+
+
+def test_contaminated_equals_brute_force(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = decontaminate.contaminated(docs, items).collect()
+    want, _ = _best_windows([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start, r.words) for r in got} == want and len(got) == len(want)
+
+
+def test_remove_repeats_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    want = [(r.doc_id, *x) for r, x in zip(rows, _brute([r.text for r in rows]))]
+    assert _sorted(suffix_dedup.remove_repeats(docs).collect()) == _sorted(want)
+
+
+def test_pipeline_equals_plain_stages(spark):
+    from tokenizers import Tokenizer
+
+    cp = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = docs.toPandas()
+    rows = rows[quality.score_texts(model, rows.text.tolist()) >= quality.THRESHOLD]
+    found = _components(list(zip(rows.doc_id, rows.text)))
+    rows = rows[[i == c for i, _, c in found]]            # ids are unique here
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    _, dirty = _best_windows(list(zip(rows.doc_id, rows.text)), items)
+    rows = rows[[k not in dirty for k in range(len(rows))]]
+    con = duckdb.connect()
+    con.register("documents", rows)
+    copies = dict(con.sql(f"select doc_id, copies from ({mix.ORACLE})").fetchall())
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    want = []
+    for i, t in zip(rows.doc_id, rows.text):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        want += [(i, len(ids), zlib.crc32(ids.tobytes()))] * copies[i]
+    got = sorted(cp.run(spark, SF).collect(), key=lambda r: r.start)
+    assert _sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == _sorted(want)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
