@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlq.llm.common import stored
+from crawlq.llm.words import Words, mix
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -47,84 +48,24 @@ BITS_PER_PHRASE = 16
 SALTS = 64                      # parts of the stripe of a hot prefix
 HOT_SHARE = 2000                # hot: at least 1 in 2,000 of all words, so at most 2,000 prefixes a level
 RANK_PARTS = 64
-LANES = 8                       # words of up to 64 bytes are hashed 8 bytes at a time for all words at once
 
 _FOLD = bytes.maketrans(SEPARATORS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(SEPARATORS) + b" abcdefghijklmnopqrstuvwxyz")
-_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _STRIPE = "lang string, prefix string, salt int, nexts array<string>, counts array<long>"
 
 
-def mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Hash of a sequence one longer, from that of the sequence and the new element."""
-    x = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-class Words:
-    """The words of a buffer of folded text (see ``fold``) by their places."""
-
-    def __init__(self, buf: bytes):
-        self.buf = buf + b" " * 8
-        text = np.frombuffer(self.buf, np.uint8)
-        inside = np.empty(len(text) + 1, bool)
-        inside[0] = False
-        dot = text == 46
-        np.logical_not(dot | (text == 32), out=inside[1:])
-        self.starts = np.flatnonzero(inside[1:] & ~inside[:-1])
-        self.lengths = np.flatnonzero(inside[:-1] & ~inside[1:]) - self.starts
-        self.pieces = np.searchsorted(np.flatnonzero(dot), self.starts).astype(np.int32)
-        # Eight bytes from any place on, as a number.
-        self.eight = np.ndarray((len(text) - 7,), "<u8", self.buf, strides=(1,))
-
-    def __len__(self) -> int:
-        return len(self.starts)
-
-    def word(self, i: int) -> bytes:
-        return self.buf[self.starts[i]:self.starts[i] + self.lengths[i]]
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of every word, made from its bytes by eights and its length."""
-        one = self.lengths.astype(np.uint64)
-        two = one + np.uint64(0x5851F42D4C957F2D)
-        on, n = slice(None), self.lengths
-        for j in range(LANES):
-            eight = self.eight[self.starts[on] + 8 * j] & _MASK[np.minimum(n - 8 * j, 8)]
-            one[on] = mix(one[on], eight)
-            two[on] = mix(two[on] * np.uint64(0xD6E8FEB86659FD93), eight)
-            on = np.flatnonzero(self.lengths > 8 * (j + 1))
-            n = self.lengths[on]
-            if not len(on):
-                break
-        for i in np.flatnonzero(self.lengths > 8 * LANES):
-            digest = xxhash.xxh128_digest(self.word(i))
-            one[i], two[i] = int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:], "big")
-        return one, two
-
-    def numbered(self, at: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """A number for the word at each place of ``at``, and the words by number.
-
-        Words are told apart by their first hash; where the second tells more
-        words apart, by their bytes.
-        """
-        numbers, _ = pd.factorize(one[at])
-        first = np.empty(numbers.max(initial=-1) + 1, np.int64)
-        first[numbers[::-1]] = at[::-1]
-        if not np.array_equal(two[at], two[first][numbers]):
-            table: dict[bytes, int] = {}
-            numbers = np.array([table.setdefault(self.word(i), len(table)) for i in at], np.int64)
-            return numbers, list(table)
-        return numbers, [self.word(i) for i in first]
-
-
 def fold(text: bytes) -> bytes:
     """A-Z lower-cased, separators as ``.``, tabs as spaces."""
     return text.translate(_FOLD)
 
 
+def _words(buf: bytes) -> Words:
+    text = np.frombuffer(buf, np.uint8)
+    return Words(buf, (text != ord(".")) & (text != ord(" ")))
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """The hashes that :class:`Words` gives folded words, none of them empty."""
-    return Words(b" ".join(words)).hashes()[0]
+    return _words(b" ".join(words)).hashes()[0]
 
 
 def hash_names(names: list[str]) -> np.ndarray:
@@ -155,14 +96,17 @@ class Frequent:
 
 def _stripes_of(docs: list[tuple[str, bytes]], k: int, frequent: Frequent | None) -> pa.RecordBatch | None:
     """Stripes of the k-word prefixes of some documents."""
-    words = Words(fold(b".".join(text for _, text in docs)))
+    buf = fold(b".".join(text for _, text in docs))
+    words = _words(buf)
     if not len(words):
         return None
+    cuts = np.flatnonzero(np.frombuffer(buf, np.uint8) == ord("."))
+    pieces = np.searchsorted(cuts, words.starts).astype(np.int32)
     names = sorted({lang for lang, _ in docs})
     of = {lang: i for i, lang in enumerate(names)}
     ends = np.cumsum([len(text) + 1 for _, text in docs])
     lang = np.array([of[x] for x, _ in docs], np.int64)[np.searchsorted(ends, words.starts, side="right")]
-    (hashes, second), pieces = words.hashes(), words.pieces
+    hashes, second = words.hashes()
     # Runs of k words of one piece that are frequent, and the word after each if it makes another such run.
     run = np.arange(len(words))
     h = hash_names(names)[lang]

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.llm import collocations, decontaminate, mix, near_dup, quality, suffix_dedup, tokens, topk, toxicity, url_lists, warc
+from crawlq.llm import collocations, decontaminate, mix, near_dup, quality, spelling, suffix_dedup, tokens, topk, toxicity, url_lists, warc
 from crawlq.llm.common import scratch_path, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_fm_index_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of all documents."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of 2 to 4 words of each language, from merged stripes."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -114,7 +119,7 @@ def stage_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_warc_zip, op2_ball_tree_top_k, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf,
     op6_dated_url_lists, op7_pareto_mix, op8_token_ids, op9_toxicity_gru, op10_suffix_array_dedup,
-    op13_stripes_collocations)}
+    op12_fm_index_spelling, op13_stripes_collocations)}
 
 ORACLES: dict[str, str] = {
     "op6_dated_url_lists": url_lists.ORACLE, "op1_warc_zip": warc.ORACLE, "op2_ball_tree_top_k": topk.ORACLE,
