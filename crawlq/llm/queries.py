@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlq.llm import collocations, decontaminate, mix, near_dup, quality, spelling, suffix_dedup, tokens, topk, toxicity, url_lists, warc
+from crawlq.llm import (
+    collocations, decontaminate, html_extract, mix, near_dup, quality, spelling, suffix_dedup, tokens, topk, toxicity, url_lists, warc)
 from crawlq.llm.common import scratch_path, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +77,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_min_cut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by minimum cuts of its blocks."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_fm_index_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, forms and roots of all words of all documents."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
@@ -119,7 +125,7 @@ def stage_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_warc_zip, op2_ball_tree_top_k, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_quality_crf,
     op6_dated_url_lists, op7_pareto_mix, op8_token_ids, op9_toxicity_gru, op10_suffix_array_dedup,
-    op12_fm_index_spelling, op13_stripes_collocations)}
+    op11_min_cut_html, op12_fm_index_spelling, op13_stripes_collocations)}
 
 ORACLES: dict[str, str] = {
     "op6_dated_url_lists": url_lists.ORACLE, "op1_warc_zip": warc.ORACLE, "op2_ball_tree_top_k": topk.ORACLE,
