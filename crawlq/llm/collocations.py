@@ -8,8 +8,8 @@ entry ``""`` holds what is cut off: ends of pieces and extensions that cannot
 reach the threshold), and the largest entry is what a longer phrase subsumes.
 
 A phrase that occurs ``MIN_COUNT`` times has parts that do so too.  So level k
-counts only positions whose two k-word parts are frequent, which a bitmap of
-their hashes tells.  The bitmap has a fixed largest size; beyond what it can
+counts only positions whose two k-word parts are frequent, which a Bloom
+filter of their hashes tells.  The filter has a fixed largest size; beyond what it can
 tell apart it lets more through and changes no result, as every count is of
 the words themselves.
 
@@ -42,9 +42,10 @@ COVERED = (80, 100)             # a candidate goes if a longer one has 80 of 100
 NO_LANG = "und"
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-CHUNK = 16 << 20                # bytes of text numbered together
-MOST_BITS = 1 << 27             # the frequency bitmap has at most this many bits (16 MB)
-BITS_PER_PHRASE = 16
+CHUNK = 8 << 20                 # bytes of text numbered together
+MOST_BITS = 1 << 28             # the frequency bitmap has at most this many bits (32 MB)
+BITS_PER_PHRASE = 32
+PROBES = 3                      # bits set for a phrase
 SALTS = 64                      # parts of the stripe of a hot prefix
 HOT_SHARE = 2000                # hot: at least 1 in 2,000 of all words, so at most 2,000 prefixes a level
 RANK_PARTS = 64
@@ -82,16 +83,24 @@ def hash_phrases(langs: list[str], phrases: list[str]) -> np.ndarray:
     return out
 
 
+def place(hashes: np.ndarray, probe: int, size: int) -> np.ndarray:
+    """The bit of each hash in a bitmap of ``size`` bits (a power of two)."""
+    return ((hashes * np.uint64(2 * probe + 1) >> np.uint64(17 * probe)) & np.uint64(size - 1)).astype(np.int64)
+
+
 @dataclass
 class Frequent:
-    """Bitmap of the hashes of frequent phrases, and the hashes of hot ones."""
+    """Bloom filter of the hashes of frequent phrases, and the hashes of hot ones."""
 
     bits: np.ndarray
     hot: np.ndarray
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes % np.uint64(len(self.bits) * 8)).astype(np.int64)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        on = np.arange(len(hashes))
+        for probe in range(PROBES):
+            at = place(hashes[on], probe, len(self.bits) * 8)
+            on = on[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        return on
 
 
 def _stripes_of(docs: list[tuple[str, bytes]], k: int, frequent: Frequent | None) -> pa.RecordBatch | None:
@@ -170,8 +179,8 @@ def _stripes_of(docs: list[tuple[str, bytes]], k: int, frequent: Frequent | None
 def merged_stripes(docs: DataFrame, k: int, frequent=None) -> DataFrame:
     """Stripes of the k-word prefixes over all documents, parted by ``salt``.
 
-    ``docs`` has lang and text (binary).  A row holds the ``total`` of its
-    part, its largest extension ``most`` and the extensions ``nexts`` that reach ``MIN_COUNT``.
+    ``docs`` has lang and text (binary).  A row is one entry: (lang, prefix,
+    salt, next, n); extensions below ``MIN_COUNT`` are summed in the entry ``""``.
     The parts of a hot prefix are dealt to different tasks.
     """
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,26 +202,24 @@ def merged_stripes(docs: DataFrame, k: int, frequent=None) -> DataFrame:
            .select("lang", "prefix", "salt", "next", F.col("counts")[F.col("at")].alias("n"))
            .groupBy("lang", "prefix", "salt", "next").agg(F.sum("n").alias("n")))
     often = (F.col("n") >= MIN_COUNT) & (F.col("next") != "")
-    return one.groupBy("lang", "prefix", "salt").agg(
-        F.sum("n").alias("total"), F.max(F.when(often, F.col("n"))).alias("most"),
-        F.collect_list(F.when(often, F.struct("next", "n"))).alias("nexts"))
+    return one.groupBy("lang", "prefix", "salt", F.when(often, F.col("next")).otherwise("").alias("next")).agg(F.sum("n").alias("n"))
 
 
 def extensions(stripes: DataFrame) -> DataFrame:
-    """(lang, prefix, next, phrase, n) of the frequent entries of merged stripes."""
-    return (stripes.select("lang", "prefix", F.explode("nexts").alias("e"))
-            .select("lang", "prefix", F.col("e.next").alias("next"), F.col("e.n").alias("n"))
-            .withColumn("phrase", F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))))
+    """(lang, next, phrase, n) of the frequent entries of merged stripes."""
+    return (stripes.where(F.col("next") != "")
+            .withColumn("phrase", F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")))
+            .select("lang", "next", "phrase", "n"))
 
 
 def prefixes(stripes: DataFrame) -> DataFrame:
     """(lang, phrase, n, most): count and largest right extension of each frequent prefix."""
     return (stripes.groupBy("lang", F.col("prefix").alias("phrase"))
-            .agg(F.sum("total").alias("n"), F.max("most").alias("most")).where(F.col("n") >= MIN_COUNT))
+            .agg(F.sum("n").alias("n"), F.max(F.when(F.col("next") != "", F.col("n"))).alias("most")).where(F.col("n") >= MIN_COUNT))
 
 
 def frequent_of(phrases: DataFrame, words: int) -> Frequent:
-    """Bitmap of the hashes of ``phrases`` (lang, phrase, n); hot are those with 1 in ``HOT_SHARE`` of ``words``."""
+    """Bloom filter of the hashes of ``phrases`` (lang, phrase, n); hot are those with 1 in ``HOT_SHARE`` of ``words``."""
     count = phrases.count()
     size = 1 << 15
     while size < min(MOST_BITS, BITS_PER_PHRASE * count):
@@ -221,7 +228,8 @@ def frequent_of(phrases: DataFrame, words: int) -> Frequent:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = hash_phrases(b.column(0).to_pylist(), b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(size)).astype(np.int64) + 1)], names=["at"])
+            at = np.concatenate([place(h, probe, size) for probe in range(PROBES)])
+            yield pa.RecordBatch.from_arrays([pa.array(at + 1)], names=["at"])
 
     rows = (phrases.select("lang", "phrase").mapInArrow(places, "at long")
             .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
@@ -249,8 +257,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
         level = stored(merged_stripes(texts, k, frequent), f"stripes-{k}")
         longer.append(extensions(level))
         if k == 0:
-            totals = level.groupBy("lang").agg(F.sum("total").alias("words"))
-            known = level.agg(F.sum("total")).first()[0] or 0
+            totals = level.groupBy("lang").agg(F.sum("n").alias("words"))
+            known = level.agg(F.sum("n")).first()[0] or 0
         else:
             counted.append(prefixes(level))
         if k < MAX_WORDS - 1:
