@@ -16,10 +16,8 @@ a reader of some documents only the pages that hold them.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,94 +26,152 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlq.llm.common import maybe_broadcast
+from crawlq.llm.words import Words
 
 END_ID = 0
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 PAGE_BYTES = 128 * 1024
-CACHE_PIECES = 800_000      # cached pieces per Python worker; a full cache starts anew
+CACHE_PIECES = 800_000      # cached pieces per Python worker; beyond, only those of the latest texts stay
 JOINT = 64                  # pieces encoded as one text
-OUT_DOCS = 512              # documents per Arrow batch sent back
+OUT_BYTES = 4 << 20         # bytes of text per Arrow batch sent back
 
-# A space that is not followed by a non-space character.
-_INNER_SPACE = re.compile(r" (?!\S)")
-_CUT = re.compile(r"(?= \S)")
-# A comma or full stop before a space that does not follow a letter.
-_OTHER_STOP = re.compile(r"(?<![A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])[.,] ")
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+# Bytes that begin a character which is no white space (C2, E1, E2 and E3 may begin one that is).
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+_VISIBLE_SET = frozenset(np.flatnonzero(_VISIBLE).tolist())
+_STOPS = b".,;:!?%*#$)&\"]}"
 
-_TOKENIZERS: dict[str, tuple] = {}
+_WORKERS: dict[str, _Worker] = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of this Python worker, its cache of pieces and the bytes that each id stands for."""
-    if path not in _TOKENIZERS:
+class _Worker:
+    """The tokenizer of this Python worker and the ids of the pieces it has met."""
+
+    def __init__(self, path: str):
         # One thread for each task: Spark already runs a task on every core.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        n_bytes = np.zeros(tok.get_vocab_size(), np.int64)
-        for text, i in tok.get_vocab(with_added_tokens=False).items():
-            n_bytes[i] = len(text)            # one character of a byte-level token for each byte
-        for i, t in tok.get_added_tokens_decoder().items():
-            n_bytes[i] = len(t.content.encode())
-        _TOKENIZERS[path] = (tok, {}, n_bytes)
-    return _TOKENIZERS[path]
-
-
-def pieces(text: str) -> list[str]:
-    """Cut before every space that a non-space character follows.
-
-    Byte-level BPE pre-tokens never reach over such a cut: the space opens the
-    next pre-token, and the white space before it is a pre-token of its own.
-    A comma or full stop between a letter and a space is a pre-token of its
-    own too, so it is cut off the word.  So the ids of a text are those of its
-    pieces, one after the other.
+        self.tok = Tokenizer.from_file(path)
+        self.n_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for text, i in self.tok.get_vocab(with_added_tokens=False).items():
+            self.n_bytes[i] = len(text)       # one character of a byte-level token for each byte
+        added = b""
+        for i, t in self.tok.get_added_tokens_decoder().items():
+            self.n_bytes[i] = len(t.content.encode())
+            added += t.content.encode()
+        self.stop = np.zeros(256, bool)       # no cut may fall into an added token
+        self.stop[[c for c in _STOPS if c not in added]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)           # the ids of piece k end at ends[k] and begin at ends[k - 1]
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers of distinct pieces, from 1 on; new ones are encoded."""
+        new = [x for x in pieces if x not in self.number]
+        if len(self.number) + len(new) > CACHE_PIECES and self.number:
+            held = [x for x in pieces if x in self.number]
+            ids = [self.ids[self.ends[k - 1]:self.ends[k]] for k in map(self.number.__getitem__, held)]
+            self.clear()
+            self.add(held, np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array([len(x) for x in ids], np.int64))
+        if new:
+            self.add(*_encode_pieces(new, self.tok, self.n_bytes))
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Number new pieces, given their ids one after the other."""
+        k = len(self.number)
+        self.number.update(zip(pieces, range(k + 1, k + 1 + len(pieces))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+
+def pieces(buf: bytes, stop: np.ndarray) -> np.ndarray:
+    """Marks of where pieces begin in a buffer: places that no pre-token of byte-level BPE reaches over.
+
+    One is a space before a visible character: it opens the next pre-token,
+    and the white space before it is a pre-token of its own.  The other is a
+    punctuation mark (``stop``) after a letter, which ends a run of letters.
+    Fewer cuts than possible are no harm: characters that are not surely
+    letters or visible make none.
     """
-    if _INNER_SPACE.search(text):
-        return _CUT.split(text)
-    if "\0" in text or _OTHER_STOP.search(text):
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
-    return text.replace(", ", "\0, ").replace(". ", "\0. ").replace(" ", "\0 ").split("\0")
-
-
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, end id included.
-
-    Every distinct piece goes through the tokenizers library once per worker.
+    text = np.frombuffer(buf, np.uint8)
+    cut = np.zeros(len(text), bool)
+    cut[:-1] = (text[:-1] == 0x20) & _VISIBLE[text[1:]]
+    letter = _LETTER[text]
+    # U+00C0 to U+017F but the signs for times and divided by.
+    lead = (text[:-1] >= 0xC3) & (text[:-1] <= 0xC5)
+    sign = (text[:-1] == 0xC3) & ((text[1:] == 0x97) | (text[1:] == 0xB7))
+    letter[1:] |= lead & ~sign
+    cut[1:] |= stop[text[1:]] & letter[:-1]
+    return cut
+
+
+def encode(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, end ids included, and each text's number of ids.
+
+    Texts are cut into pieces; every distinct piece goes through the
+    tokenizers library once per worker while it is cached.
     """
-    tok, cache, n_bytes = _tokenizer(path)
-    end = np.array([END_ID], "<u4").tobytes()
-    cut = [pieces(t) for t in texts]
-    words = set(chain.from_iterable(cut))
-    new = [x for x in words if x not in cache]
-    if len(cache) + len(new) > CACHE_PIECES:
-        cache.clear()
-        new = list(words)
-    cache.update(_encode_pieces(new, tok, n_bytes))
-    return [b"".join(map(cache.__getitem__, p)) + end for p in cut]
-
-
-def _encode_pieces(new: list[str], tok, n_bytes: np.ndarray) -> Iterator[tuple[str, bytes]]:
-    """(piece, ids).  Pieces that open with a space and a non-space are encoded
+    if path not in _WORKERS:
+        _WORKERS[path] = _Worker(path)
+    worker = _WORKERS[path]
+    buf = b"\n".join([*texts, b""])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    cut = pieces(buf, worker.stop)
+    cut[(ends - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(cut)
+    doc = np.searchsorted(ends, starts, side="right")
+    lengths = np.minimum(np.append(starts[1:], len(buf)), ends[doc]) - starts if len(starts) else starts
+    words = Words.at(buf, starts, lengths)
+    number, distinct = words.numbered(np.arange(len(words)), *words.hashes())
+    number = worker.numbers(distinct)[number] if len(distinct) else number
+    begin, n = worker.ends[number - 1], np.diff(worker.ends)[number - 1]
+    upto = np.cumsum(n)
+    total = int(upto[-1]) if len(upto) else 0
+    flat = worker.ids[np.repeat(begin - (upto - n), n) + np.arange(total)]
+    counts = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64) + 1
+    out = np.full(total + len(texts), END_ID, np.int32)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(counts) - 1] = False
+    out[inside] = flat
+    return out, counts
+
+
+def _encode_pieces(new: list[bytes], tok, n_bytes: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Pieces in a new order, their ids one after the other, and each piece's number of ids.
+
+    Pieces that open with a space and a visible character are encoded
     together, as no pre-token reaches from one into the next; the bytes that
     the ids stand for tell where each piece ends."""
     joint, alone = [], []
     for x in new:
-        (joint if x[:1] == " " and not x[1:2].isspace() and len(x) > 1 else alone).append(x)
+        (joint if x[0] == 0x20 and len(x) > 1 and x[1] in _VISIBLE_SET else alone).append(x)
+    done: list[bytes] = []
+    ids, lengths = [], []
     groups = [joint[i:i + JOINT] for i in range(0, len(joint), JOINT)]
-    for group, e in zip(groups, tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-        ids = np.array(e.ids, "<u4")
-        upto = np.cumsum(n_bytes[ids])
-        ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in group])
+    for group, e in zip(groups, tok.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False)):
+        got = np.array(e.ids, np.int32)
+        upto = np.cumsum(n_bytes[got])
+        ends = np.cumsum([len(x) for x in group])
         at = np.searchsorted(upto, ends)
         if at[-1] >= len(upto) or (upto[at] != ends).any():    # ids that don't add up to their texts
             alone += group
             continue
-        raw = ids.tobytes()
-        for x, a, z in zip(group, np.concatenate([[0], at[:-1] + 1]).tolist(), (at + 1).tolist()):
-            yield x, raw[4 * a:4 * z]
-    for x, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False)):
-        yield x, np.array(e.ids, "<u4").tobytes()
+        done += group
+        ids.append(got)
+        lengths.append(np.diff(at, prepend=-1))
+    for x, e in zip(alone, tok.encode_batch_fast([x.decode() for x in alone], add_special_tokens=False)):
+        done.append(x)
+        ids.append(np.array(e.ids, np.int32))
+        lengths.append(np.array([len(ids[-1])]))
+    return done, np.concatenate(ids), np.concatenate(lengths)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, *,
@@ -130,23 +186,26 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, *,
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text")
                        ).withColumn("h", F.xxhash64("text"))
-    ordered = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    ordered = (slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+               .select("doc_id", F.col("text").cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, OUT_DOCS):
-                some = batch.slice(k, OUT_DOCS)
-                raw = encode(some.column("text").to_pylist(), tokenizer_path)
-                n = np.array([len(x) // 4 for x in raw], np.int64)
+            texts = batch.column("text").to_pylist()
+            upto = np.cumsum([len(t) for t in texts])
+            k = 0
+            while k < len(texts):
+                z = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + OUT_BYTES, side="right")))
+                ids, n = encode(texts[k:z], tokenizer_path)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), part, np.int32)), some.column("doc_id"),
+                    pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id").slice(k, z - k),
                     pa.array(at + ends[:-1]), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                 ], names=["part", "doc_id", "start_in_part", "n_tokens", "ids"])
                 at += int(ends[-1])
+                k = z
 
     w = (ordered.mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens int, ids array<int>")
          .write.option("compression", "zstd")

@@ -22,10 +22,20 @@ class Words:
 
     def __init__(self, buf: bytes, inside: np.ndarray):
         """``inside``: which bytes of the buffer belong to a word."""
-        self.buf = buf + b" " * 8
         edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        self.starts = np.flatnonzero(edges == 1)
-        self.lengths = np.flatnonzero(edges == -1) - self.starts
+        starts = np.flatnonzero(edges == 1)
+        self._set(buf, starts, np.flatnonzero(edges == -1) - starts)
+
+    @classmethod
+    def at(cls, buf: bytes, starts: np.ndarray, lengths: np.ndarray) -> Words:
+        """Words of given places and lengths."""
+        out = cls.__new__(cls)
+        out._set(buf, starts, lengths)
+        return out
+
+    def _set(self, buf: bytes, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.buf = buf + b" " * 8
+        self.starts, self.lengths = starts, lengths
         # Eight bytes from any place on, as a number.
         self.eight = np.ndarray((len(buf) + 1,), "<u8", self.buf, strides=(1,))
 

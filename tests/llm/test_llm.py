@@ -421,13 +421,32 @@ def test_token_files(spark, odd, none):
     assert tokens.token_digest(tokens.read_tokens(spark, empty)).collect() == []
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", "a, b. c", "x), y", "1, 2. 3", "it's, he'll. ok", "a\n\n b", "　 x  y", "tab\t x", "\0 nul, x. y", "<|endoftext|>, z. <|endoftext|>", "é, ñ. ß"])
+@pytest.mark.parametrize("text", ["", " ", "  ", "a, b. c", "x), y", "1, 2. 3", "it's, he'll. ok", "a\n\n b", "　 x  y", "tab\t x", "\0 nul, x. y", "<|endoftext|>, z. <|endoftext|>", "é, ñ. ß", "a!! b%%% c\u00d7. d\u0142; \u00a0 x", "x<|endoftext|>y! z"])
 def test_pieces_encode_like_the_text(text):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [0]
-    assert np.frombuffer(tokens.encode([text], path)[0], "<u4").tolist() == want
+    ids, counts = tokens.encode([b"", text.encode(), b"  "], path)
+    assert ids[1:1 + counts[1]].tolist() == want and counts[0] == 1
+
+
+def test_pieces_of_whole_texts_with_a_full_cache(monkeypatch):
+    import duckdb as db
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = [t or "" for (t,) in db.sql(f"select text from '{SF}/documents.parquet' order by doc_id").fetchall()]
+    tok = Tokenizer.from_file(path)
+    want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 500)
+    tokens._WORKERS.clear()
+    got = []
+    for k in range(0, len(texts), 7):
+        ids, counts = tokens.encode([t.encode() for t in texts[k:k + 7]], path)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    tokens._WORKERS.clear()
+    assert got == want
 
 
 # ---- 10 repeated strings ----------------------------------------------------------------------------
