@@ -42,7 +42,7 @@ COVERED = (80, 100)             # a candidate goes if a longer one has 80 of 100
 NO_LANG = "und"
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-CHUNK = 8 << 20                 # bytes of text numbered together
+CHUNK = 4 << 20                 # bytes of text numbered together
 MOST_BITS = 1 << 28             # the frequency bitmap has at most this many bits (32 MB)
 BITS_PER_PHRASE = 32
 PROBES = 3                      # bits set for a phrase
