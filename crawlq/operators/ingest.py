@@ -11,7 +11,8 @@ than landing in one task.  Without a ``batch`` column the whole DataFrame
 is one request; its verdict is a scalar subquery.
 
 All batches of one call are checked against the same queue snapshot, as
-concurrent requests would be.
+concurrent requests would be; keyword requests can also be served one after
+the other, each seeing what the accepted ones before it wrote (``in_order``).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from crawlq.constants import (
 )
 from crawlq.functions import columns as C
 from crawlq.operators import frontier, joins, merge
+from crawlq.operators.request_order import decide_in_order
 from crawlq.operators.queue_reads import seed_url_valid
 from crawlq.plans import normalize as N
 
@@ -80,7 +82,10 @@ def keyword_conflicts(batch: DataFrame, queue: DataFrame, col: str = "keyword",
     """
     kw = distinct_keywords(batch, col, suffix, batch_col)
     flagged = joins.key_exists(kw, queue.select("keyword"), "keyword")
-    keys = [batch_col] if batch_col else []
+    return _verdicts(flagged, [batch_col] if batch_col else [])
+
+
+def _verdicts(flagged: DataFrame, keys: list[str]) -> DataFrame:
     out = flagged.groupBy(*keys).agg(
         F.count_if(F.col("exists")).alias("n_existing"),
         F.count_if(~F.col("exists")).alias("n_new"))
@@ -105,23 +110,63 @@ def _with_ids(rows: DataFrame, id_expr: Column | None) -> DataFrame:
     return rows if id_expr is not None else merge.materialize(rows)
 
 
+def _served_in_order(flagged: DataFrame, batch_col: str) -> DataFrame:
+    """Keywords flagged against the queue, flagged again as each request finds
+    them: ``exists`` also for a keyword of an earlier accepted request;
+    ``accepted`` tells whether the request is.  Stored."""
+    placed = flagged.where(F.col(batch_col).isNotNull())
+    known = placed.groupBy(batch_col).agg(F.bool_or("exists").alias("_known"))
+    asked = merge.materialize(placed.join(merge.join_side(known), batch_col))
+    # A request that the queue itself rejects writes nothing, so nobody waits for it.
+    decided = decide_in_order(asked.where(~F.col("_known")), batch_col, "keyword")
+    asked = asked.join(merge.join_side(decided), batch_col, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    asked = merge.materialize(asked.drop("_known"))
+    writer = asked.where("accepted").select("keyword", F.col(batch_col).alias("_writer"))
+    found = (asked.join(merge.join_side(writer), "keyword", "left")
+             .withColumn("exists", F.col("exists") | F.coalesce(F.col("_writer") < F.col(batch_col), F.lit(False))).drop("_writer"))
+    return merge.materialize(found.unionByName(flagged.where(F.col(batch_col).isNull()).withColumn("accepted", F.lit(False))))
+
+
+def keyword_conflicts_in_order(batch: DataFrame, queue: DataFrame, batch_col: str, col: str = "keyword",
+                               suffix: str = KEYWORD_SITE_SUFFIX) -> DataFrame:
+    """D8 for requests served one after the other in ascending ``batch_col``:
+    counts and verdict as each request finds the queue, with what the accepted
+    requests before it inserted."""
+    kw = merge.materialize(distinct_keywords(batch, col, suffix, batch_col))
+    served = _served_in_order(joins.key_exists(kw, queue.select("keyword"), "keyword"), batch_col)
+    return _verdicts(served, [batch_col])
+
+
 def create_keywords(batch: DataFrame, queue: DataFrame, col: str = "keyword",
                     suffix: str = KEYWORD_SITE_SUFFIX, batch_col: str | None = None,
-                    now: Column | None = None, id_expr: Column | None = None) -> DataFrame:
+                    now: Column | None = None, id_expr: Column | None = None,
+                    in_order: bool = False) -> DataFrame:
     """Strip, drop blanks, de-duplicate, add the suffix, reject every
     batch holding a keyword that already exists, fill defaults (id, pending,
     start 0, stamps) and insert the rest if absent (key ``keyword``).
 
+    ``in_order``: the batches are served one after the other in ascending
+    ``batch_col``, and one that holds a keyword which an earlier accepted one
+    inserted is rejected as well.  Otherwise all see the queue as it is, and
+    a keyword of several batches is written once.  Batches without a value in
+    ``batch_col`` have no place in the order and are rejected there.
+
     Returns the keyword queue with ``_action``; keywords of rejected batches
     appear as ``reject`` rows.
     """
+    if in_order and batch_col is None:
+        raise ValueError("requests in order need a batch column")
     # The request rows feed the key probe, the verdicts and both outcomes:
     # compute them once into the checkpoint folder.
     kw, b = _batch_col(distinct_keywords(batch, col, suffix, batch_col), batch_col)
     kw = merge.materialize(kw)
     flagged = joins.key_exists(kw, queue.select("keyword"), "keyword")
-    counts = flagged.groupBy(b).agg(F.count_if(F.col("exists")).alias("_bad"))
-    good, bad = _judge(flagged, counts, b, batch_col is None)
+    if in_order:
+        flagged = _served_in_order(flagged, b)
+        good, bad = flagged.where("accepted"), flagged.where("not accepted")
+    else:
+        counts = flagged.groupBy(b).agg(F.count_if(F.col("exists")).alias("_bad"))
+        good, bad = _judge(flagged, counts, b, batch_col is None)
     # One row per keyword over all requests: a later request finds it written.
     rows = merge.cast_like(N.normalize_keyword_rows(good.select("keyword").distinct(), now, id_expr),
                            queue.schema)

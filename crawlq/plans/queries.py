@@ -518,6 +518,45 @@ def q_create_keywords(spark, sf_dir):
         "keyword", "status", "start", "created_at", "updated_at", "_action")
 
 
+# Requests served one after the other, as a fold: the state is the keywords
+# written so far and the marks of those who wrote them; a request that holds a
+# queued or a written keyword writes nothing.  Of requests with the same
+# keywords only the first can write.
+_IN_ORDER_CTES = _KW_CTES + """,
+req AS (SELECT kws, min(batch_id) AS batch_id
+        FROM (SELECT batch_id, list_sort(list(keyword)) AS kws FROM flag GROUP BY batch_id HAVING NOT bool_or(ex)) GROUP BY kws),
+state AS (SELECT list_reduce(list(list_append(kws, '#' || batch_id) ORDER BY batch_id),
+                             lambda a, b: CASE WHEN list_has_any(a, b) THEN a ELSE list_concat(a, b) END) AS written FROM req),
+won AS (SELECT batch_id FROM req WHERE '#' || batch_id IN (SELECT unnest(written) FROM state)),
+writer AS (SELECT f.keyword, f.batch_id FROM flag f JOIN won w ON w.batch_id = f.batch_id),
+found AS (SELECT f.batch_id, f.keyword, f.ex OR coalesce(w.batch_id < f.batch_id, false) AS ex,
+                 f.batch_id IN (SELECT batch_id FROM won) AS ok
+          FROM flag f LEFT JOIN writer w ON w.keyword = f.keyword)"""
+
+
+@register("keyword_conflicts_in_order", with_ctes(
+    "SELECT batch_id, count(*) FILTER (ex) AS n_existing, count(*) FILTER (NOT ex) AS n_new, "
+    "CASE WHEN NOT bool_or(ex) THEN 'all_new' WHEN bool_and(ex) THEN 'all_exist' ELSE 'some_exist' END AS verdict "
+    "FROM found GROUP BY batch_id", "keyword_batch", "keyword_queue", ctes=_IN_ORDER_CTES))
+def q_keyword_conflicts_in_order(spark, sf_dir):
+    """Per request, served in order: existing vs new keywords and the verdict."""
+    return ingest.keyword_conflicts_in_order(_kw_batch(spark, sf_dir), _t(spark, sf_dir, "keyword_queue"),
+                                             "batch_id", suffix=KEYWORD_SUFFIX)
+
+
+@register("create_keywords_in_order", with_ctes(
+    "SELECT 'keep' AS _action, NULL AS keyword, count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM keyword_queue "
+    "UNION ALL SELECT CASE WHEN ok THEN 'insert' ELSE 'reject' END, keyword, count(*), CASE WHEN ok THEN count(*) ELSE 0 END "
+    "FROM found GROUP BY ok, keyword", "keyword_batch", "keyword_queue", ctes=_IN_ORDER_CTES))
+def q_create_keywords_in_order(spark, sf_dir):
+    """Keyword requests served in order: kept rows, and inserts and rejects of each keyword, with their distinct ids."""
+    out = ingest.create_keywords(_kw_batch(spark, sf_dir), _t(spark, sf_dir, "keyword_queue"),
+                                 suffix=KEYWORD_SUFFIX, batch_col="batch_id", now=_now(), in_order=True)
+    kept = F.col("_action") == "keep"
+    return (out.groupBy("_action", F.when(~kept, F.col("keyword")).alias("keyword"))
+            .agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids")))
+
+
 _SEED_OK = f"url LIKE '{HOST_PREFIX}%' AND url LIKE '%{SEED_SUFFIX}'"
 
 

@@ -4,6 +4,8 @@ import datetime as dt
 import os
 import tempfile
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,3 +351,55 @@ def test_profile_social_single_writes_an_account_once(spark):
     urls = spark.createDataFrame([], "id string, account_id string")
     prof, _ = ingest.ingest_profile_social(batch, profiles, urls, now=now(), order="seq")
     assert rows(prof, "account_id", "username", "_action") == [("a", "amy", "insert"), ("b", "bob", "insert")]
+
+
+# ------------------------------------------------------- requests in their order
+
+def _one_by_one(items, queued=()):
+    taken, out = set(queued), {}
+    for r in sorted({r for r, _ in items if r is not None}):
+        keys = {k for x, k in items if x == r and k is not None}
+        if keys:
+            out[r] = not keys & taken
+            taken |= keys if out[r] else set()
+    return out
+
+
+@pytest.mark.parametrize("seed, small", [(0, 0), (1, 30), (1, 200_000)])
+def test_decide_in_order_equals_one_by_one(spark, monkeypatch, seed, small):
+    """``small``: rounds to the end, rounds and then one task, one task."""
+    monkeypatch.setattr(merge, "BROADCAST_MAX_ROWS", small)
+    from crawlq.operators.request_order import decide_in_order
+
+    rnd = random.Random(seed)
+    items = [(rnd.randrange(60), f"k{rnd.randrange(40) if rnd.random() < 0.7 else 0}") for _ in range(60 + 90 * seed)]
+    items += [(None, "k1"), (7, None)] + [(100 + i + d, f"chain{i}") for i in range(4) for d in (0, 1)]
+    got = decide_in_order(spark.createDataFrame(items, "r int, k string"), "r", "k")
+    assert {r.r: r.accepted for r in got.collect()} == _one_by_one(items)
+
+
+def test_decide_in_order_of_nothing(spark):
+    from crawlq.operators.request_order import decide_in_order
+
+    got = decide_in_order(spark.createDataFrame([(None, "a")], "r int, k string"), "r", "k")
+    assert got.collect() == [] and got.columns == ["r", "accepted"]
+
+
+def test_keyword_requests_in_order(spark):
+    """2 names a keyword of 1, 3 one of 2: 2 goes, so 3 stays; 4 names a queued one, so 5 stays."""
+    queue = spark.createDataFrame([("1", "old s", None, 0, "pending", None, ts(0), ts(0))],
+                                  "id string, keyword string, extension_id string, start bigint, status string, "
+                                  "processed_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz")
+    asked = [(1, "a"), (1, " a "), (2, "a"), (2, "b"), (3, "b"), (3, ""), (4, "old"), (4, "c"), (5, "c"), (None, "z")]
+    batch = spark.createDataFrame(asked, "b int, keyword string")
+    out = ingest.create_keywords(batch, queue, suffix=" s", batch_col="b", now=now(), in_order=True)
+    out = out.collect()
+    assert sorted((r.keyword, r._action) for r in out) == [
+        ("a s", "insert"), ("a s", "reject"), ("b s", "insert"), ("b s", "reject"), ("c s", "insert"), ("c s", "reject"),
+        ("old s", "keep"), ("old s", "reject"), ("z s", "reject")]
+    ids = [r.id for r in out if r._action == "insert"]
+    assert len(set(ids)) == 3 and None not in ids
+    got = ingest.keyword_conflicts_in_order(batch.where("b is not null"), queue, "b", suffix=" s")
+    assert rows(got) == [(1, 0, 1, "all_new"), (2, 1, 1, "some_exist"), (3, 0, 1, "all_new"), (4, 1, 1, "some_exist"), (5, 0, 1, "all_new")]
+    with pytest.raises(ValueError):
+        ingest.create_keywords(batch, queue, in_order=True)
