@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,9 @@ HOT_SHARE = 2000                # hot: at least 1 in 2,000 of all words, so at m
 RANK_PARTS = 64
 
 _FOLD = bytes.maketrans(SEPARATORS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(SEPARATORS) + b" abcdefghijklmnopqrstuvwxyz")
-_STRIPE = "lang string, prefix string, salt int, nexts array<string>, counts array<long>"
+# The entries of a stripe are one text, as words hold no space and no tab:
+# "word word<tab>count word"; a word without a count occurred once.
+_STRIPE = "lang string, prefix string, salt int, entries string"
 
 
 def fold(text: bytes) -> bytes:
@@ -167,13 +170,14 @@ def _stripes_of(docs: list[tuple[str, bytes]], k: int, frequent: Frequent | None
     offsets = pa.array(np.concatenate([at, [len(group)]]).astype(np.int32))
     first = first[group[at] // SALTS]
     prefixes = [b" ".join([texts[number[i + j] - 1] for j in range(k)]) for i in first]
-    nexts = pa.array([b"", *texts], pa.binary()).cast(pa.string())
+    nexts = pa.array([b"", *texts], pa.binary()).cast(pa.string()).take(pa.array(nxt))
+    counted = pc.binary_join_element_wise(nexts, pa.array(counts).cast(pa.string()), "\t")
+    entries = pc.if_else(pa.array((counts == 1) & (nxt > 0)), nexts, counted)
     return pa.RecordBatch.from_arrays([
         pa.array([names[i] for i in lang[first]], pa.string()), pa.array(prefixes, pa.binary()).cast(pa.string()),
         pa.array((group[at] % SALTS).astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, nexts.take(pa.array(nxt))),
-        pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
-    ], names=["lang", "prefix", "salt", "nexts", "counts"])
+        pc.binary_join(pa.ListArray.from_arrays(offsets, entries), " "),
+    ], names=["lang", "prefix", "salt", "entries"])
 
 
 def merged_stripes(docs: DataFrame, k: int, frequent=None) -> DataFrame:
@@ -198,8 +202,9 @@ def merged_stripes(docs: DataFrame, k: int, frequent=None) -> DataFrame:
             yield out
 
     one = (docs.mapInArrow(stripes, _STRIPE).repartition("lang", "prefix", "salt")
-           .select("lang", "prefix", "salt", "counts", F.posexplode("nexts").alias("at", "next"))
-           .select("lang", "prefix", "salt", "next", F.col("counts")[F.col("at")].alias("n"))
+           .select("lang", "prefix", "salt", F.explode(F.split("entries", " ")).alias("e"))
+           .select("lang", "prefix", "salt", F.substring_index("e", "\t", 1).alias("next"),
+                   F.when(F.instr("e", "\t") > 0, F.substring_index("e", "\t", -1).cast("long")).otherwise(1).alias("n"))
            .groupBy("lang", "prefix", "salt", "next").agg(F.sum("n").alias("n")))
     often = (F.col("n") >= MIN_COUNT) & (F.col("next") != "")
     return one.groupBy("lang", "prefix", "salt", F.when(often, F.col("next")).otherwise("").alias("next")).agg(F.sum("n").alias("n"))
