@@ -893,6 +893,15 @@ def q_not_exists(spark, sf_dir):
     return joins.not_exists(prof, _t(spark, sf_dir, "url_queue"), "account_id")
 
 
+@register("not_exists_batch", with_ctes(
+    "SELECT id, account_id FROM url_batch b WHERE NOT EXISTS "
+    "(SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id)", "url_batch", "url_queue"))
+def q_not_exists_batch(spark, sf_dir):
+    """Incoming URL rows of accounts that are not queued yet (anti join; about half of them are)."""
+    rows = _t(spark, sf_dir, "url_batch").select("id", "account_id")
+    return joins.not_exists(rows, _t(spark, sf_dir, "url_queue"), "account_id")
+
+
 @register("key_exists", with_ctes(
     "SELECT b.account_id, b.url, EXISTS (SELECT 1 FROM url_queue u WHERE u.account_id = b.account_id) "
     "AS exists FROM (SELECT DISTINCT account_id, url FROM url_batch) b", "url_batch", "url_queue"))
