@@ -21,7 +21,7 @@ reduced.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -251,6 +251,7 @@ def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool,
 def upsert(target: DataFrame, source: DataFrame, key: str, *,
            keep_on_null: Sequence[str] = (), on_missing: str = "insert",
            on_duplicate: str = "error", order: str | Column | None = None,
+           given: Mapping[str, str] | None = None,
            broadcast_max_rows: int | None = None,
            source_small: bool | None = None) -> DataFrame:
     """M1: update matched rows, insert the others.
@@ -260,7 +261,8 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
     * Matched: every source column except the key overwrites the target,
       an explicit NULL included; target columns absent from the source keep
       their value.  Columns in ``keep_on_null`` keep the target value when
-      the source value is NULL.
+      the source value is NULL.  ``given`` maps a column to a boolean source
+      column; where that is not true, the target value stays.
     * Unmatched: inserted with the source columns, other columns NULL; with
       ``on_missing="reject"`` they are marked ``reject`` instead.
     * Duplicate source keys: ``error`` (default), ``latest``/``first`` by
@@ -270,15 +272,17 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
       (the probe recomputes the source once, which matters when the source
       is itself an expensive derived DataFrame).
     """
+    given = given or {}
     carry = [order] if isinstance(order, str) else []
-    src = _dedupe(_prepare_source(source, target, key, carry=carry), key, on_duplicate, order)
+    flags = sorted(set(given.values()))
+    src = _dedupe(_prepare_source(source, target, key, carry=[*carry, *flags]), key, on_duplicate, order)
     src = src.drop(*[c for c in carry if c not in target.columns])
-    updates = [c for c in src.columns if c != key]
+    updates = [c for c in src.columns if c != key and c not in flags]
     if not updates:
         return insert_key_only(target, src, key, broadcast_max_rows=broadcast_max_rows,
                                source_small=source_small)
     small = is_small(src, broadcast_max_rows) if source_small is None else source_small
-    s = src.select(key, *[F.col(c).alias(_S + c) for c in updates], F.lit(True).alias(_S_HIT))
+    s = src.select(key, *[F.col(c).alias(_S + c) for c in [*updates, *flags]], F.lit(True).alias(_S_HIT))
     t = target.withColumn(_T_HIT, F.lit(True))
     # Small source: broadcast, the target is never shuffled.  Otherwise a
     # left join with the target streamed and the (de-duplicated,
@@ -304,6 +308,8 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
         new = F.col(_S + c)
         if c in keep_on_null:
             new = F.coalesce(new, F.col(c))
+        if c in given:
+            new = F.when(F.col(_S + given[c]), new).otherwise(F.col(c))
         cols.append(F.when(s_hit, new).otherwise(F.col(c)).alias(c))
     missing = REJECT if on_missing == "reject" else INSERT
     action = (F.when(t_hit & s_hit, F.lit(UPDATE))

@@ -14,12 +14,12 @@ from pyspark.sql.types import (
 
 from crawlq.constants import ALLOWED_SEED_PATCH
 from crawlq.functions import columns, reports
-from crawlq.operators import frontier, ingest, joins, merge, queue_reads, stats
+from crawlq.operators import frontier, ingest, joins, merge, patch_log, queue_reads, stats
 from crawlq.plans import normalize
 from crawlq.sources import tables
 from crawlq.sources.schemas import table_schema
 from crawlq.session import ensure_checkpoint_dir
-from crawlq.streaming import stream
+from crawlq.streaming import stateful, stream
 from crawlq.plans.registry import QUERIES, register
 from crawlq.sources.fixtures import (
     ADAPTERS, FIXED_NOW_TEXT, HOST_PREFIX, KEYWORD_SUFFIX, SEED_SUFFIX, base_table, load_adapter,
@@ -457,6 +457,43 @@ def q_advance_cursor(spark, sf_dir):
                                 _t(spark, sf_dir, "owner_patch"), _now(), cursor="current_start")
 
 
+_LOG_VALID = ("id IS NOT NULL AND id <> '' AND CASE kind WHEN 'status' THEN TRUE "
+              "WHEN 'owner' THEN coalesce(extension_id, '') <> '' "
+              "WHEN 'claim' THEN coalesce(extension_id, '') <> '' "
+              "WHEN 'cursor' THEN start IS NOT NULL ELSE FALSE END")
+_LOG_MOVE = "CASE kind WHEN 'claim' THEN 'processing' ELSE status END"
+
+
+def _log_last(value: str, kinds: str) -> str:
+    return f"max({{'o': seq, 'v': {value}}}) FILTER (kind IN ({kinds}))"
+
+
+def _log_set(c: str, has: str, value: str | None = None) -> str:
+    return f"CASE WHEN {has} THEN {value or 'p.' + c} ELSE k.{c} END"
+
+
+_LOG_ORACLE = with_ctes(
+    f"SELECT {_cols('k', _KWQ, {'status': _log_set('status', 'p.s IS NOT NULL', 'p.s.v'), 'extension_id': _log_set('extension_id', 'p.e IS NOT NULL', 'p.e.v'), 'start': _log_set('start', 'p.c IS NOT NULL', 'p.c.v'), 'processed_at': _log_set('processed_at', 'p.started', NOW_SQL), 'updated_at': _log_set('updated_at', 'p.id IS NOT NULL', NOW_SQL)})}, "
+    "CASE WHEN p.id IS NOT NULL THEN 'update' ELSE 'keep' END AS _action "
+    "FROM keyword_queue k LEFT JOIN p ON k.id = p.id "
+    f"UNION ALL SELECT {_null_cols(_KWQ, {'id': 'p.id', 'status': 'p.s.v', 'extension_id': 'p.e.v', 'start': 'p.c.v', 'processed_at': f'CASE WHEN p.started THEN {NOW_SQL} END', 'updated_at': NOW_SQL})}, 'reject' "
+    "FROM p WHERE NOT EXISTS (SELECT 1 FROM keyword_queue k WHERE k.id = p.id) "
+    f"UNION ALL SELECT {_null_cols(_KWQ, {'id': 'id', 'status': 'status', 'extension_id': 'extension_id', 'start': 'start'})}, 'reject' "
+    f"FROM patch_log WHERE NOT ({_LOG_VALID})",
+    "keyword_queue", "patch_log",
+    ctes=f"""p AS (SELECT id, {_log_last(_LOG_MOVE, "'status', 'claim'")} AS s,
+              {_log_last('extension_id', "'owner', 'claim'")} AS e, {_log_last('start', "'cursor'")} AS c,
+              coalesce(bool_or({_LOG_MOVE} = 'processing') FILTER (kind IN ('status', 'claim')), FALSE) AS started
+       FROM patch_log WHERE {_LOG_VALID} GROUP BY id)""")
+
+
+@register("patch_log", _LOG_ORACLE)
+def q_patch_log(spark, sf_dir):
+    """Mixed patches (status, owner, claim, cursor) of many ids, replayed in order."""
+    return patch_log.replay(_t(spark, sf_dir, "keyword_queue"), _t(spark, sf_dir, "patch_log"),
+                            "seq", _now())
+
+
 # ------------------------------------------------------------ keyword ingest
 
 _KW_TRIM = "trim(keyword)"
@@ -1026,6 +1063,13 @@ def q_stream_upsert_repeated(spark, sf_dir):
         lambda target, p: merge.patch_status(target, p, _now()), key="id", order="seq")
 
 
+@register("stream_patch_log", _LOG_ORACLE)
+def q_stream_patch_log(spark, sf_dir):
+    """The same patches as a stream, folded in the state store and merged from it."""
+    log = spark.sql(ADAPTERS["patch_log"], events=_event_stream(spark, sf_dir))
+    return stateful.stream_patch_log(spark, _t(spark, sf_dir, "keyword_queue"), log, "seq", _now())
+
+
 # ----------------------------------------------------------- sources / sinks
 
 @register("scan", "SELECT o_orderkey, o_orderstatus FROM orders")

@@ -118,6 +118,17 @@ SELECT CAST(l_orderkey*10+l_linenumber AS STRING) AS id,
 SELECT CAST(event_id AS STRING) AS id,
  CASE WHEN user_id%10=0 THEN NULL ELSE 'ext_' || CAST(user_id%7 AS STRING) END AS extension_id,
  CASE WHEN user_id%9=0 THEN NULL ELSE user_id*10 END AS current_start
+ FROM {events}""",
+    # patch_log: mixed patches of keyword_queue, many per id, to be replayed in
+    # the order of seq; some ids unknown, some owners, cursors, kinds not valid.
+    "patch_log": """
+SELECT CAST(user_id AS STRING) AS id, event_id AS seq,
+ CASE event_id%5 WHEN 0 THEN 'status' WHEN 1 THEN 'owner' WHEN 2 THEN 'claim' WHEN 3 THEN 'cursor'
+      ELSE CASE WHEN event_id%7=0 THEN 'other' ELSE 'status' END END AS kind,
+ CASE WHEN event_type='click' THEN 'processing' WHEN event_type='purchase' THEN 'completed'
+      WHEN event_type='error' THEN NULL ELSE 'failed' END AS status,
+ CASE WHEN event_id%11=0 THEN NULL WHEN event_id%13=0 THEN '' ELSE 'ext_' || CAST(event_id%7 AS STRING) END AS extension_id,
+ CASE WHEN event_id%9=0 THEN NULL ELSE CAST(event_id%1000 AS INT)*10 END AS start
  FROM {events}""",
     # keyword_batch: one keyword request per order (batch_id); a seventh of
     # the lines name a keyword already queued, some are blank.
