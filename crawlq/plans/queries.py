@@ -16,9 +16,9 @@ from crawlq.constants import ALLOWED_SEED_PATCH
 from crawlq.functions import columns, reports
 from crawlq.operators import frontier, ingest, joins, merge, patch_log, queue_reads, stats
 from crawlq.plans import normalize
-from crawlq.sources import tables
+from crawlq.sources import snapshots, tables
 from crawlq.sources.schemas import table_schema
-from crawlq.session import ensure_checkpoint_dir
+from crawlq.session import ensure_checkpoint_dir, scratch_path
 from crawlq.streaming import stateful, stream
 from crawlq.plans.registry import QUERIES, register
 from crawlq.sources.fixtures import (
@@ -1072,6 +1072,38 @@ def q_stream_patch_log(spark, sf_dir):
 
 # ----------------------------------------------------------- sources / sinks
 
+@register("snapshot_merge", with_ctes(
+    f"SELECT {', '.join(_URLQ)} FROM ({_PATCHED}) WHERE _action <> 'reject'", "url_queue", "status_patch",
+    ctes=f"""p AS (SELECT id, status, CASE WHEN status = 'processing' THEN {NOW_SQL} END AS processed_at,
+              {NOW_SQL} AS updated_at FROM status_patch)"""))
+def q_snapshot_merge(spark, sf_dir):
+    """url_queue written in key buckets, merged with status patches bucket by
+    bucket, and the new version read back."""
+    root = scratch_path(spark, "url-queue")
+    snapshots.create(_t(spark, sf_dir, "url_queue"), root, "id", buckets=16)
+    snapshots.merge_into(spark, root, _t(spark, sf_dir, "status_patch"),
+                         lambda target, p: merge.patch_status(target, p, _now()))
+    return snapshots.read(spark, root)
+
+
+_URLS_OK = "url IS NOT NULL AND status IS NOT NULL AND created_at IS NOT NULL AND updated_at IS NOT NULL"
+
+
+@register("append_exactly_once", with_ctes(
+    f"SELECT {', '.join(_URLQ)}, CASE WHEN NOT ({_URLS_OK}) THEN 'missing required fields' END AS _reject_reason "
+    "FROM url_queue", "url_queue"))
+def q_append_exactly_once(spark, sf_dir):
+    """URL rows appended as one batch, twice: the table's one copy and the rows
+    left out, with their reason, as both are read back."""
+    urls, root = _t(spark, sf_dir, "url_queue"), scratch_path(spark, "urls")
+    snapshots.create(urls.limit(0), root, "id", buckets=16)
+    for _ in range(2):
+        done = snapshots.append(spark, root, urls, "requests", 1, "urls")
+    left_out = snapshots.read_rejects(spark, root, done)
+    return (snapshots.read(spark, root).withColumn("_reject_reason", F.lit(None).cast("string"))
+            .unionByName(left_out))
+
+
 @register("scan", "SELECT o_orderkey, o_orderstatus FROM orders")
 def q_scan(spark, sf_dir):
     """Declared-schema scan of a parquet table with a column list."""
