@@ -14,9 +14,11 @@ from pyspark.sql.types import (
 
 from crawlq.constants import ALLOWED_SEED_PATCH
 from crawlq.functions import columns, reports
-from crawlq.operators import frontier, ingest, joins, merge, patch_log, queue_reads, stats
+from crawlq.operators import (
+    counts, dealing, frontier, ingest, joins, merge, patch_log, queue_reads, stats,
+)
 from crawlq.plans import normalize
-from crawlq.sources import snapshots, tables
+from crawlq.sources import pages, snapshots, tables
 from crawlq.sources.schemas import table_schema
 from crawlq.session import ensure_checkpoint_dir, scratch_path
 from crawlq.streaming import stateful, stream
@@ -194,6 +196,46 @@ def q_profile_page(spark, sf_dir):
     return queue_reads.profile_page(_t(spark, sf_dir, "profile"), 100, 10)
 
 
+def _indexed(spark, df, order, limit, offset):
+    path = scratch_path(spark, "pages")
+    pages.write_pages(df, path, order)
+    return pages.read_page(spark, path, df.schema, limit, offset)
+
+
+@register("profile_page_indexed", with_ctes(
+    "SELECT id, username, title, location FROM profile "
+    f"ORDER BY updated_at DESC NULLS LAST, id {_NF} LIMIT 100 OFFSET 70", "profile"))
+def q_profile_page_indexed(spark, sf_dir):
+    """Profiles 71-170 by most recent update, read from the ranges that hold them."""
+    order = [F.col("updated_at").desc_nulls_last(), F.col("id").asc_nulls_first()]
+    return _indexed(spark, _t(spark, sf_dir, "profile"), order, 100, 70).select(
+        "id", "username", "title", "location")
+
+
+_DEAL_LIMIT = 5
+_DEAL_SQL = with_ctes(
+    "SELECT id, extension_id, place, fresh FROM kept UNION ALL SELECT r.id, s.extension_id, s.place, TRUE "
+    "FROM r JOIN s ON r.n = s.n", "keyword_queue", "owner_patch",
+    ctes=f"""
+w AS (SELECT DISTINCT extension_id FROM owner_patch WHERE extension_id IS NOT NULL AND extension_id <> ''),
+own AS (SELECT id, extension_id, row_number() OVER (PARTITION BY extension_id ORDER BY created_at {_NF}, id {_NF}) - 1 AS place
+        FROM keyword_queue WHERE status = 'processing' AND extension_id IN (SELECT extension_id FROM w)),
+kept AS (SELECT id, extension_id, place, FALSE AS fresh FROM own WHERE place < {_DEAL_LIMIT}),
+held AS (SELECT w.extension_id, count(k.id) AS k FROM w LEFT JOIN kept k USING (extension_id) GROUP BY 1),
+places AS (SELECT extension_id, CAST(i AS BIGINT) AS place, i - k AS turn
+           FROM held, range({_DEAL_LIMIT}) t(i) WHERE i >= k),
+s AS (SELECT *, row_number() OVER (ORDER BY turn, extension_id) AS n FROM places),
+r AS (SELECT id, row_number() OVER (ORDER BY created_at {_NF}, id {_NF}) AS n FROM keyword_queue
+      WHERE status = 'pending' AND coalesce(extension_id, '') = '')""")
+
+
+@register("deal_work", _DEAL_SQL)
+def q_deal_work(spark, sf_dir):
+    """Keywords for every worker in one call: its own rows first, then unowned
+    pending ones, dealt in turn."""
+    return dealing.deal(_t(spark, sf_dir, "keyword_queue"), _t(spark, sf_dir, "owner_patch"), _DEAL_LIMIT)
+
+
 # --------------------------------------------------------------------- stats
 
 _SL = "COALESCE(NULLIF(status, ''), 'pending')"
@@ -356,6 +398,35 @@ _BATCH_GIVEN = {c: f"b.{c}" for c in ("id", "account_id", "url", "source_type",
                                       "created_at", "updated_at")}
 
 
+@register("stats_report_maintained", with_ctes(
+    "SELECT 'seed_urls' AS section, status AS dim1, extension_id AS dim2, n FROM so "
+    "UNION ALL SELECT 'profile_urls', CAST(crawl_depth AS STRING), status, n FROM ud "
+    "UNION ALL SELECT 'profiles', CAST(crawl_depth AS STRING), status, n FROM pd",
+    "seed_queue", "url_queue", "profile", "status_patch", "profile_patch",
+    ctes=f"""
+u2 AS (SELECT u.account_id, u.crawl_depth, CASE WHEN p.id IS NOT NULL THEN p.status ELSE u.status END AS status
+       FROM url_queue u LEFT JOIN status_patch p ON u.id = p.id),
+p2 AS (SELECT account_id FROM profile UNION ALL SELECT account_id FROM profile_patch s WHERE account_id IS NOT NULL
+       AND NOT EXISTS (SELECT 1 FROM profile t WHERE t.account_id = s.account_id)),
+so AS (SELECT {_SL} AS status, {_OL} AS extension_id, count(*) AS n FROM seed_queue GROUP BY 1, 2),
+ud AS (SELECT {_DL} AS crawl_depth, {_SL} AS status, count(*) AS n FROM u2 GROUP BY 1, 2),
+pd AS (SELECT COALESCE(NULLIF(u.crawl_depth, 0), 1) AS crawl_depth,
+              COALESCE(NULLIF(u.status, ''), 'pending') AS status, count(*) AS n
+       FROM u2 u JOIN p2 p ON u.account_id = p.account_id GROUP BY 1, 2)"""))
+def q_stats_report_maintained(spark, sf_dir):
+    """The report of the tables before two merges, brought up to date by what the
+    merges (status patches, a profile upsert) changed."""
+    seeds, urls, profiles = (_t(spark, sf_dir, n) for n in ("seed_queue", "url_queue", "profile"))
+    report = stats.stats_report(seeds, urls, profiles)
+    patched = merge.patch_status(counts.tracked(urls, *counts.URL_COLS),
+                                 _t(spark, sf_dir, "status_patch"), _now())
+    upserted = merge.upsert(counts.tracked(profiles, *counts.PROFILE_COLS),
+                            _t(spark, sf_dir, "profile_patch"), "account_id")
+    return counts.maintained(
+        report, counts.url_changes(patched),
+        counts.profile_changes(patched, profiles, upserted, merge.table_rows(patched)))
+
+
 @register("insert_if_absent", with_ctes(
     f"SELECT {_cols('u', _URLQ)}, 'keep' AS _action FROM url_queue u "
     f"UNION ALL SELECT {_null_cols(_URLQ, _BATCH_GIVEN)}, 'insert' FROM url_batch b "
