@@ -16,6 +16,8 @@ other periods are never met.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +34,42 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """Path of a URL without its query, fragment and slashes at either end."""
+    """Path of a URL without its query, fragment and slashes at either end; runs of slashes are one."""
     raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.regexp_replace(raw, r"^/+|/+$", "")
+    return F.btrim(F.regexp_replace(raw, "/+", "/"), F.lit("/"))
+
 
+def patterns_of(url: Column, labels: Sequence[int], steps: Sequence[int]) -> Column:
+    """The patterns that match a URL among those of the given sizes.
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that match a URL: its host, the domains above it, and its host with each path prefix."""
+    ``labels``: the label counts of domains (the host's last labels, the whole
+    host included); ``steps``: the step counts of URL prefixes (host and that
+    many path steps).  Only sizes that list entries have need to be given, so a
+    URL costs its length times the number of sizes, however many steps it has.
+    """
     host, path = host_of(url), path_of(url)
-    labels, steps = F.split(host, r"\."), F.split(path, "/+")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(path != "", F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(
-        host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, prefixes)))
+
+    def parts(text: Column, mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark))) + 1
+
+    def cut(sizes: Sequence[int], most: Column, make) -> Column:
+        each = [F.when(F.lit(k) <= most, make(k)) for k in sorted(set(sizes))]
+        return F.array(*each) if each else F.array().cast("array<string>")
+
+    domains = cut(labels, parts(host, "."), lambda k: F.substring_index(host, ".", -k))
+    prefixes = cut(steps, F.when(path != "", parts(path, "/")).otherwise(0),
+                   lambda k: F.concat(host, F.lit("/"), F.substring_index(path, "/", k)))
+    return F.when(host.isNotNull(), F.array_compact(F.concat(domains, prefixes)))
+
+
+def sizes_of(patterns: DataFrame) -> tuple[list[int], list[int]]:
+    """The label counts of the domains and the step counts of the URL prefixes in
+    ``patterns``: two lists of distinct small numbers, not longer than the longest pattern."""
+    n = F.col("pattern")
+    steps = F.length(n) - F.length(F.replace(n, F.lit("/")))
+    size = F.when(steps > 0, steps).otherwise(F.length(n) - F.length(F.replace(n, F.lit("."))) + 1)
+    found = patterns.select((steps > 0).alias("path"), size.alias("size")).distinct().collect()
+    return [r["size"] for r in found if not r["path"]], [r["size"] for r in found if r["path"]]
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -71,21 +96,22 @@ def active_entries(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched, list, pattern: every entry active for a capture when it was fetched.
 
     ``captures``: page_id, url, fetched (date).  Captures with a null date or
-    without a host match nothing; repeated captures match each.  Other columns
-    are ignored.
+    without a host match nothing; repeated captures match each.  URLs may be of
+    any length.  Other columns are ignored.
     """
     rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("fetched").cast("date").alias("fetched"))
-    keys = (rows.where("fetched is not null").select("page_id", "url", "fetched", F.explode(patterns_of(F.col("url"))).alias("key"))
-            .withColumn("period", _period(F.col("fetched"))))
     # Intervals are laid out over the captures' time span only.
     span = rows.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi")).first()
     if span["lo"] is None:
-        return keys.select("page_id", "url", "fetched", F.lit("").alias("list"), F.col("key").alias("pattern")).where("false")
+        return rows.select("page_id", "url", "fetched", F.lit("").alias("list"), F.lit("").alias("pattern")).where("false")
     lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
     held = (intervals(entries).where((F.col("from_day") <= hi) & (F.col("to_day") > lo))
             .withColumn("p", F.explode(F.sequence(_period(F.greatest("from_day", lo)), _period(F.least("to_day", hi))))))
     # Stored, so that both inputs of the join are plain shuffles and a hot host is split.
     held = stored(held, "url-intervals")
+    keys = (rows.where("fetched is not null")
+            .select("page_id", "url", "fetched", F.explode(patterns_of(F.col("url"), *sizes_of(held))).alias("key"))
+            .withColumn("period", _period(F.col("fetched"))))
     on = (F.col("key") == F.col("pattern")) & (F.col("period") == F.col("p")) & (F.col("fetched") >= F.col("from_day")) & (F.col("fetched") < F.col("to_day"))
     return keys.join(held, on).select("page_id", "url", "fetched", "list", "pattern")
 
