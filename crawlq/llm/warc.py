@@ -41,6 +41,7 @@ MAX_RECORDS = 100_000             # ... or this many records (its index is held
 RANGE_BYTES = 4 * 1024 * 1024     # records are read in ranges of about this size
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+EXACT_URL = "X-Url-Json"
 _DATE = "2024-01-01T00:00:00Z"
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
 
@@ -48,15 +49,22 @@ _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
 # ---- records -------------------------------------------------------------
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, rtype: str) -> bytes:
-    """One WARC record; a revisit has the digest and size of its payload but not the payload."""
+    """One WARC record; a revisit has the digest and size of its payload but not the payload.
+
+    A url that a header field cannot hold as it is (null, line breaks, outer
+    white space) is there in an escaped form, and as JSON text in a field of
+    its own, which :func:`url_of` reads.
+    """
     body = payload if rtype == "response" else b""
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A").strip()
     heads = [
         ("WARC-Type", rtype), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", _DATE), ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
         ("X-Payload-Length", str(len(payload))), ("Content-Type", "text/html; charset=utf-8"),
     ]
+    if uri != url:
+        heads.append((EXACT_URL, json.dumps(url)))
     if rtype == "revisit":
         heads += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     heads.append(("Content-Length", str(len(body))))
@@ -78,6 +86,11 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return heads, body
 
 
+def url_of(heads: dict[str, str]) -> str | None:
+    """The url that a record was written with, null included."""
+    return json.loads(heads[EXACT_URL]) if EXACT_URL in heads else heads["WARC-Target-URI"]
+
+
 # ---- ZIP -----------------------------------------------------------------
 
 class ZipWriter:
@@ -293,7 +306,7 @@ def read_records(ranges: DataFrame, root: str) -> DataFrame:
                     n, digest = int(heads["X-Payload-Length"]), heads["WARC-Payload-Digest"].removeprefix("sha256:")
                     if heads["WARC-Type"] == "response" and (n, digest) != (len(body), hashlib.sha256(body).hexdigest()):
                         raise ValueError(f"damaged payload in {path}")
-                    out.append((number(heads["WARC-Record-ID"]), n, digest, heads["WARC-Type"], number(heads.get("WARC-Refers-To")), heads["WARC-Target-URI"]))
+                    out.append((number(heads["WARC-Record-ID"]), n, digest, heads["WARC-Type"], number(heads.get("WARC-Refers-To")), url_of(heads)))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
@@ -302,7 +315,10 @@ def read_records(ranges: DataFrame, root: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write all ``pages`` as archives in the shared folder and read every record back."""
+    """Write all ``pages`` as archives in the shared folder and read every record back.
+
+    Ids and urls come back as they were, null, white space and line breaks included.
+    """
     out = scratch_path(pages.sparkSession, "warc")
     manifest = write_archives(record_plan(pages), out)
     return read_records(archive_ranges(manifest, out), out).select(
@@ -310,7 +326,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS payload FROM pages),
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, url, octet_length(payload) AS n, sha256(payload) AS digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
