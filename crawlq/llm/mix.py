@@ -26,12 +26,15 @@ LEVELS, BITS = 4, 12     # the rank's 48 bits, 12 at a time
 _SCALE = float(2 ** (LEVELS * BITS))
 
 
+PLAN = ("source", "source_size", "target", "whole", "p", "cut", "cut_h", "k", "n")
+
+
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _uniform(id_col: Column, text: Column, seed: str) -> Column:
-    """A number in (0, 1) from the row's id and text; equal rows get the same."""
+    """A number in (0, 1) from the row's id and text; rows equal in both get the same."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null")),
                                F.md5(F.coalesce(text, F.lit("")))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(_SCALE)
@@ -76,17 +79,26 @@ def _rank(u: Column, p: Column) -> Column:
     return F.floor(q / (1 + q) * F.lit(_SCALE)).cast("long")
 
 
+def _same(id_col: Column, text: Column) -> Column:
+    """A number that rows equal in id and text share."""
+    return F.xxhash64(id_col.cast("string"), id_col.isNull(), F.coalesce(text, F.lit("")))
+
+
 def plan_mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source",
              weights=WEIGHTS, share=SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """One row per source: source, source_size, target, whole, p, cut.
+    """One row per source: source, source_size, target, whole, p, cut, cut_h, k, n.
 
     A document of the source is taken ``whole`` times, and once more if its
-    rank is at most ``cut``.  The cut is found by radix selection: each level
+    rank is below ``cut``.  The cut is found by radix selection: each level
     sums the sizes by the next 12 bits of the rank (partial sums before the
-    shuffle), and only the bucket in which the words run out goes on.
+    shuffle), and only the bucket in which the words run out goes on.  Rows of
+    rank ``cut`` are ordered by the hash of their id and text: those below
+    ``cut_h`` go in, and of the ``n`` rows equal to it ``k``, as many as come
+    nearest to the words that are left.
     """
     slim = stored(docs.select(F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"),
-                              _uniform(F.col(id_col), F.col(text_col), seed).alias("u")), "mix-slim")
+                              _uniform(F.col(id_col), F.col(text_col), seed).alias("u"),
+                              _same(F.col(id_col), F.col(text_col)).alias("h")), "mix-slim")
     t = stored(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")),
                        weights=weights, share=share, cap=cap), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -94,7 +106,7 @@ def plan_mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="s
          .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
          .withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)))
     ranked = slim.join(maybe_broadcast(t.where("p > 0").select(F.col("source").alias("s"), "p")),
-                       F.col("source").eqNullSafe(F.col("s"))).select("source", "size", _rank(F.col("u"), F.col("p")).alias("rank"))
+                       F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "h", _rank(F.col("u"), F.col("p")).alias("rank"))
     ranked = stored(ranked, "mix-ranked")
     cut = t.where("p > 0").select("source", "rest", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("prefix"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -109,13 +121,43 @@ def plan_mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="s
         cross = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bucket", (F.col("upto") - F.col("size")).alias("base"), "upto")))
         last = F.max(F.struct("bucket", (F.col("upto") - F.col("size")).alias("base"), "upto"))
         cut = (sums.groupBy("source", "rest").agg(F.coalesce(cross, last).alias("x"))
-               .select("source", "rest", F.col("x.base").alias("base"), F.col("x.bucket").alias("prefix"), F.col("x.upto").alias("upto")))
-        cut = stored(cut if level == LEVELS - 1 else cut.drop("upto"), "mix-cut")
-    # Rows of the last rank go in together if that comes at least as near.
-    last_in = F.col("base") + F.col("upto") <= 2 * F.col("rest")
-    cuts = cut.select(F.col("source").alias("s"), (F.col("prefix") - F.when(last_in, 0).otherwise(1)).alias("cut"))
-    return t.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "whole", "p", "cut")
+               .select("source", "rest", F.col("x.base").alias("base"), F.col("x.bucket").alias("prefix")))
+        cut = stored(cut, "mix-cut")
+    # Rows of the last rank: mostly one, or rows equal in id and text, counted before the shuffle.
+    edge = ranked.join(maybe_broadcast(cut.withColumnRenamed("source", "s")),
+                       F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("prefix")))
+    by_hash = Window.partitionBy("source").orderBy("h", "size")
+    edge = (edge.groupBy("source", "rest", "base", "prefix", "h", "size").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("upto", F.col("base") + F.sum(F.col("size") * F.col("n")).over(by_hash.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    group = F.struct("h", "size", "n", (F.col("upto") - F.col("size") * F.col("n")).alias("base"))
+    edge = (edge.groupBy("source", "rest", "prefix")
+            .agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("rest"), group)), F.max(group)).alias("x")))
+    room = F.when(F.col("x.size") > 0, (F.col("rest") - F.col("x.base")) / F.col("x.size")).otherwise(F.col("x.n"))
+    k = F.least(F.greatest(F.floor(room + 0.5).cast("long"), F.lit(0).cast("long")), F.col("x.n"))
+    cuts = edge.select(F.col("source").alias("s"), F.col("prefix").alias("cut"), F.col("x.h").alias("cut_h"), k.alias("k"), F.col("x.n").alias("n"))
+    return t.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(*PLAN)
+
+
+def _first_k(rows: DataFrame, k: str) -> DataFrame:
+    """``more`` = 1 for ``k`` of the rows of each source, else 0.
+
+    The rows are equal in id and text, so which ones count makes no difference.
+    They are numbered as they lie in their stored partitions, from the counts
+    of the partitions before: no task holds a source's rows.
+    """
+    place = F.monotonically_increasing_id()
+    rows = stored(rows.withColumn("_place", place).withColumn("_part", F.shiftright("_place", 33)), "mix-ties")
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per source and partition.
+    at = (rows.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+          .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+          .select(F.col("source").alias("_s"), F.col("_part").alias("_q"), "_before", "_n", "_first"))
+    rows = rows.join(maybe_broadcast(at), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_q")))
+    # Inside a partition that holds the k-th row, the place counts from its first one.
+    inside = Window.partitionBy("source", "_part").orderBy("_place")
+    number = F.col("_before") + F.row_number().over(inside)
+    return (rows.withColumn("more", F.when(number <= F.col(k), 1).otherwise(0))
+            .drop("_place", "_part", "_s", "_q", "_before", "_n", "_first"))
 
 
 def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", keep: bool = False, **how) -> DataFrame:
@@ -126,16 +168,27 @@ def mix_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_c
 
     Null or empty texts have size 0 and take no words; a null source is a
     source of its own, the last in order; null ids and repeated rows are rows
-    like others (rows equal in id and text share one rank, hence one fate).
+    like others.  Rows equal in id and text share one rank; where the words of
+    a source run out among them, as many of them are taken as fit.
     """
     plan = stored(plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how), "mix-plan")
     seed = how.get("seed", SEED)
     rows = docs.select(*([F.struct(*docs.columns).alias("doc")] if keep else []),
                        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       words(F.col(text_col)).alias("size"), _uniform(F.col(id_col), F.col(text_col), seed).alias("u"))
+                       words(F.col(text_col)).alias("size"), _uniform(F.col(id_col), F.col(text_col), seed).alias("u"),
+                       _same(F.col(id_col), F.col(text_col)).alias("h"))
     rows = rows.join(maybe_broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-    more = F.when(_rank(F.col("u"), F.col("p")) <= F.col("cut"), 1).otherwise(0)
-    rows = rows.withColumn("copies", F.col("whole") + more)
+    rows = rows.withColumn("rank", _rank(F.col("u"), F.col("p")))
+    at_cut = (F.col("rank") == F.col("cut")) & (F.col("h") == F.col("cut_h"))
+    below = (F.col("rank") < F.col("cut")) | ((F.col("rank") == F.col("cut")) & (F.col("h") < F.col("cut_h")))
+    more = F.when(below | (at_cut & (F.col("k") >= F.col("n"))), 1).otherwise(0)
+    torn = F.coalesce(at_cut & (F.col("k") > 0) & (F.col("k") < F.col("n")), F.lit(False))
+    # One row per source; most plans tear no group of equal rows.
+    if plan.where("k > 0 and k < n").take(1):
+        rows = rows.where(~torn).withColumn("more", more).unionByName(_first_k(rows.where(torn), "k"))
+    else:
+        rows = rows.withColumn("more", more)
+    rows = rows.withColumn("copies", F.col("whole") + F.col("more"))
     if keep:
         return (rows.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
                 .select("doc.*"))

@@ -92,6 +92,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_urls_come_back_as_they_were(spark):
+    urls = ["http://a/%0D b", " http://a b ", None, "", "a\r\nb: c", "\u00a0x\x85", "http://é/?q=: 1", "line\n", "-"]
+    rows = [(i, u, "x" * (i * 40), 5, "clash") for i, u in enumerate(urls)] + [(100, urls[4], "y" * 3_000_000, 1, "n"), (101, None, "y" * 3_000_000, 1, "n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int, record_type string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert {i: r.url for i, r in got.items()} == {r[0]: r[1] for r in rows}
+    assert (got[101].refers_to, got[101].payload_bytes) == (100, 3_000_000)
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_zip_directory(zip64):
     out = io.BytesIO()
@@ -376,6 +385,19 @@ def test_url_lists(spark):
     assert url_lists.judge(c.limit(0), e).collect() == []
 
 
+def test_url_lists_of_very_long_urls_and_clashing_names(spark):
+    e = spark.createDataFrame([("spam", "bad.com", "2024-01-01", "add", 1), ("allow", "x.bad.com/a/a/a", "2024-01-01", "add", 2), ("spam", "one", "2024-01-01", "add", 3)],
+                              "list string, pattern string, at string, action string, key int")
+    deep, wide = "a/" * 500_000, "w." * 100_000
+    c = spark.createDataFrame([
+        (1, "http://x.bad.com/" + deep, "2024-02-01"), (2, "http://x.bad.com//a///a", "2024-02-01"), (3, f"http://{wide}bad.com/x", "2024-02-01"),
+        (4, "http://x.bad.com/" + "/" * 1_000_000 + "a/a/a/", "2024-02-01"), (5, "http://ok.com/" + "b" * 1_000_000, "2024-02-01"), (6, "http://one", "2024-02-01")],
+        "page_id long, url string, fetched string").selectExpr("*", "'x' AS list", "1 AS pattern", "2 AS period")
+    got = {r.page_id: (r.verdict, r.pattern) for r in url_lists.judge(c, e).collect()}
+    assert got == {1: ("allowed", "x.bad.com/a/a/a"), 2: ("blocked", "bad.com"), 3: ("blocked", "bad.com"), 4: ("allowed", "x.bad.com/a/a/a"),
+                   5: ("unlisted", None), 6: ("blocked", "one")}
+
+
 # ---- 7 mixing ---------------------------------------------------------------------------------
 
 def test_mix(spark, odd, none):
@@ -396,6 +418,24 @@ def test_mix_hits_targets(spark):
     assert all(abs(sum(t) - k[1]) <= 7 for k, t in by.items())
 
 
+@pytest.mark.parametrize("seed", ["mix-1", "s2", "s3", "s4"])
+def test_mix_hits_the_target_inside_a_group_of_equal_rows(spark, seed):
+    rows = [(i, f"{i} " + "w " * 149, "a") for i in range(2000)] + [(-1, "z " * 100, "a")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mix.mix_documents(docs, share=(9, 16), seed=seed).collect()
+    assert len(got) == 3000 and got[0].target == 225_000
+    assert abs(sum(r.taken for r in got) - 225_000) <= 75
+    again = mix.mix_documents(docs.repartition(3), share=(9, 16), seed=seed)
+    assert _sorted(tuple(r) for r in got) == _sorted(tuple(r) for r in again.collect())
+    assert mix.mix_documents(docs, share=(9, 16), seed=seed, keep=True).count() == sum(r.copies for r in got)
+
+
+def test_mix_of_nothing_but_one_repeated_row(spark):
+    docs = spark.createDataFrame([(1, "a b c d", None)] * 101, "doc_id long, text string, source string")
+    got = mix.mix_documents(docs, share=(1, 2)).collect()
+    assert sum(r.taken for r in got) in (200, 204) and len(got) == 101
+
+
 # ---- 8 token ids ---------------------------------------------------------------------------------
 
 def test_token_files(spark, odd, none):
