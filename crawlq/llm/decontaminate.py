@@ -39,6 +39,7 @@ _FLIPS = [sum(1 << b for b in bits) for n in range(BLOCK_RADIUS + 1) for bits in
 _LANES = 0x0001000100010001
 PACKED = 32_767                 # shingles that four 16-bit counters of a signed long can count
 BROADCAST_SHINGLES = 4_000_000  # in all bags of a table that may be broadcast
+MAX_SLOTS = 1 << 20             # longs of a broadcast bitmap of shingles
 
 
 def _words(text: Column) -> Column:
@@ -101,6 +102,23 @@ def benchmark_index(items: DataFrame) -> DataFrame:
             .where(F.size("bag") > 0).distinct())
 
 
+def _maybe_among(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows whose hash ``col`` may be among the same column of ``keys``: all that
+    are, and few others.
+
+    A bitmap of at least 16 bits a key, up to 2^20 longs (64 million bits), is
+    broadcast as (slot, long) rows, so its size is bounded whatever the number
+    of keys; beyond four million keys more of the others stay.
+    """
+    n = keys.select(col).distinct().count()
+    slots = min(MAX_SLOTS, max(1024, 1 << (n // 4).bit_length()))
+    bit = f"shiftleft(1L, cast(shiftrightunsigned({col}, 56) & 63 as int))"
+    slot = F.col(col).bitwiseAND(F.lit(slots - 1))
+    bitmap = (keys.select(slot.alias("_slot"), F.expr(bit).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits")))
+    met = rows.withColumn("_at", slot).join(F.broadcast(bitmap), F.col("_at") == F.col("_slot"))
+    return met.where(F.expr(f"(_bits & {bit}) <> 0")).drop("_at", "_slot", "_bits")
+
+
 def _close(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, row (text hash), item_id, similarity, start, words of the windows of similarity 0.75 or more."""
     index = benchmark_index(items).withColumn("fp", _simhash("bag")).withColumn("ih", F.xxhash64("bag"))
@@ -109,23 +127,29 @@ def _close(docs: DataFrame, items: DataFrame) -> DataFrame:
     places = stored(places.select("h", "w", "o").distinct(), "bench-places")
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), _words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "row", F.size("words").alias("n"), _shingles("words").alias("bag"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    bags = rows.select("doc_id", "row", _words(F.col("text")).alias("words"))
+    bags = bags.select("doc_id", "row", F.size("words").alias("n"), _shingles("words").alias("bag"))
+    # Numbers alone go through the joins on shingles and windows; texts are met again by id and hash.
     # The outer form keeps Spark from computing the array a second time for a filter on its size.
-    hits = rows.select("doc_id", "row", "n", "bag", F.posexplode_outer("bag").alias("p", "h"))
-    hits = hits.join(maybe_broadcast(places.withColumnRenamed("h", "k")), F.col("h") == F.col("k"))
-    # Where the item would start, and the document's shingles over all windows that overlap it.
-    hits = hits.select("doc_id", "row", "n", "w", (F.col("p") - F.col("o")).alias("s"), "bag")
-    first = F.greatest(F.lit(0), F.col("s") - F.col("w") + WIDTH)
-    hits = hits.select("doc_id", "row", "n", "w", "s", first.alias("lo"),
-                       F.expr(f"slice(bag, cast(greatest(0, s - w + {WIDTH}) + 1 as int), 3 * w)").alias("near"))
-    hits = hits.distinct()
-    # Every window of w words that overlaps the place; a shorter document is one window.
-    windows = hits.withColumn("start", F.explode(F.expr(
-        f"if(n <= w, array(0), sequence(least(lo, n - w), greatest(least(lo, n - w), least(s + w - {WIDTH}, n - w))))")))
-    windows = windows.select("doc_id", "row", "start", "w", F.expr(
-        f"slice(near, start - lo + 1, least(n, w) - {WIDTH - 1})").alias("bag"))
-    windows = stored(windows.distinct().withColumn("fp", _simhash("bag")), "bench-windows")
+    each = bags.select("doc_id", "row", "n", F.posexplode_outer("bag").alias("p", "h"))
+    each = _maybe_among(each, places, "h")
+    hits = each.join(maybe_broadcast(places.withColumnRenamed("h", "k")), F.col("h") == F.col("k"))
+    # Every window of w words that overlaps the place where the item would start; a shorter document is one window.
+    hits = hits.select("doc_id", "row", "n", "w", (F.col("p") - F.col("o")).alias("s")).distinct()
+    starts = F.expr(f"if(n <= w, array(0), sequence(least(greatest(0, s - w + {WIDTH}), n - w), "
+                    f"greatest(least(greatest(0, s - w + {WIDTH}), n - w), least(s + w - {WIDTH}, n - w))))")
+    places_of = hits.select("doc_id", "row", "n", "w", F.explode(starts).alias("start")).distinct()
+    places_of = stored(places_of, "bench-places-of")
+    # The shingles of the documents that have windows, each document once.
+    ids = stored(places_of.select(F.col("doc_id").alias("i"), F.col("row").alias("r")).distinct(), "bench-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r"))
+    texts = rows.join(maybe_broadcast(ids), same, "left_semi").dropDuplicates(["doc_id", "row"])
+    texts = stored(texts.select(F.col("doc_id").alias("i"), F.col("row").alias("r"), _words(F.col("text")).alias("words"))
+                   .select("i", "r", _shingles("words").alias("all")), "bench-texts")
+    windows = places_of.join(texts, same)
+    windows = windows.select("doc_id", "row", "start", "w", F.expr(f"slice(all, start + 1, least(n, w) - {WIDTH - 1})").alias("bag"))
+    windows = stored(windows.withColumn("fp", _simhash("bag")), "bench-windows")
 
     # Multi-index lookup among the items of the window's size.
     keys = F.array(*[F.struct(F.lit(k).alias("k"), _block("fp", k).alias("v")) for k in range(BLOCKS)])
@@ -135,13 +159,16 @@ def _close(docs: DataFrame, items: DataFrame) -> DataFrame:
     table = table.withColumn("flip", flips).select("item_id", "iw", "ih", "ifp", F.col("e.k").alias("ik"),
                                                    F.expr("e.v ^ flip").alias("iv"))
     table = stored(table, "bench-blocks")
-    probe = windows.select("*", F.explode(keys).alias("e")).select("doc_id", "row", "start", "w", "bag", "fp", "e.k", "e.v")
+    probe = windows.select("doc_id", "row", "start", "w", "fp", F.explode(keys).alias("e")).select("doc_id", "row", "start", "w", "fp", "e.k", "e.v")
     near = (probe.join(maybe_broadcast(table), (F.col("w") == F.col("iw")) & (F.col("k") == F.col("ik")) & (F.col("v") == F.col("iv")))
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS))
     # A pair found by several blocks counts once: by its first block within two bits.
     earlier = " or ".join(f"(k > {j} and bit_count((shiftrightunsigned(fp, {BLOCK_BITS * j}) ^ shiftrightunsigned(ifp, {BLOCK_BITS * j})) & 255L) <= {BLOCK_RADIUS})"
                           for j in range(BLOCKS - 1))
-    near = near.where(~F.expr(earlier)).select("doc_id", "row", "start", "w", "bag", "item_id", "ih")
+    near = near.where(~F.expr(earlier)).select("doc_id", "row", "start", "w", "item_id", "ih")
+    near = stored(near, "bench-near")
+    of = windows.select(F.col("doc_id").alias("i"), F.col("row").alias("r"), F.col("start").alias("at"), F.col("w").alias("v"), "bag")
+    near = near.join(of, same & (F.col("start") == F.col("at")) & (F.col("w") == F.col("v")))
     bags = index.select(F.col("item_id").alias("b_id"), F.col("ih").alias("b_h"), F.col("bag").alias("ibag"))
     small = (bags.agg(F.sum(F.size("ibag").cast("long")).alias("n")).first()["n"] or 0) <= BROADCAST_SHINGLES
     near = near.join(maybe_broadcast(bags) if small else bags, F.col("item_id").eqNullSafe(F.col("b_id")) & (F.col("ih") == F.col("b_h")))

@@ -291,6 +291,28 @@ def test_simhash_of_long_bags(spark):
         assert got & (2 ** 64 - 1) == sum(1 << b for b in range(64) if 2 * ones[b] > n), n
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 1])
+def test_only_numbers_go_through_the_joins_of_shingles(spark, monkeypatch, slots):
+    """Without broadcasts, and with a bitmap that rules out nothing, the result is the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = _sorted(tuple(r) for r in decontaminate.contaminated(docs, items).collect())
+    joined, columns = [], {}
+    monkeypatch.setattr(decontaminate, "maybe_broadcast", lambda df: joined.append(dict(df.dtypes)) or df)
+    monkeypatch.setattr(decontaminate, "MAX_SLOTS", slots)
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: stored(columns.setdefault(name, df), name))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = _sorted(tuple(r) for r in decontaminate.contaminated(docs, items).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == want and want
+    assert not [t for sides in joined[:3] for t in sides.values() if "array" in t]
+    for name in ("bench-places", "bench-places-of", "bench-blocks", "bench-near"):
+        assert not [t for _, t in columns[name].dtypes if "array" in t], name
+
+
 @pytest.mark.parametrize("most", [4_000_000, 0])
 def test_item_bags_stay_out_of_the_lookup_table(spark, monkeypatch, most):
     columns = {}
