@@ -49,7 +49,8 @@ def key_exists(batch: DataFrame, target: DataFrame, key: str,
     it is broadcast with a small batch and materialised otherwise.
     """
     bkeys = batch.select(key).dropDuplicates([key])
-    small = merge.is_small(bkeys) if small is None else small
+    # The raw batch is probed: its distinct keys would take a shuffle to count.
+    small = merge.is_small(batch.select(key)) if small is None else small
     found = merge.matched_keys(target, bkeys, key, small).withColumn(flag, F.lit(True))
     side = merge.join_side(found, small)
     return (batch.join(side, key, "left")

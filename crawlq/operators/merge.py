@@ -10,8 +10,9 @@ Plan shape.  The source side is size-checked first with a bounded job
 (``limit(max_rows + 1)``, rows and serialized bytes).  A small source is
 broadcast: the target is read once for the left join and once (key column
 only) for the semi join that finds which source keys exist, and is never
-shuffled.  A larger source is materialised once into the checkpoint folder
-and left-joined by the target (target streamed, so a hot target key is
+shuffled.  A larger source is materialised once into the checkpoint folder;
+a bitmap of its keys (:mod:`key_filter`) lets target rows that cannot match
+pass by, the others left-join it (target streamed, so a hot target key is
 split by AQE rather than buffered); new keys come from an anti join whose
 key sets are pre-aggregated.  Source de-duplication uses aggregates with
 partial aggregation (``max_by`` / ``count``), never a window, so a key
@@ -30,6 +31,7 @@ from pyspark.sql.types import (
 )
 
 from crawlq.constants import ACTION_COL, BROADCAST_MAX_ROWS, PROCESSING, REASON_COL
+from crawlq.operators.key_filter import with_key_filter
 
 KEEP, UPDATE, INSERT, REJECT = "keep", "update", "insert", "reject"
 
@@ -39,7 +41,7 @@ CONF_MAX_ROWS = "crawlq.merge.broadcastMaxRows"
 CONF_MAX_BYTES = "crawlq.merge.broadcastMaxBytes"
 
 _S = "_s_"  # prefix of source columns inside a merge
-_T_HIT, _S_HIT = "_t_hit", "_s_hit"
+_T_HIT, _S_HIT, _MAY = "_t_hit", "_s_hit", "_may_match"
 
 # Landed patches carry their order of arrival in this column.
 ORDER_COL = "_order"
@@ -235,10 +237,13 @@ def anti_target(src: DataFrame, target: DataFrame, key: str, small: bool,
     NULL keys never match and are kept.  The keys to drop are found as
     :func:`matched_keys` (at most one row per source key), then removed from
     the source with an anti join whose build side is broadcast (small
-    source) or materialised: hot keys on either side never meet unreduced,
+    source) or materialised (a large ``src`` is read several times: give it
+    stored): hot keys on either side never meet unreduced,
     and both sides of the final anti join are plain shuffles AQE can split.
     """
     keys = src.select(key) if unique else src.select(key).dropDuplicates([key])
+    if not small:
+        target = with_key_filter(target.select(key), src.select(key), key, _MAY).filter(_MAY).drop(_MAY)
     hits = matched_keys(target, keys, key, small)
     # Small source: the hits are at most its distinct keys, so broadcast.
     # Otherwise materialise them without a probe, which would aggregate the
@@ -289,8 +294,15 @@ def upsert(target: DataFrame, source: DataFrame, key: str, *,
     # materialised) source built: a hot target key is split by AQE and never
     # buffered, which a full outer join could not do.  Inserts come from an
     # anti join on pre-aggregated keys.
-    s = F.broadcast(s) if small else materialize(s)
-    kept = t.join(s, key, "left")
+    if small:
+        s = F.broadcast(s)
+        kept = t.join(s, key, "left")
+    else:
+        # Target rows that cannot match pass by unshuffled.
+        s = materialize(s)
+        flagged = with_key_filter(t, s.select(key), key, _MAY)
+        kept = flagged.filter(_MAY).drop(_MAY).join(s, key, "left").unionByName(
+            flagged.filter(~F.col(_MAY)).drop(_MAY), allowMissingColumns=True)
     fresh = anti_target(s, target, key, small, unique=on_duplicate != "allow")
     fresh = fresh.select(
         key, *[F.lit(None).cast(target.schema[c].dataType).alias(c)
@@ -323,6 +335,7 @@ def insert_key_only(target: DataFrame, source: DataFrame, key: str, *,
     """M2: the source has only the key: insert unmatched keys, update nothing."""
     src = drop_null_keys(source.select(key), key).dropDuplicates([key])
     small = is_small(src, broadcast_max_rows) if source_small is None else source_small
+    src = src if small else materialize(src)
     fresh = anti_target(src, target, key, small)
     return (target.withColumn(ACTION_COL, F.lit(KEEP))
             .unionByName(fresh.withColumn(ACTION_COL, F.lit(INSERT)), allowMissingColumns=True))
@@ -351,6 +364,7 @@ def insert_if_absent(target: DataFrame, source: DataFrame, key: str, *,
         src = keyed.unionByName(nulls) if keep_null_keys else keyed
     src = src.drop(*[c for c in carry if c not in target.columns])
     small = is_small(src, broadcast_max_rows) if source_small is None else source_small
+    src = src if small else materialize(src)
     fresh = anti_target(src, target, key, small)
     return (target.withColumn(ACTION_COL, F.lit(KEEP))
             .unionByName(fresh.withColumn(ACTION_COL, F.lit(INSERT)), allowMissingColumns=True))
