@@ -13,7 +13,7 @@ from pyspark.sql.types import (
 )
 
 from crawlq.constants import ALLOWED_SEED_PATCH
-from crawlq.functions import columns, reports
+from crawlq.functions import columns, payloads, reports
 from crawlq.operators import (
     counts, dealing, frontier, ingest, joins, merge, patch_log, queue_reads, stats,
 )
@@ -915,6 +915,71 @@ def q_flatten_about(spark, sf_dir):
     return df.select("account_id", "turn", columns.flatten_about("about").alias("about"))
 
 
+# ------------------------------------------- payloads whose kind changes by row
+
+# A payload's kind; json_valid passes what DuckDB itself can read.
+_KIND = ("CASE WHEN payload IS NULL THEN 'missing' WHEN NOT json_valid(payload) THEN 'malformed' "
+         "ELSE CASE json_type(payload) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' "
+         "WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END END")
+_KINDS_CTE = f"p AS (SELECT event_id, payload, {_KIND} AS kind FROM payload)"
+_ITEMS_CTE = (f"{_KINDS_CTE}, a AS (SELECT event_id, CAST(json_extract(payload, '$[*]') AS JSON[]) AS items FROM p WHERE kind = 'array'), "
+              "x AS (SELECT event_id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM a)")
+
+
+def _truthy_sql(field: str) -> str:
+    v = f"json_extract_string(item, '$.{field}')"
+    return (f"CASE WHEN json_type(item, '$.{field}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST({v} AS DOUBLE) = 0 THEN '' "
+            f"ELSE COALESCE({v}, '') END")
+
+
+@register("payload_kinds", with_ctes("SELECT event_id, kind FROM p", "payload", ctes=_KINDS_CTE))
+def q_payload_kinds(spark, sf_dir):
+    """The JSON kind of every payload, broken and missing ones told apart."""
+    return _t(spark, sf_dir, "payload").select("event_id", payloads.payload_kind("payload").alias("kind"))
+
+
+@register("payload_items", with_ctes(
+    "SELECT event_id, CAST(pos AS INTEGER) AS pos, json_extract_string(item, '$') AS text FROM x", "payload", ctes=_ITEMS_CTE))
+def q_payload_items(spark, sf_dir):
+    """The items of array payloads as text; other kinds have none."""
+    items = _t(spark, sf_dir, "payload").select("event_id", F.posexplode(payloads.payload_array("payload")).alias("pos", "item"))
+    return items.select("event_id", "pos", payloads.value_text(F.col("item")).alias("text"))
+
+
+@register("payload_records", with_ctes(
+    f"SELECT event_id, {_truthy_sql('title')} AS title, {_truthy_sql('time')} AS time FROM x WHERE json_type(item) = 'OBJECT'",
+    "payload", ctes=_ITEMS_CTE))
+def q_payload_records(spark, sf_dir):
+    """The record items of array payloads, missing and empty fields as ''."""
+    rows = _t(spark, sf_dir, "payload").select(
+        "event_id", F.explode(payloads.payload_struct_array("payload", ("title", "time"))).alias("r"))
+    return rows.select("event_id", "r.title", "r.time")
+
+
+@register("payload_about", with_ctes(
+    "SELECT event_id, CASE kind WHEN 'missing' THEN '' "
+    "WHEN 'object' THEN CASE WHEN CAST(json(payload) AS VARCHAR) = '{}' THEN '' ELSE CAST(json(payload) AS VARCHAR) END "
+    "WHEN 'array' THEN array_to_string(list_transform(CAST(json_extract(payload, '$[*]') AS JSON[]), "
+    "lambda i: CASE WHEN json_type(i) = 'NULL' THEN 'None' ELSE json_extract_string(i, '$') END), ' ') "
+    "ELSE payload END AS about FROM p", "payload", ctes=_KINDS_CTE))
+def q_payload_about(spark, sf_dir):
+    """Free-form text of payloads of every kind."""
+    return _t(spark, sf_dir, "payload").select("event_id", payloads.payload_about("payload").alias("about"))
+
+
+@register("load_nested_checked", with_ctes(
+    "SELECT event_id, CASE WHEN kind = 'object' THEN TRY_CAST(json_extract_string(payload, '$.k') AS BIGINT) END AS k, "
+    "CASE WHEN kind = 'object' THEN json_extract_string(payload, '$.user') END AS user, kind AS _payload_kind, "
+    "CASE WHEN kind = 'object' AND json_extract_string(payload, '$.k') IS NOT NULL "
+    "AND TRY_CAST(json_extract_string(payload, '$.k') AS BIGINT) IS NULL THEN 'k' ELSE '' END AS bad FROM p",
+    "payload", ctes=_KINDS_CTE))
+def q_load_nested_checked(spark, sf_dir):
+    """Payloads read under a declared schema, with what could not be read."""
+    schema = StructType([StructField("k", LongType()), StructField("user", StringType())])
+    out = payloads.load_nested_checked(_t(spark, sf_dir, "payload"), schema, "payload", keep=["event_id"])
+    return out.withColumn("bad", F.array_join(payloads.BAD_FIELDS_COL, ",")).drop(payloads.BAD_FIELDS_COL)
+
+
 _ACC = ("CASE WHEN url IS NOT NULL AND url <> '' THEN split_part(split_part("
         "string_split(regexp_replace(url, '/+$', ''), '/')["
         "list_position(string_split(regexp_replace(url, '/+$', ''), '/'), 'en') + 1], '?', 1), '#', 1) END")

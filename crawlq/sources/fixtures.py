@@ -98,6 +98,16 @@ SELECT CASE WHEN c_custkey%31=0 THEN 'undefined' WHEN c_custkey%37=0 THEN '' ELS
 SELECT CAST(conv_id AS STRING) AS account_id, turn, CASE WHEN turn%5=4 THEN NULL ELSE text END AS content,
  CASE WHEN turn%4=0 THEN '2024-01-01T10:00:00' WHEN turn%4=1 THEN '2 hrs' WHEN turn%4=2 THEN NULL
       ELSE '2024-02-01T00:00:00' END AS time FROM {conversations}""",
+    # payload: JSON text of another kind in each row, some of it broken.  Keys
+    # stand in order, as VARIANT keeps them and DuckDB leaves them as written.
+    "payload": """
+SELECT event_id, CASE WHEN event_id%10=0 THEN NULL WHEN event_id%10=1 THEN '{{"k": ' WHEN event_id%10=2 THEN ' null'
+ WHEN event_id%10=3 THEN CAST(user_id AS STRING) WHEN event_id%10=4 THEN '"' || event_type || '"'
+ WHEN event_id%10=5 THEN '["' || event_type || '", null, ' || CAST(user_id AS STRING) || ']'
+ WHEN event_id%10=6 THEN '[{{"time": ' || CAST(user_id%4 AS STRING) || ', "title": "' || event_type
+      || '"}}, "loose", 7, {{"other": 1, "time": "t' || CAST(event_id AS STRING) || '"}}]'
+ WHEN event_id%10=7 THEN '{{"k": "' || event_type || '", "user": "' || CAST(user_id AS STRING) || '"}}'
+ WHEN event_id%10=8 THEN 'true' ELSE props END AS payload FROM {events}""",
     # profile_patch: upsert source over profile; every account appears once,
     # a quarter under a new key, some keys NULL, location sometimes NULL.
     "profile_patch": """
