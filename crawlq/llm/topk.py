@@ -1,15 +1,21 @@
 """Exact top-k inner products with ball trees per shard (operator 2).
 
-Vectors are packed into shards of bounded size; each shard holds a ball tree:
-its rows in leaf order, and for every node its centre, radius and range of
-rows.  A query q scores at most <q, c> + |q| r in a ball of centre c and
-radius r.  Each pair of a query block and a shard searches the tree from the
-root, nodes with the highest bound first, and leaves out the nodes that no
-query of the block can still use: those bounded below its current kth score.
-
-That score is shared: every block first searches one shard, and the kth score
-found there is where its searches of all shards start.  Scores are whole
-numbers; all of it is exact.
+Vectors are sorted by the sides of random planes they lie on, so that like
+vectors come together, and packed into shards of bounded size; each shard
+holds a ball tree: its rows in leaf order, and for every node its centre,
+radius and range of rows.  A query q scores at most <q, c> + |q| r in a ball
+of centre c and radius r.  Queries are packed into blocks the same way.
+
+Before any shard moves, each query is tested against the topmost balls of
+every shard (a few kilobytes a shard); only the pairs of a block and a shard
+in which a query's bound reaches its current kth score are searched.  They are
+searched in rounds, best bound first: one shard for each block, then eight,
+then the rest, and after each round the kth scores that all shards share are
+raised and the pairs left are tested again.  A search goes through the tree
+from the root, nodes with the highest bound first, and leaves out the nodes
+that no query of the block can still use.
+
+Scores are whole numbers; all of it is exact.
 """
 
 from __future__ import annotations
@@ -22,14 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlq.llm.common import stored
+from crawlq.llm.common import maybe_broadcast, stored
 
 SCALE = 256
 SHARD_ROWS = 16_384
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 512
 LEAF_ROWS = 512
+# Planes that order the vectors.
+PLANES = 16
+# A shard is tested by its balls this many levels below the root.
+TOP_LEVELS = 3
+# Blocks and shards are tested against each other in groups of about these sizes.
+SLICE_BLOCKS = 32
+CHUNK_SHARDS = 1_024
+# Shards that a block searches in the first rounds; a last round takes the rest.
+ROUNDS = (1, 8)
 _FLOAT_EXACT = 2 ** 53
 _NONE = np.iinfo(np.int64).min
+_LAST = np.iinfo(np.int64).max
 
 
 def _scaled(values: np.ndarray) -> np.ndarray:
@@ -37,28 +53,58 @@ def _scaled(values: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * values.astype(np.float64))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of at most ``rows`` usable vectors of one length each.
+def _usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) for each length among the usable vectors of the batch.
 
     Null vectors and vectors with null or non-finite components are left out,
     as are rows without an id.
     """
     held: dict[int, tuple[list, list]] = {}
+    for i, v in zip(batch.column("id").to_pylist(), batch.column("v")):
+        if i is None or not v.is_valid or v.values.null_count:
+            continue
+        x = _scaled(v.values.to_numpy(zero_copy_only=False))
+        if np.isfinite(x).all():
+            ids, rows = held.setdefault(len(x), ([], []))
+            ids.append(i)
+            rows.append(x)
+    for ids, rows in held.values():
+        yield np.array(ids, np.int64), np.stack(rows)
+
+
+def _cells(m: np.ndarray) -> np.ndarray:
+    """For each row, the sides of ``PLANES`` fixed planes through the origin, as bits of one number."""
+    planes = np.random.default_rng(m.shape[1]).standard_normal((m.shape[1], PLANES))
+    size = np.abs(m).max(axis=1, initial=1.0)[:, None]
+    return ((m / size) @ planes > 0) @ (1 << np.arange(PLANES))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """dim, cell, id, x: usable vectors, in ranges of (dim, cell, id); a cell of any size is split by its ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, m in _usable(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), m.shape[1], np.int32)), pa.array(_cells(m).astype(np.int32)), pa.array(ids),
+                     pa.array([x.tobytes() for x in m], pa.binary())], names=["dim", "cell", "id", "x"])
+
+    order = ["dim", "cell", "id"]
+    return df.mapInArrow(run, "dim int, cell int, id long, x binary").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of at most ``rows`` vectors of one length each, from placed rows."""
+    dim, ids, xs = -1, [], []
     for batch in batches:
-        for i, v in zip(batch.column("id").to_pylist(), batch.column("v")):
-            if i is None or not v.is_valid or v.values.null_count:
-                continue
-            x = _scaled(v.values.to_numpy(zero_copy_only=False))
-            if not np.isfinite(x).all():
-                continue
-            ids, mats = held.setdefault(len(x), ([], []))
+        for d, i, x in zip(*(batch.column(c).to_pylist() for c in ("dim", "id", "x"))):
+            if ids and (d != dim or len(ids) == rows):
+                yield np.array(ids, np.int64), np.frombuffer(b"".join(xs)).reshape(len(ids), dim)
+                ids, xs = [], []
+            dim = d
             ids.append(i)
-            mats.append(x)
-            if len(ids) == rows:
-                yield np.array(ids, np.int64), np.stack(mats)
-                del held[len(x)]
-    for ids, mats in held.values():
-        yield np.array(ids, np.int64), np.stack(mats)
+            xs.append(x)
+    if ids:
+        yield np.array(ids, np.int64), np.frombuffer(b"".join(xs)).reshape(len(ids), dim)
 
 
 def build_tree(ids: np.ndarray, m: np.ndarray, leaf: int = LEAF_ROWS):
@@ -101,6 +147,16 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(s, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
+def _bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The most that each query can score in each ball, with room for rounding; what overflows bounds nothing."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((q ** 2).sum(axis=1))[:, None]
+        bound = q @ centres.T + norm * radii
+        bound += 1e-9 * (np.abs(bound) + norm * (radii + np.sqrt((centres ** 2).sum(axis=1)))) + 1.0
+        bound[np.isnan(bound)] = np.inf
+    return bound
+
+
 def search(tree, q_ids: np.ndarray, q: np.ndarray, k: int, floor_score: np.ndarray, floor_id: np.ndarray):
     """The k best rows of the tree for each query that beat its floor: (score, id) arrays of shape (queries, k).
 
@@ -110,13 +166,9 @@ def search(tree, q_ids: np.ndarray, q: np.ndarray, k: int, floor_score: np.ndarr
     ids, m, nodes, centres = tree
     n = len(q)
     top_s = np.full((n, k), _NONE, np.int64)
-    top_i = np.full((n, k), np.iinfo(np.int64).max, np.int64)
+    top_i = np.full((n, k), _LAST, np.int64)
     low_s, low_i = floor_score.copy(), floor_id.copy()
-    norm = np.sqrt((q ** 2).sum(axis=1))
-    bound = q @ centres.T + norm[:, None] * nodes[:, 4]
-    # Room for rounding; what overflows bounds nothing.
-    bound += 1e-9 * (np.abs(bound) + norm[:, None] * (nodes[:, 4] + np.sqrt((centres ** 2).sum(axis=1)))) + 1.0
-    bound[np.isnan(bound)] = np.inf
+    bound = _bounds(q, centres, nodes[:, 4])
     heap = [(-bound[:, 0].max(initial=-np.inf), 0)]
     while heap:
         _, node = heapq.heappop(heap)
@@ -151,65 +203,146 @@ def search(tree, q_ids: np.ndarray, q: np.ndarray, k: int, floor_score: np.ndarr
     return top_s, top_i
 
 
-_SHARD = "dim int, n int, ids binary, m binary, nodes binary, centres binary"
+def _top_balls(nodes: np.ndarray) -> list[int]:
+    """The nodes ``TOP_LEVELS`` below the root (leaves above that too): they hold all rows."""
+    level = [0]
+    for _ in range(TOP_LEVELS):
+        level = [int(c) for n in level for c in ((n,) if nodes[n, 2] < 0 else nodes[n, 2:4])]
+    return level
 
 
-def _shards(vectors: DataFrame) -> DataFrame:
-    """One row per ball tree of at most ``SHARD_ROWS`` vectors, built where the vectors are read."""
+def _shards(placed: DataFrame, size: int = SHARD_ROWS) -> DataFrame:
+    """One row per ball tree of at most ``size`` vectors; ``top``: centre and radius of its topmost balls."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, m in _packed(batches, SHARD_ROWS):
+        for ids, m in _packed(batches, size):
             ids, m, nodes, centres = build_tree(ids, m)
+            balls = _top_balls(nodes)
+            top = np.hstack([centres[balls], nodes[balls, 4:]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m.shape[1]], pa.int32()), pa.array([len(ids)], pa.int32()),
-                 *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m, nodes, centres))],
-                names=["dim", "n", "ids", "m", "nodes", "centres"])
+                [pa.array([m.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m, nodes, centres, top))],
+                names=["dim", "ids", "m", "nodes", "centres", "top"])
 
-    return vectors.mapInArrow(run, _SHARD)
+    rows = placed.mapInArrow(run, "dim int, ids binary, m binary, nodes binary, centres binary, top binary")
+    return stored(rows.withColumn("shard", F.monotonically_increasing_id()), "topk-shards")
 
 
-def _blocks(queries: DataFrame) -> DataFrame:
+def _blocks(placed: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """One row per block of at most ``size`` queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, m in _packed(batches, BLOCK_ROWS):
+        for ids, m in _packed(batches, size):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m.shape[1]], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())],
-                names=["qdim", "qn", "q_ids", "q"])
+                [pa.array([m.shape[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())],
+                names=["dim", "q_ids", "q"])
 
-    return queries.mapInArrow(run, "qdim int, qn int, q_ids binary, q binary")
+    rows = placed.mapInArrow(run, "dim int, q_ids binary, q binary")
+    return stored(rows.withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Stored packed rows with their number within their vector length (one narrow row per shard or block)."""
-    packed = stored(df.withColumn("key", F.monotonically_increasing_id()), name)
-    dim = "dim" if "dim" in packed.columns else "qdim"
-    number = packed.select("key", F.row_number().over(Window.partitionBy(dim).orderBy("key")).alias("no")).withColumnRenamed("key", "k2")
-    return packed.join(number, F.col("key") == F.col("k2")).drop("k2")
+_FLOORS = "block long, low_s binary, low_i binary"
 
 
-def _search_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the useful results of each (shard, block) row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                g = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                d, nq = g["dim"], g["qn"]
-                m = np.frombuffer(g["m"], np.float64).reshape(g["n"], d)
-                nodes = np.frombuffer(g["nodes"], np.float64).reshape(-1, 5)
-                tree = (np.frombuffer(g["ids"], np.int64), m, nodes, np.frombuffer(g["centres"], np.float64).reshape(len(nodes), d))
-                q_ids = np.frombuffer(g["q_ids"], np.int64)
-                q = np.frombuffer(g["q"], np.float64).reshape(nq, d)
-                low_s = np.frombuffer(g["low_s"], np.int64) if g.get("low_s") else np.full(nq, _NONE)
-                low_i = np.frombuffer(g["low_i"], np.int64) if g.get("low_i") else np.full(nq, np.iinfo(np.int64).max)
+def _queries_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, matrix, floor scores, floor ids) of a block row; without floors yet, every score is of use."""
+    q_ids = np.frombuffer(row["q_ids"], np.int64)
+    q = np.frombuffer(row["q"]).reshape(len(q_ids), row["dim"])
+    if row["low_s"] is None:
+        return q_ids, q, np.full(len(q), _NONE), np.full(len(q), _LAST)
+    return q_ids, q, np.frombuffer(row["low_s"], np.int64), np.frombuffer(row["low_i"], np.int64)
+
+
+def _grouped(blocks: DataFrame, n: int) -> DataFrame:
+    """Blocks with the number of the slice they are tested in."""
+    return blocks.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(-(-n // SLICE_BLOCKS))))
+
+
+def live_pairs(blocks: DataFrame, shards: DataFrame, n_blocks: int, n_shards: int) -> DataFrame:
+    """block, slice, shard, gain: the pairs in which some query's bound reaches its floor.
+
+    ``gain`` is the greatest bound of those queries.  Groups of blocks meet
+    groups of shards; of a shard only its topmost balls move.
+    """
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"block": [], "slice": [], "shard": [], "gain": []}
+        if left.num_rows and right.num_rows:
+            names = right.column("shard").to_numpy()
+            tops = [np.frombuffer(t.as_py()).reshape(-1, left.column("dim")[0].as_py() + 1) for t in right.column("top")]
+            start = np.cumsum([0, *(len(t) for t in tops[:-1])])
+            balls = np.vstack(tops)
+            for batch in left.to_batches(max_chunksize=1):
+                row = batch.to_pylist()[0]
+                _, q, low, _ = _queries_of(row)
+                bound = np.maximum.reduceat(_bounds(q, balls[:, :-1], balls[:, -1]), start, axis=1)
+                gain = np.where(bound >= low[:, None], bound, -np.inf).max(axis=0)
+                live = np.flatnonzero(gain > -np.inf)
+                out["block"] += [row["block"]] * len(live)
+                out["slice"] += [row["slice"]] * len(live)
+                out["shard"] += names[live].tolist()
+                out["gain"] += gain[live].tolist()
+        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("slice", pa.int64()), ("shard", pa.int64()), ("gain", pa.float64())]))
+
+    slices, chunks = -(-n_blocks // SLICE_BLOCKS), -(-n_shards // CHUNK_SHARDS)
+    left = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = (shards.select("dim", "shard", "top").withColumn("chunk", F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int"))
+             .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))))
+    keys = ["dim", "slice", "chunk"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "block long, slice long, shard long, gain double")
+
+
+def _search_pairs(pairs: DataFrame, blocks: DataFrame, shards: DataFrame, k: int) -> DataFrame:
+    """block, at, query_id, vec_id, score: what the pairs' searches find beyond the floors.
+
+    A shard moves once for each slice of blocks that needs it, and meets the
+    blocks of that slice one by one.
+    """
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            g = right.slice(0, 1).to_pylist()[0]
+            ids = np.frombuffer(g["ids"], np.int64)
+            nodes = np.frombuffer(g["nodes"]).reshape(-1, 5)
+            tree = (ids, np.frombuffer(g["m"]).reshape(len(ids), g["dim"]), nodes, np.frombuffer(g["centres"]).reshape(len(nodes), g["dim"]))
+            for batch in left.to_batches(max_chunksize=1):
+                row = batch.to_pylist()[0]
+                q_ids, q, low_s, low_i = _queries_of(row)
                 s, i = search(tree, q_ids, q, k, low_s, low_i)
                 real = s != _NONE
-                at = np.arange(nq).repeat(k).reshape(nq, k)[real]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), g["block"], np.int64)), pa.array(at.astype(np.int32)), pa.array(q_ids[at]), pa.array(i[real]), pa.array(s[real])],
-                    names=["block", "at", "query_id", "vec_id", "score"])
+                at = np.arange(len(q)).repeat(k).reshape(len(q), k)[real]
+                parts.append(pa.table([pa.array(np.full(len(at), row["block"], np.int64)), pa.array(at.astype(np.int32)),
+                                       pa.array(q_ids[at]), pa.array(i[real]), pa.array(s[real])], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    keys = ["shard", "slice"]
+    # Of the pairs only numbers, so that a list proven small goes to the shards.
+    needed = maybe_broadcast(pairs.select(*keys).distinct())
+    left = blocks.join(maybe_broadcast(pairs.select("block", "shard")), "block")
+    right = shards.drop("top").join(needed, "shard")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "block long, at int, query_id long, vec_id long, score long")
+
+
+def _floors(best: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """One row per block with a query that has k results: the kth of each, packed."""
+    def pack(key, table):
+        n = table.column("n")[0].as_py()
+        s, i = np.full(n, _NONE), np.full(n, _LAST)
+        at = table.column("at").to_numpy()
+        s[at], i[at] = table.column("score").to_numpy(), table.column("vec_id").to_numpy()
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([s.tobytes()], pa.binary()), pa.array([i.tobytes()], pa.binary())],
+                        names=["block", "low_s", "low_i"])
 
-    return pairs.mapInArrow(run, "block long, at int, query_id long, vec_id long, score long")
+    kth = best.where(F.col("rank") == k).select("block", "at", "score", "vec_id")
+    sized = kth.join(blocks.select("block", F.expr("octet_length(q_ids) div 8").alias("n")), "block")
+    return stored(sized.groupBy("block").applyInArrow(pack, _FLOORS), "topk-floors")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best results of each query, with their rank."""
+    order = Window.partitionBy("block", "at").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
+          shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k best vectors by integer inner product.
 
     A query's own id is no candidate for it.  Components count as
@@ -222,49 +355,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "
     def pick(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
+    spark = vectors.sparkSession
+    result = "query_id long, rank int, vec_id long, score long"
+    shards = _shards(_placed(pick(vectors)), shard_rows)
     # One query row per id and vector, so that repeats cost and return nothing more.
-    shards = stored(_numbered(_shards(pick(vectors)), "topk-packed").withColumnRenamed("no", "shard_no"), "topk-shards")
-    blocks = stored(_numbered(_blocks(pick(queries).distinct()), "topk-packed").withColumnRenamed("no", "block_no").withColumnRenamed("key", "block"), "topk-blocks")
-    n_shards = shards.groupBy("dim").agg(F.max("shard_no").alias("shards")).withColumnRenamed("dim", "d")
-    # One row per dimension that occurs in both.
-    counts = blocks.groupBy("qdim").agg(F.max("block_no").alias("blocks")).join(n_shards, F.col("qdim") == F.col("d")).drop("d")
-    counts = stored(counts.withColumnRenamed("qdim", "cd"), "topk-counts")
-
-    # Round one: block i searches shard i modulo the number of shards.
-    home = blocks.join(F.broadcast(counts), F.col("qdim") == F.col("cd")).withColumn("home", (F.col("block_no") - 1) % F.col("shards") + 1)
-    keys = shards.select("dim", "shard_no", "n", "ids", "m", "nodes", "centres")
-    first = _search_pairs(home.join(keys, (F.col("qdim") == F.col("dim")) & (F.col("home") == F.col("shard_no")))
-                          .select("block", "qn", "q_ids", "q", "dim", "n", "ids", "m", "nodes", "centres"), k)
-    first = stored(first, "topk-first")
-    kth = (first.groupBy("block", "at").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("r"))
-           .where(F.size("r") >= k).select("block", "at", F.col("r")[k - 1].alias("x"))
-           .select("block", "at", (-F.col("x.s")).alias("low_s"), F.col("x.vec_id").alias("low_i")))
-
-    # The floors of a block (at most BLOCK_ROWS) packed into one row.
-    def pack(key, table):
-        n = table.column("qn")[0].as_py()
-        s, i = np.full(n, _NONE), np.full(n, np.iinfo(np.int64).max)
-        at = table.column("at").to_numpy()
-        s[at], i[at] = table.column("low_s").to_numpy(), table.column("low_i").to_numpy()
-        return pa.table({"block": [key[0].as_py()], "low_s": [s.tobytes()], "low_i": [i.tobytes()]},
-                        schema=pa.schema([("block", pa.int64()), ("low_s", pa.binary()), ("low_i", pa.binary())]))
-
-    sized = kth.join(blocks.select(F.col("block").alias("b"), "qn"), F.col("block") == F.col("b")).drop("b")
-    shared = stored(sized.groupBy("block").applyInArrow(pack, "block long, low_s binary, low_i binary").withColumnRenamed("block", "fb"), "topk-floors")
-
-    # Round two: every other shard, from the shared kth score on.
-    ready = blocks.join(shared, F.col("block") == F.col("fb"), "left").join(F.broadcast(counts), F.col("qdim") == F.col("cd"))
-    ready = (ready.withColumn("home", (F.col("block_no") - 1) % F.col("shards") + 1).withColumn("s_no", F.explode(F.expr("sequence(1, shards)")))
-             .where("s_no <> home"))
-    many = shards.join(F.broadcast(counts), F.col("dim") == F.col("cd")).withColumn("b_no", F.explode(F.expr("sequence(1, blocks)")))
-    # Keys (length, shard, block) are unique on both sides: one row of each meets one of the other.
-    pairs = ready.join(many.select("dim", "shard_no", "b_no", "n", "ids", "m", "nodes", "centres"),
-                       (F.col("qdim") == F.col("dim")) & (F.col("s_no") == F.col("shard_no")) & (F.col("block_no") == F.col("b_no")))
-    rest = _search_pairs(pairs.select("block", "qn", "q_ids", "q", "low_s", "low_i", "dim", "n", "ids", "m", "nodes", "centres"), k)
-
-    found = first.unionByName(rest)
-    order = Window.partitionBy("query_id", "at", "block").orderBy(F.col("score").desc(), F.col("vec_id"))
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = _blocks(_placed(pick(queries).distinct()), block_rows)
+    n_shards, n_blocks = shards.count(), blocks.count()
+    if not n_shards or not n_blocks:
+        return spark.createDataFrame([], result)
+    blocks = _grouped(blocks, n_blocks)
+    floors, searched, best = spark.createDataFrame([], _FLOORS), None, None
+    for take in (*(t for t in ROUNDS if t < n_shards), None):
+        ready = blocks.join(floors, "block", "left")
+        pairs = live_pairs(ready, shards, n_blocks, n_shards)
+        if searched is not None:
+            pairs = pairs.join(searched.select("block", "shard"), ["block", "shard"], "left_anti")
+        if take:
+            order = Window.partitionBy("block").orderBy(F.col("gain").desc(), F.col("shard"))
+            pairs = pairs.withColumn("no", F.row_number().over(order)).where(F.col("no") <= take).drop("no")
+        pairs = stored(pairs, "topk-pairs")
+        found = _search_pairs(pairs, ready, shards, k)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = _best(found, k)
+        if take:
+            best = stored(best, "topk-best")
+            floors = _floors(best, blocks, k)
+            searched = pairs if searched is None else searched.unionByName(pairs)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -146,6 +146,48 @@ def test_top_k_ties_nulls_and_lengths(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def _clusters(n, dim, seed):
+    """Vectors around 16 far directions, dealt at random."""
+    r = np.random.default_rng(seed)
+    centres = r.standard_normal((16, dim)) * 4
+    return centres[r.integers(0, 16, n)] + r.standard_normal((n, dim)) * 0.05
+
+
+def test_top_k_in_rounds_over_many_shards(spark):
+    m = _clusters(1500, 8, 5)
+    m[700:1200] = m[700]                                # a third of the rows equal
+    rows = [(i, [float(x) for x in v], "b", 1, 2, 3.5) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, slice string, shard int, rank int, v double").repartition(4)
+    got = _sorted(topk.top_k(df, df.where("vec_id % 50 = 0"), shard_rows=40, block_rows=8).collect())
+    x = np.floor(256 * m).astype(int)
+    score = x[::50] @ x.T
+    want = []
+    for a, s in enumerate(score):
+        best = sorted((-int(v), j) for j, v in enumerate(s) if j != 50 * a)[:5]
+        want += [(50 * a, n + 1, j, -v) for n, (v, j) in enumerate(best)]
+    assert got == _sorted(want)
+
+
+def test_shards_move_only_where_a_bound_reaches_the_floor(spark):
+    m = _clusters(4000, 16, 6)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
+    shards = topk._shards(topk._placed(df), 100)
+    blocks = topk._blocks(topk._placed(df.where("id % 50 = 0")), 8)
+    x = np.floor(256 * m)
+    home = {int(i): r.shard for r in shards.collect() for i in np.frombuffer(r.ids, np.int64)}
+    floors, needed = [], set()
+    for b in blocks.collect():
+        ids = np.frombuffer(b.q_ids, np.int64)
+        best = [sorted((-int(s), j) for j, s in enumerate(x[i] @ x.T) if j != i)[:5] for i in ids]
+        needed |= {(b.block, home[j]) for row in best for _, j in row}
+        floors.append((b.block, np.array([-r[4][0] for r in best]).tobytes(), np.array([r[4][1] for r in best]).tobytes()))
+    ready = topk._grouped(blocks, len(floors)).join(spark.createDataFrame(floors, topk._FLOORS), "block")
+    n = shards.count()
+    pairs = {(r.block, r.shard) for r in topk.live_pairs(ready, shards, len(floors), n).collect()}
+    assert needed <= pairs
+    assert len(pairs) < 0.4 * n * len(floors), (len(pairs), n, len(floors))
+
+
 def test_ball_tree_prunes_nothing_it_needs(monkeypatch):
     monkeypatch.setattr(topk, "LEAF_ROWS", 8)
     r = np.random.default_rng(2)
