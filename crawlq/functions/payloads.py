@@ -54,10 +54,13 @@ def value_kind(value: Column) -> Column:
 
 def payload_kind(col: Column | str) -> Column:
     """The kind of a payload text; ``missing`` for NULL, ``malformed`` for what is no JSON."""
-    c = _c(col)
+    return _kind_of(_c(col), parse_payload(col))
+
+
+def _kind_of(text: Column, value: Column) -> Column:
     # The first character of a text that parses tells its kind; only JSON's own white space stands before it.
-    first = F.substring(F.regexp_replace(c, r"^[ \t\r\n]+", ""), 1, 1)
-    kind = F.when(c.isNull(), F.lit(MISSING)).when(parse_payload(c).isNull(), F.lit(MALFORMED))
+    first = F.substring(F.regexp_replace(text, r"^[ \t\r\n]+", ""), 1, 1)
+    kind = F.when(text.isNull(), F.lit(MISSING)).when(value.isNull(), F.lit(MALFORMED))
     for char, name in _KIND_OF_FIRST.items():
         kind = kind.when(first == char, F.lit(name))
     return kind.otherwise(F.lit("number"))
@@ -133,7 +136,8 @@ def load_nested_checked(df: DataFrame, schema: StructType, json_col: str = "valu
     # The parsed value is a column of its own, so that a text is parsed once, not once for each field.
     names = [f"_keep{i}" for i in range(len(keep))]
     parsed = df.select(*[F.col(k).alias(n) for k, n in zip(keep, names)],
-                       payload_kind(json_col).alias("_kind"), parse_payload(json_col).alias("_v"))
+                       F.col(json_col).alias("_text"), parse_payload(json_col).alias("_v"))
+    parsed = parsed.select(*names, _kind_of(F.col("_text"), F.col("_v")).alias("_kind"), "_v")
     value = F.when(F.col("_kind") == "object", F.col("_v"))
     out, bad = [], []
     for f in schema.fields:

@@ -72,16 +72,17 @@ def error_details(error_type: Column | str, url: Column | str, stack_trace: Colu
 
 def error_text(title: Column | str, error_message: Column | str,
                extension_id: Column | str, platform: Column | str,
-               details: Column, stamp: Column) -> Column:
+               details: Column, stamp: Column, user_agent: Column | str | None = None) -> Column:
     """Plain-text body of an error report (outer whitespace stripped).
 
     Layout: title line, ``=`` rule of ``len(title) + 13``, the message, a
-    Details block (timestamp, optional platform and extension id), an
+    Details block (timestamp, optional platform, extension id and user agent), an
     optional Additional Information block with one ``Key Name: value`` line
     per detail (``_`` -> space, words capitalised, NULL -> ``None``), and a
     fixed footer.  ``stamp`` is the report time.
     """
     t, m, e, p = _c(title), _c(error_message), _c(extension_id), _c(platform)
+    agent = F.lit(None).cast("string") if user_agent is None else _c(user_agent)
     lines = F.transform(
         F.map_entries(details),
         lambda x: F.concat(title_case(F.regexp_replace(x["key"], "_", " ")), F.lit(": "),
@@ -98,6 +99,7 @@ def error_text(title: Column | str, error_message: Column | str,
         F.when(_given(p), F.concat(F.lit("Platform: "), title_case(p), F.lit("\n")))
         .otherwise(F.lit("")),
         F.when(_given(e), F.concat(F.lit("Extension ID: "), e, F.lit("\n"))).otherwise(F.lit("")),
+        F.when(_given(agent), F.concat(F.lit("User Agent: "), agent, F.lit("\n"))).otherwise(F.lit("")),
         extra,
         F.lit("\n" + ERROR_REPORT_FOOTER + "\n        "),
     )

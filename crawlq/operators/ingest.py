@@ -69,7 +69,7 @@ def distinct_keywords(batch: DataFrame, col: str = "keyword", suffix: str = KEYW
     # combine; the stored form is derived after it.
     orig = batch.select(*keys, C.strip_text(col).alias("original"))
     uniq = orig.filter(F.col("original") != "").distinct()
-    return uniq.withColumn("keyword", F.concat(F.col("original"), F.lit(suffix)))
+    return uniq.withColumn("keyword", C.normalize_keyword("original", suffix))
 
 
 def keyword_conflicts(batch: DataFrame, queue: DataFrame, col: str = "keyword",

@@ -284,6 +284,20 @@ def q_stats_depth_rollup(spark, sf_dir):
     return stats.stats_depth_rollup(_t(spark, sf_dir, "url_queue"))
 
 
+@register("stats_nested_rollup", with_ctes(
+    "SELECT section, outer_label, inner_label, n, count(*) OVER (PARTITION BY section, outer_label) AS n_labels FROM ("
+    f"SELECT 'seed_urls' AS section, {_SL} AS outer_label, {_OL} AS inner_label, count(*) AS n FROM seed_queue GROUP BY ALL UNION ALL "
+    f"SELECT 'profile_urls', CAST({_DL} AS STRING), {_SL}, count(*) FROM url_queue GROUP BY ALL)", "seed_queue", "url_queue"))
+def q_stats_nested_rollup(spark, sf_dir):
+    """The map form of the roll-ups: one row per outer label, its map shown entry by entry with its size."""
+    seeds = stats.nested_rollup(stats.stats_owner_rollup(_t(spark, sf_dir, "seed_queue")), "status", "extension_id")
+    urls = stats.nested_rollup(stats.stats_depth_rollup(_t(spark, sf_dir, "url_queue")), "crawl_depth", "status")
+    both = (seeds.select(F.lit("seed_urls").alias("section"), F.col("status").alias("outer_label"), "counts")
+            .unionByName(urls.select(F.lit("profile_urls").alias("section"), F.col("crawl_depth").alias("outer_label"), "counts")))
+    return both.select("section", "outer_label", F.size("counts").cast("long").alias("n_labels"),
+                       F.explode("counts").alias("inner_label", "n"))
+
+
 @register("stats_report", with_ctes(
     "SELECT 'seed_urls' AS section, status AS dim1, extension_id AS dim2, n FROM so "
     "UNION ALL SELECT 'profile_urls', CAST(crawl_depth AS STRING), status, n FROM ud "
@@ -688,6 +702,42 @@ def q_create_seeds(spark, sf_dir):
         "url", "status", "max_profiles", "created_at", "updated_at", "_action")
 
 
+def _counts_sql(created: str, key: str, queue: str) -> str:
+    """Rows per action, distinct ids and keys; ``created`` selects the key and _action of the inserts and rejects."""
+    return (f"SELECT 'keep' AS _action, count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(DISTINCT {key}) AS n_keys "
+            f"FROM {queue} UNION ALL SELECT _action, count(*), CASE WHEN _action = 'insert' THEN count(*) ELSE 0 END, "
+            f"count(DISTINCT {key}) FROM ({created}) GROUP BY _action")
+
+
+def _action_counts(out: DataFrame, key: str) -> DataFrame:
+    return out.groupBy("_action").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"),
+                                      F.count_distinct(key).alias("n_keys"))
+
+
+@register("create_keywords_counts", with_ctes(_counts_sql(
+    "SELECT DISTINCT f.keyword, 'insert' AS _action FROM flag f JOIN cnt c ON f.batch_id = c.batch_id WHERE c.n_existing = 0 "
+    "UNION ALL SELECT f.keyword, 'reject' FROM flag f JOIN cnt c ON f.batch_id = c.batch_id WHERE c.n_existing > 0",
+    "keyword", "keyword_queue"), "keyword_batch", "keyword_queue", ctes=_KW_CTES))
+def q_create_keywords_counts(spark, sf_dir):
+    """What keyword requests leave in the queue, kept rows included: rows, distinct ids and keywords per action."""
+    return _action_counts(ingest.create_keywords(
+        _kw_batch(spark, sf_dir), _t(spark, sf_dir, "keyword_queue"), suffix=KEYWORD_SUFFIX, batch_col="batch_id", now=_now()), "keyword")
+
+
+@register("create_seeds_counts", with_ctes(_counts_sql(
+    "SELECT b.url, 'insert' AS _action FROM seed_batch b WHERE b.batch_id NOT IN (SELECT batch_id FROM bad) "
+    "AND NOT EXISTS (SELECT 1 FROM seed_queue q WHERE q.url = b.url) "
+    "AND b.batch_id = (SELECT min(x.batch_id) FROM seed_batch x WHERE x.url = b.url AND x.batch_id NOT IN (SELECT batch_id FROM bad)) "
+    "UNION ALL SELECT url, 'reject' FROM seed_batch WHERE batch_id IN (SELECT batch_id FROM bad)", "url", "seed_queue"),
+    "seed_batch", "seed_queue",
+    ctes=f"bad AS (SELECT DISTINCT batch_id FROM seed_batch WHERE NOT COALESCE({_SEED_OK}, false))"))
+def q_create_seeds_counts(spark, sf_dir):
+    """What seed requests leave in the queue, kept rows included: rows, distinct ids and URLs per action."""
+    return _action_counts(ingest.create_seeds(
+        _t(spark, sf_dir, "seed_batch"), _t(spark, sf_dir, "seed_queue"), prefix=HOST_PREFIX, suffix=SEED_SUFFIX,
+        batch_col="batch_id", now=_now()), "url")
+
+
 @register("enqueue_urls", with_ctes(
     f"SELECT id, url, account_id, 'pending' AS status, {NOW_SQL} AS created_at, "
     f"{NOW_SQL} AS updated_at FROM pu WHERE account_id IS NOT NULL "
@@ -1162,6 +1212,19 @@ def q_error_text(spark, sf_dir):
                                               F.col("reported_at")).alias("text"))
 
 
+_AGENT = "CASE WHEN CAST({id} AS BIGINT) % 3 = 0 THEN NULL WHEN CAST({id} AS BIGINT) % 3 = 1 THEN '' ELSE 'agent/' || {id} END"
+_AGENT_LINE = f"COALESCE('User Agent: ' || NULLIF({_AGENT.format(id='r.id')}, '') || '\n', '') || "
+
+
+@register("error_text_user_agent", QUERIES["error_text"].oracle.replace(
+    "CASE WHEN l.lines IS NOT NULL", _AGENT_LINE + "CASE WHEN l.lines IS NOT NULL"))
+def q_error_text_user_agent(spark, sf_dir):
+    """Report bodies with the user agent's line, for missing, empty and given agents."""
+    df = _error_reports(spark, sf_dir).withColumn("user_agent", F.expr(_AGENT.format(id="id")))
+    return df.select("id", reports.error_text("title", "error_message", "extension_id", "platform", _details_col(),
+                                              F.col("reported_at"), "user_agent").alias("text"))
+
+
 # ----------------------------------------------------------------- streaming
 
 def _event_stream(spark, sf_dir):

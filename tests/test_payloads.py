@@ -69,3 +69,10 @@ def test_a_very_long_payload(spark):
     text = "[" + ",".join('{"title": "%d"}' % i for i in range(60_000)) + "]"
     got = values(spark, P.payload_struct_array("p", ("title",)), [text])[0]
     assert len(got) == 60_000 and got[-1].title == "59999"
+
+
+def test_a_text_is_parsed_once_for_all_fields(spark):
+    schema = StructType([StructField(f"f{i}", LongType()) for i in range(30)])
+    df = spark.createDataFrame([('{"f1": 1}',)], "value string")
+    plan = P.load_nested_checked(df, schema)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
