@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,29 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+# Paths handed out inside the innermost ``scratch`` block, for each open block.
+_open: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside the block are deleted at its end, after errors too.
+
+    What must outlive the block is written, not merely planned, inside it, to a
+    path taken outside.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        drop_stored(spark, *_open.pop())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

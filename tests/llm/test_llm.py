@@ -601,6 +601,27 @@ def test_pipeline_stages(spark, odd):
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and rows.count() > 0
 
 
+def test_pipeline_deletes_its_scratch_tables(spark, monkeypatch, tmp_path):
+    cp = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr("crawlq.llm.common.shared_root", lambda spark: str(tmp_path))
+
+    def stage(spark, docs, sf_dir):
+        return stored(stored(docs, "own").where("doc_id % 7 <> 0"), "own")
+
+    def failing(spark, docs, sf_dir):
+        stored(docs, "own")
+        raise RuntimeError("stage")
+
+    monkeypatch.setattr(cp, "STAGES", [("a", stage), ("b", stage), ("c", stage), ("last", lambda spark, docs, sf_dir: docs)])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert cp.run(spark, SF).count() == docs.where("doc_id % 7 <> 0").count()
+    assert [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["pipeline", "c"]]
+    monkeypatch.setattr(cp, "STAGES", [("a", failing), ("last", stage)])
+    with pytest.raises(RuntimeError, match="stage"):
+        cp.run(spark, SF)
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("own")]
+
+
 def _best_windows(rows, items):
     """(doc_id, item_id) -> (similarity, -start, words) of the best window, by trying every window; and the dirty rows."""
     def bag(words):
