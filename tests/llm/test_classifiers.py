@@ -1,4 +1,4 @@
-"""Operators 5 and 9 over whole tables against plain Python, one document and one window at a time."""
+"""Operators 5 (whole table) and 9 (every fifth document, odd texts) against plain Python, one document and one window at a time."""
 
 from __future__ import annotations
 
