@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlq.llm.common import maybe_broadcast, stored
+from crawlq.llm.common import drop_worker_caches, maybe_broadcast, stored
 from crawlq.llm.components import components
 from crawlq.llm.shingles import mix64, shingle_set
 
@@ -91,6 +91,7 @@ def _base(docs: DataFrame) -> DataFrame:
     """doc_id, h (text hash), n_shingles, sig (128-bit digest of the set, null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
@@ -115,6 +116,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for batch in batches:
             sig, items, bits = [], [], []
             for text, want in zip(batch.column("text"), batch.column("sig")):
@@ -138,6 +140,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for batch in batches:
             a, b = [], []
             for p, q, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y"))):
@@ -191,6 +194,7 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     differs in at most (n + n2) / 7 shingles, so do its bitmaps.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 b = batch.slice(k, 256)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlq.llm.common import drop_worker_caches
 from crawlq.llm.sample import crc_mod, labelled_sample, prior_shift
 
 PER_CLASS = 2000        # documents of each label in the training sample, at most
@@ -254,6 +255,7 @@ def score_quality(docs: DataFrame, model: Crf, keep: bool = False) -> DataFrame:
     rows = docs.select(*cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 b = batch.slice(k, BATCH)

@@ -553,6 +553,23 @@ def test_pieces_of_whole_texts_with_a_full_cache(monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("task", ["near_dup", "quality"])
+def test_tasks_of_other_operators_drop_the_cached_pieces(spark, task):
+    class Rows:                               # hands out the function that tasks run
+        columns = ["doc_id", "text"]
+
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    tokens.encode([b"words kept, by the worker"], queries.tokenizer_path())
+    assert tokens._WORKERS
+    run = near_dup._base(Rows()) if task == "near_dup" else quality.score_quality(Rows(), None)
+    assert list(run(iter([]))) == [] and not tokens._WORKERS
+
+
 # ---- 10 repeated strings ----------------------------------------------------------------------------
 
 def test_suffix_array_equals_sorting():
