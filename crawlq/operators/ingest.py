@@ -113,18 +113,20 @@ def _with_ids(rows: DataFrame, id_expr: Column | None) -> DataFrame:
 def _served_in_order(flagged: DataFrame, batch_col: str) -> DataFrame:
     """Keywords flagged against the queue, flagged again as each request finds
     them: ``exists`` also for a keyword of an earlier accepted request;
-    ``accepted`` tells whether the request is.  Stored."""
-    placed = flagged.where(F.col(batch_col).isNotNull())
-    known = placed.groupBy(batch_col).agg(F.bool_or("exists").alias("_known"))
-    asked = merge.materialize(placed.join(merge.join_side(known), batch_col))
+    ``accepted`` tells whether the request is.
+
+    Accepted requests exclude each other, so a keyword has at most one writer:
+    all rows meet only the writers, the rest is done on open requests."""
+    flagged = merge.materialize(flagged)
     # A request that the queue itself rejects writes nothing, so nobody waits for it.
-    decided = decide_in_order(asked.where(~F.col("_known")), batch_col, "keyword")
-    asked = asked.join(merge.join_side(decided), batch_col, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-    asked = merge.materialize(asked.drop("_known"))
-    writer = asked.where("accepted").select("keyword", F.col(batch_col).alias("_writer"))
-    found = (asked.join(merge.join_side(writer), "keyword", "left")
-             .withColumn("exists", F.col("exists") | F.coalesce(F.col("_writer") < F.col(batch_col), F.lit(False))).drop("_writer"))
-    return merge.materialize(found.unionByName(flagged.where(F.col(batch_col).isNull()).withColumn("accepted", F.lit(False))))
+    known = merge.stored_side(flagged.where("exists").select(batch_col).distinct())
+    open_rows = flagged.select(batch_col, "keyword").join(known, batch_col, "left_anti")
+    decided = decide_in_order(open_rows, batch_col, "keyword")
+    won = merge.stored_side(decided.where("accepted").select(batch_col))
+    writer = merge.stored_side(flagged.join(won, batch_col, "left_semi").select("keyword", F.col(batch_col).alias("_writer")))
+    return flagged.join(writer, "keyword", "left").withColumns({
+        "exists": F.col("exists") | F.coalesce(F.col("_writer") < F.col(batch_col), F.lit(False)),
+        "accepted": F.coalesce(F.col("_writer") == F.col(batch_col), F.lit(False))}).drop("_writer")
 
 
 def keyword_conflicts_in_order(batch: DataFrame, queue: DataFrame, batch_col: str, col: str = "keyword",
@@ -162,7 +164,7 @@ def create_keywords(batch: DataFrame, queue: DataFrame, col: str = "keyword",
     kw = merge.materialize(kw)
     flagged = joins.key_exists(kw, queue.select("keyword"), "keyword")
     if in_order:
-        flagged = _served_in_order(flagged, b)
+        flagged = merge.materialize(_served_in_order(flagged, b))
         good, bad = flagged.where("accepted"), flagged.where("not accepted")
     else:
         counts = flagged.groupBy(b).agg(F.count_if(F.col("exists")).alias("_bad"))

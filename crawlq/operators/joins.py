@@ -46,13 +46,15 @@ def key_exists(batch: DataFrame, target: DataFrame, key: str,
     a broadcast semi join over the target's key column when the batch's key
     set is small, pre-aggregated key sets otherwise); that found-key set is
     at most one row per batch key, so the final left join cannot fan out;
-    it is broadcast with a small batch and materialised otherwise.
+    it is broadcast with a small batch, otherwise materialised and broadcast
+    only if that proves small.
     """
     bkeys = batch.select(key).dropDuplicates([key])
     # The raw batch is probed: its distinct keys would take a shuffle to count.
     small = merge.is_small(batch.select(key)) if small is None else small
     found = merge.matched_keys(target, bkeys, key, small).withColumn(flag, F.lit(True))
-    side = merge.join_side(found, small)
+    # A large batch may still hold few keys: then it need not be shuffled either.
+    side = F.broadcast(found) if small else merge.stored_side(found)
     return (batch.join(side, key, "left")
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 

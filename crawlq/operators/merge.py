@@ -167,9 +167,10 @@ def is_small(df: DataFrame, max_rows: int | None = None,
     if max_rows <= 0:
         return False
     width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
-    probe = df.limit(max_rows + 1).agg(
+    # The limit gathers up to that many rows of every partition: of widths only.
+    probe = df.select(width.alias("_width")).limit(max_rows + 1).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(width), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("_width"), F.lit(0)).alias("bytes"),
     ).first()
     return probe["rows"] <= max_rows and probe["bytes"] <= max_bytes
 
@@ -215,6 +216,13 @@ def join_side(df: DataFrame, small: bool | None = None) -> DataFrame:
     return F.broadcast(df) if small else materialize(df)
 
 
+def stored_side(df: DataFrame) -> DataFrame:
+    """The build side of a join for what is costly to compute: stored first, so
+    that neither the size check nor the broadcast computes it again."""
+    df = materialize(df)
+    return F.broadcast(df) if is_small(df) else df
+
+
 def matched_keys(target: DataFrame, source_keys: DataFrame, key: str, small: bool) -> DataFrame:
     """Distinct target keys that occur in ``source_keys`` (NULL never matches).
 

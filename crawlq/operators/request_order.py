@@ -43,8 +43,9 @@ def decide_in_order(items: DataFrame, request: str, key: str) -> DataFrame:
     """
     spark = items.sparkSession
     path = scratch_path(spark, "decisions")
+    # Repeated rows change neither minima nor verdicts: they need no shuffle to go.
     open_items = merge.materialize(
-        items.select(request, key).where(F.col(request).isNotNull() & F.col(key).isNotNull()).distinct())
+        items.select(request, key).where(F.col(request).isNotNull() & F.col(key).isNotNull()))
     schema = StructType([StructField(request, open_items.schema[request].dataType), StructField("accepted", BooleanType())])
     while not open_items.isEmpty():
         if merge.is_small(open_items):
@@ -52,11 +53,11 @@ def decide_in_order(items: DataFrame, request: str, key: str) -> DataFrame:
             ordered.mapInArrow(_one_by_one, schema).write.mode("append").parquet(path)
             break
         first = open_items.groupBy(key).agg(F.min(request).alias(_FIRST))
-        seen = merge.materialize(open_items.join(merge.join_side(first), key))
-        won = merge.materialize(seen.groupBy(request).agg(F.bool_and(F.col(request) == F.col(_FIRST)).alias(_WON))
+        seen = merge.materialize(open_items.join(merge.stored_side(first), key))
+        won = merge.stored_side(seen.groupBy(request).agg(F.bool_and(F.col(request) == F.col(_FIRST)).alias(_WON))
                                 .where(_WON).select(request))
         behind = seen.where(F.col(request) != F.col(_FIRST)).select(request, _FIRST)
-        lost = behind.join(merge.join_side(won.withColumnRenamed(request, _FIRST)), _FIRST, "left_semi").select(request).distinct()
+        lost = behind.join(won.withColumnRenamed(request, _FIRST), _FIRST, "left_semi").select(request).distinct()
         decided = merge.materialize(won.withColumn("accepted", F.lit(True)).unionByName(lost.withColumn("accepted", F.lit(False))))
         decided.write.mode("append").parquet(path)
         open_items = merge.materialize(

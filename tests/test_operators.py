@@ -403,3 +403,11 @@ def test_keyword_requests_in_order(spark):
     assert rows(got) == [(1, 0, 1, "all_new"), (2, 1, 1, "some_exist"), (3, 0, 1, "all_new"), (4, 1, 1, "some_exist"), (5, 0, 1, "all_new")]
     with pytest.raises(ValueError):
         ingest.create_keywords(batch, queue, in_order=True)
+
+
+def test_large_batch_of_few_keys_meets_them_without_a_shuffle(spark):
+    batch = spark.range(200).select(F.col("id").alias("b"), F.when(F.col("id") % 5 < 4, F.concat(F.lit("k"), F.col("id") % 5)).alias("k"))
+    got = joins.key_exists(batch, spark.createDataFrame([("k1",), ("k1",), ("k3",), (None,)], "k string"), "k", small=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.b for r in got.collect() if r.exists) == [i for i in range(200) if i % 5 in (1, 3)] and got.count() == 200
